@@ -11,6 +11,8 @@ Windows that hold too little of the benchmark's TF-IDF mass can't reach the cosi
 this bound drops no candidate. The benchmark is the stated query set; it is worked in blocks of BLOCK_ITEMS items, which bounds
 what is broadcast: SLOTS x RANK floats and the items' words.
 
+Words are compared without case and punctuation.
+
 Defined results: null or empty documents and items match nothing; an item that is repeated, or whose text is, matches
 under each of its ids; ids may be null or repeated; of several matches of an item in a document the best counts; an empty benchmark
 flags nothing.
@@ -34,7 +36,7 @@ SLOTS = 1 << 16
 RANK = 96
 PASSAGE, WINDOW, STRIDE = 32, 48, 16
 BLOCK_ITEMS = 4096
-COSINE = 0.5  # of a window's latent vector and a passage's
+COSINE = 0.4  # of a window's latent vector and a passage's
 MASS = 0.5  # of a passage's TF-IDF energy that a window has to hold at least
 SEQUENCE = 0.6  # of an item's words in the longest common subsequence
 ANSWER = 0.6  # of the answer's words
@@ -52,7 +54,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
         df, rows = np.zeros(SLOTS, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for w in words(batch.column(0)):
+            for w in words(batch.column(0), plain=True):
                 df += np.bincount(np.unique(w.row_of() * SLOTS + _slot(w.hash)) % SLOTS, minlength=SLOTS)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], rows))], names=["slot", "n"])
@@ -70,7 +72,7 @@ def _passages(items: DataFrame, idf: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for w in words(batch.column(1)):
+            for w in words(batch.column(1), plain=True):
                 for r in range(w.last - w.first):
                     own = _slot(w.hash[w.bounds[r] : w.bounds[r + 1]])
                     starts = sorted({*range(0, max(1, len(own) - PASSAGE + 1), PASSAGE), max(0, len(own) - PASSAGE)}) if len(own) else []
@@ -134,10 +136,10 @@ class Benchmark:
     def __init__(self, rows: list[tuple], passages: list[tuple], idf: np.ndarray, space: np.ndarray):
         self.idf, self.words, self.answers, self.mass = idf, [], [], np.zeros(1 << 20, np.float32)
         for _, text, answer in rows:
-            own = next(iter(words(pa.array([text], pa.string()))))
+            own = next(iter(words(pa.array([text], pa.string()), plain=True)))
             self.words.append(own.hash)
             if answer:
-                key = next(iter(words(pa.array([answer], pa.string())))).hash
+                key = next(iter(words(pa.array([answer], pa.string()), plain=True))).hash
             else:
                 key = np.unique(own.hash)
                 key = key[np.argsort(-idf[_slot(key)], kind="stable")][: max(1, len(key) // 3)]
@@ -219,7 +221,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         marks = [Benchmark(*x.value) for x in shared]
         for batch in batches:
-            for w in words(inputs_of(batch, 1)[0]):
+            for w in words(inputs_of(batch, 1)[0], plain=True):
                 leaks: list[list[dict]] = [[] for _ in range(w.last - w.first)]
                 for mark in marks:
                     for r, got in mark.matches(w.hash, w.bounds).items():

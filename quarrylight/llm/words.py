@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -20,6 +21,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PUNCTUATION = np.arange(256) < 128
+_PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _LONG = 64
 
 
@@ -86,14 +89,20 @@ def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(h)
 
 
-def words(col: pa.Array, limit: int = SLICE_BYTES, hashed: bool = True) -> Iterator[Words]:
-    """The words of a text column, a row range at a time."""
+def words(col: pa.Array, limit: int = SLICE_BYTES, hashed: bool = True, plain: bool = False) -> Iterator[Words]:
+    """The words of a text column, a row range at a time.
+
+    plain: all letters are lower-cased and every ASCII character but letters and digits parts words.
+    """
+    if plain:
+        col = pc.utf8_lower(col)
+    space = _PUNCTUATION if plain else _SPACE
     data, off = text_buffers(col)
     for i, j in row_slices(off, limit):
         lo, hi = int(off[i]), int(off[j])
         buf = _LOWER[data[lo:hi]]
         own = off[i : j + 1] - lo
-        ink = ~_SPACE[buf]
+        ink = ~space[buf]
         before = np.zeros(len(ink) + 1, dtype=bool)
         before[1:] = ink
         before[own] = False  # a row's first byte has nothing before it
