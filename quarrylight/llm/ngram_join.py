@@ -5,10 +5,10 @@ is seen where it is frequent, else by the product of its words' frequencies, the
 links; the two frequency tables behind it have a fixed number of rows, and every n-gram outside them still has its place.
 Two sets can link only if their prefixes share an n-gram, so documents meet in the buckets of their prefix n-grams, and
 each pair that passes the filters is verified once, on whole sets. Beside the length and positional filters stand two
-bounds of the symmetric difference: 256 parities of hashes, inside the join, and the suffix filter before verification.
+bounds of the symmetric difference: parities of hashes, inside the join, and the suffix filter before verification.
 
 Equal sets count as one class. Large groups of near copies are not turned into all their pairs: some rounds first verify
-every member of a bucket against one pivot of it and contract what links; after that only pairs of still different
+every member of a bucket against some pivots of it and contract what links; after that only pairs of still different
 components are verified, each of them, so that no link that joins components is lost.
 
 Defined results: a document without words (or null text) has an empty set and is linked with nothing; one of fewer than
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm.components import components, save
@@ -32,34 +32,37 @@ from quarrylight.llm.words import ngrams, signed, words
 
 TABLE_ROWS = 1 << 18  # rows at most in each of the two frequency tables that are broadcast
 BLOCK = 2_000_000  # words that are counted together in a task
-FREQUENT_IN_BLOCK = 8
-PARITIES = 256
-_MEMBER = ["doc", "size", "pos", *(f"s{i}" for i in range(PARITIES // 64))]
+FREQUENT_IN_BLOCK = 3
+PIVOTS = 6  # of a bucket in each round
+PARITIES, FOLDED = 1024, 256  # of a document, and as its postings carry them
+_MEMBER = ["doc", "size", "pos", *(f"s{i}" for i in range(FOLDED // 64))]
 
 
 def _frequencies(docs: DataFrame, n: int) -> DataFrame:
-    """(kind, h, c): counts of words (0) and of n-grams that are frequent in a block of a task (1)."""
+    """(kind, h, c): counts of words (0), and of n-grams that a block of a task has much more often than their words explain (1)."""
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate([w.hash for w in held])
+        ends = np.cumsum([0] + [len(w.hash) for w in held])
+        bounds = np.concatenate([[0], *[w.bounds[1:] + e for w, e in zip(held, ends, strict=False)]])
+        own, back, count = np.unique(h, return_inverse=True, return_counts=True)
+        grams, off = ngrams(h, bounds, n)
+        alone = _window_sums(np.log2(count)[back] - np.log2(max(1, len(h))), bounds, n, off) + np.log2(max(1, len(h)))
+        seen, first, often = np.unique(grams, return_index=True, return_counts=True)
+        more = (often >= FREQUENT_IN_BLOCK) & (np.log2(often) >= alone[first] + 2)
+        for kind, keys, c in ((0, own[count > 1], count[count > 1]), (1, seen[more], often[more])):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(signed(keys)), pa.array(c.astype(np.int64))], names=["kind", "h", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush():
-            for kind, least in ((0, 2), (1, FREQUENT_IN_BLOCK)):
-                h, c = np.unique(np.concatenate([x[kind] for x in held]), return_counts=True)
-                h, c = h[c >= least], c[c >= least]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(signed(h)), pa.array(c.astype(np.int64))], names=["kind", "h", "c"])
-            held.clear()
-
-        size = 0
+        held: list = []
         for batch in batches:
             for w in words(batch.column(0)):
-                held.append((w.hash, ngrams(w.hash, w.bounds, n)[0]))
-                size += len(w.hash)
-                if size >= BLOCK:
-                    yield from flush()
-                    size = 0
+                held.append(w)
+                if sum(len(x.hash) for x in held) >= BLOCK:
+                    yield from flush(held)
+                    held = []
         if held:
-            yield from flush()
+            yield from flush(held)
 
     return docs.select("text").mapInArrow(run, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
 
@@ -145,7 +148,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 rows = [np.unique(grams[a:b]).tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.last - w.first), pa.array(rows, pa.binary())], names=["doc", "grams"])
 
-    return docs.select("doc", "text").join(wanted.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(run, "doc long, grams binary").dropDuplicates(["doc"])
+    return docs.select("doc", "text").join(wanted.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(run, "doc long, grams binary")
 
 
 def _apart(x: np.ndarray, y: np.ndarray, most: int, depth: int = 2) -> int:
@@ -179,6 +182,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long")
 
 
+def _folded(i: int) -> Column:
+    step = FOLDED // 64
+    out = F.col("parity")[i]
+    for k in range(i + step, PARITIES // 64, step):
+        out = out.bitwiseXOR(F.col("parity")[k])
+    return out
+
+
 def _candidates(m: DataFrame, other: DataFrame, num: int, den: int, ordered: bool) -> DataFrame:
     """Distinct pairs of a bucket that pass the length and the positional filter; other has its columns with a ``2``."""
     need = F.ceil((F.col("size") + F.col("size2")) * num / (num + den) - 1e-9)
@@ -186,7 +197,9 @@ def _candidates(m: DataFrame, other: DataFrame, num: int, den: int, ordered: boo
     pairs = m.join(other.hint("merge"), "gram").where(F.col("comp") != F.col("comp2"))
     if ordered:
         pairs = pairs.where("doc < doc2")
-    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}2"))) for i in range(PARITIES // 64)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}2"))) for i in range(FOLDED // 64)), F.lit(0))
+    if ordered:
+        apart = F.greatest(apart, sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity2")[i])) for i in range(PARITIES // 64)), F.lit(0)))
     pairs = pairs.where(F.col("size") + F.col("size2") - 2 * need >= apart)
     pairs = pairs.where((F.least("size", "size2") * den >= F.greatest("size", "size2") * num) & (rest >= need))
     return pairs.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
@@ -203,24 +216,25 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, round
     reps = save(full.groupBy("digest").agg(F.min("doc").alias("rep")))
     heads = full.join(reps.select(F.col("rep").alias("doc"), F.col("digest").alias("own")).hint("merge"), "doc").where("digest = own")
     bucket = Window.partitionBy("gram")
-    posts = heads.select("doc", "size", *[F.col("parity")[i].alias(f"s{i}") for i in range(PARITIES // 64)], F.posexplode("prefix").alias("pos", "gram"))
+    posts = heads.select("doc", "size", *[_folded(i).alias(f"s{i}") for i in range(FOLDED // 64)], F.posexplode("prefix").alias("pos", "gram"))
     posts = posts.withColumn("low", F.min("doc").over(bucket)).withColumn("high", F.max("doc").over(bucket)).where("low <> high")
     posts = save(posts.select("gram", *_MEMBER))
     sets = save(_sets(docs, posts.select("doc").distinct(), n))
     edges = None
     for k in range(rounds + 1):
         m = posts.withColumn("comp", F.col("doc"))
-        if edges is not None:  # the least of a node and its neighbours names a part of its component
-            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            known = both.groupBy(F.col("a").alias("doc")).agg(F.least(F.first("a"), F.min("b")).alias("known"))
-            m = save(posts.join(save(known).hint("merge"), "doc", "left").select(*posts.columns, F.coalesce("known", "doc").alias("comp")))
-        mixed = m.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("doc", F.lit(k)), *_MEMBER, "comp")).alias("pivot"))
-        mixed = save(mixed.where("low <> high"))
+        if edges is not None:
+            known = components(edges).select(F.col("node").alias("doc"), "component")
+            m = save(posts.join(known.hint("merge"), "doc", "left").select(*posts.columns, F.coalesce("component", "doc").alias("comp")))
+        pivots = [F.min(F.struct(F.xxhash64("doc", F.lit(PIVOTS * k + j)), *_MEMBER, "comp")) for j in range(PIVOTS)]
+        mixed = save(m.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.array(*pivots).alias("pivots")).where("low <> high"))
         if k < rounds:
-            other = mixed.select("gram", *[F.col(f"pivot.{c}").alias(f"{c}2") for c in [*_MEMBER, "comp"]])
+            other = save(mixed.select("gram", F.explode("pivots").alias("pivot")).distinct())
+            other = other.select("gram", *[F.col(f"pivot.{c}").alias(f"{c}2") for c in [*_MEMBER, "comp"]])
         else:  # whatever is still apart, all of it
-            m = save(m.join(mixed.select("gram").hint("merge"), "gram", "left_semi"))
-            other = m.select("gram", *[F.col(c).alias(f"{c}2") for c in [*_MEMBER, "comp"]]).where("doc2 IS NOT NULL")
+            m = m.join(mixed.select("gram").hint("merge"), "gram", "left_semi").join(heads.select("doc", "parity").hint("merge"), "doc")
+            m = save(m)
+            other = m.select("gram", *[F.col(c).alias(f"{c}2") for c in [*_MEMBER, "comp", "parity"]]).where("doc2 IS NOT NULL")
         found = save(_verified(save(_candidates(m, other, num, den, k == rounds)), sets, num, den))
         edges = found if edges is None else edges.unionByName(found)
     labels = components(edges).select(F.col("node").alias("doc"), "component")
