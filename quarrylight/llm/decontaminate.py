@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from quarrylight.llm.frames import extend, inputs_of
 from quarrylight.llm.words import words
 
-SLOTS = 1 << 16
-RANK = 96
+SLOTS = 1 << 15
+RANK = 64
 PASSAGE, WINDOW, STRIDE = 32, 48, 16
 BLOCK_ITEMS = 4096
 COSINE = 0.4  # of a window's latent vector and a passage's
@@ -44,7 +44,7 @@ LEAKS = "array<struct<item_id:long,cosine:double,lcs:double>>"
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(48)).astype(np.int64)
+    return (h >> np.uint64(49)).astype(np.int64)
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
