@@ -38,7 +38,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 
 def entropy_spans(run: str, window: int, least: float) -> list[tuple[int, int]]:
     """Joined windows of the run whose Shannon entropy is high enough."""
-    part = [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
+    part = [0.0] + [n * math.log2(n) for n in range(1, window + 2)]
     counts: dict[str, int] = {}
     total, out = 0.0, []
     for i, c in enumerate(run):
