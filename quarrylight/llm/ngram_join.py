@@ -28,11 +28,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm.components import components, save
-from quarrylight.llm.words import ngrams, signed, words
+from quarrylight.llm.words import mix, ngrams, signed, words
 
 TABLE_ROWS = 1 << 18  # rows at most in each of the two frequency tables that are broadcast
 BLOCK = 2_000_000  # words that are counted together in a task
 FREQUENT_IN_BLOCK = 3
+MARK_BITS, MARK_PARTS = 1 << 23, 16  # of the filter that picks documents to verify
 PIVOTS = 6  # of a bucket in each round
 PARITIES, FOLDED = 1024, 256  # of a document, and as its postings carry them
 _MEMBER = ["doc", "size", "pos", *(f"s{i}" for i in range(FOLDED // 64))]
@@ -138,17 +139,44 @@ def _features(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc long, size long, digest binary, parity array<long>, prefix array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(doc, grams binary) of the wanted documents: the whole set, sorted by hash."""
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of MARK_BITS bits over document ids; at most MARK_PARTS copies of it reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MARK_BITS, bool)
         for batch in batches:
+            for place in _places(batch.column(0)):
+                bits[place] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(MARK_BITS // 8, np.uint8)
+    for part in ids.coalesce(MARK_PARTS).mapInArrow(run, "bits binary").toArrow().column("bits").to_pylist():
+        out |= np.frombuffer(part, np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def _places(ids: pa.Array) -> list[np.ndarray]:
+    h = mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    return [((h >> np.uint64(k)) & np.uint64(MARK_BITS - 1)).astype(np.int64) for k in (0, 20, 40)]
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """(doc, grams binary) of the documents of the pairs, and a few more: the whole set, sorted by hash.
+
+    The scan passes only documents that the filter may hold, so neither texts nor all sets are shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_marks(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, mid, high = (shared.value[p] for p in _places(batch.column(0)))
+            batch = batch.filter(pa.array(low & mid & high))
             for w in words(batch.column(1)):
                 grams, off = ngrams(w.hash, w.bounds, n)
                 rows = [np.unique(grams[a:b]).tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.last - w.first), pa.array(rows, pa.binary())], names=["doc", "grams"])
 
-    return docs.select("doc", "text").join(wanted.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(run, "doc long, grams binary")
+    return docs.select("doc", "text").where("doc IS NOT NULL").mapInArrow(run, "doc long, grams binary")
 
 
 def _apart(x: np.ndarray, y: np.ndarray, most: int, depth: int = 2) -> int:
@@ -216,10 +244,11 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, round
     reps = save(full.groupBy("digest").agg(F.min("doc").alias("rep")))
     heads = full.join(reps.select(F.col("rep").alias("doc"), F.col("digest").alias("own")).hint("merge"), "doc").where("digest = own")
     bucket = Window.partitionBy("gram")
-    posts = heads.select("doc", "size", *[_folded(i).alias(f"s{i}") for i in range(FOLDED // 64)], F.posexplode("prefix").alias("pos", "gram"))
+    posts = heads.select("doc", "size", F.posexplode("prefix").alias("pos", "gram"))
     posts = posts.withColumn("low", F.min("doc").over(bucket)).withColumn("high", F.max("doc").over(bucket)).where("low <> high")
-    posts = save(posts.select("gram", *_MEMBER))
-    sets = save(_sets(docs, posts.select("doc").distinct(), n))
+    posts = save(posts.select("gram", "doc", "size", "pos"))
+    folded = heads.select("doc", *[_folded(i).alias(f"s{i}") for i in range(FOLDED // 64)])
+    posts = save(posts.join(folded.hint("merge"), "doc").select("gram", *_MEMBER))
     edges = None
     for k in range(rounds + 1):
         m = posts.withColumn("comp", F.col("doc"))
@@ -235,7 +264,8 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, round
             m = m.join(mixed.select("gram").hint("merge"), "gram", "left_semi").join(heads.select("doc", "parity").hint("merge"), "doc")
             m = save(m)
             other = m.select("gram", *[F.col(c).alias(f"{c}2") for c in [*_MEMBER, "comp", "parity"]]).where("doc2 IS NOT NULL")
-        found = save(_verified(save(_candidates(m, other, num, den, k == rounds)), sets, num, den))
+        pairs = save(_candidates(m, other, num, den, k == rounds))
+        found = save(_verified(pairs, save(_sets(docs, pairs, n)), num, den))
         edges = found if edges is None else edges.unionByName(found)
     labels = components(edges).select(F.col("node").alias("doc"), "component")
     named = reps.join(labels.select(F.col("doc").alias("rep"), "component").hint("merge"), "rep", "left")
