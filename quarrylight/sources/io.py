@@ -39,7 +39,7 @@ def seed_rows(lines: DataFrame) -> DataFrame:
 
     heading = F.nullif(F.trim(F.regexp_extract("line", r"^##+\s*(.*)$", 1)), F.lit(""))
     rows = lines.withColumn("category", F.last(heading, ignorenulls=True).over(Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
-    cells = F.transform(F.split(F.trim("line"), r"\|"), F.trim)
+    cells = F.transform(F.split(F.trim("line"), r"\|"), lambda x: F.trim(x))
     rows = rows.where(F.trim("line").startswith("|")).withColumn("cells", cells)
     url = F.coalesce(F.nullif(F.regexp_extract("line", r"\((https?://[^)\s]+)\)", 1), F.lit("")), F.regexp_extract("line", r"(https?://[^\s|)]+)", 1))
     name = F.regexp_replace(F.get("cells", F.lit(1)), r"^\[(.*)\]\(.*\)$", "$1")
