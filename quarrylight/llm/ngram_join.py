@@ -244,24 +244,25 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, round
     reps = save(full.groupBy("digest").agg(F.min("doc").alias("rep")))
     heads = full.join(reps.select(F.col("rep").alias("doc"), F.col("digest").alias("own")).hint("merge"), "doc").where("digest = own")
     bucket = Window.partitionBy("gram")
-    posts = heads.select("doc", "size", F.posexplode("prefix").alias("pos", "gram"))
+    posts = heads.select("doc", F.posexplode("prefix").alias("pos", "gram"))
     posts = posts.withColumn("low", F.min("doc").over(bucket)).withColumn("high", F.max("doc").over(bucket)).where("low <> high")
-    posts = save(posts.select("gram", "doc", "size", "pos"))
-    folded = heads.select("doc", *[_folded(i).alias(f"s{i}") for i in range(FOLDED // 64)])
-    posts = save(posts.join(folded.hint("merge"), "doc").select("gram", *_MEMBER))
+    folded = heads.select("doc", "size", *[_folded(i).alias(f"s{i}") for i in range(FOLDED // 64)])
+    posts = save(posts.select("gram", "doc", "pos").join(folded.hint("merge"), "doc").select("gram", *_MEMBER))
     edges = None
     for k in range(rounds + 1):
         m = posts.withColumn("comp", F.col("doc"))
         if edges is not None:
             known = components(edges).select(F.col("node").alias("doc"), "component")
             m = save(posts.join(known.hint("merge"), "doc", "left").select(*posts.columns, F.coalesce("component", "doc").alias("comp")))
-        pivots = [F.min(F.struct(F.xxhash64("doc", F.lit(PIVOTS * k + j)), *_MEMBER, "comp")) for j in range(PIVOTS)]
-        mixed = save(m.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.array(*pivots).alias("pivots")).where("low <> high"))
+        low, high = F.min("comp").alias("low"), F.max("comp").alias("high")
         if k < rounds:
-            other = save(mixed.select("gram", F.explode("pivots").alias("pivot")).distinct())
-            other = other.select("gram", *[F.col(f"pivot.{c}").alias(f"{c}2") for c in [*_MEMBER, "comp"]])
+            pivots = [F.min(F.struct(F.xxhash64("doc", F.lit(PIVOTS * k + j)), *_MEMBER, "comp")) for j in range(PIVOTS)]
+            other = m.groupBy("gram").agg(low, high, F.array(*pivots).alias("pivots")).where("low <> high")
+            plain = F.transform("pivots", lambda p: F.struct(*[p[c].alias(f"{c}2") for c in [*_MEMBER, "comp"]]))
+            other = other.select("gram", F.explode(F.array_distinct(plain)).alias("pivot")).select("gram", "pivot.*")
         else:  # whatever is still apart, all of it
-            m = m.join(mixed.select("gram").hint("merge"), "gram", "left_semi").join(heads.select("doc", "parity").hint("merge"), "doc")
+            mixed = m.groupBy("gram").agg(low, high).where("low <> high").select("gram")
+            m = m.join(mixed.hint("merge"), "gram", "left_semi").join(heads.select("doc", "parity").hint("merge"), "doc")
             m = save(m)
             other = m.select("gram", *[F.col(c).alias(f"{c}2") for c in [*_MEMBER, "comp", "parity"]]).where("doc2 IS NOT NULL")
         pairs = save(_candidates(m, other, num, den, k == rounds))
