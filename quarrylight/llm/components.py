@@ -39,10 +39,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: the larger neighbours of a node move to the least of its neighbourhood
-        least = save(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
         large = save(e.join(least.hint("merge"), "v").select("u", F.col("m").alias("v")).where("u <> v").distinct())
         # small star: a node and its smaller neighbours move to the least of them
-        low = save(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     heads = e.select(F.col("v").alias("node")).distinct()

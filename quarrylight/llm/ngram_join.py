@@ -266,7 +266,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, round
             m = save(m)
             other = m.select("gram", *[F.col(c).alias(f"{c}2") for c in [*_MEMBER, "comp", "parity"]]).where("doc2 IS NOT NULL")
         pairs = save(_candidates(m, other, num, den, k == rounds))
-        found = save(_verified(pairs, save(_sets(docs, pairs, n)), num, den))
+        found = save(_verified(pairs, _sets(docs, pairs, n), num, den))
         edges = found if edges is None else edges.unionByName(found)
     labels = components(edges).select(F.col("node").alias("doc"), "component")
     named = reps.join(labels.select(F.col("doc").alias("rep"), "component").hint("merge"), "rep", "left")
