@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import exprs
 from quarrylight.operators import serving, tags, text, web
+from quarrylight.plans import more  # noqa: F401
 from quarrylight.plans.queries import ORACLES, QUERIES
 from quarrylight.sources import io
 from quarrylight.streaming import jobs
