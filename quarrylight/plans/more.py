@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylight.functions import exprs as X
-from quarrylight.operators import serving, sites, tags, web
+from quarrylight.operators import records, serving, sites, tags, web
 from quarrylight.plans.queries import DOMAIN, query
 
 
@@ -92,3 +92,46 @@ def _(c):
 @query("q12_overall_confidence", "lineitem", "SELECT l_orderkey AS name, round_even(coalesce(avg(CASE WHEN l_discount > 0 THEN l_discount END), 0), 2) AS confidence FROM lineitem GROUP BY 1")
 def _(li):
     return serving.overall_confidence(li.select(F.col("l_orderkey").alias("name"), F.col("l_discount").alias("confidence")))
+
+
+@query("e4_source_weighting", "documents", "SELECT doc_id, x AS segment FROM (SELECT doc_id, unnest(CASE WHEN contains(coalesce(source, ''), 'a') THEN [text, text] ELSE [text] END) AS x FROM documents)")
+def _(d):
+    return d.select("doc_id", F.explode(records.weighted(F.col("text"), X.any_hit(F.col("source"), ["a"]))).alias("segment"))
+
+
+@query("e13_search_text", "documents", "SELECT doc_id, coalesce(nullif(regexp_extract(coalesce(text[101:], ''), '([0-9]{3,})', 1), ''), nullif(regexp_extract(coalesce(text, ''), '([0-9]{3,})', 1), ''), '') AS value FROM documents")
+def _(d):
+    return d.select("doc_id", records.first_match(F.substring("text", 101, 2147483647), F.col("text"), "([0-9]{3,})").alias("value"))
+
+
+@query("f16_certifications", "documents", "SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(text, 'MIT License') THEN 'mit' END, CASE WHEN contains(text, 'Apache') THEN 'apache' END, CASE WHEN contains(text, 'GPL') OR contains(text, 'General Public') THEN 'gpl' END], lambda x: x IS NOT NULL), '、') AS certs FROM documents")
+def _(d):
+    return d.select("doc_id", F.array_join(X.map_all(F.col("text"), [("mit", ["MIT License"]), ("apache", ["Apache"]), ("gpl", ["GPL", "General Public"])]), "、").alias("certs"))
+
+
+@query("j2_infer_platform", "pages", "SELECT page_id, CASE WHEN contains(url, 'blog.') THEN 'blog' WHEN contains(url, 'm.') THEN 'mobile' ELSE 'site' END AS platform FROM pages")
+def _(p):
+    return p.select("page_id", X.map_first(F.col("url"), [("blog", ["blog."]), ("mobile", ["m."])], "site").alias("platform"))
+
+
+@query("j19_record_confidence", "lineitem", "SELECT l_orderkey, l_linenumber, round_even(least(.98::DOUBLE, .6::DOUBLE + CASE WHEN l_returnflag = 'A' THEN .15 ELSE 0 END::DOUBLE + CASE WHEN l_quantity > 10 THEN .1 ELSE 0 END::DOUBLE + CASE WHEN l_discount > .05 THEN .2 ELSE 0 END::DOUBLE), 2) AS confidence FROM lineitem")
+def _(li):
+    score = records.record_confidence(0.6, [(F.col("l_returnflag") == "A", 0.15), (F.col("l_quantity") > 10, 0.1), (F.col("l_discount") > 0.05, 0.2)])
+    return li.select("l_orderkey", "l_linenumber", score.alias("confidence"))
+
+
+@query("q5_company_detail", "orders", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")
+def _(o):
+    own = o.join(F.broadcast(o.agg(F.min("o_custkey").alias("o_custkey"))), "o_custkey")  # one row
+    return own.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(1).select("o_orderkey", "o_custkey")
+
+
+@query("q7_query_facts", "lineitem", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_suppkey = 1 AND l_returnflag = 'A' ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10 OFFSET 10")
+def _(li):
+    rows = records.facts(li, F.col("l_suppkey") == 1, F.col("l_returnflag") == "A", [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 2, 10)
+    return rows.select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("q15_result_digest", "lineitem", "WITH r AS (SELECT l_suppkey, l_returnflag, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_returnflag) AS k FROM lineitem) SELECT l_suppkey, count(*) AS n, string_agg(l_returnflag, ',' ORDER BY k) FILTER (k <= 5) AS first FROM r GROUP BY 1")
+def _(li):
+    return records.digest(li.select("l_suppkey", "l_returnflag", "l_orderkey"), "l_suppkey", "l_returnflag", "l_orderkey")
