@@ -34,3 +34,27 @@ def digest(rows: DataFrame, key: str, tag: str, seq: str, most: int = 5) -> Data
     first = rows.withColumn("n", n).where(F.col("n") <= most).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", F.col(tag).alias("t")))).alias("x"))
     names = first.select(key, F.array_join(F.transform("x", lambda r: r["t"]), ",").alias("first"))
     return rows.groupBy(key).agg(F.count("*").alias("n")).join(names.hint("merge"), key)
+
+
+def segments(df: DataFrame, key: str, text: str, marker: str) -> DataFrame:
+    """(key, pos, tag, body): the text between markers, each with the marker before it; blank bodies go, the first has tag ''."""
+    tags = F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(marker), F.lit(1)))
+    rows = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.arrays_zip(F.split(text, marker, -1).alias("body"), tags.alias("tag"))).alias("pos", "x"))
+    return rows.select(key, "pos", "x.tag", F.trim("x.body").alias("body")).where("body <> ''")
+
+
+def near_lines(lines: DataFrame, key: str, most: int = 3) -> DataFrame:
+    """(key, pos, sentence) of the lines kept in order: each that isn't within so many bits of one kept before in its document.
+
+    Fingerprints are of (key, pos); equal fingerprints meet in a window first, so a document's row gathers each only once.
+    """
+    from quarrylight.operators.text import hamming, simhash64
+
+    own = lines.withColumn("id", F.struct(key, "pos"))
+    marked = own.join(simhash64(own.select("id", F.col("sentence").alias("text")), r"[A-Za-z]{2,}|[一-龥]{2,}", "id").hint("merge"), "id")
+    firsts = marked.groupBy(key, "simhash").agg(F.min(F.struct("pos", "sentence")).alias("x"))
+    rows = firsts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("x.pos", "simhash", "x.sentence"))).alias("all"))
+    none = F.array().cast(rows.schema["all"].dataType)
+    near = lambda kept, x: F.exists(kept, lambda k: hamming(k["simhash"], x["simhash"]) <= most)
+    kept = F.aggregate("all", none, lambda acc, x: F.when(near(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    return rows.select(key, F.explode(kept).alias("x")).select(key, "x.pos", "x.sentence")

@@ -95,3 +95,21 @@ def ttl_lookup(requests: DataFrame, cache: DataFrame, now: Column, seconds: int)
 def ttl_stats(states: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("state") == s)
     return states.agg(n("hit").alias("hits"), n("miss").alias("misses"), n("expired").alias("expired"), F.bround(n("hit") / F.greatest(F.lit(1), n("hit") + n("miss")), 2).alias("hit_rate"))
+
+
+def decode(df: DataFrame, json: dict[str, str], times: dict[str, str]) -> DataFrame:
+    """JSON columns as their types (null if they can't be read), and timestamps as text under a new name."""
+    out = df.withColumns({c: F.from_json(c, kind) for c, kind in json.items()})
+    return out.withColumns({new: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c, new in times.items()})
+
+
+def tag_row(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Columns of the tag table: arrays and structs as JSON, '' as null."""
+    kinds = dict(df.dtypes)
+
+    def stored(c: str) -> Column:
+        if kinds[c].startswith(("array", "struct", "map")):
+            return F.to_json(c)
+        return F.nullif(F.col(c), F.lit("")) if kinds[c] == "string" else F.col(c)
+
+    return df.select(*[stored(c).alias(name) for name, c in columns.items()])

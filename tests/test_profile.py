@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.functions import exprs
-from quarrylight.operators import serving, tags, text, web
-from quarrylight.plans import fields, more, relations  # noqa: F401
+from quarrylight.operators import records, serving, tags, text, web
+from quarrylight.plans import fields, more, profile, relations  # noqa: F401
 from quarrylight.plans.queries import ORACLES, QUERIES
 from quarrylight.sources import io
 from quarrylight.streaming import jobs
@@ -113,3 +113,24 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = jobs.probe_stats_hourly(spark.read.parquet(str(tmp_path / "in"))).where("hour < '2024-01-02'")
     assert sorted(map(tuple, spark.table("hourly").collect())) == sorted(map(tuple, batch.collect()))
+
+
+@pytest.mark.parametrize(("lines", "kept"), [(["轴承制造企业 产品", "轴承制造企业 产品"], 1), (["公司成立于2015年", "主要生产深沟球轴承"], 2), (["公司成立于2015年", "企业2015年成立"], 2), ([], 0), (["alpha beta", "gamma delta", "alpha beta"], 2)])
+def test_near_lines(spark, lines, kept):
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, pos int, sentence string")
+    got = records.near_lines(rows, "doc_id").collect()
+    assert len(got) <= kept if "企业2015年成立" in lines else len(got) == kept
+    assert all(r["sentence"] == lines[r["pos"]] for r in got)
+
+
+def test_near_lines_agree_with_a_loop(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000")
+    lines = text.sentences(docs, r"[.;\n]").where("doc_id IS NOT NULL")
+    own = lines.withColumn("id", F.struct("doc_id", "pos"))
+    h = {tuple(r["id"]): r["simhash"] & (2**64 - 1) for r in text.simhash64(own.select("id", F.col("sentence").alias("text")), r"[A-Za-z]{2,}|[一-龥]{2,}", "id").collect()}
+    want, kept = set(), {}
+    for d, p in sorted(h):
+        if all((h[d, p] ^ k).bit_count() > 3 for k in kept.setdefault(d, [])):
+            kept[d].append(h[d, p])
+            want.add((d, p))
+    assert want == {(r["doc_id"], r["pos"]) for r in records.near_lines(lines, "doc_id").collect()}
