@@ -40,7 +40,7 @@ def segments(df: DataFrame, key: str, text: str, marker: str) -> DataFrame:
     """(key, pos, tag, body): the text between markers, each with the marker before it; blank bodies go, the first has tag ''."""
     tags = F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(marker), F.lit(1)))
     rows = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.arrays_zip(F.split(text, marker, -1).alias("body"), tags.alias("tag"))).alias("pos", "x"))
-    return rows.select(key, "pos", "x.tag", F.trim("x.body").alias("body")).where("body <> ''")
+    return rows.select(key, F.col("pos").cast("long").alias("pos"), "x.tag", F.trim("x.body").alias("body")).where("body <> ''")
 
 
 def near_lines(lines: DataFrame, key: str, most: int = 3) -> DataFrame:

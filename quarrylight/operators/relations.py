@@ -53,7 +53,7 @@ def classify_relation(kind: Column, subject_makes: Column, object_makes: Column,
 
 def factual_sentences(df: DataFrame, key: str, text: str, words: list[str], least: int = 10, delimiters: str = r"[。；\n]", also: str | None = None) -> DataFrame:
     """(key, pos, sentence): long enough, with one of the words and, if given, a match of the pattern."""
-    rows = df.select(key, F.posexplode(F.split(text, delimiters, -1)).alias("pos", "sentence")).withColumn("sentence", F.trim("sentence"))
+    rows = df.select(key, F.posexplode(F.split(text, delimiters, -1)).alias("pos", "sentence")).withColumns({"pos": F.col("pos").cast("long"), "sentence": F.trim("sentence")})
     good = (F.length("sentence") >= least) & any_hit(F.col("sentence"), words)
     return rows.where(good & F.col("sentence").rlike(also) if also else good)
 

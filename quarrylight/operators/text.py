@@ -17,7 +17,7 @@ def scrub(text: Column) -> Column:
 def sentences(docs: DataFrame, delimiters: str = r"[。；\n]", id_col: str = "doc_id") -> DataFrame:
     """(id, pos, sentence), trimmed and not empty."""
     rows = docs.select(id_col, F.posexplode(F.split("text", delimiters, -1)).alias("pos", "sentence"))
-    return rows.select(id_col, "pos", F.trim("sentence").alias("sentence")).where("sentence <> ''")
+    return rows.select(id_col, F.col("pos").cast("long").alias("pos"), F.trim("sentence").alias("sentence")).where("sentence <> ''")
 
 
 def noise_lines(lines: DataFrame, nav_words: list[str], least: int = 3) -> DataFrame:
