@@ -3,9 +3,9 @@
 Tokens are words with A-Z lower-cased, then one end token a text. Counts of words and of word pairs over all training texts go
 into a Bloom filter: a count c is quantised to level 1 + floor(log2 c) and every level up to it is inserted, so a count is read
 by probing levels 1, 2, ... until one misses. The filter is partitioned: a key's first bits name its segment, each segment
-is built where its keys were summed, and the segments together have at most MAX_BITS bits, which bounds what is collected
-and broadcast; past some 8 tokens for every 64 bits the filter answers ever more pairs that it never saw, so a larger
-corpus wants a larger MAX_BITS. Probabilities are smoothed: p(w|v) = (c(v,w) + MU p(w)) / (c(v) + MU), with p(w) from the
+is built where its keys were summed, and the bits grow with the tokens, at least four for each. Up to MAX_BITS the filter is
+broadcast. A larger one stays a table of segments: documents are dealt to blocks, a block sends its distinct keys to the
+segments and gets their levels back, so that a task holds some segments or a block. Both ways give the same scores. Probabilities are smoothed: p(w|v) = (c(v,w) + MU p(w)) / (c(v) + MU), with p(w) from the
 probed count of w.
 
 The base score needs exact counts: those of the most frequent words come from a table of at most TABLE_ROWS rows, all
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,10 @@ from quarrylight.llm.words import Words, mix, signed, words
 TABLE_ROWS = 1 << 18
 BLOCK = 4_000_000  # tokens that are counted together in a task
 SEGMENT_BITS = 12
-MAX_BITS = 1 << 29
+MAX_BITS = 1 << 29  # of a filter that is broadcast
+SEGMENT_SIZE = 17  # a power of two; there are more segments where they would be larger
+BUCKETS = 10  # a power of two; as many groups of segments at most that keys are sent to, until a group has as many segments
+BLOCK_CHARS = 8_000_000  # of the texts that ask for their keys together
 MU = 500.0
 END, START = np.uint64(0xE17D), np.uint64(0x57A7)
 _STEP = 0x9E3779B97F4A7C15
@@ -58,14 +62,18 @@ def _single(token: np.ndarray) -> np.ndarray:
     return mix(token ^ np.uint64(0x51A61E))
 
 
-def _counts(docs: DataFrame, pairs: bool) -> DataFrame:
+def _segment_bits(bits: int) -> int:
+    return max(SEGMENT_BITS, bits.bit_length() - 1 - SEGMENT_SIZE)
+
+
+def _counts(docs: DataFrame, pairs: bool, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """Counted blocks of tasks: (h, c) of tokens; or (segment, h, c) of the filter's keys, pairs and tokens."""
 
     def flush(held: list) -> pa.RecordBatch:
         h, c = np.unique(np.concatenate(held), return_counts=True)
         cols = [pa.array(signed(h)), pa.array(c.astype(np.int64))]
         if pairs:
-            return pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - SEGMENT_BITS)).astype(np.int32)), *cols], names=["segment", "h", "c"])
+            return pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - segment_bits)).astype(np.int32)), *cols], names=["segment", "h", "c"])
         return pa.RecordBatch.from_arrays(cols, names=["h", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,13 +98,14 @@ def _places(h: np.ndarray, level: int, mask: np.uint64) -> list[np.ndarray]:
     return [(x & mask).astype(np.int64) for x in (v, v >> np.uint64(20), v >> np.uint64(40), mix(v))]
 
 
-def build_filter(keys: DataFrame, bits: int) -> np.ndarray:
-    """The filter's bytes, from (segment, h, c) of counted blocks."""
-    size = bits >> SEGMENT_BITS
+def segments(keys: DataFrame, bits: int) -> DataFrame:
+    """(segment, bits) of the filter, from (segment, h, c) of counted blocks; segments without keys are left out."""
+    segment_bits = _segment_bits(bits)
+    size = bits >> segment_bits
     mask = np.uint64(size - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, bitmap = np.full(1 << SEGMENT_BITS, -1), np.zeros((0, size), bool)
+        at, bitmap = np.full(1 << segment_bits, -1), np.zeros((0, size), bool)
         for batch in batches:
             segment, h, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             new = np.unique(segment[at[segment] < 0])
@@ -112,18 +121,21 @@ def build_filter(keys: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([np.packbits(bitmap[at[s]], bitorder="little").tobytes() for s in own], pa.binary())], names=["segment", "bits"])
 
     summed = keys.repartition("segment").groupBy("segment", "h").agg(F.sum("c").alias("c"))
-    got = summed.mapInArrow(run, "segment int, bits binary").toArrow()
+    return summed.mapInArrow(run, "segment int, bits binary")
+
+
+def build_filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """The filter's bytes."""
+    size, got = bits >> _segment_bits(bits), segments(keys, bits).toArrow()
     out = np.zeros(bits >> 3, np.uint8)
     for segment, part in zip(got.column("segment").to_pylist(), got.column("bits").to_pylist(), strict=True):
         out[segment * (size >> 3) : (segment + 1) * (size >> 3)] = np.frombuffer(part, np.uint8)
     return out
 
 
-def probe(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Counts as the filter has them: the middle of the last level that is there, 0 if there is none."""
-    size = (len(bitmap) * 8) >> SEGMENT_BITS
-    mask, base = np.uint64(size - 1), (h >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64) * size
-    level, live = np.zeros(len(h), np.int64), np.arange(len(h))
+def _levels(bitmap: np.ndarray, base: np.ndarray, size: int, h: np.ndarray) -> np.ndarray:
+    """The last level of each key that is there; base: where its segment of size bits begins."""
+    level, live, mask = np.zeros(len(h), np.int64), np.arange(len(h)), np.uint64(size - 1)
     k = 0
     while len(live) and k < 62:
         k += 1
@@ -133,26 +145,44 @@ def probe(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
             ok &= ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
         live = live[ok]
         level[live] = k
+    return level
+
+
+def _middle(level: np.ndarray) -> np.ndarray:
     low = 2.0 ** np.maximum(0, level - 1)
     return np.where(level == 0, 0.0, np.sqrt(low * np.maximum(1, 2 * low - 1)))
 
 
+def probe(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Counts as the filter has them: the middle of the last level that is there, 0 if there is none."""
+    bits = len(bitmap) * 8
+    size = bits >> _segment_bits(bits)
+    base = (h >> np.uint64(64 - _segment_bits(bits))).astype(np.int64) * size
+    return _middle(_levels(bitmap, base, size, h))
+
+
 class Model:
-    """What scoring needs: the filter, totals, and exact counts of the most frequent tokens."""
+    """What scoring needs: the filter (its bytes, or none if it is a table), totals, and exact counts of the most frequent tokens."""
 
-    def __init__(self, bitmap: np.ndarray, tokens: int, types: int, texts: int, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, bitmap: np.ndarray | None, tokens: int, types: int, texts: int, keys: np.ndarray, counts: np.ndarray, bits: int = 0, table: DataFrame | None = None):
+        self.bits, self.table = bits, table
         self.bitmap, self.tokens, self.types, self.texts, self.keys, self.counts = bitmap, tokens, types, texts, keys, counts
 
-    def log_probabilities(self, token: np.ndarray, before: np.ndarray) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}  # of no use in a task
+
+    def log_probabilities(self, token: np.ndarray, before: np.ndarray, asked: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """asked: sorted keys and their levels, where the filter is a table."""
+        count_of = (lambda h: probe(self.bitmap, h)) if asked is None else (lambda h: _middle(asked[1][np.searchsorted(asked[0], h)]))
         own, back = np.unique(token, return_inverse=True)
-        count = probe(self.bitmap, _single(own))
+        count = count_of(_single(own))
         p = (count + 1) / (self.tokens + self.types + 1)
         known = np.concatenate([own, [START]])
         order = np.argsort(known)
         at = order[np.minimum(np.searchsorted(known, before, sorter=order), len(known) - 1)]  # what stands before is a token of the text or its start
         c_before = np.concatenate([count, [float(self.texts)]])[at]
         pairs, pair_back = np.unique(_pair(before, token), return_inverse=True)
-        c_pair = np.minimum(probe(self.bitmap, pairs)[pair_back], c_before)
+        c_pair = np.minimum(count_of(pairs)[pair_back], c_before)
         return np.log10(np.minimum(1.0, (c_pair + MU * p[back]) / (c_before + MU)))
 
 
@@ -172,8 +202,105 @@ def train(docs: DataFrame, max_bits: int = MAX_BITS) -> tuple[Model, DataFrame]:
     order = np.argsort(keys)
     end = dict(zip(keys.tolist(), c.tolist(), strict=True)).get(int(END))
     texts = end if end is not None else docs.count()
-    bits = min(max_bits, max(1 << 22, 1 << (4 * max(1, tokens) - 1).bit_length()))
-    return Model(build_filter(_counts(docs, True), bits), tokens, types, texts, keys[order], c[order]), counts
+    bits = max(1 << 22, 1 << (4 * max(1, tokens) - 1).bit_length())
+    own = _counts(docs, True, _segment_bits(bits))
+    bitmap, table = (build_filter(own, bits), None) if bits <= max_bits else (None, save(segments(own, bits)))
+    return Model(bitmap, tokens, types, texts, keys[order], c[order], bits, table), counts
+
+
+def _scored(m: Model, w: Words, serial: pa.Array, ids: pa.Array, asked: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
+    token, before, off = _tokens(w)
+    rows = len(off) - 1
+    row = np.repeat(np.arange(rows), np.diff(off))
+    at = np.minimum(np.searchsorted(m.keys, token), max(0, len(m.keys) - 1))
+    hit = m.keys[at] == token if len(m.keys) else np.zeros(len(token), bool)
+    exact = np.where(hit, m.counts[at], 0) if len(m.keys) else np.zeros(len(token))
+    base = np.bincount(row, np.log10(exact + 1.0), rows)
+    known = np.bincount(row[hit], minlength=rows)
+    total = np.bincount(row, m.log_probabilities(token, before, asked), rows)
+    rest = np.flatnonzero(~hit)  # in row order
+    rest = rest[np.lexsort((token[rest], row[rest]))]
+    new = np.ones(len(rest), bool)
+    new[1:] = (token[rest[1:]] != token[rest[:-1]]) | (row[rest[1:]] != row[rest[:-1]])
+    first = np.flatnonzero(new)
+    often = np.diff(np.append(first, len(rest)))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row[rest[first]], minlength=rows))]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(signed(token[rest[first]]), pa.int64()), pa.array(often, pa.int64())], names=["h", "n"])
+    arrays = [serial, ids, pa.array(np.diff(off)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total), pa.ListArray.from_arrays(pa.array(ends), pairs)]
+    return pa.RecordBatch.from_arrays(arrays, names=["row", "id", "n_tokens", "known", "base", "score", "rest"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each value of the first column, by which they are in order."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                if held and held[0].column(0)[0].as_py() != int(key[a]):
+                    yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+
+
+def _asked(plain: DataFrame, model: Model, shared, schema: str) -> DataFrame:
+    """Scores where the filter is a table: blocks of documents send their distinct keys to the segments, which send levels back."""
+    segment_bits = _segment_bits(model.bits)
+    size, shift = model.bits >> segment_bits, min(segment_bits, max(BUCKETS, segment_bits - BUCKETS))
+    rows = save(plain.withColumn("row", F.monotonically_increasing_id()))
+    blocks = 1 + (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+
+    def keys_of(texts: pa.ChunkedArray) -> np.ndarray:
+        held = []
+        for w in words(texts):
+            token, before, _ = _tokens(w)
+            held.append(np.unique(np.concatenate([_pair(before, token), _single(token)])))
+        return np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, got in _groups(batches):
+            h = keys_of(got.column("text"))
+            bucket, first = np.unique(h >> np.uint64(64 - shift), return_index=True)
+            parts = [h[a:b].tobytes() for a, b in zip(first, [*first[1:], len(h)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(np.full(len(bucket), block)), pa.array(np.full(len(bucket), -1, np.int32)), pa.array(parts, pa.binary())], names=["bucket", "block", "segment", "bits"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, bitmap = None, np.zeros(0, np.uint8)
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for bucket, block, segment, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != here:
+                    here, bitmap = bucket, np.zeros((size >> 3) << (segment_bits - shift), np.uint8)
+                if segment >= 0:  # segments stand before keys
+                    a = (segment - (bucket << (segment_bits - shift))) * (size >> 3)
+                    bitmap[a : a + (size >> 3)] = np.frombuffer(bits, np.uint8)
+                    continue
+                h = np.frombuffer(bits, np.uint64)
+                base = ((h >> np.uint64(64 - segment_bits)).astype(np.int64) - (bucket << (segment_bits - shift))) * size
+                for held, x in zip(out, (block, bucket, _levels(bitmap, base, size, h).astype(np.uint8).tobytes()), strict=True):
+                    held.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["block", "bucket", "levels"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, got in _groups(batches):
+            levels = np.frombuffer(b"".join(x for x in got.column("levels").to_pylist() if x is not None), np.uint8)  # in the order of the keys
+            own = got.filter(pc.is_valid(got.column("row"))).combine_chunks()
+            texts, ids, serial = (pa.concat_arrays(own.column(c).chunks) for c in ("text", "id", "row"))
+            asked = keys_of(texts), levels.astype(np.int64)
+            for w in words(texts):
+                n = w.last - w.first
+                yield _scored(shared.value, w, serial.slice(w.first, n), ids.slice(w.first, n), asked)
+
+    dealt = rows.select("block", "text").repartition("block").sortWithinPartitions("block")
+    keys = dealt.mapInArrow(ask, "bucket long, block long, segment int, bits binary")
+    table = model.table.select(F.shiftright(F.col("segment"), segment_bits - shift).cast("long").alias("bucket"), F.lit(-1).cast("long").alias("block"), "segment", "bits")
+    levels = keys.unionByName(table).repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(answer, "block long, bucket long, levels binary")
+    both = levels.unionByName(rows.select("block", "row", "id", "text"), allowMissingColumns=True)
+    return both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(finish, schema)
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,32 +308,16 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, serial = shared.value, TaskContext.get().partitionId() << 40
+        serial = TaskContext.get().partitionId() << 40
         for batch in batches:
             for w in words(batch.column(1)):
-                token, before, off = _tokens(w)
-                rows = len(off) - 1
-                row = np.repeat(np.arange(rows), np.diff(off))
-                at = np.minimum(np.searchsorted(m.keys, token), max(0, len(m.keys) - 1))
-                hit = m.keys[at] == token if len(m.keys) else np.zeros(len(token), bool)
-                exact = np.where(hit, m.counts[at], 0) if len(m.keys) else np.zeros(len(token))
-                base = np.bincount(row, np.log10(exact + 1.0), rows)
-                known = np.bincount(row[hit], minlength=rows)
-                total = np.bincount(row, m.log_probabilities(token, before), rows)
-                rest = np.flatnonzero(~hit)  # in row order
-                rest = rest[np.lexsort((token[rest], row[rest]))]
-                new = np.ones(len(rest), bool)
-                new[1:] = (token[rest[1:]] != token[rest[:-1]]) | (row[rest[1:]] != row[rest[:-1]])
-                first = np.flatnonzero(new)
-                often = np.diff(np.append(first, len(rest)))
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row[rest[first]], minlength=rows))]).astype(np.int32)
-                pairs = pa.StructArray.from_arrays([pa.array(signed(token[rest[first]]), pa.int64()), pa.array(often, pa.int64())], names=["h", "n"])
-                arrays = [pa.array(serial + np.arange(rows)), batch.column(0).slice(w.first, rows), pa.array(np.diff(off)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total), pa.ListArray.from_arrays(pa.array(ends), pairs)]
+                rows = w.last - w.first
+                yield _scored(shared.value, w, pa.array(serial + np.arange(rows)), batch.column(0).slice(w.first, rows), None)
                 serial += rows
-                yield pa.RecordBatch.from_arrays(arrays, names=["row", "id", "n_tokens", "known", "base", "score", "rest"])
 
     schema = "row long, id long, n_tokens long, known long, base double, score double, rest array<struct<h:long,n:long>>"
-    scored = save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    scored = save(plain.mapInArrow(run, schema) if model.table is None else _asked(plain, model, shared, schema))
     rare = scored.select("row", F.explode("rest").alias("x")).select("row", "x.h", "x.n").join(counts.hint("merge"), "h")
     rare = rare.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("plus"))
     log_all = F.log10(F.lit(float(model.tokens + model.types + 1)))
