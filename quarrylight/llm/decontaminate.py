@@ -1,14 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are cut into passages of up to PASSAGE words, documents into windows of WINDOW words that start every
-STRIDE words, so each run of PASSAGE words lies whole in some window. Both become TF-IDF vectors over hashed words, with
+STRIDE words, so each run of PASSAGE words lies whole in some window; short passages meet windows of their own size
+(TIERS). Both become TF-IDF vectors over hashed words, with
 document frequencies over all documents. A distributed randomised SVD of the benchmark's passages gives a latent space; a
 window is projected into it and meets the passages by cosine. Candidates are then read as word sequences: the longest
 common subsequence with the whole item must cover enough of it, and so must the answer, the item's rarest words (or
 its own answer text, if given).
 
-Windows that hold too little of the benchmark's TF-IDF mass can't reach the cosine and mass asked for and aren't projected;
-this bound drops no candidate. The benchmark is the stated query set; it is worked in blocks of BLOCK_ITEMS items, which bounds
+A window's mass is the sum of tf * idf^2 over its benchmark words, a passage's the same sum over its own. Windows of less
+than MASS of a passage's aren't its candidates; one that holds the passage whole has all of it, however words repeat. The benchmark is the stated query set; it is worked in blocks of BLOCK_ITEMS items, which bounds
 what is broadcast: SLOTS x RANK floats and the items' words.
 
 Words are compared without case and punctuation.
@@ -35,9 +36,10 @@ from quarrylight.llm.words import words
 SLOTS = 1 << 15
 RANK = 64
 PASSAGE, WINDOW, STRIDE = 32, 48, 16
+TIERS = ((8, 12, 4), (16, 24, 8), (PASSAGE, WINDOW, STRIDE))  # words of a passage at most; its windows and their stride
 BLOCK_ITEMS = 4096
 COSINE = 0.4  # of a window's latent vector and a passage's
-MASS = 0.5  # of a passage's TF-IDF energy that a window has to hold at least
+MASS = 0.5  # of a passage's mass that a window has to hold at least
 SEQUENCE = 0.6  # of an item's words in the longest common subsequence
 ANSWER = 0.6  # of the answer's words
 LEAKS = "array<struct<item_id:long,cosine:double,lcs:double>>"
@@ -67,11 +69,11 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 
 
 def _passages(items: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(item_id, part, slots, weights): TF-IDF of every passage, of length 1; the last one ends where its item does."""
+    """(item_id, part, slots, weights, mass, n): TF-IDF of every passage, of length 1, its mass and words; the last one ends where its item does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for w in words(batch.column(1), plain=True):
                 for r in range(w.last - w.first):
                     own = _slot(w.hash[w.bounds[r] : w.bounds[r + 1]])
@@ -79,11 +81,11 @@ def _passages(items: DataFrame, idf: np.ndarray) -> DataFrame:
                     for k, a in enumerate(starts):
                         at, tf = np.unique(own[a : a + PASSAGE], return_counts=True)
                         v = tf * idf[at]
-                        for held, x in zip(out, (batch.column(0)[w.first + r].as_py(), k, at, v / max(1e-9, np.linalg.norm(v)), float(v @ v)), strict=True):
+                        for held, x in zip(out, (batch.column(0)[w.first + r].as_py(), k, at, v / max(1e-9, np.linalg.norm(v)), float(v @ idf[at]), int(tf.sum())), strict=True):
                             held.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.float64())), pa.array(out[4], pa.float64())], names=["item_id", "part", "slots", "weights", "energy"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.float64())), pa.array(out[4], pa.float64()), pa.array(out[5], pa.int64())], names=["item_id", "part", "slots", "weights", "mass", "n"])
 
-    return items.mapInArrow(run, "item_id long, part long, slots array<long>, weights array<double>, energy double")
+    return items.mapInArrow(run, "item_id long, part long, slots array<long>, weights array<double>, mass double, n long")
 
 
 def randomised_svd(vectors: DataFrame, rank: int, rounds: int = 2, seed: int = 7) -> np.ndarray:
@@ -144,24 +146,30 @@ class Benchmark:
                 key = np.unique(own.hash)
                 key = key[np.argsort(-idf[_slot(key)], kind="stable")][: max(1, len(key) // 3)]
             self.answers.append(set(key.tolist()))
-            self.mass[(own.hash >> np.uint64(44)).astype(np.int64)] = idf[_slot(own.hash)] ** 2
+            np.maximum.at(self.mass, (own.hash >> np.uint64(44)).astype(np.int64), idf[_slot(own.hash)] ** 2)
         self.ids = [x[0] for x in rows]
         place = {}
         for k, x in enumerate(self.ids):
             place.setdefault(x, []).append(k)
         use = np.zeros(SLOTS, bool)
-        owner, vectors, energy = [], [], []
-        for item, slots, weights, e in passages:
+        owner, vectors, least, size = [], [], [], []
+        for item, slots, weights, m, n in passages:
             use[slots] = True
             for k in place[item]:
                 owner.append(k)
                 vectors.append(np.array(weights, np.float32) @ space[slots])
-                energy.append(e)
-        self.owner, self.energy = np.array(owner, np.int64), np.array(energy)
+                least.append(MASS * m)
+                size.append(n)
+        self.owner, self.least, size = np.array(owner, np.int64), np.array(least), np.array(size)
         self.vectors = np.array(vectors, np.float32).reshape(len(owner), space.shape[1])
         self.vectors /= np.maximum(1e-9, np.linalg.norm(self.vectors, axis=1, keepdims=True))
         self.space = np.where(use[:, None], space, 0).astype(np.float32) * idf[:, None].astype(np.float32)
-        self.least = MASS * (self.energy.min() if len(owner) else np.inf)
+        self.tiers, low = [], 0
+        for most, window, stride in TIERS:
+            at = np.flatnonzero((size > low) & (size <= most))
+            low = most
+            if len(at):
+                self.tiers.append((at, window, stride))
 
     def matches(self, h: np.ndarray, bounds: np.ndarray) -> dict[int, dict[int, tuple[float, float]]]:
         """By row, by item: the best (cosine, share of the item in the common subsequence)."""
@@ -169,23 +177,29 @@ class Benchmark:
         if not len(h) or not len(self.owner):
             return found
         mass = np.concatenate([[0.0], np.cumsum(self.mass[(h >> np.uint64(44)).astype(np.int64)], dtype=np.float64)])
+        for at, window, stride in self.tiers:
+            self._meet(found, h, bounds, mass, at, window, stride)
+        return {r: good for r, x in found.items() if (good := {i: v for i, v in x.items() if v[1] >= SEQUENCE})}
+
+    def _meet(self, found: dict, h: np.ndarray, bounds: np.ndarray, mass: np.ndarray, own: np.ndarray, window: int, stride: int) -> None:
+        """Adds what passages own find in windows of one size."""
         count = np.diff(bounds)
-        per = np.where(count > 0, -(-np.maximum(0, count - WINDOW) // STRIDE) + 1, 0)
+        per = np.where(count > 0, -(-np.maximum(0, count - window) // stride) + 1, 0)
         row = np.repeat(np.arange(len(count)), per)
-        start = bounds[row] + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * STRIDE
-        end = np.minimum(start + WINDOW, bounds[row + 1])
-        keep = mass[end] - mass[start] >= self.least
+        start = bounds[row] + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * stride
+        end = np.minimum(start + window, bounds[row + 1])
+        keep = mass[end] - mass[start] >= self.least[own].min() * (1 - 1e-6)
         row, start, end = row[keep], start[keep], end[keep]
         slots = _slot(h)
         for k in range(0, len(row), 512):
             a, b = start[k : k + 512], end[k : k + 512]
-            at = np.minimum(a[:, None] + np.arange(WINDOW), len(h) - 1)
-            v = np.einsum("nwr,nw->nr", self.space[slots[at]], (np.arange(WINDOW) < (b - a)[:, None]).astype(np.float32))
+            at = np.minimum(a[:, None] + np.arange(window), len(h) - 1)
+            v = np.einsum("nwr,nw->nr", self.space[slots[at]], (np.arange(window) < (b - a)[:, None]).astype(np.float32))
             v /= np.maximum(1e-9, np.linalg.norm(v, axis=1, keepdims=True))
-            cosine = v @ self.vectors.T
-            enough = (mass[b] - mass[a])[:, None] >= MASS * self.energy
+            cosine = v @ self.vectors[own].T
+            enough = (mass[b] - mass[a])[:, None] >= self.least[own] * (1 - 1e-6)
             for i, j in zip(*np.nonzero((cosine >= COSINE) & enough), strict=True):
-                r, item = int(row[k + i]), int(self.owner[j])
+                r, item = int(row[k + i]), int(self.owner[own[j]])
                 old = found.setdefault(r, {}).get(item, (0.0, 0.0))
                 if old[1] >= 1:
                     continue
@@ -195,7 +209,6 @@ class Benchmark:
                 part = _lcs(self.words[item], text) / size if len(self.answers[item] & held) >= ANSWER * len(self.answers[item]) else 0.0
                 if part > old[1]:
                     found[r][item] = (float(cosine[i, j]), part)
-        return {r: good for r, x in found.items() if (good := {i: v for i, v in x.items() if v[1] >= SEQUENCE})}
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, carry: list[str] | None = None) -> DataFrame:
@@ -211,7 +224,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         passages = _passages(block.select("item_id", "text"), idf).cache()
         space = randomised_svd(passages, RANK)
         rows = [(r["item_id"], r["text"], r["answer"]) for r in block.orderBy("item_id", "text").collect()]
-        parts = [(r["item_id"], r["slots"], r["weights"], r["energy"]) for r in passages.orderBy("item_id", "part").collect()]
+        parts = [(r["item_id"], r["slots"], r["weights"], r["mass"], r["n"]) for r in passages.orderBy("item_id", "part").collect()]
         counts = Counter(r[0] for r in rows)
         if any(c > 1 for c in counts.values()):  # an id with several texts: each text is an item of its own
             rows = list(dict.fromkeys(rows))

@@ -193,6 +193,19 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(odd, empty(bench)).where("size(leaks) > 0").count() == 0
 
 
+def test_leaks_of_repetitive_and_short_items(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    texts = [r["text"] for r in docs.where("lang = 'en'").orderBy("doc_id").limit(60).collect()]
+    rare = lambda k: [f"{a}{k}" for a in ("zorb", "quill", "frax", "mund", "tesk", "vilo")]
+    items = [(1000 + k, " ".join([*rare(k)[:3] * 5, *texts[0].split()[:3]] if k % 2 else rare(k)[: 4 + k % 3])) for k in range(40)]
+    items += [(2000 + k, " ".join(t.split()[7 : 7 + 15 + k])) for k, t in enumerate(texts[20:50]) if len(t.split()) > 60]
+    planted = [(10_000 + i, " ".join([*texts[i % 20].split()[:50], t, *texts[i % 20].split()[50:]])) for i, t in items]
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    both = bench.select("item_id", "text").unionByName(spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], x["item_id"]) for r in decontaminate.find_leaks(more, both, carry=["doc_id"]).where("doc_id >= 10000").collect() for x in r["leaks"]}
+    assert len(items) > 50 and {(10_000 + i, i) for i, _ in items} <= got
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     x = np.round(rng.standard_normal((400, 20)), 1)
