@@ -170,6 +170,17 @@ def test_entropy_windows_equal_brute_force():
     assert got == hit
 
 
+def test_secrets_of_all_alphabets():
+    rng, scanner = random.Random(6), secret_scan.Scanner(secret_scan.CLASSES, secret_scan.ALLOW)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for alphabet in (lower + digits, upper + "234567", upper + digits, lower + upper + digits, lower + upper + digits + "+/", "0123456789ABCDEF"):
+        for size in (16, 20, 24, 32):
+            texts = ["key " + "".join(rng.choice(alphabet) for _ in range(size)) + " end" for _ in range(400)]
+            assert sum(bool(scanner.spans(t)) for t in texts) >= 0.93 * len(texts), (alphabet, size)
+    for clean in ("internationalization2024", "getElementByIdentifierName", "some_long_snake_case_name_12", "2024/05/some-article-about-things", "ELECTROENCEPHALOGRAPH"):
+        assert not scanner.spans(clean), clean
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(~language_id.held_out()))
