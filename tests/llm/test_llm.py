@@ -253,6 +253,15 @@ def test_html(spark):
     assert html_extract.extract(empty(df)).count() == 0
 
 
+def test_boilerplate_of_a_large_host_and_copies(spark):
+    line = "read also on our site this week please and more"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(i, "http://h.org/a", f"<p>{own(i)}</p>" + (f"<div>{line}</div>" if i % 100 == 0 else "")) for i in range(600)]
+    rows += [(1000 + i, "http://c.org/a", f"<p>{own(7)}</p>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: own(i) for i in range(600)}, **{1000 + i: own(7) for i in range(5)}}
+
+
 def test_repeated_runs_equal_brute_force():
     rng = random.Random(4)
     stream, page = [], []
