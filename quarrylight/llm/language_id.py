@@ -2,7 +2,8 @@
 
 Each language has byte trigram likelihoods, from counts over all training texts. For a document, expectation-maximisation
 finds the proportions of the languages that explain its trigrams best; languages are then taken in by falling proportion
-while the log-likelihood gains more than the penalty of one more language.
+while the log-likelihood gains more than the penalty of one more language. One with a share under 1 % after ROUNDS rounds isn't
+asked for, so up to that much of a text can be of a language that isn't listed.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; null ids and repeated rows are kept as
 they are; where two languages explain a text alike, the one that sorts first wins; with no training row, every text is
