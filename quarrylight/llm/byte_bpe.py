@@ -13,7 +13,7 @@ name, do no harm.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +21,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.llm.frames import released
 from quarrylight.llm.words import row_slices
 
 BATCH_LEAVES = 64
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 _NONE = np.int32(1 << 30)
 
 
 class BPE:
-    """Ranks, with a hash table from two adjacent token ids to the id of their merge."""
+    """Ranks, with a hash table from two adjacent token ids to the id of their merge. Made on the driver and broadcast; its size is fixed."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, pattern
@@ -176,25 +177,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-_LOADED: dict[int, tuple] = {}
-
-
-def _state(shared) -> tuple:
-    """The tables of this Python worker, made once; pieces that were met before keep their ids."""
-    key = shared.value[2]
-    if key not in _LOADED:
-        _LOADED.clear()
-        ranks, pattern, _ = shared.value
-        _LOADED[key] = (BPE(ranks, pattern), regex.compile(pattern), {})
-    return _LOADED[key]
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every text; each match of the pattern is encoded separately, without special tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, hash((pattern, len(ranks), tuple(sorted(ranks.items())[:64])))))
+def _encoder(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (id, text) to batches of (id, ids); a task remembers the ids of pieces that it has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, find, cache = _state(shared)
+        bpe, cache = shared.value, {}
+        find = regex.compile(bpe.pattern)
         for batch in batches:
             texts = batch.column(1).fill_null("") if batch.column(1).null_count else batch.column(1)
             sizes = np.concatenate([[0], np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))])
@@ -210,22 +198,45 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(off), values)], names=["id", "ids"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return run
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, ids, decoded binary): the bytes of every id, in order."""
-    shared = encoded.sparkSession.sparkContext.broadcast({i: t for t, i in ranks.items()})
+def _decoder(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (id, ids) to batches of (id, ids, decoded)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
+        token = shared.value.token.__getitem__
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 out = [b"".join(map(token, x or ())) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=["id", "ids", "decoded"])
 
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    return run
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def encode(docs: DataFrame, bpe: BPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>) of every text; each match of the pattern is encoded separately, without special tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast(bpe)
+    return _texts(docs, id_col, text_col).mapInArrow(released(_encoder(shared)), "id long, ids array<int>").withColumnRenamed("id", id_col)
+
+
+def decode(encoded: DataFrame, bpe: BPE, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(id, ids, decoded binary): the bytes of every id, in order."""
+    shared = encoded.sparkSession.sparkContext.broadcast(bpe)
+    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    return rows.mapInArrow(released(_decoder(shared)), "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+
+
+def encode_and_decode(docs: DataFrame, bpe: BPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``decode`` returns of what ``encode`` does, in one pass, so that ids cross to Python workers once."""
+    shared = docs.sparkSession.sparkContext.broadcast(bpe)
+    there, back = _encoder(shared), _decoder(shared)
+    return _texts(docs, id_col, text_col).mapInArrow(released(lambda batches: back(there(batches))), "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -10,7 +10,8 @@ An example holds all turns before it, so the examples of a conversation of n tur
 by row from one row that holds the conversation once.
 
 Defined results: a null text or role is empty; turns are ordered by turn (nulls first), then role, then text, so ties
-and repeated rows, which all count as turns, have one order; rows with a null conversation id form one conversation; an empty table gives no examples. Only the four columns are read.
+and repeated rows, which all count as turns, have one order; a row without a conversation id is a conversation of its own, told
+apart by ``conv``; an empty table gives no examples. Only the four columns are read.
 """
 
 from __future__ import annotations
@@ -31,27 +32,31 @@ def unescape(text: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained_role: str = "assistant") -> DataFrame:
-    """(id, example, last, context, target, loss_start, loss_end), one row an example; target is null without a reply."""
+    """(id, conv, example, last, context, target, loss_start, loss_end), one row an example; target is null without a reply.
+
+    conv is null but for conversations without id, which have different ones.
+    """
     role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     row = F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
-    convs = turns.select(F.col(id_col).alias("id"), row.alias("row")).groupBy("id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    own = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    convs = turns.select(F.col(id_col).alias("id"), own.alias("conv"), row.alias("row")).groupBy("id", "conv").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     head = lambda x: F.concat(F.lit("<s>"), F.url_encode(x["role"]), F.lit("\n"))
     convs = convs.select(
-        "id",
+        "id", "conv",
         F.transform("rows", lambda x: F.concat(head(x), escape(x["text"]), F.lit("</s>"))).alias("written"),
         F.filter(F.transform("rows", lambda x, i: F.when(x["role"] == trained_role, i + 1).otherwise(0)), lambda x: x > 0).alias("replies"),
         F.lit(f"<s>{trained_role}\n").alias("head"),
     )
     size = F.size("written")
     ends = F.when(F.coalesce(F.try_element_at("replies", F.lit(-1)), F.lit(0)) == size, F.col("replies")).otherwise(F.concat("replies", F.array(size + 1)))
-    examples = convs.select("id", "written", "head", size.alias("n"), F.posexplode(ends).alias("example", "at"))
+    examples = convs.select("id", "conv", "written", "head", size.alias("n"), F.posexplode(ends).alias("example", "at"))
     context = F.array_join(F.slice("written", F.lit(1), F.col("at") - 1), "")
     target = F.when(F.col("at") <= F.col("n"), F.get("written", F.col("at") - 1))
-    out = examples.select(F.col("id").alias(id_col), "example", (F.col("at") >= F.col("n")).alias("last"), context.alias("context"), target.alias("target"), F.length("head").alias("head"))
+    out = examples.select(F.col("id").alias(id_col), "conv", "example", (F.col("at") >= F.col("n")).alias("last"), context.alias("context"), target.alias("target"), F.length("head").alias("head"))
     start = F.when(F.col("target").isNotNull(), F.length("context") + F.col("head"))
     end = F.length("context") + F.length("target") - F.length(F.lit("</s>"))
-    return out.select(id_col, "example", "last", "context", "target", start.cast("long").alias("loss_start"), end.cast("long").alias("loss_end"))
+    return out.select(id_col, "conv", "example", "last", "context", "target", start.cast("long").alias("loss_start"), end.cast("long").alias("loss_end"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -68,8 +73,8 @@ def digests(examples: DataFrame, id_col: str = "conv_id") -> DataFrame:
     turns = F.when(F.col("last"), read_turns(whole))
     lines = F.array_join(F.transform(turns, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     loss = unescape(F.expr("substring(concat(context, target), int(loss_start) + 1, int(loss_end - loss_start))"))
-    rows = examples.select(id_col, "example", F.length(whole).cast("long").alias("chars"), F.size(turns).cast("long").alias("n_turns"), F.when(F.col("last"), F.sha2(lines.cast("binary"), 256)).alias("turns_sha256"), F.coalesce(loss, F.lit("")).alias("loss"), "last")
-    by = rows.groupBy(id_col).agg(
+    rows = examples.select(id_col, "conv", "example", F.length(whole).cast("long").alias("chars"), F.size(turns).cast("long").alias("n_turns"), F.when(F.col("last"), F.sha2(lines.cast("binary"), 256)).alias("turns_sha256"), F.coalesce(loss, F.lit("")).alias("loss"), "last")
+    by = rows.groupBy(id_col, "conv").agg(
         F.max(F.when(F.col("last"), F.col("n_turns"))).alias("n_turns"), F.max("turns_sha256").alias("turns_sha256"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "").alias("loss"), F.sum("chars").alias("formatted_chars"),
     )

@@ -9,8 +9,10 @@ common subsequence with the whole item must cover enough of it, and so must the
 its own answer text, if given).
 
 A window's mass is the sum of tf * idf^2 over its benchmark words, a passage's the same sum over its own. Windows of less
-than MASS of a passage's aren't its candidates; one that holds the passage whole has all of it, however words repeat. The benchmark is the stated query set; it is worked in blocks of BLOCK_ITEMS items, which bounds
-what is broadcast: SLOTS x RANK floats and the items' words.
+than MASS of a passage's aren't its candidates; one that holds the passage whole has all of it, however words repeat.
+
+The benchmark is the stated query set. It is worked in blocks of about BLOCK_ITEMS items, one after the other, with one pass
+over the documents for each. That bounds what the driver and a task hold: SLOTS x RANK floats and the words of a block's items.
 
 Words are compared without case and punctuation.
 
@@ -22,7 +24,6 @@ flags nothing.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.frames import extend, inputs_of
+from quarrylight.llm.components import save
+from quarrylight.llm.frames import extend, inputs_of, released
 from quarrylight.llm.words import words
 
 SLOTS = 1 << 15
@@ -61,7 +63,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], rows))], names=["slot", "n"])
 
-    got = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select(F.col(text_col).cast("string")).mapInArrow(released(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     slot, n = got.column("slot").to_numpy(), got.column("n").to_numpy()
     out = np.zeros(SLOTS, np.int64)
     out[slot[slot >= 0]] = n[slot >= 0]
@@ -85,7 +87,7 @@ def _passages(items: DataFrame, idf: np.ndarray) -> DataFrame:
                             held.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.float64())), pa.array(out[4], pa.float64()), pa.array(out[5], pa.int64())], names=["item_id", "part", "slots", "weights", "mass", "n"])
 
-    return items.mapInArrow(run, "item_id long, part long, slots array<long>, weights array<double>, mass double, n long")
+    return items.mapInArrow(released(run), "item_id long, part long, slots array<long>, weights array<double>, mass double, n long")
 
 
 def randomised_svd(vectors: DataFrame, rank: int, rounds: int = 2, seed: int = 7) -> np.ndarray:
@@ -110,7 +112,7 @@ def randomised_svd(vectors: DataFrame, rank: int, rounds: int = 2, seed: int = 7
             yield pa.RecordBatch.from_arrays([pa.array(list(part), pa.int64()), rows], names=["slot", "row"])
 
         sums = [F.sum(F.col("row")[k]).alias(f"x{k}") for k in range(rank)]
-        got = vectors.select("slots", "weights").mapInArrow(run, "slot long, row array<double>").groupBy("slot").agg(*sums).toArrow()
+        got = vectors.select("slots", "weights").mapInArrow(released(run), "slot long, row array<double>").groupBy("slot").agg(*sums).toArrow()
         block = np.zeros((SLOTS, rank))
         block[got.column("slot").to_numpy()] = np.column_stack([got.column(f"x{k}").to_numpy() for k in range(rank)]) if got.num_rows else 0
         shared.unpersist()
@@ -216,30 +218,47 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     df, total = document_frequencies(docs, text_col)
     idf = np.log((total + 1) / (df + 1)) + 1e-3
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"), (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")).alias("answer"))
-    items = items.where("item_id IS NOT NULL AND trim(text) <> ''")
+    items = items.where("item_id IS NOT NULL AND trim(text) <> ''").distinct()
     blocks = max(1, math.ceil(items.count() / BLOCK_ITEMS))
-    shared = []
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        passages = _passages(block.select("item_id", "text"), idf).cache()
-        space = randomised_svd(passages, RANK)
-        rows = [(r["item_id"], r["text"], r["answer"]) for r in block.orderBy("item_id", "text").collect()]
-        parts = [(r["item_id"], r["slots"], r["weights"], r["mass"], r["n"]) for r in passages.orderBy("item_id", "part").collect()]
-        counts = Counter(r[0] for r in rows)
-        if any(c > 1 for c in counts.values()):  # an id with several texts: each text is an item of its own
-            rows = list(dict.fromkeys(rows))
-        shared.append(docs.sparkSession.sparkContext.broadcast((rows, parts, idf, space)))
-        passages.unpersist()
+    if blocks == 1:
+        return _marked(docs, text_col, _block(items, idf), carry)
+    held = [c for c in docs.columns if c.lower() != "leaks" and (carry is None or c in carry)]
+    rows = save(docs.select(F.struct(*held).alias("row"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("n")))
+    found = None
+    for k in range(blocks):  # one after the other: a block's matches are saved, and it is let go, before the next one is fetched
+        shared = _block(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), idf)
+        part = save(_marked(rows, "text", shared, ["n"]).where(F.size("leaks") > 0))
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    best = found.select("n", F.explode("leaks").alias("x")).groupBy("n", "x.item_id").agg(F.max_by("x", F.struct("x.lcs", "x.cosine")).alias("x"))
+    leaks = best.groupBy("n").agg(F.sort_array(F.collect_list("x")).alias("leaks"))
+    return rows.join(leaks.hint("merge"), "n", "left").select("row.*", F.coalesce("leaks", F.array().cast(LEAKS)).alias("leaks"))
+
+
+def _block(items: DataFrame, idf: np.ndarray):
+    """A broadcast of what is needed to match the items: words, passages and their latent space."""
+    passages = _passages(items.select("item_id", "text"), idf).cache()
+    space = randomised_svd(passages, RANK)
+    rows = [(r["item_id"], r["text"], r["answer"]) for r in items.orderBy("item_id", "text", "answer").collect()]
+    parts = [(r["item_id"], r["slots"], r["weights"], r["mass"], r["n"]) for r in passages.orderBy("item_id", "part").collect()]
+    passages.unpersist()
+    return items.sparkSession.sparkContext.broadcast((rows, parts, idf, space))
+
+
+def _marked(docs: DataFrame, text_col: str, shared, carry: list[str] | None) -> DataFrame:
+    """The carried columns and the leaks of one block of items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        marks = [Benchmark(*x.value) for x in shared]
+        mark = Benchmark(*shared.value)
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64())]))
         for batch in batches:
             for w in words(inputs_of(batch, 1)[0], plain=True):
                 leaks: list[list[dict]] = [[] for _ in range(w.last - w.first)]
-                for mark in marks:
-                    for r, got in mark.matches(w.hash, w.bounds).items():
-                        leaks[r] += [{"item_id": mark.ids[i], "cosine": c, "lcs": p} for i, (c, p) in got.items()]
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64())]))
-                yield batch, w.first, w.last, [pa.array([sorted(x, key=lambda y: y["item_id"]) for x in leaks], kind)]
+                for r, got in mark.matches(w.hash, w.bounds).items():
+                    best: dict[int, tuple[float, float]] = {}
+                    for i, (cosine, part) in got.items():  # an id may have several texts
+                        best[mark.ids[i]] = max(best.get(mark.ids[i], (0.0, 0.0)), (part, cosine))
+                    leaks[r] = [{"item_id": i, "cosine": c, "lcs": p} for i, (p, c) in sorted(best.items())]
+                yield batch, w.first, w.last, [pa.array(leaks, kind)]
 
     return extend(docs, [F.col(text_col).cast("string")], f"leaks {LEAKS}", run, carry)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,11 +11,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator]) -> Callable[[Iterator[pa.RecordBatch]], Iterator]:
+    """``run``, after which the Python worker gives back what it has freed: workers are reused, and idle ones would keep it."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                trim(0)
+
+    return apply
+
+
 def extend(docs: DataFrame, inputs: list[Column], made: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], carry: list[str] | None = None) -> DataFrame:
     """The carried columns (all, if None) and the made ones, row by row.
 
     ``run`` gets batches of the inputs and yields (batch, first row, last row, arrays) with the arrays of the made columns
-    for these rows. A carried column whose name clashes with a made one, in any case, gives way to it.
+    for these rows. A carried column whose name clashes with a made one, in any case, gives way to it; to keep it, carry
+    the row as one struct, as the pipeline does.
     """
     new = T._parse_datatype_string(made)
     taken = {f.name.lower() for f in new.fields}
@@ -26,7 +44,7 @@ def extend(docs: DataFrame, inputs: list[Column], made: str, run: Callable[[Iter
             yield pa.RecordBatch.from_arrays([c.slice(i, j - i) for c in batch.columns[:n]] + arrays, names=names)
 
     plain = docs.select(*[docs[f"`{f.name}`"] for f in held], *[c.alias(f"_in{k}") for k, c in enumerate(inputs)])
-    return plain.mapInArrow(apply, T.StructType(held + new.fields))
+    return plain.mapInArrow(released(apply), T.StructType(held + new.fields))
 
 
 def inputs_of(batch: pa.RecordBatch, count: int) -> list[pa.Array]:

@@ -13,7 +13,6 @@ tags are; the model has a fixed number of slots for each.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,6 @@ _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _trigrams(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -117,7 +115,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                 texts = col.slice(i, j - i).to_pylist()
                 pred, score, sets = [], [], []
                 for k, text in enumerate(texts):
-                    if not langs or not text or not _LETTER.search(text):
+                    if not langs or not text or not any(map(str.isalpha, text)):
                         got, part = [], []
                     elif bounds[k] == bounds[k + 1]:
                         got, part = [0], [1.0 / len(langs)]

@@ -24,16 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.components import components, save
+from quarrylight.llm.components import components, discard, save
+from quarrylight.llm.frames import released
 from quarrylight.llm.words import mix, ngrams, signed, words
 
 TABLE_ROWS = 1 << 18  # rows at most in each of the two frequency tables that are broadcast
 BLOCK = 2_000_000  # words that are counted together in a task
 FREQUENT_IN_BLOCK = 3
-MARK_BITS, MARK_PARTS = 1 << 23, 16  # of the filter that picks documents to verify
+MARK_BITS, MARK_PARTS = (1 << 23, 1 << 27), 16  # of the filter that picks documents to verify: at least and at most
 PIVOTS = 6  # of a bucket in each round
 PARITIES, FOLDED = 1024, 256  # of a document, and as its postings carry them
 _MEMBER = ["doc", "size", "pos", *(f"s{i}" for i in range(FOLDED // 64))]
@@ -65,7 +66,7 @@ def _frequencies(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return docs.select("text").mapInArrow(run, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(released(run), "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
 
 
 def _tables(docs: DataFrame, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -136,28 +137,28 @@ def _features(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     names=["doc", "size", "digest", "parity", "prefix"],
                 )
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, size long, digest binary, parity array<long>, prefix array<long>")
+    return docs.select("doc", "text").mapInArrow(released(run), "doc long, size long, digest binary, parity array<long>, prefix array<long>")
 
 
-def _marks(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of MARK_BITS bits over document ids; at most MARK_PARTS copies of it reach the driver."""
+def _marks(ids: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter over document ids, as bytes; at most MARK_PARTS copies of it reach the driver, fewer of a larger one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(MARK_BITS, bool)
+        own = np.zeros(bits, bool)
         for batch in batches:
-            for place in _places(batch.column(0)):
-                bits[place] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+            for place in _places(batch.column(0), bits):
+                own[place] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros(MARK_BITS // 8, np.uint8)
-    for part in ids.coalesce(MARK_PARTS).mapInArrow(run, "bits binary").toArrow().column("bits").to_pylist():
+    out = np.zeros(bits // 8, np.uint8)
+    for part in ids.coalesce(max(4, MARK_PARTS * MARK_BITS[0] // bits)).mapInArrow(released(run), "bits binary").toArrow().column("bits").to_pylist():
         out |= np.frombuffer(part, np.uint8)
-    return np.unpackbits(out).astype(bool)
+    return out
 
 
-def _places(ids: pa.Array) -> list[np.ndarray]:
+def _places(ids: pa.Array, bits: int) -> list[np.ndarray]:
     h = mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-    return [((h >> np.uint64(k)) & np.uint64(MARK_BITS - 1)).astype(np.int64) for k in (0, 20, 40)]
+    return [(x & np.uint64(bits - 1)).astype(np.int64) for x in (h, h >> np.uint64(20), mix(h))]
 
 
 def _sets(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -165,18 +166,21 @@ def _sets(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
 
     The scan passes only documents that the filter may hold, so neither texts nor all sets are shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_marks(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))))
+    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
+    least, most = MARK_BITS
+    bits = min(most, max(least, 1 << (16 * pairs.count()).bit_length()))  # past the most, more documents pass that aren't asked for
+    shared = docs.sparkSession.sparkContext.broadcast(_marks(ids, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, mid, high = (shared.value[p] for p in _places(batch.column(0)))
-            batch = batch.filter(pa.array(low & mid & high))
+            low, mid, high = (shared.value[p >> 3] >> (p & 7) for p in _places(batch.column(0), bits))
+            batch = batch.filter(pa.array((low & mid & high & 1).astype(bool)))
             for w in words(batch.column(1)):
                 grams, off = ngrams(w.hash, w.bounds, n)
                 rows = [np.unique(grams[a:b]).tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.last - w.first), pa.array(rows, pa.binary())], names=["doc", "grams"])
 
-    return docs.select("doc", "text").where("doc IS NOT NULL").mapInArrow(run, "doc long, grams binary")
+    return docs.select("doc", "text").where("doc IS NOT NULL").mapInArrow(released(run), "doc long, grams binary")
 
 
 def _apart(x: np.ndarray, y: np.ndarray, most: int, depth: int = 2) -> int:
@@ -207,7 +211,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     x = sets.select(F.col("doc").alias("b"), F.col("grams").alias("grams_b"))
     y = sets.select(F.col("doc").alias("a"), F.col("grams").alias("grams_a"))
     both = pairs.join(x.hint("merge"), "b").join(y.hint("merge"), "a")
-    return both.select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "grams_a", "grams_b").mapInArrow(released(run), "a long, b long")
 
 
 def _folded(i: int) -> Column:
@@ -233,6 +237,15 @@ def _candidates(m: DataFrame, other: DataFrame, num: int, den: int, ordered: boo
     return pairs.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
 
+def _edges_of_ids(full: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """(a, b): ids that have several texts, each with the representatives of these; None if there is no such id."""
+    several = save(full.groupBy("doc").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first <> last").select("doc"))
+    if several.isEmpty():
+        return None
+    own = full.select("doc", "digest").join(several.hint("merge"), "doc", "left_semi")
+    return save(own.join(reps.hint("merge"), "digest").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct())
+
+
 def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): documents link when den * |intersection| >= num * |union|.
 
@@ -243,17 +256,18 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, round
     full = feats.where("digest IS NOT NULL AND doc IS NOT NULL")
     reps = save(full.groupBy("digest").agg(F.min("doc").alias("rep")))
     heads = full.join(reps.select(F.col("rep").alias("doc"), F.col("digest").alias("own")).hint("merge"), "doc").where("digest = own")
-    bucket = Window.partitionBy("gram")
     posts = heads.select("doc", F.posexplode("prefix").alias("pos", "gram"))
-    posts = posts.withColumn("low", F.min("doc").over(bucket)).withColumn("high", F.max("doc").over(bucket)).where("low <> high")
+    shared = posts.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("gram")
     folded = heads.select("doc", "size", *[_folded(i).alias(f"s{i}") for i in range(FOLDED // 64)])
-    posts = save(posts.select("gram", "doc", "pos").join(folded.hint("merge"), "doc").select("gram", *_MEMBER))
-    edges = None
+    posts = save(posts.join(shared.hint("merge"), "gram", "left_semi").join(folded.hint("merge"), "doc").select("gram", *_MEMBER))
+    same_id = _edges_of_ids(full, reps)
+    edges = same_id
     for k in range(rounds + 1):
         m = posts.withColumn("comp", F.col("doc"))
         if edges is not None:
             known = components(edges).select(F.col("node").alias("doc"), "component")
             m = save(posts.join(known.hint("merge"), "doc", "left").select(*posts.columns, F.coalesce("component", "doc").alias("comp")))
+        used = [m] if edges is not None else []
         low, high = F.min("comp").alias("low"), F.max("comp").alias("high")
         if k < rounds:
             pivots = [F.min(F.struct(F.xxhash64("doc", F.lit(PIVOTS * k + j)), *_MEMBER, "comp")) for j in range(PIVOTS)]
@@ -262,12 +276,14 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, round
             other = other.select("gram", F.explode(F.array_distinct(plain)).alias("pivot")).select("gram", "pivot.*")
         else:  # whatever is still apart, all of it
             mixed = m.groupBy("gram").agg(low, high).where("low <> high").select("gram")
-            m = m.join(mixed.hint("merge"), "gram", "left_semi").join(heads.select("doc", "parity").hint("merge"), "doc")
-            m = save(m)
+            m = save(m.join(mixed.hint("merge"), "gram", "left_semi").join(heads.select("doc", "parity").hint("merge"), "doc"))
+            used.append(m)
             other = m.select("gram", *[F.col(c).alias(f"{c}2") for c in [*_MEMBER, "comp", "parity"]]).where("doc2 IS NOT NULL")
         pairs = save(_candidates(m, other, num, den, k == rounds))
         found = save(_verified(pairs, _sets(docs, pairs, n), num, den))
+        discard(pairs, *used)
         edges = found if edges is None else edges.unionByName(found)
+    discard(posts)
     labels = components(edges).select(F.col("node").alias("doc"), "component")
     named = reps.join(labels.select(F.col("doc").alias("rep"), "component").hint("merge"), "rep", "left")
     named = save(named.select("digest", F.coalesce("component", "rep").alias("component_id")))

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.components import save
+from quarrylight.llm.frames import released
 from quarrylight.llm.words import Words, mix, signed, words
 
 TABLE_ROWS = 1 << 18
@@ -89,7 +90,7 @@ def _counts(docs: DataFrame, pairs: bool, segment_bits: int = SEGMENT_BITS) -> D
         if held:
             yield flush(held)
 
-    return docs.select("text").mapInArrow(run, ("segment int, " if pairs else "") + "h long, c long")
+    return docs.select("text").mapInArrow(released(run), ("segment int, " if pairs else "") + "h long, c long")
 
 
 def _places(h: np.ndarray, level: int, mask: np.uint64) -> list[np.ndarray]:
@@ -121,7 +122,7 @@ def segments(keys: DataFrame, bits: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([np.packbits(bitmap[at[s]], bitorder="little").tobytes() for s in own], pa.binary())], names=["segment", "bits"])
 
     summed = keys.repartition("segment").groupBy("segment", "h").agg(F.sum("c").alias("c"))
-    return summed.mapInArrow(run, "segment int, bits binary")
+    return summed.mapInArrow(released(run), "segment int, bits binary")
 
 
 def build_filter(keys: DataFrame, bits: int) -> np.ndarray:
@@ -296,11 +297,11 @@ def _asked(plain: DataFrame, model: Model, shared, schema: str) -> DataFrame:
                 yield _scored(shared.value, w, serial.slice(w.first, n), ids.slice(w.first, n), asked)
 
     dealt = rows.select("block", "text").repartition("block").sortWithinPartitions("block")
-    keys = dealt.mapInArrow(ask, "bucket long, block long, segment int, bits binary")
+    keys = dealt.mapInArrow(released(ask), "bucket long, block long, segment int, bits binary")
     table = model.table.select(F.shiftright(F.col("segment"), segment_bits - shift).cast("long").alias("bucket"), F.lit(-1).cast("long").alias("block"), "segment", "bits")
-    levels = keys.unionByName(table).repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(answer, "block long, bucket long, levels binary")
+    levels = keys.unionByName(table).repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(released(answer), "block long, bucket long, levels binary")
     both = levels.unionByName(rows.select("block", "row", "id", "text"), allowMissingColumns=True)
-    return both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(finish, schema)
+    return both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(released(finish), schema)
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,7 +318,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
 
     schema = "row long, id long, n_tokens long, known long, base double, score double, rest array<struct<h:long,n:long>>"
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scored = save(plain.mapInArrow(run, schema) if model.table is None else _asked(plain, model, shared, schema))
+    scored = save(plain.mapInArrow(released(run), schema) if model.table is None else _asked(plain, model, shared, schema))
     rare = scored.select("row", F.explode("rest").alias("x")).select("row", "x.h", "x.n").join(counts.hint("merge"), "h")
     rare = rare.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("plus"))
     log_all = F.log10(F.lit(float(model.tokens + model.types + 1)))

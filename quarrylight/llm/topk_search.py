@@ -5,7 +5,8 @@ the dimensions can still add is at most the product of the remaining norms (Cauc
 lies under the k-th best lower bound, or under the k-th best score met so far, are dropped and the survivors compacted. The
 last block leaves exact scores.
 
-Queries are the stated set of rows; they are broadcast in blocks of about QUERY_BLOCK, one pass over all rows for each.
+Queries are the stated set of rows. They are worked in blocks of about QUERY_BLOCK, with one pass over all rows for each: a block
+is fetched and broadcast, its k best are saved, and it is let go before the next one is fetched.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; missing components of the
 shorter of two vectors count as 0; rows that repeat an id are candidates of their own, but one query (the least vector);
@@ -23,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.llm.components import save
+from quarrylight.llm.frames import released
+
 DIMENSIONS = 8
 QUERY_BLOCK = 2048
 _SLACK = 1e-6
@@ -67,30 +71,35 @@ def _exact(query: np.ndarray, columns: np.ndarray) -> np.ndarray:
     return np.array([max(-(1 << 63), min((1 << 63) - 1, sum(a * int(x) for a, x in zip(q, c, strict=True)))) for c in columns.T], object)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of highest score for every query row."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
-    asked = rows.where("q")
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    parts = []
+    finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < math.inf))
+    asked = rows.where(F.col("q") & finite).groupBy("id").agg(F.min("v").alias("v"))
+    blocks = max(1, math.ceil(asked.count() / query_block))
+    found = None
     for n in range(blocks):
         got = (asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n) if blocks > 1 else asked).select("id", "v").toArrow().combine_chunks()
         keep, matrix = _matrix(got.column("v").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float64())), scale)
-        ids = got.column("id").to_numpy()[keep]
-        order = np.lexsort((*matrix.T[::-1], ids))
-        ids, matrix = ids[order], matrix[order]
-        first = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, bool)
-        parts.append(_pass(rows.select("id", "v"), ids[first], matrix[first], k, scale))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _pass(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, scale: int) -> DataFrame:
-    """The k best of every task, for each query of one block."""
-    shared = rows.sparkSession.sparkContext.broadcast((ids, queries))
+        shared = vectors.sparkSession.sparkContext.broadcast((got.column("id").to_numpy()[keep], matrix))
+        part = _pass(rows.select("id", "v"), shared, k, scale)
+        if blocks > 1:  # a block is done, and let go, before the next one is fetched
+            part = save(_best(part, k).drop("rank"))
+            shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    return _best(found, k) if blocks == 1 else found.withColumn("rank", _rank()).select("query_id", "rank", "vec_id", "score")
+
+
+def _rank() -> Column:
+    return F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    return found.withColumn("rank", _rank()).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _pass(rows: DataFrame, shared, k: int, scale: int) -> DataFrame:
+    """The k best of every task, for each query of one block (ids, vectors), which is broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
@@ -119,4 +128,4 @@ def _pass(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, scale:
         score = [int(s) for x in best for s in x[1]]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, count)), pa.array(np.concatenate([x[0] for x in best]) if len(ids) else np.zeros(0, np.int64)), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
 
-    return rows.mapInArrow(run, "query_id long, vec_id long, score long")
+    return rows.mapInArrow(released(run), "query_id long, vec_id long, score long")

@@ -74,8 +74,6 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, edges: DataFrame | None =
     own = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     own = own.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     plain = [F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule")]
-    if edges.isEmpty():
-        return own.select(*plain, F.coalesce("fit.verdict", F.lit("allow")).alias("verdict"))
     groups = save(components(edges))
     fit = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"]
     ruled = groups.withColumn("verdict", fit).groupBy("component").agg(F.max((F.col("verdict") == "allow").cast("int")).alias("allow"), F.max((F.col("verdict") == "block").cast("int")).alias("block"))

@@ -94,13 +94,15 @@ def test_bpe_equals_tiktoken(spark):
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     docs = odd_docs(spark, ["<|endoftext|> it's 123", " " * 500 + "x", "ab" * 3000]).select("doc_id", "text", "ids")
-    got = byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)).collect()
+    bpe = byte_bpe.BPE(ranks, public_tokenizers.PATTERN)
+    got = byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, bpe), bpe)).collect()
+    assert sorted(map(str, byte_bpe.digests(byte_bpe.encode_and_decode(docs, bpe)).collect())) == sorted(map(str, got))
     want = []
     for r in docs.collect():
         ids = own.encode_ordinary(r["text"] or "")
         want.append((r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
-    assert byte_bpe.encode(empty(docs), ranks, public_tokenizers.PATTERN).count() == 0
+    assert byte_bpe.encode_and_decode(empty(docs), bpe).count() == 0
 
 
 def test_lm_base_and_held_out(spark):
