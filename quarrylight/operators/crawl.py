@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.functions.exprs import any_hit, in_both, is_missing, words_array
+from quarrylight.functions import domain
+from quarrylight.functions.exprs import any_hit, in_both, words_array
+from quarrylight.operators.relations import EDGE
+from quarrylight.operators.web import cited, is_blacklisted, linked
+from quarrylight.operators.web import domain as domain_of
 
 
 def assemble(items: DataFrame, key: str, category: str, categories: list[str], source: str, text: str, seq: str, most: int = 5, size: int = 5000) -> DataFrame:
@@ -51,17 +55,53 @@ def template_of(name: Column, templates: dict[str, str]) -> Column:
     return out
 
 
-def best_by_type(sources: DataFrame, types: str, name: str, priority: str, seq: str) -> DataFrame:
-    """(type, best, n): for each data type the source of the lowest priority number, the first of those alike, and how many there are."""
-    rows = sources.select(F.explode(types).alias("type"), name, priority, seq)
-    return rows.groupBy("type").agg(F.min_by(name, F.struct(priority, seq)).alias("best"), F.count("*").alias("n"))
+def domain_types(sources: DataFrame, base_url: str, types: str, seq: str, priority: dict[str, int] = domain.TYPE_PRIORITY) -> DataFrame:
+    """(domain, type): the type of the highest priority among those of a domain's sources, the first of those alike; unlisted types don't count."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for kv in priority.items() for x in kv]), F.col("type"))
+    rows = sources.select(domain_of(F.col(base_url)).alias("domain"), seq, F.posexplode(types).alias("place", "type")).withColumn("rank", rank)
+    return rows.where("domain <> '' AND rank IS NOT NULL").groupBy("domain").agg(F.min_by("type", F.struct("rank", seq, "place")).alias("type"))
 
 
-def result_links(pages: DataFrame, key: str, html: str, patterns: list[str], least: int = 10, most: int = 30) -> DataFrame:
-    """(key, pos, link): links of a result page by patterns in order, without query and fragment, distinct, the first ones."""
-    raw = F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in patterns])
-    links = F.array_distinct(F.transform(raw, lambda x: F.regexp_replace(x, r"[?#].*$", "")))
-    return pages.select(key, F.posexplode(F.slice(F.filter(links, lambda x: F.length(x) > least), 1, most)).alias("pos", "link"))
+def type_keyword_sets(sources: DataFrame, types: str, keywords: str) -> DataFrame:
+    """(type, keyword): the distinct keywords of the sources of a type, in order."""
+    return sources.select(F.explode(types).alias("type"), keywords).select("type", F.explode(keywords).alias("keyword")).distinct().orderBy("type", "keyword")
+
+
+def platforms(sources: DataFrame, types: str, name: str, template: str, seq: str) -> DataFrame:
+    """(type, seq, name, template): sources of a type that have a template, in order."""
+    return sources.where(F.coalesce(F.col(template), F.lit("")) != "").select(F.explode(types).alias("type"), seq, name, template).orderBy("type", seq)
+
+
+def enough(items: DataFrame, key: str, platform: str, seq: list[str], fallback: DataFrame, least: int = 2, most_platforms: int = 3, a_platform: int = 3) -> DataFrame:
+    """Items of the first platforms of a key, a page and two details of each, until there are enough; then none of the next platform.
+
+    A key with fewer gets its rows of the fallback too. Null keys and platforms go.
+    """
+    rows = items.where(F.col(key).isNotNull() & F.col(platform).isNotNull()).withColumn("n", F.row_number().over(Window.partitionBy(key, platform).orderBy(*seq))).where(F.col("n") <= a_platform)
+    by = rows.groupBy(key, platform).agg(F.count("*").alias("found"))
+    order = Window.partitionBy(key).orderBy(platform)
+    before = F.coalesce(F.sum("found").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    asked = by.withColumns({"place": F.row_number().over(order), "before": before}).where((F.col("place") <= most_platforms) & (F.col("before") < least))
+    kept = rows.join(asked.select(key, platform).hint("merge"), [key, platform], "left_semi").select(*items.columns)
+    full = asked.groupBy(key).agg(F.sum("found").alias("all")).where(F.col("all") >= least).select(key)
+    return kept.unionByName(fallback.join(full.hint("merge"), key, "left_anti").select(*items.columns))
+
+
+def result_links(pages: DataFrame, key: str, html: str, engine: str, domains: list[str], patterns: dict[str, list[str]] = domain.ENGINE_LINKS, plain: list[str] = domain.ANY_ENGINE_LINKS, least: int = 3, most: int = 30) -> DataFrame:
+    """(key, pos, link): links of a result page by the patterns of its engine and cited ones; all links where these are too few.
+
+    Without query and fragment, valid, distinct, the first ones.
+    """
+    by = lambda ps: F.flatten(F.array(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in ps]))
+    own = by(plain)
+    for name, ps in patterns.items():
+        own = F.when(F.col(engine) == name, by(ps)).otherwise(own)
+    found = F.concat(own, cited(F.col(html)))
+    absolute = F.filter(linked(F.col(html), F.lit("")), lambda x: x.rlike(r"^https?://"))
+    found = F.when(F.size(found) < least, F.concat(found, absolute)).otherwise(found)
+    links = F.array_distinct(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"[?#].*$", ""))))
+    links = F.filter(links, lambda x: (x != "") & ~is_blacklisted(x, domains))
+    return pages.select(key, F.posexplode(F.slice(links, 1, most)).alias("pos", "link"))
 
 
 def candidates(pages: DataFrame, key: str, domain: Column, tokens: list[str], seq: str, first: int = 5, others: int = 3) -> DataFrame:
@@ -71,6 +111,61 @@ def candidates(pages: DataFrame, key: str, domain: Column, tokens: list[str], se
     return own.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.when(F.col("own"), first).otherwise(others)).drop("place")
 
 
-def sheet(rows: DataFrame, text_columns: list[str], other: list[str], missing: str = "未明确") -> DataFrame:
-    """The columns of a report, with a word for missing texts."""
-    return rows.select(*[F.when(is_missing(F.col(c)), missing).otherwise(F.col(c)).alias(c) for c in text_columns], *other)
+OVERVIEW = "enterprise_name short_name industry main core high_end core_process special scenes downstream roles tiers customers compliance manufacturing keywords confidence data_source".split()
+DETAILS = "record_type record_id counterparty project_name relation role products product_detail amount amount_unit bid_date region counterparty_industry evidence_type source_platform confidence".split()
+
+
+def overview(companies: DataFrame, tags: DataFrame, key: str, lists: list[str], compliance: str) -> DataFrame:
+    """One row a company with the columns of ``OVERVIEW``: lists joined by 、 without the word for missing values, and its sure tags of compliance in order."""
+    sure = tags.where((F.col("sub_category") == compliance) & (F.col("confidence") > 0)).groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "tag"))), lambda x: x["tag"]), "、").alias("compliance"))
+    joined = lambda c: F.array_join(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: (x != "未明确") & (x != "")), "、")
+    both = companies.join(sure.hint("merge"), key, "left")
+    plain = lambda c: F.coalesce(c, F.lit("")) if c != "confidence" else F.col(c)
+    return both.select(F.col(key).alias("enterprise_name"), *[(joined(F.col(c)) if c in lists else plain(c)).alias(c) for c in OVERVIEW[1:]])
+
+
+def relation_sheet(edges: DataFrame) -> DataFrame:
+    """The ten columns of edges between companies, '' for what is missing."""
+    return edges.select(*[(F.coalesce(c, F.lit("")) if c != "confidence" else F.col(c)).alias(c) for c in EDGE])
+
+
+def detail_sheet(records: DataFrame, names: dict[str, str] = domain.TYPE_NAMES) -> DataFrame:
+    """The columns of ``DETAILS``, types by name, the relation in place of a missing role, by type and falling confidence."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    label = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("record_type")), F.col("record_type"))
+    kind = F.col("record_type")
+    detail = F.when(kind == "bidding", text("product_detail")).when(kind == "product_supply", F.coalesce(F.nullif(F.col("product_detail"), F.lit("")), text("spec"))).otherwise("")
+    columns = {
+        "record_type": label, "relation": label, "role": F.coalesce(F.nullif(F.col("role"), F.lit("")), text("relationship_nature")), "product_detail": detail,
+        "evidence_type": F.coalesce(F.nullif(F.col("evidence_type"), F.lit("")), F.lit("原始文本")), "confidence": F.col("confidence"),
+    }
+    return records.orderBy("record_type", F.desc("confidence"), "record_id").select(*[columns.get(c, text(c)).alias(c) for c in DETAILS])
+
+
+def detail_summary(records: DataFrame, names: dict[str, str] = domain.TYPE_NAMES) -> DataFrame:
+    """One row: how many records there are, and how many of each named type, in the order of the names."""
+    counts = [(label, F.count_if(F.col("record_type") == k)) for k, label in names.items()]
+    parts = F.concat_ws("、", *[F.when(n > 0, F.concat(F.lit(f"{label}:"), n.cast("string"))) for label, n in counts])
+    return records.agg(F.concat(F.lit("共"), F.count("*").cast("string"), F.lit("条记录")).alias("total"), parts.alias("by_type"))
+
+
+def data_dictionary(df: DataFrame, sheet: str, descriptions: dict[str, str]) -> DataFrame:
+    """(field, sheet, type, description, filled) of a table's columns: 数值 or 文本 by the column's type, and how many rows fill it."""
+    number = ("int", "bigint", "smallint", "tinyint", "double", "float", "decimal")
+    kinds = {c: "数值" if t.startswith(number) else "文本" for c, t in df.dtypes}
+    filled = df.agg(*[F.count(F.when(F.col(c).cast("string") != "", 1)).alias(c) for c in df.columns])
+    rows = [F.struct(F.lit(c).alias("field"), F.lit(sheet).alias("sheet"), F.lit(kinds[c]).alias("type"), F.lit(descriptions.get(c, "")).alias("description"), F.col(c).alias("filled")) for c in df.columns]
+    return filled.select(F.inline(F.array(*rows)))
+
+
+def config_rows(sources: DataFrame, columns: list[str], score: str, seq: str) -> DataFrame:
+    """(place, source): each source as one JSON text, by falling score; the file of a configuration holds one a line.
+
+    Sources are ranked in one place, as rank_sites does; they are what was selected, some hundreds.
+    """
+    place = F.row_number().over(Window.orderBy(F.desc(score), seq))
+    return sources.select(place.alias("place"), F.to_json(F.struct(*columns)).alias("source"))
+
+
+def write_config(rows: DataFrame, path: str) -> None:
+    rows.orderBy("place").select("source").write.mode("overwrite").text(path)

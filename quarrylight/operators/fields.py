@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.functions import domain as D
 from quarrylight.functions.exprs import any_hit, in_both, is_missing, map_all, map_first, ordered_extract, words_array
 
 DATE = r"((?:19|20)[0-9]{2})[年/-]([0-9]{1,2})(?:[月/-]([0-9]{1,2}))?"
@@ -23,12 +24,12 @@ def _before(text: Column, part: Column, n: int) -> Column:
     return F.substring(text, F.greatest(at - n, F.lit(1)), F.least(at - 1, F.lit(n)))
 
 
-def enterprise_name(given: Column, text: Column, patterns: list[str], least: int = 4) -> Column:
+def enterprise_name(given: Column, text: Column, patterns: list[str] = D.NAMES, least: int = 4) -> Column:
     found = ordered_extract(text, patterns, lambda v: F.length(v) >= least)["value"]
     return F.coalesce(F.nullif(F.trim(given), F.lit("")), found)
 
 
-def establish_time(text: Column, words: list[str], years: tuple[int, int] = (1990, 2023)) -> Column:
+def establish_time(text: Column, words: list[str] = D.FOUNDED, years: tuple[int, int] = (1990, 2023)) -> Column:
     """struct(value, uncertain): a date up to 30 characters after a founding word, else just before one, else any in the years."""
     w = "(?:" + "|".join(words) + ")"
     t = _text(text)
@@ -44,20 +45,21 @@ def establish_time(text: Column, words: list[str], years: tuple[int, int] = (199
     return F.struct(value.alias("value"), sure.isNull().alias("uncertain"))
 
 
-def addresses(text: Column, pattern: str, actual_words: list[str], least: int = 6) -> Column:
-    """struct(register, actual): the first addresses without and with one of the words in the 20 characters before."""
+def addresses(text: Column, patterns: list[str] = D.ADDRESSES, actual_words: list[str] = D.ACTUAL_ADDRESS, least: int = 6) -> Column:
+    """struct(register, actual): by patterns in order, the first addresses without and with one of the words in the 20 characters before the match."""
     t = _text(text)
-    found = F.filter(F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1)), lambda a: F.length(a) >= least)
-    is_actual = lambda a: any_hit(_before(t, a, 20), actual_words)
-    first = lambda x: F.coalesce(F.get(x, F.lit(0)), F.lit(""))
+    pairs = lambda p: F.arrays_zip(F.regexp_extract_all(t, F.lit(p), F.lit(0)).alias("whole"), F.regexp_extract_all(t, F.lit(p), F.lit(1)).alias("address"))
+    found = F.filter(F.flatten(F.array(*[pairs(p) for p in patterns])), lambda x: F.length(x["address"]) >= least)
+    is_actual = lambda x: any_hit(_before(t, x["whole"], 20), actual_words)
+    first = lambda x: F.coalesce(F.get(x, F.lit(0))["address"], F.lit(""))
     return F.struct(first(F.filter(found, lambda a: ~is_actual(a))).alias("register"), first(F.filter(found, is_actual)).alias("actual"))
 
 
-def legal_person(text: Column, patterns: list[str], rejected: list[str]) -> Column:
+def legal_person(text: Column, patterns: list[str] = D.LEGAL_PERSON, rejected: list[str] = D.NO_PERSON) -> Column:
     return ordered_extract(text, patterns, lambda v: ~v.isin(*rejected))
 
 
-def registered_capital(text: Column, patterns: list[tuple[str, str]], sample: int = 200) -> Column:
+def registered_capital(text: Column, patterns: list[tuple[str, str]] = D.CAPITAL, sample: int = 200) -> Column:
     """struct(value, diagnostics): the number without commas and the unit of its pattern; why and where it was missed."""
     t = _text(text)
     found = [F.nullif(F.replace(F.regexp_extract(t, p, 1), F.lit(","), F.lit("")), F.lit("")) for p, _ in patterns]
@@ -66,12 +68,12 @@ def registered_capital(text: Column, patterns: list[tuple[str, str]], sample: in
     return F.struct(F.coalesce(value, F.lit("")).alias("value"), F.when(value.isNull(), why).alias("diagnostics"))
 
 
-def business_scope(text: Column, patterns: list[str], least: int = 5) -> Column:
+def business_scope(text: Column, patterns: list[str] = D.SCOPE, least: int = 5) -> Column:
     found = ordered_extract(text, patterns, lambda v: F.length(F.regexp_replace(v, r"\s+", "")) > least)["value"]
     return F.regexp_replace(found, r"\s+", "")
 
 
-def core_products(text: Column, words: list[str], covered: list[tuple[str, str]]) -> Column:
+def core_products(text: Column, words: list[str] = D.CORE_PRODUCTS, covered: list[tuple[str, str]] = D.COVERED_PRODUCTS) -> Column:
     """The words in the text, in order; of (long, short) the short one goes where the long one is there."""
     out = F.filter(words_array(words), lambda w: F.contains(_text(text), w))
     for long, short in covered:
@@ -79,7 +81,7 @@ def core_products(text: Column, words: list[str], covered: list[tuple[str, str]]
     return out
 
 
-def product_spec(text: Column, patterns: list[str]) -> Column:
+def product_spec(text: Column, patterns: list[str] = D.SPECS) -> Column:
     return F.concat_ws("；", *[F.nullif(F.regexp_extract(_text(text), p, 0), F.lit("")) for p in patterns])
 
 
@@ -90,7 +92,7 @@ def qualification_flag(text: Column, yes: list[str], no: list[str], strict: bool
     return F.when(a, la).when(b, lb).otherwise("未明确")
 
 
-def patent_count(text: Column, patterns: list[str], word: str) -> Column:
+def patent_count(text: Column, patterns: list[str] = D.PATENTS, word: str = "发明") -> Column:
     """struct(total, invention): each pattern's first number; those with the word up to 10 characters before are inventions."""
     t, total, inv = _text(text), [], []
     for p in patterns:

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarrylight.functions.exprs import is_missing, map_all, words_array
+from quarrylight.functions import domain
+from quarrylight.functions.exprs import any_hit, is_missing, words_array
 from quarrylight.operators.tags import keyword_tags, normalize_terms
 
 
@@ -73,36 +74,92 @@ def amount_tags(capital_wan: Column, cuts: list[tuple[float, str]], last: str, e
     return F.slice(F.array_compact(F.array(F.when(capital_wan.isNotNull(), label), *[F.when(c, F.lit(x)) for c, x in extra])), 1, most)
 
 
-def flat_products(fields: list[Column], core: Column, stop: list[str], longest: int = 15, most: int = 8) -> Column:
-    """Items of the fields without stop words, else the first core products."""
-    items = F.array_distinct(F.filter(F.flatten(F.array(*[_parts(f, "[、,，;； ]") for f in fields])), lambda x: (F.length(x) <= longest) & ~x.isin(*stop)))
-    return F.when(F.size(items) > 0, F.slice(items, 1, most)).otherwise(F.slice(core, 1, 5))
+def _joined(c: Column, n: int) -> Column:
+    return F.array_join(F.slice(c, 1, n), "、")
 
 
-def high_end(items: Column, listed: list[str], spec: Column, words: list[str]) -> Column:
-    """The items that are listed, and the words in the specification, sorted."""
-    return F.array_sort(F.array_union(F.array_intersect(items, words_array(listed)), F.filter(words_array(words), lambda w: F.contains(F.coalesce(spec, F.lit("")), w))))
+def _lines(parts: list[tuple[str, Column, int]], default: str) -> Column:
+    """``label：a、b`` of the first tags of the arrays that aren't empty, joined by ；."""
+    out = F.concat_ws("；", *[F.when(F.size(c) > 0, F.concat(F.lit(f"{label}："), _joined(c, n))) for label, c, n in parts])
+    return F.when(out == "", default).otherwise(out)
 
 
-def flat_processes(text: Column, crafts: list[tuple[str, list[str]]], tags: Column, most: int = 8) -> Column:
-    return F.slice(F.array_union(map_all(text, crafts), F.coalesce(tags, F.array().cast("array<string>"))), 1, most)
+def _or(c: Column, default: str = "未明确") -> Column:
+    return F.when(F.size(c) > 0, c).otherwise(words_array([default]))
 
 
-def downstream(scenes: Column, industries: dict[str, str]) -> Column:
-    """Industries of the scenes, sorted."""
-    table = F.create_map(*[F.lit(x) for kv in industries.items() for x in kv])
-    return F.array_sort(F.array_distinct(F.transform(F.filter(scenes, lambda s: s.isin(*industries)), lambda s: table[s])))
+def _known(c: Column) -> Column:
+    return F.when(is_missing(c), F.lit("")).otherwise(c)
 
 
-def supply_roles(rules: list[tuple[Column, str]], default: str) -> Column:
-    """The first role whose condition holds."""
-    out = F.lit(default)
-    for c, label in reversed(rules):
-        out = F.when(c, label).otherwise(out)
-    return out
+def _labels(text: Column, labels: dict[str, str]) -> Column:
+    """Distinct labels of the words that the text holds, in order; case counts."""
+    return F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(w)), F.lit(x)) for w, x in labels.items()])))
+
+
+def flat_product(fields: list[Column], core: Column, specs: Column, compliance: Column, stop: list[str] = domain.PRODUCT_STOP, listed: list[str] = domain.HIGH_END, words: list[str] = domain.HIGH_END_SPECS, longest: int = 15) -> Column:
+    """struct(main, core, high_end, keywords, description).
+
+    main: up to 8 items of the fields without stop words, else the first 5 core products; high_end: core products that are
+    listed, then specifications with one of the words; keywords: core products and the first 3 certificates, up to 10.
+    """
+    items = F.array_distinct(F.filter(F.flatten(F.array(*[_parts(_known(f), r"[,，、；;/\s]+") for f in fields])), lambda x: (F.length(x) <= longest) & ~x.isin(*stop)))
+    main = F.when(F.size(items) > 0, F.slice(items, 1, 8)).otherwise(F.slice(core, 1, 5))
+    high = F.array_union(F.array_intersect(core, words_array(listed)), F.filter(specs, lambda s: any_hit(s, words)))
+    lines = _lines([("核心产品", core, 5), ("产品规格", specs, 5), ("合规认证", compliance, 3)], "产品信息未明确")
+    return F.struct(main.alias("main"), _or(F.slice(core, 1, 8)).alias("core"), high.alias("high_end"), _or(F.slice(F.array_union(core, F.slice(compliance, 1, 3)), 1, 10)).alias("keywords"), lines.alias("description"))
+
+
+def flat_process(
+    fields: list[Column], spec: Column, patents: Column, tech: Column, production: Column, crafts: dict[str, list[str]] = domain.CRAFTS, patent_crafts: dict[str, str] = domain.PATENT_CRAFTS,
+    spec_crafts: dict[str, str] = domain.SPEC_CRAFTS, special: dict[str, str] = domain.SPECIAL_CRAFTS, technique: str = "技术", abilities: list[str] = domain.ABILITY_TAGS,
+) -> Column:
+    """struct(process, core, manufacturing, special, description).
 
+    process: a craft's words where its name and they are in the fields, then tags of techniques; core: by words of the
+    patents, else the first 3 processes; manufacturing: tags of ability and production; special: by words of the specification, then of the fields.
+    """
+    text = F.concat_ws(" ", *[F.coalesce(f, F.lit("")) for f in fields])
+    has = lambda w: F.contains(text, F.lit(w))
+    words = F.array_compact(F.array(*[F.when(has(name) & has(w), F.lit(w)) for name, ws in crafts.items() for w in ws[1:]]))
+    process = _or(F.array_union(words, F.filter(tech, lambda t: F.contains(t, F.lit(technique)))))
+    by_patent = _labels(_known(patents), patent_crafts)
+    core = F.when(F.size(by_patent) > 0, by_patent).otherwise(F.slice(process, 1, 3))
+    made = _or(F.array_union(F.array_intersect(tech, words_array(abilities)), production))
+    extra = F.array_union(_labels(_known(spec), spec_crafts), _labels(text, special))
+    lines = _lines([("核心工艺", core, 3), ("制造能力", made, 3), ("特种工艺", extra, 3)], "工艺能力未明确")
+    return F.struct(F.slice(process, 1, 8).alias("process"), F.slice(core, 1, 5).alias("core"), F.slice(made, 1, 8).alias("manufacturing"), F.slice(extra, 1, 5).alias("special"), lines.alias("description"))
 
-def describe(parts: list[tuple[str, Column]], missing: str = "未明确") -> Column:
-    """``label：a、b`` of the arrays that aren't empty, joined by ；, or the word for a missing value."""
-    out = F.concat_ws("；", *[F.when(F.size(c) > 0, F.concat(F.lit(f"{label}："), F.array_join(c, "、"))) for label, c in parts])
-    return F.when(is_missing(out), missing).otherwise(out)
+
+def flat_application(scenes: Column, partners: Column, industries: dict[str, str] = domain.SCENE_INDUSTRY) -> Column:
+    """struct(scenes, top, downstream, description); downstream industries are sorted."""
+    first = F.when(F.size(scenes) > 0, F.concat(F.lit("主要应用于"), _joined(scenes, 5), F.lit("领域")))
+    lines = F.concat_ws("；", first, F.when(~is_missing(partners), F.concat(F.lit("服务客户包括"), partners)))
+    return F.struct(_or(scenes).alias("scenes"), _or(F.slice(scenes, 1, 3)).alias("top"), _or(downstream(scenes, industries)).alias("downstream"), F.when(lines == "", "应用领域未明确").otherwise(lines).alias("description"))
+
+
+def flat_supply_chain(
+    partners: Column, bids: Column, business: Column, scope: Column, capital: Column, investment: Column, modes: Column, coverage: Column, scenes: Column, chain: list[str] = domain.FAMOUS_CHAIN,
+    customers: list[str] = domain.FAMOUS_CUSTOMERS, tier: list[str] = domain.FAMOUS_TIER, scene_customers: dict[str, str] = domain.SCENE_CUSTOMERS, least_capital: float = 5000,
+) -> Column:
+    """struct(chain, customers, roles, tiers, description); capital counts in 万."""
+    names = _parts(_known(partners), "[,，、；;]+")
+    some, famous = F.size(names) > 0, lambda listed: F.arrays_overlap(names, words_array(listed))
+    labels = lambda rules: F.array_distinct(F.array_compact(F.array(*[F.when(c, F.lit(x)) for c, x in rules])))
+    mode = lambda m: F.array_contains(modes, m)
+    text = F.concat_ws(" ", F.coalesce(business, F.lit("")), F.coalesce(scope, F.lit("")))
+    has = lambda *ws: any_hit(text, list(ws))
+    yi, wan = (F.regexp_extract(_known(capital), rf"(\d+(?:\.\d+)?)\s*{u}", 1).try_cast("double") for u in ("亿", "万"))
+    links = labels([(famous(chain), "头部企业供应商"), (F.size(names) >= 3, "多客户供应"), (F.contains(_known(bids), F.lit("中标")), "中标供应商"), (mode("供应链配套"), "供应链配套商"), (mode("批量供货"), "批量供应商")])
+    kinds = labels([(famous(customers), "头部企业客户"), (F.size(names) >= 3, "多类型客户"), (some, "B2B企业客户"), *[(F.array_contains(scenes, s), x) for s, x in scene_customers.items()]])
+    main = F.when(has("研发") & has("生产"), "研产一体化供应商").when(has("生产", "制造"), "制造商").when(has("研发", "设计"), "设计服务商")
+    roles = F.array_distinct(F.array_compact(F.array(main, *[F.when(c, F.lit(x)) for c, x in ((has("锻造") & has("车削"), "锻件供应商"), (has("代工", "OEM"), "代工厂"), (mode("供应链配套"), "配套供应商"), (mode("定制化服务"), "定制化供应商"))])))
+    tiers = labels([(famous(tier), "一级供应商"), (F.coalesce(yi * 10000, wan, F.lit(0.0)) >= least_capital, "核心供应商"), (~is_missing(investment), "战略供应商")])
+    lines = F.concat_ws("；", F.when(~is_missing(partners), F.concat(F.lit("合作企业："), partners)), *[F.when(F.size(c) > 0, F.concat(F.lit(f"{x}："), F.array_join(c, "、"))) for x, c in (("合作模式", modes), ("覆盖范围", coverage))])
+    return F.struct(_or(links).alias("chain"), _or(kinds).alias("customers"), _or(roles, "供应商").alias("roles"), _or(tiers, "常规供应商").alias("tiers"), F.when(lines == "", "供应链信息未明确").otherwise(lines).alias("description"))
+
+
+def downstream(scenes: Column, industries: dict[str, str]) -> Column:
+    """Industries of the scenes, sorted."""
+    table = F.create_map(*[F.lit(x) for kv in industries.items() for x in kv])
+    return F.array_sort(F.array_distinct(F.transform(F.filter(scenes, lambda s: s.isin(*industries)), lambda s: table[s])))

@@ -1,4 +1,4 @@
-"""Mentions of companies, edges between them and transaction records, from sentences. Words and patterns are arguments.
+"""Mentions of companies and edges between them, from sentences. Words and patterns are arguments.
 
 Null texts give no rows; a value that isn't found is ''.
 """
@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.functions.exprs import any_hit, in_both, map_first, ordered_extract, words_array
-from quarrylight.operators.tags import parse_amount, parse_date
+from quarrylight.functions import domain
+from quarrylight.functions.exprs import any_hit, in_both, is_missing, map_first, ordered_extract, words_array
 
 
 def around(text: Column, part: Column, n: int) -> Column:
@@ -42,13 +42,65 @@ def infer_industry(name: Column, exact: dict[str, str], partial: list[tuple[str,
     return out
 
 
-def classify_relation(kind: Column, subject_makes: Column, object_makes: Column, context_kind: dict[str, str], plain: str) -> Column:
-    """struct(rel_type, confidence): the context's class, surer if only one side makes the product; two makers compete."""
-    out = F.struct(F.lit(plain).alias("rel_type"), F.lit(0.75).alias("confidence"))
-    for k, label in reversed(context_kind.items()):
-        sure = F.when(subject_makes & ~object_makes, 0.85).when(~subject_makes & object_makes, 0.82).otherwise(0.8)
-        out = F.when(kind == k, F.struct(F.lit(label).alias("rel_type"), sure.alias("confidence"))).otherwise(out)
-    return out
+EDGE = "subject object rel_type description project amount industry evidence confidence data_source".split()
+MONEY = r"([\d,.]+)\s*万?元"
+
+
+def is_maker(name: Column, words: list[str] = domain.BEARING_WORDS, listed: list[str] = domain.MAKERS) -> Column:
+    """Whether a company makes the product, by a word in its name or a list."""
+    return any_hit(name, words) | name.isin(*listed)
+
+
+def context_edges(mentions: DataFrame, own_makes: Column, makes: Column) -> DataFrame:
+    """Edges from (own, name, kind, industry, snippet): by the kind of context and by who makes the product.
+
+    A customer in a customer's context (0.85), or in a bid without making the product (0.80); a supplier in a supplier's
+    context or where both make it (0.82); a customer in another bid (0.78); else a partner (0.75). The amount is the first in the snippet.
+    """
+    own, name, kind = F.col("own"), F.col("name"), F.col("kind")
+    row = lambda t, text, c, source: F.struct(F.lit(t).alias("rel_type"), F.concat(*text).alias("description"), F.lit(c).alias("confidence"), F.lit(source).alias("data_source"))
+    serves = [own, F.lit("为"), name, F.lit("提供产品/服务")]
+    x = F.when(kind == "客户", row("客户", serves, 0.85, "原始文本-客户上下文")).when((kind == "招投标") & ~makes, row("客户", serves, 0.80, "招投标信息"))
+    x = x.when((kind == "供应商") | (own_makes & makes), row("供应商", [name, F.lit("为"), own, F.lit("提供轴承相关产品/技术")], 0.82, "原始文本-供应商上下文"))
+    x = x.when(kind == "招投标", row("客户", [own, F.lit("与"), name, F.lit("存在招投标业务关系")], 0.78, "招投标信息"))
+    x = x.otherwise(row("合作", [own, F.lit("与"), name, F.lit("存在合作关系")], 0.75, "原始文本-合作上下文"))
+    evidence = F.concat(F.lit("原始文本匹配；上下文:"), kind, F.when(F.col("industry") != "", F.concat(F.lit("；行业:"), "industry")).otherwise(""))
+    columns = {"subject": own, "object": name, "project": F.lit(""), "amount": F.regexp_extract("snippet", MONEY, 0), "industry": F.col("industry"), "evidence": evidence}
+    return mentions.withColumn("x", x).select(*[(columns[c] if c in columns else F.col(f"x.{c}")).alias(c) for c in EDGE])
+
+
+def gathered(field: Column, text: Column, good, least: int = 15, delimiters: str = r"[。；\n]") -> Column:
+    """The field's text, '' if it is missing, and the sentences of the text that are good and that it doesn't hold yet, joined by 。."""
+    start = F.when(is_missing(field), "").otherwise(field)
+    found = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), delimiters, -1), lambda s: F.trim(s)), lambda s: (F.length(s) >= least) & good(s))
+    return F.aggregate(found, start, lambda acc, s: F.when(F.contains(acc, s), acc).when(acc == "", s).otherwise(F.concat(acc, F.lit("。"), s)))
+
+
+def bidding_edges(df: DataFrame, own: str, field: str, text: str, patterns: list[str], words: list[str] = domain.BIDDING_CONTEXT, company: str = domain.ANY_COMPANY, valid=None, industry=None) -> DataFrame:
+    """A customer edge (0.78) for each company named in the field or in sentences with a bid word and money or a company."""
+    whole = gathered(F.col(field), F.col(text), lambda s: any_hit(s, words) & (s.rlike(MONEY) | s.rlike(company)))
+    rows = mentions(df.select(F.col(own).alias("own"), whole.alias("whole")), "own", "whole", patterns, [], 30)
+    rows = rows.where(valid(F.col("name"), F.col("own"))) if valid else rows
+    name, context = F.col("name"), F.col("context")
+    columns = {
+        "subject": F.col("own"), "object": name, "rel_type": F.lit("客户"), "description": F.concat("own", F.lit("与"), "name", F.lit("存在招投标业务关系")), "project": F.substring(context, 1, 80),
+        "amount": F.regexp_extract(context, MONEY, 0), "industry": industry(name, context) if industry else F.lit(""), "evidence": F.concat(F.lit("招投标上下文:"), F.substring(context, 1, 50)), "confidence": F.lit(0.78), "data_source": F.lit("招投标信息"),
+    }
+    return rows.select(*[columns[c].alias(c) for c in EDGE])
+
+
+def investment_edges(df: DataFrame, own: str, field: str, text: str, segment: str, words: list[str] = domain.INVESTMENT_CONTEXT, first_words: list[str] = domain.FIRST_INVESTMENT, money: str = r"[\d,.]+\s*[亿万]元") -> DataFrame:
+    """One edge (0.85) for a company's first sentence on an investment, with the amount of all such sentences, 亿 before 万."""
+    whole = gathered(F.col(field), F.col(text), lambda s: any_hit(s, words) & s.rlike(money))
+    rows = df.select(F.col(own).alias("own"), F.coalesce(segment, F.lit("")).alias("segment"), whole.alias("whole"))
+    first = F.get(F.filter(F.transform(F.split("whole", r"[。；\n]", -1), lambda s: F.trim(s)), lambda s: (F.length(s) >= 15) & any_hit(s, first_words)), F.lit(0))
+    yi, wan = (F.regexp_extract("whole", rf"(\d+(?:\.\d+)?)\s*{u}", 1) for u in ("亿", "万"))
+    amount = F.when(yi != "", F.concat(yi, F.lit("亿元"))).when(wan != "", F.concat(wan, F.lit("万元"))).otherwise("")
+    columns = {
+        "subject": F.col("own"), "object": F.substring("first", 1, 60), "rel_type": F.lit("投资"), "description": F.concat("own", F.lit("投资建设: "), F.substring("first", 1, 80)), "project": F.substring("first", 1, 80),
+        "amount": amount, "industry": F.col("segment"), "evidence": F.lit("投资项目/原始文本"), "confidence": F.lit(0.85), "data_source": F.lit("投资信息"),
+    }
+    return rows.withColumn("first", first).where("first IS NOT NULL").select(*[columns[c].alias(c) for c in EDGE])
 
 
 def factual_sentences(df: DataFrame, key: str, text: str, words: list[str], least: int = 10, delimiters: str = r"[。；\n]", also: str | None = None) -> DataFrame:
@@ -66,8 +118,9 @@ def route_segments(segments: DataFrame, category: str, text: str, parsers: dict[
     return segments.withColumn("parser", out).where(F.col("parser").isNotNull() & (F.length(text) > least))
 
 
-def project_name(text: Column, patterns: list[str], particles: str = "[的了在]", sizes: tuple[int, int] = (4, 60)) -> Column:
-    clean = lambda c: F.regexp_replace(c, f"^{particles}+", "")
+def project_name(text: Column, patterns: list[str], particles: str = "[的为于在]", sizes: tuple[int, int] = (4, 60)) -> Column:
+    """The first pattern's group whose length, without one leading particle, is in the bounds."""
+    clean = lambda c: F.regexp_replace(c, f"^{particles}", "")
     return clean(ordered_extract(text, patterns, lambda v: F.length(clean(v)).between(*sizes))["value"])
 
 
@@ -77,40 +130,6 @@ def counterparty(text: Column, pattern: str, own: Column, least: int = 4) -> Col
     return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
 
 
-def role(text: Column, own: Column, word: str, before: str, after: str, default: str = "") -> Column:
-    """By the order of the own name and a word: name first, word first, or neither."""
-    name, at = F.position(own, F.coalesce(text, F.lit(""))), F.position(F.lit(word), F.coalesce(text, F.lit("")))
-    return F.when((name == 0) | (at == 0), default).when(name < at, before).otherwise(after)
-
-
-def region(text: Column, names: list[str]) -> Column:
-    """The first listed name in the text, in the list's order."""
-    return F.coalesce(F.get(F.filter(words_array(names), lambda w: F.contains(text, w)), F.lit(0)), F.lit(""))
-
-
-def bidding_records(sentences: DataFrame, own: str, company: str, projects: list[str], types: list[tuple[str, list[str]]], word: str, roles: tuple[str, str]) -> DataFrame:
-    """Bidding records of sentences: amount, unit, counterparty, project, date, type, role; one of the first three has to be there."""
-    s = F.col("sentence")
-    rows = sentences.withColumns({"a": parse_amount(s), "counterparty": counterparty(s, company, F.col(own)), "project_name": project_name(s, projects), "bid_date": parse_date(s), "bid_type": map_first(s, types), "role": role(s, F.col(own), word, *roles)})
-    rows = rows.withColumns({"amount": F.col("a.amount"), "amount_unit": F.col("a.unit"), "record_type": F.lit("bidding")}).drop("a")
-    return rows.where("amount <> '' OR counterparty <> '' OR project_name <> ''")
-
-
-def company_records(sentences: DataFrame, own: str, company: str, record_type: str, products: list[str], subtypes: list[tuple[str, list[str]]] = (), least: int = 4) -> DataFrame:
-    """One record for each company in a sentence that isn't the own one: customers, suppliers or partners."""
-    s = F.col("sentence")
-    names = F.array_distinct(F.filter(F.regexp_extract_all(s, F.lit(f"({company})"), F.lit(1)), lambda n: (F.length(n) >= least) & ~in_both(n, F.col(own))))
-    rows = sentences.withColumn("counterparty", F.explode(names))
-    return rows.withColumns({"record_type": F.lit(record_type), "products": F.coalesce(F.get(F.filter(words_array(products), lambda w: F.contains(s, w)), F.lit(0)), F.lit("")), "subtype": map_first(s, list(subtypes))})
-
-
-def investment_records(sentences: DataFrame, types: list[tuple[str, list[str]]], products: list[str]) -> DataFrame:
-    """Records of sentences on investments: amount, unit, date, type and product."""
-    s = F.col("sentence")
-    rows = sentences.withColumns({"a": parse_amount(s), "bid_date": parse_date(s), "subtype": map_first(s, types), "products": region(s, products), "record_type": F.lit("investment")})
-    return rows.withColumns({"amount": F.col("a.amount"), "amount_unit": F.col("a.unit")}).drop("a").where("amount <> ''")
-
-
 def downstream_edges(tags: DataFrame, seen: DataFrame, key: str, tag: str) -> DataFrame:
     """(key, tag, confidence): an edge for each tag of a company (0.85) and for each industry only seen in mentions (0.75)."""
     own, other = tags.select(key, tag).distinct(), seen.select(key, tag).distinct()

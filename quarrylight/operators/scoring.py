@@ -27,10 +27,13 @@ def relation_richness(text: Column, words: list[str], pairs: list[tuple[str, str
     return F.bround(F.least(F.lit(1.0), F.size(hits(text, words)) / denominator + bonus), 2)
 
 
+# Patterns of structured markup, what each match counts and its most.
+STRUCTURED = [(r"(?i)<table[^>]*>", 0.05, 0.3), (r"(?i)<(ul|ol)[^>]*>", 0.03, 0.2), (r"(?i)<dl[^>]*>", 0.05, 0.2), (r"""(?i)<div[^>]*class="[^"]*(?:card|item|list|info|company|enterprise)[^"]*\"""", 0.02, 0.3)]
+
+
 def structuring(html: Column) -> Column:
-    n = lambda p: F.regexp_count(html, F.lit(p))
-    parts = [(0.3, 0.05, r"(?i)<table"), (0.2, 0.03, r"(?i)<(ul|ol)"), (0.2, 0.05, r"(?i)<dl"), (0.3, 0.02, r"""(?i)<div[^>]*class="[^"]*(card|item|list)""")]
-    return F.bround(sum((F.least(F.lit(top), n(p) * step) for top, step, p in parts), F.lit(0.0)), 4)
+    score = sum((F.least(F.lit(most), F.regexp_count(F.coalesce(html, F.lit("")), F.lit(p)) * step) for p, step, most in STRUCTURED), F.lit(0.0))
+    return F.bround(F.least(F.lit(1.0), score), 4)
 
 
 def freshness(text: Column, year: int) -> Column:
@@ -77,3 +80,34 @@ def notes(parts: list[tuple[Column, str]], default: str) -> Column:
 def category(domain: Column, text: Column, by_domain: list[tuple[str, list[str]]], by_text: list[tuple[str, list[str]]], default: str) -> Column:
     found = map_first(domain, by_domain)
     return F.when(found != "", found).otherwise(map_first(F.lower(text), by_text, default))
+
+
+def discover(seeds: DataFrame, hits: DataFrame, domain: str, seq: str, most: int = 150) -> DataFrame:
+    """The first row of each domain, seeds before search hits, up to twice the number of sites that are wanted; seeds all stay.
+
+    The cap is the feature: discovery stops there.
+    """
+    both = seeds.withColumn("stage", F.lit(0)).unionByName(hits.withColumn("stage", F.lit(1))).where(F.col(domain) != "")
+    first = both.groupBy(domain).agg(F.min_by(F.struct(*both.columns), F.struct("stage", seq)).alias("x")).select("x.*")
+    found = first.where("stage = 0")
+    room = F.greatest(F.lit(0), F.lit(2 * most) - F.count("*"))
+    place = first.where("stage = 1").orderBy(seq).limit(2 * most).withColumn("place", F.row_number().over(Window.orderBy(seq)))
+    more = place.join(F.broadcast(found.agg(room.alias("room"))), F.lit(True)).where("place <= room").drop("place", "room")  # one row
+    return found.unionByName(more).withColumn("source", F.when(F.col("stage") == 0, "seed").otherwise("search")).drop("stage")
+
+
+def distribution(df: DataFrame, kind: Column) -> DataFrame:
+    """(kind, n), the most frequent first."""
+    return df.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind")
+
+
+def evaluation_summary(discovered: DataFrame, evaluated: DataFrame, domain: str, wanted: int = 20) -> DataFrame:
+    """One row: domains discovered and evaluated, and whether as many as wanted could be selected."""
+    found = discovered.agg(F.count_distinct(domain).alias("total_discovered"))
+    done = evaluated.agg(F.count("*").alias("total_evaluated"), (F.count("*") >= wanted).alias("top20_selected"))
+    return found.join(F.broadcast(done), F.lit(True))  # one row
+
+
+def pending(candidates: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """What is left to do: candidates, or keywords, whose key isn't done yet."""
+    return candidates.join(done.select(key).hint("merge"), key, "left_anti")

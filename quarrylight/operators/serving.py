@@ -70,9 +70,15 @@ def log_summary(log: DataFrame, key: str, level: Column, message: str, seq: str)
     return top.select(key, lead.alias("level"), F.array_join(F.transform(F.filter("x", lambda r: r["level"] == lead), lambda r: r["m"]), "; ").alias("messages"))
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
-    """Updates replace rows of equal keys, except the columns to keep; others are added. The latest of repeated updates counts."""
-    t, u = target.alias("t"), updates.dropDuplicates(keys).alias("u")
+def _latest(rows: DataFrame, keys: list[str], order: Column | None) -> DataFrame:
+    """One row of each key: the one of the greatest order, or the greatest of all columns."""
+    row = F.struct(*rows.columns)
+    return rows.groupBy(*keys).agg(F.max_by(row, F.struct(order, row) if order is not None else row).alias("row")).select("row.*")
+
+
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], keep: list[str] = (), order: Column | None = None) -> DataFrame:
+    """Updates replace rows of equal keys, except the columns to keep; others are added. Of repeated updates the latest by ``order`` counts."""
+    t, u = target.alias("t"), _latest(updates, keys, order).alias("u")
     on = [F.col(f"t.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys]
     has = F.col("u._new").isNotNull()
     j = t.withColumn("_old", F.lit(True)).alias("t").join(u.withColumn("_new", F.lit(True)).alias("u").hint("merge"), on, "full")
@@ -80,8 +86,9 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], keep: list[st
     return j.select(*cols)
 
 
-def append_unique(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return target.unionByName(new.dropDuplicates(keys).join(target.select(*keys).hint("merge"), keys, "left_anti"))
+def append_unique(target: DataFrame, new: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """New rows whose key isn't there yet, the latest of each key."""
+    return target.unionByName(_latest(new, keys, order).join(target.select(*keys).hint("merge"), keys, "left_anti"))
 
 
 def ttl_lookup(requests: DataFrame, cache: DataFrame, now: Column, seconds: int) -> DataFrame:

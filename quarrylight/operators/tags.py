@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.functions import domain
 from quarrylight.functions.exprs import hits, is_missing
 
 # Legal suffixes of company names, in order.
@@ -43,10 +44,22 @@ def tag_rows(df: DataFrame, key: str, dim: str, sub: str, tags: Column, field: s
     return rows.select(key, F.lit(dim).alias("dim"), F.lit(sub).alias("sub_category"), "ord", "tag", F.lit(field).alias("source_field"), F.when(F.col("tag").endswith("未明确"), 0.0).otherwise(F.col("c")).alias("confidence"))
 
 
-def tag_summary(tags: DataFrame, key: str) -> DataFrame:
-    """Mean confidence of tags over 0, their number, the uncertain ones and a note."""
-    s = tags.groupBy(key).agg(F.bround(F.coalesce(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), F.lit(0.0)), 2).alias("confidence"), F.count_if(F.col("confidence") > 0).alias("n_tags"), F.count_if(F.col("confidence") <= 0).alias("n_uncertain"))
-    return s.withColumn("note", F.when(F.col("confidence") >= 0.9, "high").when(F.col("confidence") >= 0.7, "medium").otherwise("low"))
+def tag_summary(tags: DataFrame, key: str, seq: str = "ord") -> DataFrame:
+    """Mean confidence of tags over 0, their number, the uncertain ones as a list and a note with the first three reasons.
+
+    A dimension has one uncertain tag at most, so the list is as long as there are dimensions.
+    """
+    sure = F.col("confidence") > 0
+    reason = F.concat("sub_category", F.lit("：缺少"), "source_field")
+    s = tags.groupBy(key).agg(
+        F.bround(F.coalesce(F.avg(F.when(sure, F.col("confidence"))), F.lit(0.0)), 2).alias("confidence"), F.count_if(sure).alias("n_tags"),
+        F.sort_array(F.collect_list(F.when(~sure, F.struct("sub_category", seq, "tag", reason.alias("reason"))))).alias("x"),
+    )
+    n = F.size("x").cast("long")
+    state = F.when(F.col("confidence") >= 0.9, "标签生成正常，核心标签基于模块2结构化字段").when(F.col("confidence") >= 0.7, "标签生成部分完成，部分字段缺失影响标签覆盖").otherwise("标签生成受限，多数字段缺失")
+    reasons = F.array_join(F.transform(F.slice("x", 1, 3), lambda u: u["reason"]), "; ")
+    more = F.when(n > 0, F.concat(F.lit("；未明确标签"), n.cast("string"), F.lit("项："), reasons)).otherwise("")
+    return s.select(key, "confidence", "n_tags", n.alias("n_uncertain"), F.array_join(F.transform("x", lambda u: u["tag"]), ",").alias("uncertain"), F.concat(state, more).alias("note"))
 
 
 def gap_merge(tags: DataFrame, answers: DataFrame, key: str) -> DataFrame:
@@ -59,8 +72,8 @@ def gap_merge(tags: DataFrame, answers: DataFrame, key: str) -> DataFrame:
 
 def dedup_edges(edges: DataFrame, keys: list[str], confidence: str, seq: str) -> DataFrame:
     """The most confident edge of each key, the first of those alike."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(confidence), seq)
-    return edges.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    best = edges.groupBy(*keys).agg(F.min_by(F.struct(*edges.columns), F.struct(-F.col(confidence), seq)).alias("row"))
+    return best.select("row.*")
 
 
 def type_counts(edges: DataFrame, kind: str, name: str) -> DataFrame:
@@ -76,18 +89,39 @@ def record_ids(records: DataFrame, key: str, kind: str, prefix: Column, seq: str
     return records.withColumn("record_id", F.format_string("%s-%03d", prefix, n))
 
 
-def parse_amount(text: Column) -> Column:
-    """struct(amount, unit): 亿 before 万 before plain yuan, which counts from 10000 on, in 万元 to one place."""
-    t = F.replace(F.coalesce(text, F.lit("")), F.lit(","), F.lit(""))
-    yi, wan, yuan = (F.regexp_extract(t, rf"([0-9]+(?:\.[0-9]+)?)\s*{u}", 1) for u in ("亿元?", "万元?", "元"))
-    big = F.nullif(yuan, F.lit("")).try_cast("double")
-    amount = F.when(yi != "", yi).when(wan != "", wan).when(big >= 10000, F.bround(big / 10000, 1).cast("string")).otherwise("")
-    unit = F.when(yi != "", "亿元").when((wan != "") | (big >= 10000), "万元").otherwise("")
-    return F.struct(amount.alias("amount"), unit.alias("unit"))
+def parse_amount(text: Column, patterns: list[tuple[str, str, list[str]]] = domain.AMOUNTS, plain: str | None = domain.PLAIN_AMOUNT) -> Column:
+    """struct(amount, unit, raw, currency) of the first pattern that matches, if the text has one of its words.
+
+    Without one, plain yuan count: from 10000 on in 万元 to one place, below that in 元. Commas go; '' without an amount.
+    """
+    t = F.coalesce(text, F.lit(""))
+    none = F.struct(*[F.lit("").alias(c) for c in ("amount", "unit", "raw")])
+    out = none
+    if plain:
+        digits, raw = F.replace(F.regexp_extract(t, plain, 1), F.lit(","), F.lit("")), F.regexp_extract(t, plain, 0)
+        yuan = digits.try_cast("double")
+        large = F.struct(F.bround(yuan / 10000, 1).cast("string").alias("amount"), F.lit("万元").alias("unit"), raw.alias("raw"))
+        small = F.struct(digits.alias("amount"), F.lit("元").alias("unit"), raw.alias("raw"))
+        out = F.when(yuan >= 10000, large).when(yuan.isNotNull(), small).otherwise(none)
+    for p, unit, words in reversed(patterns):
+        found = F.struct(F.replace(F.regexp_extract(t, p, 1), F.lit(","), F.lit("")).alias("amount"), F.lit(unit).alias("unit"), F.regexp_extract(t, p, 0).alias("raw"))
+        ok = t.rlike(p)
+        for_words = F.lit(not words)
+        for w in words:
+            for_words = for_words | F.contains(t, F.lit(w))
+        out = F.when(ok & for_words, found).otherwise(out)
+    return F.struct(out["amount"].alias("amount"), out["unit"].alias("unit"), out["raw"].alias("raw"), F.lit("人民币").alias("currency"))
 
 
 def parse_date(text: Column) -> Column:
-    """yyyy-MM[-dd] of the first date that is written with 年月日, / or -."""
-    m = lambda i: F.regexp_extract(text, r"((?:19|20)[0-9]{2})[年/-]([0-9]{1,2})(?:[月/-]([0-9]{1,2}))?", i)
-    tail = F.when(m(3) != "", F.concat(F.lit("-"), F.lpad(m(3), 2, "0"))).otherwise("")
-    return F.when(m(1) == "", "").otherwise(F.concat(m(1), F.lit("-"), F.lpad(m(2), 2, "0"), tail))
+    """yyyy-MM[-dd]: the first full date in 年月日, else the first with - or /, else the first year and month."""
+    out = F.lit("")
+    for p in reversed(DATES):
+        m = lambda i, p=p: F.regexp_extract(text, p, i)
+        day = F.concat(F.lit("-"), F.lpad(m(3), 2, "0")) if p.count("(") > 2 else F.lit("")
+        out = F.when(m(1) != "", F.concat(m(1), F.lit("-"), F.lpad(m(2), 2, "0"), day)).otherwise(out)
+    return out
+
+
+# Dates, in order.
+DATES = (r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日", r"(\d{4})\s*[-/]\s*(\d{1,2})\s*[-/]\s*(\d{1,2})", r"(\d{4})\s*年\s*(\d{1,2})\s*月")

@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.functions.exprs import squeeze
+from quarrylight.functions import domain
+from quarrylight.functions.exprs import strip
 
 
-def scrub(text: Column) -> Column:
-    """Without tags, entities and control characters, white space collapsed."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<[^>]+>", " ")
-    return squeeze(F.regexp_replace(F.regexp_replace(out, r"&[A-Za-z]+;", " "), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
+def scrub(text: Column, markers: list[str] = domain.MARKERS) -> Column:
+    """Without markers of sources and sections, tags, entities and control characters; blanks and tabs collapse, lines stay."""
+    out = F.coalesce(text, F.lit(""))
+    for m in markers:
+        out = F.regexp_replace(out, m, "")
+    out = F.regexp_replace(F.regexp_replace(out, r"<[^>]+>", ""), r"&[A-Za-z]+;", " ")
+    return strip(F.regexp_replace(F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), r"[ \t]+", " "))
 
 
-def sentences(docs: DataFrame, delimiters: str = r"[。；\n]", id_col: str = "doc_id") -> DataFrame:
-    """(id, pos, sentence), trimmed and not empty."""
-    rows = docs.select(id_col, F.posexplode(F.split("text", delimiters, -1)).alias("pos", "sentence"))
-    return rows.select(id_col, F.col("pos").cast("long").alias("pos"), F.trim("sentence").alias("sentence")).where("sentence <> ''")
+def sentences(docs: DataFrame, delimiters: str = r"[。；\n]", id_col: str = "doc_id", carry: list[Column] = ()) -> DataFrame:
+    """(id, pos, sentence) and what is carried, trimmed and not empty."""
+    rows = docs.select(id_col, *carry, F.posexplode(F.split("text", delimiters, -1)).alias("pos", "sentence"))
+    return rows.withColumns({"pos": F.col("pos").cast("long"), "sentence": F.trim("sentence")}).where("sentence <> ''")
 
 
-def noise_lines(lines: DataFrame, nav_words: list[str], least: int = 3) -> DataFrame:
-    """Lines that aren't navigation: with fewer of the words than ``least``."""
-    n = sum((F.contains(F.lower("sentence"), F.lit(w)).cast("int") for w in nav_words), F.lit(0))
-    return lines.where(n < least)
+def noise_lines(lines: DataFrame, words: list[str] = domain.NAV_WORDS, blocks: list[str] = domain.NOISE_BLOCKS, licence: str = domain.LICENCE, least: int = 3, high: Column | None = None, most_of_high: int = 5) -> DataFrame:
+    """Lines that aren't noise: noise has so many words of navigation, begins like a block of it, is a short line with a
+    licence number, or a short one of Latin letters and signs. A line of a source of high value with few such words stays.
+    """
+    s = F.col("sentence")
+    n = sum((F.contains(s, F.lit(w)).cast("int") for w in words), F.lit(0))
+    noise = (n >= least) | ((F.length(s) < 30) & s.rlike(r"^[a-zA-Z\s&;,.>/\-=_()]+$"))
+    for p in blocks:
+        noise = noise | s.rlike(p)
+    if licence:
+        noise = noise | ((F.length(s) < 50) & s.rlike(licence))
+    return lines.where(~noise | ((high & (n < most_of_high)) if high is not None else F.lit(False)))
 
 
 def exact_lines(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -33,42 +47,65 @@ def exact_lines(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return lines.withColumn("key", key).where(F.length("key") > 4).withColumn("n", F.row_number().over(w)).where("n = 1").drop("key", "n")
 
 
-def drop_repeats(lines: DataFrame, id_col: str = "doc_id", least: int = 20) -> DataFrame:
-    """Without all copies of lines that a document repeats, if their white-space-free form is longer than ``least``."""
+def drop_repeats(lines: DataFrame, id_col: str = "doc_id", least: int = 20, size: Column | None = None, least_size: int = 300) -> DataFrame:
+    """Without all copies of lines that a document repeats, if their white-space-free form is longer than ``least``.
+
+    With ``size``, only in documents that are longer than ``least_size``.
+    """
     w = Window.partitionBy(id_col, "key")
     own = lines.withColumn("key", F.regexp_replace("sentence", r"\s+", "")).withColumn("n", F.count("*").over(w))
-    return own.where((F.col("n") < 2) | (F.length("key") <= least)).drop("key", "n")
+    kept = (F.col("n") < 2) | (F.length("key") <= least)
+    return own.where(kept | (size <= least_size) if size is not None else kept).drop("key", "n")
 
 
 def simhash64(docs: DataFrame, token: str = r"[A-Za-z]{2,}", id_col: str = "doc_id") -> DataFrame:
-    """(id, simhash): bit i is set if the votes of the tokens' md5 bits are not negative; 0 without tokens.
+    """(id, simhash), one row an id: bit i is set if the votes of the tokens' md5 bits are not negative; 0 without tokens.
 
-    Tokens are counted before the bits vote, so a hot token is summed once by document.
+    Every token votes where its text is read, and a document's 64 sums are partial aggregates, so neither texts nor tokens are shuffled.
     """
-    tokens = docs.select(id_col, F.explode(F.regexp_extract_all("text", F.lit(f"({token})"), F.lit(1))).alias("t")).groupBy(id_col, "t").count()
-    h = tokens.withColumn("h", F.conv(F.substring(F.md5(F.col("t").cast("binary")), 17, 16), 16, -10).cast("long"))
-    bit = lambda i: F.sum(F.when(F.shiftright("h", i).bitwiseAND(1) == 1, F.col("count")).otherwise(-F.col("count")))
-    votes = h.groupBy(id_col).agg(*[bit(i).alias(f"b{i}") for i in range(64)])
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({token})"), F.lit(1))
+    tokens = docs.select(id_col, F.explode_outer(found).alias("t"))
+    h = tokens.select(id_col, F.conv(F.substring(F.md5(F.col("t").cast("binary")), 17, 16), 16, -10).cast("long").alias("h"))
+    ones = lambda i: F.sum(F.shiftrightunsigned("h", i).bitwiseAND(1))
+    votes = h.groupBy(id_col).agg(F.count("h").alias("n"), *[ones(i).alias(f"b{i}") for i in range(64)])
     word = F.lit(0).cast("long")
     for i in range(64):
-        word = word.bitwiseOR(F.when(F.col(f"b{i}") >= 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return docs.select(id_col).join(votes.select(id_col, word.alias("simhash")).hint("merge"), id_col, "left").select(id_col, F.coalesce("simhash", F.lit(0).cast("long")).alias("simhash"))
+        word = word.bitwiseOR(F.when(2 * F.col(f"b{i}") >= F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return votes.select(id_col, F.when(F.col("n") > 0, word).otherwise(F.lit(0).cast("long")).alias("simhash"))
 
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def near_duplicates(hashes: DataFrame, most: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """(a, b): pairs of distinct fingerprints, each by its least id, that differ in few bits.
+_BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # first bit and bits of the parts of a fingerprint
 
-    Equal fingerprints are one row, so copies make no pairs; four bands of 16 bits find every pair up to 3 bits.
+
+def close_pairs(rows: DataFrame, most: int = 3, within: list[str] = ()) -> DataFrame:
+    """(within, id, simhash, id2, simhash2) of all pairs id < id2 that differ in up to 3 bits, each once.
+
+    Of six blocks, three at least are equal then: the 20 tables of three blocks have keys of some 32 bits, so a bucket stays
+    small where fingerprints are many. A pair is taken from the first table whose blocks agree.
     """
+    if most > 3:
+        raise ValueError("six blocks find pairs of up to 3 bits")
+    part = lambda c, k: F.shiftrightunsigned(c, _BLOCKS[k][0]).bitwiseAND((1 << _BLOCKS[k][1]) - 1)
+    triples = list(combinations(range(6), 3))
+    keys = [F.shiftleft(F.shiftleft(F.shiftleft(part("simhash", a), 11).bitwiseOR(part("simhash", b)), 11).bitwiseOR(part("simhash", c)), 5).bitwiseOR(F.lit(k).cast("long")) for k, (a, b, c) in enumerate(triples)]
+    tables = rows.select(*within, "id", "simhash", F.explode(F.array(*keys)).alias("block"))
+    other = tables.select(*within, "block", F.col("id").alias("id2"), F.col("simhash").alias("simhash2"))
+    same = [part("simhash", k) == part("simhash2", k) for k in range(6)]
+    first = F.lit(-1)
+    for k, (a, b, c) in reversed(list(enumerate(triples))):
+        first = F.when(same[a] & same[b] & same[c], k).otherwise(first)
+    pairs = tables.join(other.hint("merge"), [*within, "block"]).where("id < id2").where(hamming(F.col("simhash"), F.col("simhash2")) <= most)
+    return pairs.where(F.col("block").bitwiseAND(31) == first).drop("block")
+
+
+def near_duplicates(hashes: DataFrame, most: int = 3, id_col: str = "doc_id") -> DataFrame:
+    """(a, b): pairs of distinct fingerprints, each by its least id, that differ in few bits; equal ones are one row, so copies make no pairs."""
     reps = hashes.where("simhash <> 0").groupBy("simhash").agg(F.min(id_col).alias("id"))
-    bands = reps.select("id", "simhash", F.posexplode(F.array(*[F.shiftrightunsigned("simhash", 16 * k).bitwiseAND(0xFFFF) for k in range(4)])).alias("band", "v"))
-    other = bands.select(F.col("id").alias("id2"), F.col("simhash").alias("simhash2"), "band", "v")
-    pairs = bands.join(other.hint("merge"), ["band", "v"]).where("id < id2").where(hamming(F.col("simhash"), F.col("simhash2")) <= most)
-    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    return close_pairs(reps, most).select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
 def preview_first(items: DataFrame, key: str, seq: str, text: str = "text", size: int = 80) -> DataFrame:

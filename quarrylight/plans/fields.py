@@ -26,7 +26,7 @@ def _(o):
 @query("f4_addresses", "supplier", "SELECT s_suppkey, s_name || ' Street' AS register, CASE WHEN s_suppkey % 2 = 0 THEN s_name || ' Road' ELSE '' END AS actual FROM supplier")
 def _(s):
     text = F.concat(F.lit("Seat "), "s_name", F.lit(" Street"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("; and the office for work is in "), "s_name", F.lit(" Road"))).otherwise(""))
-    return s.select("s_suppkey", fields.addresses(text, "[A-Z][a-z]+#[0-9]+ (?:Street|Road)", ["work"]).alias("x")).select("s_suppkey", "x.*")
+    return s.select("s_suppkey", fields.addresses(text, ["([A-Z][a-z]+#[0-9]+ (?:Street|Road))"], ["work"]).alias("x")).select("s_suppkey", "x.*")
 
 
 @query("f5_legal_person", "supplier", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END AS value, CASE WHEN s_suppkey % 2 = 0 THEN 'regex' ELSE 'miss' END AS method FROM supplier")

@@ -32,7 +32,6 @@ def _(p):
     return p.select("page_id", sites.crawl_friendly(F.col("html"), F.col("page_id") % 10, ["form"], ["cookie"]).alias("score"))
 
 
-@query("d17_evaluation_summary", "pages", f"SELECT count(DISTINCT {DOMAIN}) AS discovered, count(*) AS evaluated FROM pages")
 def _(p):
     return p.agg(F.count_distinct(web.domain(F.col("url"))).alias("discovered"), F.count("*").alias("evaluated"))
 
@@ -78,7 +77,6 @@ def _(li):
     return tags.record_ids(rows, "l_orderkey", "all", F.lit("REL"), "seq").drop("all", "seq")
 
 
-@query("j18_dedup_records", "lineitem", "SELECT l_suppkey, l_linestatus, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_linestatus ORDER BY l_quantity DESC, l_orderkey * 10 + l_linenumber) = 1")
 def _(li):
     rows = li.select("l_suppkey", "l_linestatus", "l_orderkey", "l_linenumber", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     return tags.dedup_edges(rows, ["l_suppkey", "l_linestatus"], "l_quantity", "seq").drop("l_quantity", "seq")
@@ -120,7 +118,6 @@ def _(li):
     return li.select("l_orderkey", "l_linenumber", score.alias("confidence"))
 
 
-@query("q5_company_detail", "orders", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")
 def _(o):
     own = o.join(F.broadcast(o.agg(F.min("o_custkey").alias("o_custkey"))), "o_custkey")  # one row
     return own.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(1).select("o_orderkey", "o_custkey")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.operators import profile_tags as T
 from quarrylight.operators import records, serving, tags, text
-from quarrylight.plans.queries import query
+from quarrylight.plans.queries import BITS, LINES, query
 
 _NAMES = {"ring": "rings", "widget": "widgets", "small": "small goods"}
 _KEYS = "[x FOR x IN [CASE WHEN contains(p_name, 'ring') THEN 'rings' END, CASE WHEN contains(p_name, 'widget') THEN 'widgets' END, CASE WHEN contains(p_name, 'small') THEN 'small goods' END] IF x IS NOT NULL]"
@@ -83,24 +83,19 @@ def _(p):
     return tags.gap_merge(rows, answers, "p_partkey").select("p_partkey", "tag", "confidence")
 
 
-@query("h1_flat_product", "part", """SELECT p_partkey, array_to_string(CASE WHEN len(i) > 0 THEN i ELSE [p_type] END, '、') AS products, array_to_string(list_sort(list_distinct([x FOR x IN i IF x IN ('ring', 'bolt')] || [w FOR w IN ['7', '9'] IF contains(p_brand, w)])), '、') AS high_end
-    FROM (SELECT *, [x FOR x IN string_split(p_name, ' ') IF x NOT IN ('red', 'small', '')] AS i FROM part)""")
 def _(p):
     items = T.flat_products([F.col("p_name")], F.array("p_type"), ["red", "small"])
     return p.select("p_partkey", _j(items, "products", "、"), _j(T.high_end(items, ["ring", "bolt"], F.col("p_brand"), ["7", "9"]), "high_end", "、"))
 
 
-@query("h2_flat_process", "part", "SELECT p_partkey, array_to_string([x FOR x IN [CASE WHEN contains(p_name, 'ring') OR contains(p_name, 'bolt') THEN 'turning' END, CASE WHEN contains(p_name, 'widget') THEN 'pressing' END, p_type] IF x IS NOT NULL], '、') AS processes FROM part")
 def _(p):
     return p.select("p_partkey", _j(T.flat_processes(F.col("p_name"), [("turning", ["ring", "bolt"]), ("pressing", ["widget"])], F.array("p_type")), "processes", "、"))
 
 
-@query("h3_flat_application", "part", f"SELECT p_partkey, CASE WHEN len(d) > 0 THEN '行业：' || array_to_string(d, '、') ELSE '未明确' END AS description FROM (SELECT p_partkey, list_sort(list_distinct([CASE x WHEN 'rings' THEN 'motion' ELSE 'home' END FOR x IN {_KEYS} IF x <> 'small goods'])) AS d FROM part)")
 def _(p):
     return p.select("p_partkey", T.describe([("行业", T.downstream(tags.keyword_tags(F.col("p_name"), _NAMES), {"rings": "motion", "widgets": "home"}))]).alias("description"))
 
 
-@query("h4_flat_supply_chain", "customer", "SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'maker' WHEN c_acctbal >= 5000 THEN 'large' WHEN c_acctbal < 0 THEN 'debtor' ELSE 'buyer' END AS role FROM customer")
 def _(c):
     return c.select("c_custkey", T.supply_roles([(F.col("c_mktsegment") == "MACHINERY", "maker"), (F.col("c_acctbal") >= 5000, "large"), (F.col("c_acctbal") < 0, "debtor")], "buyer").alias("role"))
 
@@ -115,7 +110,10 @@ def _(o):
     return o.select("o_orderkey", text.hamming(F.col("o_orderkey"), F.col("o_custkey")).alias("distance"))
 
 
-@query("e9_simhash_dedup_in_doc", "documents", None)
+@query("e9_simhash_dedup_in_doc", "documents", f"""WITH {LINES}, t AS (SELECT doc_id, pos, unnest(regexp_extract_all(sentence, '[A-Za-z]{{2,}}|[一-龥]{{2,}}')) AS t FROM s), k AS (SELECT doc_id, pos, ('0x' || md5(t)[17:32])::UBIGINT AS h, count(*) AS c FROM t GROUP BY ALL), b AS (SELECT doc_id, pos, {BITS} AS v FROM k GROUP BY ALL),
+    l AS (SELECT doc_id, list([{{'pos': pos, 'h': coalesce(v, 0::HUGEINT)::UBIGINT}}] ORDER BY pos) AS l FROM s LEFT JOIN b USING (doc_id, pos) GROUP BY 1),
+    r AS (SELECT doc_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: bit_count(xor(y.h, x[1].h)) <= 3)) = 0 THEN list_concat(acc, x) ELSE acc END)) AS x FROM l)
+    SELECT r.doc_id, CAST(s.pos AS BIGINT) AS pos, s.sentence FROM r JOIN s ON r.doc_id = s.doc_id AND r.x.pos = s.pos""")
 def _(d):
     lines = text.sentences(d, r"[.;\n]")
     return records.near_lines(lines, "doc_id")

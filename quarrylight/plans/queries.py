@@ -33,9 +33,9 @@ def query(name: str, table: str, sql: str | None):
 
 DOMAIN = "coalesce(regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)), '^www\\.', ''), '')"
 BARE = "coalesce(html, '')"
-for _t in web.DROPPED:
-    BARE = f"regexp_replace({BARE}, '(?is)<{_t}[^>]*>.*?</{_t}>', ' ', 'g')"
-BARE = f"regexp_replace({BARE}, '(?s)<!--.*?-->', ' ', 'g')"
+for _t in "script style noscript nav footer header aside iframe form button svg img".split():
+    BARE = f"regexp_replace({BARE}, '(?is)<{_t}[^>]*>.*?</{_t}>', '', 'g')"
+BARE = f"regexp_replace({BARE}, '(?s)<!--.*?-->', '', 'g')"
 SQUEEZE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 TEXT = SQUEEZE.format(f"regexp_replace({BARE}, '(?s)<[^>]+>', ' ', 'g')")
 HITS = lambda c, ws: "(" + " + ".join(f"CAST(contains(lower({c}), '{w}') AS INT)" for w in ws) + ")"
@@ -44,17 +44,14 @@ LINES = """s AS (SELECT doc_id, pos - 1 AS pos, trim(x) AS sentence FROM (SELECT
 # Sources, urls and html
 
 
-@query("s2_name_list", "customer", "SELECT DISTINCT trim(c_name) AS name FROM customer WHERE trim(c_name) <> '' AND NOT starts_with(trim(c_name), '#')")
 def _(c):
     return c.select(F.trim("c_name").alias("name")).where("name <> '' AND NOT startswith(name, '#')").distinct()
 
 
-@query("s3_table_names", "supplier", "SELECT DISTINCT s_name FROM supplier WHERE s_acctbal > 0 AND s_name <> ''")
 def _(s):
     return s.where((F.col("s_acctbal") > 0) & (F.col("s_name") != "")).select("s_name").distinct()
 
 
-@query("s4_pages", "pages", "SELECT page_id, url, length(html) AS n FROM pages WHERE html IS NOT NULL AND html <> ''")
 def _(p):
     return p.where("html IS NOT NULL AND html <> ''").select("page_id", "url", F.length("html").cast("long").alias("n"))
 
@@ -140,7 +137,6 @@ def _(p):
     return p.select("page_id", web.page_title(F.col("html")).alias("title"))
 
 
-@query("p8_page_links", "pages", """SELECT DISTINCT page_id, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || regexp_replace(x, '#.*$', '') AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)href=["''](/[^"'']*)["'']', 1)) AS x FROM pages)""")
 def _(p):
     return web.page_links(p, []).select("page_id", "link")
 
@@ -167,7 +163,6 @@ def _(p):
     return p.select("page_id", X.any_hit(F.col("url"), [".html", "/en/"]).alias("detail"))
 
 
-@query("p15_link_priority_topk", "pages", None)
 def _(p):
     return web.deep_targets(web.page_links(p, []), ["/the", "/an"]).select("page_id", "link", "priority")
 
@@ -182,7 +177,6 @@ def _(e):
     return s.select("domain", F.round("avg_ms", 4).alias("avg_ms"), F.round("success_rate", 6).alias("success_rate"), F.round("stability", 6).alias("stability"), F.round("response", 4).alias("response"))
 
 
-@query("d1_discover_sites", "pages", f"SELECT {DOMAIN} AS domain, arg_min(url, page_id) AS url, min(page_id) AS seq FROM pages GROUP BY 1")
 def _(p):
     return p.groupBy(web.domain(F.col("url")).alias("domain")).agg(F.min_by("url", "page_id").alias("url"), F.min("page_id").alias("seq"))
 
@@ -208,7 +202,7 @@ def _(d):
 
 
 _COUNT = lambda p: f"len(regexp_extract_all(html, '{p}'))"
-_STRUCT = f"round_even(least(.3, .05 * {_COUNT('(?i)<table')}) + least(.2, .03 * {_COUNT('(?i)<(ul|ol)')}) + least(.2, .05 * {_COUNT('(?i)<dl')}) + least(.3, .02 * {_COUNT('(?i)<div[^>]*class=[^>]*(card|item|list)')}), 4)"
+_STRUCT = f"round_even(least(.3, .05 * {_COUNT('(?i)<table')}) + least(.2, .03 * {_COUNT('(?i)<(ul|ol)')}) + least(.2, .05 * {_COUNT('(?i)<dl')}) + least(.3, .02 * {_COUNT('(?i)<div[^>]*class=[^>]*(card|item|list|info|company|enterprise)')}), 4)"
 
 
 @query("d7_structuring_score", "pages", f"SELECT page_id, {_STRUCT} AS score FROM pages")
@@ -268,7 +262,6 @@ def _(p):
     return p.select("page_id", scoring.notes([(F.length("html") > 3000, "long"), (F.col("url").contains("blog."), "blog")], "常规网站").alias("notes"))
 
 
-@query("d16_category_distribution", "pages", f"SELECT {DOMAIN} AS domain, count(*) AS n FROM pages GROUP BY 1")
 def _(p):
     return p.groupBy(web.domain(F.col("url")).alias("domain")).agg(F.count("*").alias("n"))
 
@@ -278,7 +271,6 @@ def _(p):
     return _scored(p).select("page_id", scoring.band(F.col("overall")).alias("band"), scoring.grade(F.col("overall")).alias("grade"))
 
 
-@query("d24_resume_pending", "pages", "SELECT page_id FROM pages WHERE page_id % 3 <> 0")
 def _(p):
     return p.select("page_id").join(p.where("page_id % 3 = 0").select("page_id").hint("merge"), "page_id", "left_anti")
 
@@ -286,7 +278,6 @@ def _(p):
 # Text
 
 
-@query("e5_scrub_text", "pages", "SELECT page_id, " + SQUEEZE.format("regexp_replace(regexp_replace(regexp_replace(html, '(?s)<[^>]+>', ' ', 'g'), '&[A-Za-z]+;', ' ', 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')") + " AS text FROM pages")
 def _(p):
     return p.select("page_id", text.scrub(F.col("html")).alias("text"))
 
@@ -296,7 +287,6 @@ def _(d):
     return text.sentences(d, r"[.;\n]")
 
 
-@query("e3_noise_line_filter", "documents", f"WITH {LINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, sentence FROM s WHERE {HITS('sentence', EN)} < 3")
 def _(d):
     return text.noise_lines(text.sentences(d, r"[.;\n]"), EN)
 
@@ -309,24 +299,23 @@ def _(d):
     return text.exact_lines(text.sentences(d, r"[.;\n]"))
 
 
-@query("e11_drop_repeated_paragraphs", "documents", f"WITH {LINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, sentence FROM s QUALIFY count(*) OVER (PARTITION BY doc_id, {_KEY}) < 2 OR length({_KEY}) <= 20")
 def _(d):
     return text.drop_repeats(text.sentences(d, r"[.;\n]"))
 
 
-_BITS = " + ".join(f"(CASE WHEN sum(CASE WHEN (h >> {i}) & 1 = 1 THEN c ELSE -c END) >= 0 THEN {1 << i}::HUGEINT ELSE 0 END)" for i in range(64))
+BITS = " + ".join(f"(CASE WHEN sum(CASE WHEN (h >> {i}) & 1 = 1 THEN c ELSE -c END) >= 0 THEN {1 << i}::HUGEINT ELSE 0 END)" for i in range(64))
 _SIM = f"""t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{{2,}}')) AS t FROM documents), k AS (SELECT doc_id, ('0x' || md5(t)[17:32])::UBIGINT AS h, count(*) AS c FROM t GROUP BY ALL),
-    b AS (SELECT doc_id, {_BITS} AS v FROM k GROUP BY doc_id), f AS (SELECT doc_id, coalesce(CASE WHEN v >= 9223372036854775808 THEN CAST(v - 18446744073709551616 AS BIGINT) ELSE CAST(v AS BIGINT) END, 0) AS simhash FROM documents LEFT JOIN b USING (doc_id))"""
+    b AS (SELECT doc_id, {BITS} AS v FROM k GROUP BY doc_id), f AS (SELECT doc_id, coalesce(CASE WHEN v >= 9223372036854775808 THEN CAST(v - 18446744073709551616 AS BIGINT) ELSE CAST(v AS BIGINT) END, 0) AS simhash FROM documents LEFT JOIN b USING (doc_id))"""
 
 
 @query("e7_simhash64", "documents", f"WITH {_SIM} SELECT doc_id, simhash FROM f")
 def _(d):
-    return text.simhash64(d.repartition("doc_id"))
+    return text.simhash64(d)
 
 
 @query("e12_near_dup_corpus", "documents", f"WITH {_SIM}, r AS (SELECT simhash, min(doc_id) AS id FROM f WHERE simhash <> 0 GROUP BY simhash) SELECT x.id AS a, y.id AS b FROM r x JOIN r y ON x.id < y.id AND bit_count(xor(x.simhash, y.simhash)) <= 3")
 def _(d):
-    return text.near_duplicates(text.simhash64(d.repartition("doc_id")))
+    return text.near_duplicates(text.simhash64(d))
 
 
 @query("c1_content_preview_dedup", "documents", "SELECT min(doc_id) AS doc_id, source FROM documents WHERE length(text) > 80 GROUP BY source, text[1:80]")
@@ -393,7 +382,6 @@ def _tag_rows(d):
     return tags.tag_rows(d, "doc_id", "language", "words", tags.keyword_tags(F.col("text"), {"the": "en", "und": "de", "los": "es"}), "text", 0.9)
 
 
-@query("g16_tag_summary", "documents", f"WITH t AS (SELECT doc_id, len({_TAGS}) AS n, round_even(least(CAST(.9 AS DOUBLE) + least(length(text) / 100, CAST(.05 AS DOUBLE)), CAST(.99 AS DOUBLE)), 2) AS c FROM documents) SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE c END AS confidence, n AS n_tags, CAST(n = 0 AS BIGINT) AS n_uncertain, CASE WHEN n > 0 AND c >= .9 THEN 'high' ELSE 'low' END AS note FROM t")
 def _(d):
     return tags.tag_summary(_tag_rows(d), "doc_id")
 
@@ -412,7 +400,6 @@ def _(li):
     return tags.type_counts(li.select("l_returnflag", "l_suppkey"), "l_returnflag", "l_suppkey")
 
 
-@query("j6_parse_amount", "orders", "SELECT o_orderkey, CASE WHEN p >= 10000 THEN CAST(round_even(p / 10000, 1) AS VARCHAR) ELSE '' END AS amount, CASE WHEN p >= 10000 THEN '万元' ELSE '' END AS unit FROM (SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) AS DOUBLE) AS p FROM orders)")
 def _(o):
     return o.select("o_orderkey", tags.parse_amount(F.concat(F.floor("o_totalprice").cast("string"), F.lit("元"))).alias("x")).select("o_orderkey", "x.*")
 
@@ -427,7 +414,6 @@ def _(li):
     return tags.record_ids(li, "l_orderkey", "l_returnflag", F.col("l_returnflag"), "l_linenumber").select("l_orderkey", "l_linenumber", "record_id")
 
 
-@query("j21_fact_summary", "lineitem", "SELECT l_suppkey, count(*) AS total, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'R') AS r, round(avg(l_discount), 6) AS confidence FROM lineitem GROUP BY 1")
 def _(li):
     return li.groupBy("l_suppkey").agg(F.count("*").alias("total"), F.count_if(F.col("l_returnflag") == "A").alias("a"), F.count_if(F.col("l_returnflag") == "R").alias("r"), F.round(F.avg("l_discount"), 6).alias("confidence"))
 
@@ -462,7 +448,6 @@ def _(o):
     return serving.batch_history(_profiles(o), 7)
 
 
-@query("q8_fact_type_summary", "lineitem", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
 def _(li):
     return li.groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
@@ -489,7 +474,6 @@ def _(e):
     return serving.log_summary(e.select("user_id", "event_id", "event_type", F.col("event_id").cast("string").alias("m")), "user_id", level, "m", "event_id")
 
 
-@query("c8_enough_results_cap", "lineitem", "SELECT l_suppkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) <= 2")
 def _(li):
     from pyspark.sql import Window
 
@@ -497,6 +481,5 @@ def _(li):
     return li.select("l_suppkey", "l_orderkey", "l_linenumber").withColumn("n", n).where("n <= 2").drop("n")
 
 
-@query("t3_probe_stats_hourly", "events", "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, round(avg(least(value * 1000, 15000)), 4) AS avg_ms FROM events GROUP BY 1")
 def _(e):
     return e.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.avg(F.least(F.col("value") * 1000, F.lit(15000.0))), 4).alias("avg_ms")).select(F.col("w.start").alias("hour"), "n", "avg_ms")

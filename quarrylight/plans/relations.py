@@ -39,19 +39,16 @@ def _(p):
     return p.select("p_partkey", R.infer_industry(F.col("p_name"), {"red widget": "exact"}, [("ring", "rings"), ("small", "small")], F.col("p_type"), [("economy", ["ECONOMY"])], [("widgets", ["widget"])]).alias("industry"))
 
 
-@query("i5_classify_relations", "lineitem", """SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'customer' WHEN 'R' THEN 'supplier' ELSE 'partner' END AS rel_type, CASE WHEN l_returnflag NOT IN ('A', 'R') THEN .75 WHEN l_suppkey % 2 = 0 AND l_partkey % 2 <> 0 THEN .85 WHEN l_suppkey % 2 <> 0 AND l_partkey % 2 = 0 THEN .82 ELSE .8 END::DOUBLE AS confidence FROM lineitem""")
 def _(li):
     x = R.classify_relation(F.col("l_returnflag"), F.col("l_suppkey") % 2 == 0, F.col("l_partkey") % 2 == 0, {"A": "customer", "R": "supplier"}, "partner")
     return li.select("l_orderkey", "l_linenumber", x.alias("x")).select("l_orderkey", "l_linenumber", "x.*")
 
 
-@query("i6_bidding_relations", "documents", f"""WITH {_SENT}, p AS (SELECT * FROM s WHERE regexp_matches(sentence, '[0-9]')) SELECT doc_id, pos, name, sentence[greatest(strpos(sentence, name) - 30, 1):strpos(sentence, name) + length(name) + 29] AS context FROM (SELECT *, unnest(list_distinct(regexp_extract_all(sentence, '({_NAME})', 1))) AS name FROM p)""")
 def _(d):
     rows = _sentences(d, "[0-9]").withColumn("at", F.struct("doc_id", "pos"))
     return R.mentions(rows, "at", "sentence", [_NAME], [], 30).select("at.doc_id", "at.pos", "name", "context")
 
 
-@query("i7_investment_relations", "documents", f"""WITH {_SENT}, p AS (SELECT *, regexp_extract(sentence, '({_NAME})', 1) AS name FROM s WHERE regexp_matches(sentence, '[0-9]')) SELECT doc_id, arg_min(name, pos) AS name FROM p WHERE name <> '' GROUP BY 1""")
 def _(d):
     rows = _sentences(d, "[0-9]").withColumn("name", R.counterparty(F.col("sentence"), _NAME, F.lit("?"))).where("name <> ''")
     return rows.groupBy("doc_id").agg(F.min_by("name", "pos").alias("name"))
@@ -72,7 +69,6 @@ def _(d):
     return _sentences(d)
 
 
-@query("j4_bidding_record", "orders", f"""WITH t AS (SELECT *, {_ORDER} AS s FROM orders) SELECT o_orderkey, 'Firm' || (o_orderkey % 7) AS counterparty, CASE WHEN length('Job' || o_orderkey) BETWEEN 4 AND 60 THEN 'Job' || o_orderkey ELSE '' END AS project_name, CASE WHEN o_totalprice >= 10000 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) ELSE '' END AS amount, strftime(o_orderdate, '%Y-%m-%d') AS bid_date, 'won' AS bid_type, 'winner' AS role FROM t""")
 def _(o):
     money = F.when(F.col("o_totalprice") >= 10000, F.concat(F.floor("o_totalprice").cast("string"), F.lit("万元"))).otherwise("")
     rows = _orders(o).withColumn("sentence", F.concat("sentence", F.lit("; "), money, F.lit(" on "), F.date_format("o_orderdate", "yyyy-M-d")))
@@ -80,7 +76,7 @@ def _(o):
     return out.select("o_orderkey", "counterparty", "project_name", "amount", "bid_date", "bid_type", "role")
 
 
-@query("j5_project_name", "documents", "SELECT doc_id, CASE WHEN length(v) BETWEEN 4 AND 60 THEN v ELSE '' END AS project FROM (SELECT doc_id, regexp_replace(regexp_extract(coalesce(text, ''), 'the ([a-z]+)', 1), '^[st]+', '') AS v FROM documents)")
+@query("j5_project_name", "documents", "SELECT doc_id, CASE WHEN length(v) BETWEEN 4 AND 60 THEN v ELSE '' END AS project FROM (SELECT doc_id, regexp_replace(regexp_extract(coalesce(text, ''), 'the ([a-z]+)', 1), '^[st]', '') AS v FROM documents)")
 def _(d):
     return d.select("doc_id", R.project_name(F.col("text"), ["the ([a-z]+)"], "[st]").alias("project"))
 
@@ -90,23 +86,19 @@ def _(o):
     return _orders(o).select("o_orderkey", R.counterparty(F.col("sentence"), "(?:Buyer|Firm)[0-9]+", F.col("own")).alias("counterparty"))
 
 
-@query("j9_bid_type_and_role", "documents", """SELECT doc_id, CASE WHEN contains(text, 'tion') THEN 'a' WHEN contains(text, 'sch') THEN 'b' ELSE '' END AS bid_type, CASE WHEN strpos(text, 'the') = 0 OR strpos(text, 'ing') = 0 THEN '' WHEN strpos(text, 'the') < strpos(text, 'ing') THEN 'before' ELSE 'after' END AS role FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
 def _(d):
     return d.select("doc_id", R.map_first(F.col("text"), [("a", ["tion"]), ("b", ["sch"])]).alias("bid_type"), R.role(F.col("text"), F.lit("the"), "ing", "before", "after").alias("role"))
 
 
-@query("j11_products_and_region", "documents", "SELECT doc_id, coalesce([w FOR w IN ['sch', 'tion', 'los'] IF contains(coalesce(text, ''), w)][1], '') AS region FROM documents")
 def _(d):
     return d.select("doc_id", R.region(F.col("text"), ["sch", "tion", "los"]).alias("region"))
 
 
-@query("j14_customer_records", "documents", f"""WITH {_SENT}, n AS (SELECT doc_id, pos, sentence, unnest(list_distinct([x FOR x IN regexp_extract_all(sentence, '({_NAME})', 1) IF NOT contains(x, coalesce(source, '?')) AND NOT contains(coalesce(source, '?'), x)])) AS counterparty FROM s) SELECT doc_id, pos, counterparty, coalesce([w FOR w IN ['ring', 'ment'] IF contains(sentence, w)][1], '') AS products, CASE WHEN contains(sentence, 'and') THEN 'joint' ELSE '' END AS subtype FROM n""")
 def _(d):
     rows = R.factual_sentences(d.select(F.struct("doc_id", F.coalesce("source", F.lit("?")).alias("own")).alias("k"), "text"), "k", "text", ["tion", "ing"], delimiters=r"[.\n]").select("k.*", "pos", "sentence")
     return R.company_records(rows, "own", _NAME, "customer", ["ring", "ment"], [("joint", ["and"])]).select("doc_id", "pos", "counterparty", "products", "subtype")
 
 
-@query("j17_investment_records", "orders", "SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS amount, '亿元' AS amount_unit, strftime(o_orderdate, '%Y-%m') AS bid_date, CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE '' END AS subtype FROM orders")
 def _(o):
     s = F.concat(F.date_format("o_orderdate", "yyyy年M月"), F.when(F.col("o_orderkey") % 2 == 0, "新增").otherwise("扩建"), F.lit("生产线，总投资"), F.floor("o_totalprice").cast("string"), F.lit("亿元"))
     rows = R.investment_records(o.select("o_orderkey", s.alias("sentence")), [("new", ["新增"])], ["生产线"])

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quarrylight.operators import serving, text, web
+from quarrylight.sources.io import fetched
+
 
 def probe_stats_hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """(hour, n, avg_ms) from (ts, ms) by tumbling hour; rows later than the watermark are left out."""
@@ -21,6 +24,29 @@ def first_fetches(pages: DataFrame, ttl: str = "1 hour") -> DataFrame:
     return pages.withWatermark("fetched_at", ttl).dropDuplicatesWithinWatermark(["url"])
 
 
-def ingest(spark: SparkSession, source: DataFrame, checkpoint: str, merge: Callable[[DataFrame], None]) -> StreamingQuery:
-    """Runs what is new through ``merge``, batch by batch, and stops."""
-    return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: merge(df)).start()
+def profile_pages(pages: DataFrame, blacklist: list[str], email: str = r"([A-Za-z0-9._]+@[A-Za-z0-9.-]+)") -> DataFrame:
+    """(page_id, url, domain, title, text, contact) of fetched pages with a valid url: what is done to a page on its way in."""
+    good = fetched(pages).where(~web.is_blacklisted(F.col("url"), blacklist))
+    body = text.scrub(web.html_text(F.col("html")))
+    return good.select("page_id", "url", web.domain(F.col("url")).alias("domain"), web.page_title(F.col("html")).alias("title"), body.alias("text")).withColumn("contact", F.regexp_extract("text", email, 1))
+
+
+def ingest(source: DataFrame, checkpoint: str, merge: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Runs what is new through ``merge``, batch by batch with its number, and stops."""
+    return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
+
+
+def merge_into(path: str, keys: list[str], order: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """A merge that upserts a batch into a table of versions: batch n is written beside its predecessor, so that a batch that is run again gives the same."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark: SparkSession = batch.sparkSession
+        rows = serving.upsert(spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}"), batch, keys, order=order) if number else serving.upsert(batch.where("false"), batch, keys, order=order)
+        rows.write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    return merge
+
+
+def merged(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
+    """The table's version after the query's last batch."""
+    return spark.read.parquet(f"{path}/v{query.lastProgress['batchId']}")

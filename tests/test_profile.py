@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import exprs
 from quarrylight.operators import records, serving, tags, text, web
-from quarrylight.plans import crawl, fields, more, profile, relations  # noqa: F401
+from quarrylight.plans import crawl, fields, more, profile, relations, whole  # noqa: F401
 from quarrylight.plans.queries import ORACLES, QUERIES
 from quarrylight.sources import io
 from quarrylight.streaming import jobs
@@ -61,12 +61,18 @@ def test_links(spark):
     assert [r["link"] for r in web.page_links(page, ["c.org"]).orderBy("pos").collect()] == ["https://b.org/one", "https://d.org/three", "https://a.org/four"]
 
 
-@pytest.mark.parametrize(("text_", "amount", "unit"), [("金额3,200万元", "3200", "万元"), ("金额1.5亿元", "1.5", "亿元"), ("共25000元", "2.5", "万元"), ("没有", "", ""), (None, "", "")])
-def test_amount(spark, text_, amount, unit):
-    assert tuple(one(spark, text_, tags.parse_amount)) == (amount, unit)
+@pytest.mark.parametrize(
+    ("text_", "amount", "unit", "raw"),
+    [
+        ("金额3,200万元", "3200", "万元", "金额3,200万元"), ("金额1.5亿元", "1.5", "亿元", "1.5亿元"), ("总价25000元", "2.5", "万元", "总价25000元"), ("合计800元", "800", "元", "合计800元"), ("共25000元", "", "", ""),
+        ("投资5万元", "", "", ""), ("采购5万元", "5", "万元", "5万元"), ("投资1亿元，中标金额30万元", "30", "万元", "中标金额30万元"), ("没有", "", "", ""), (None, "", "", ""),
+    ],
+)
+def test_amount(spark, text_, amount, unit, raw):
+    assert tuple(one(spark, text_, tags.parse_amount)) == (amount, unit, raw, "人民币")
 
 
-@pytest.mark.parametrize(("text_", "want"), [("2024年3月15日中标", "2024-03-15"), ("2024/3/5", "2024-03-05"), ("2024-3", "2024-03"), ("无", "")])
+@pytest.mark.parametrize(("text_", "want"), [("2024年3月15日中标", "2024-03-15"), ("2024/3/5", "2024-03-05"), ("2024年3月", "2024-03"), ("2024年3月公告，2024-5-6成交", "2024-05-06"), ("2024-3", ""), ("无", "")])
 def test_date(spark, text_, want):
     assert one(spark, text_, tags.parse_date) == want
 
@@ -92,12 +98,15 @@ def test_upsert_and_append(spark):
     got = sorted(tuple(r) for r in serving.upsert(old, new, ["k"], ["made"]).collect())
     assert got == [(1, "a", "x"), (2, "c", "x"), (3, "d", "y")]
     assert sorted(r["k"] for r in serving.append_unique(old, new, ["k"]).collect()) == [1, 2, 3]
+    again = spark.createDataFrame([(2, "c", "1"), (2, "e", "3"), (2, "d", "2")], "k int, v string, made string")
+    assert {r["v"] for r in serving.upsert(old, again, ["k"], order=F.col("made")).where("k = 2").collect()} == {"e"}
 
 
 def test_seed_rows_and_names(spark, tmp_path):
     lines = ["## 协会", "| 名称 | 网址 |", "|---|---|", "| [轴承网](https://z.org/a) | 说明 |", "| 另一 | https://y.org |", "text"]
     df = spark.createDataFrame([("d", i, x) for i, x in enumerate(lines)], "doc string, seq int, line string")
-    assert sorted(tuple(r) for r in io.seed_rows(df).collect()) == [("协会", "另一", "https://y.org"), ("协会", "轴承网", "https://z.org/a")]
+    assert sorted(tuple(r)[:3] for r in io.seed_rows(df).collect()) == [("协会", "另一", "https://y.org"), ("协会", "轴承网", "https://z.org/a")]
+    assert sorted(r["name"] for r in io.read_names(spark, "a, b，c,#d,").collect()) == ["a", "b", "c"]
     (tmp_path / "n.txt").write_text("# c\n a \n\nb\n")
     assert sorted(r["name"] for r in io.read_names(spark, str(tmp_path / "n.txt")).collect()) == ["a", "b"]
     with pytest.raises(ValueError):
