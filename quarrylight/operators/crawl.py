@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import domain
 from quarrylight.functions.exprs import any_hit, in_both, words_array
 from quarrylight.operators.relations import EDGE
-from quarrylight.operators.web import cited, is_blacklisted, linked
+from quarrylight.operators.web import attributes, cited, is_blacklisted, linked
 from quarrylight.operators.web import domain as domain_of
 
 
@@ -96,12 +96,12 @@ def result_links(pages: DataFrame, key: str, html: str, engine: str, domains: li
     own = by(plain)
     for name, ps in patterns.items():
         own = F.when(F.col(engine) == name, by(ps)).otherwise(own)
-    found = F.concat(own, cited(F.col(html)))
-    absolute = F.filter(linked(F.col(html), F.lit("")), lambda x: x.rlike(r"^https?://"))
-    found = F.when(F.size(found) < least, F.concat(found, absolute)).otherwise(found)
+    rows = pages.select(key, own.alias("own"), attributes(F.col(html)).alias("attrs"), cited(F.col(html)).alias("cites"))
+    found = F.concat("own", "cites")
+    found = F.when(F.size(found) < least, F.concat(found, linked(F.col("attrs"), F.col("cites"), F.lit("")))).otherwise(found)
     links = F.array_distinct(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"[?#].*$", ""))))
     links = F.filter(links, lambda x: (x != "") & ~is_blacklisted(x, domains))
-    return pages.select(key, F.posexplode(F.slice(links, 1, most)).alias("pos", "link"))
+    return rows.select(key, F.posexplode(F.slice(links, 1, most)).alias("pos", "link"))
 
 
 def candidates(pages: DataFrame, key: str, domain: Column, tokens: list[str], seq: str, first: int = 5, others: int = 3) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.operators.text import close_pairs, simhash64
+from quarrylight.operators.text import close_pairs, simhash
 
 
 def weighted(segment: Column, high: Column) -> Column:
@@ -48,13 +48,12 @@ def segments(df: DataFrame, key: str, text: str, marker: str) -> DataFrame:
 def near_lines(lines: DataFrame, key: str, most: int = 3) -> DataFrame:
     """(key, pos, sentence) of the lines kept in order: each that isn't within so many bits of one kept before in its document.
 
-    Fingerprints are of (key, pos). Of equal ones the first line stays. Pairs of near ones meet in the tables of ``close_pairs``, by
+    Of equal fingerprints the first line stays. Pairs of near ones meet in the tables of ``close_pairs``, by
     document; only lines that have an earlier near one are gathered, to be decided in order, and all others stay.
     """
-    own = lines.withColumn("id", F.struct(key, "pos"))
-    marked = own.join(simhash64(own.select("id", F.col("sentence").alias("text")), r"[A-Za-z]{2,}|[一-龥]{2,}", "id").hint("merge"), "id")
+    marked = lines.withColumn("simhash", simhash(F.col("sentence"), r"[A-Za-z]{2,}|[一-龥]{2,}"))
     firsts = marked.groupBy(key, "simhash").agg(F.min(F.struct("pos", "sentence")).alias("x")).select(key, "simhash", "x.pos", "x.sentence")
-    pairs = close_pairs(firsts.select(key, F.col("pos").alias("id"), "simhash"), most, [key])
+    pairs = close_pairs(firsts.select(key, F.col("pos").alias("id"), "simhash"), most, [key], most + 1)
     later = pairs.groupBy(key, F.col("id2").alias("pos")).agg(F.collect_set("id").alias("near"))
     queue = later.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "near"))).alias("queue"))
     dropped = F.aggregate("queue", F.array().cast("array<bigint>"), lambda acc, x: F.when(F.size(F.array_except(x["near"], acc)) > 0, F.concat(acc, F.array(x["pos"]))).otherwise(acc))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +17,9 @@ from quarrylight.functions import domain
 from quarrylight.functions.exprs import strip
 
 
+KNOWN_TOKENS = 500_000  # whose hashes a task remembers
+
+
 def scrub(text: Column, markers: list[str] = domain.MARKERS) -> Column:
     """Without markers of sources and sections, tags, entities and control characters; blanks and tabs collapse, lines stay."""
     out = F.coalesce(text, F.lit(""))
@@ -58,48 +67,63 @@ def drop_repeats(lines: DataFrame, id_col: str = "doc_id", least: int = 20, size
     return own.where(kept | (size <= least_size) if size is not None else kept).drop("key", "n")
 
 
-def simhash64(docs: DataFrame, token: str = r"[A-Za-z]{2,}", id_col: str = "doc_id") -> DataFrame:
-    """(id, simhash), one row an id: bit i is set if the votes of the tokens' md5 bits are not negative; 0 without tokens.
+def simhash(text: Column, token: str = r"[A-Za-z]{2,}") -> Column:
+    """Bit i is set if the votes of the tokens' md5 bits are not negative; 0 without tokens. Texts are worked where they are read."""
 
-    Every token votes where its text is read, and a document's 64 sums are partial aggregates, so neither texts nor tokens are shuffled.
-    """
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({token})"), F.lit(1))
-    tokens = docs.select(id_col, F.explode_outer(found).alias("t"))
-    h = tokens.select(id_col, F.conv(F.substring(F.md5(F.col("t").cast("binary")), 17, 16), 16, -10).cast("long").alias("h"))
-    ones = lambda i: F.sum(F.shiftrightunsigned("h", i).bitwiseAND(1))
-    votes = h.groupBy(id_col).agg(F.count("h").alias("n"), *[ones(i).alias(f"b{i}") for i in range(64)])
-    word = F.lit(0).cast("long")
-    for i in range(64):
-        word = word.bitwiseOR(F.when(2 * F.col(f"b{i}") >= F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return votes.select(id_col, F.when(F.col("n") > 0, word).otherwise(F.lit(0).cast("long")).alias("simhash"))
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find, known = re.compile(token), {}
+        for batch in batches:
+            out = np.zeros(len(batch), np.int64)
+            for k, x in enumerate(batch):
+                count = Counter(find.findall(x)) if x else None
+                if not count:
+                    continue
+                new = [t for t in count if t not in known]
+                if len(known) > KNOWN_TOKENS:
+                    known.clear()
+                    new = list(count)
+                known.update((t, hashlib.md5(t.encode()).digest()[8:]) for t in new)
+                bits = np.unpackbits(np.frombuffer(b"".join([known[t] for t in count]), np.uint8).reshape(-1, 8), axis=1)
+                n = np.fromiter(count.values(), np.int64, len(count))
+                out[k] = np.packbits(2 * (n @ bits) >= n.sum()).view(">i8")[0]
+            yield pd.Series(out)
 
+    return run(text)
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+
+def simhash64(docs: DataFrame, token: str = r"[A-Za-z]{2,}", id_col: str = "doc_id") -> DataFrame:
+    """(id, simhash) of every row."""
+    return docs.select(id_col, simhash(F.col("text"), token).alias("simhash"))
 
 
-_BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # first bit and bits of the parts of a fingerprint
+def hamming(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
 
 
-def close_pairs(rows: DataFrame, most: int = 3, within: list[str] = ()) -> DataFrame:
-    """(within, id, simhash, id2, simhash2) of all pairs id < id2 that differ in up to 3 bits, each once.
+def close_pairs(rows: DataFrame, most: int = 3, within: list[str] = (), blocks: int = 6) -> DataFrame:
+    """(within, id, simhash, id2, simhash2) of all pairs id < id2 that differ in few bits, each once.
 
-    Of six blocks, three at least are equal then: the 20 tables of three blocks have keys of some 32 bits, so a bucket stays
-    small where fingerprints are many. A pair is taken from the first table whose blocks agree.
+    Of so many blocks of bits all but ``most`` at least are equal then, so rows meet in a table for each choice of blocks. Six blocks
+    make 20 tables with keys of some 32 bits, so that buckets stay small among very many fingerprints; four make four of 16
+    bits, enough among those of one document. A pair is taken from the first table whose blocks agree.
     """
-    if most > 3:
-        raise ValueError("six blocks find pairs of up to 3 bits")
-    part = lambda c, k: F.shiftrightunsigned(c, _BLOCKS[k][0]).bitwiseAND((1 << _BLOCKS[k][1]) - 1)
-    triples = list(combinations(range(6), 3))
-    keys = [F.shiftleft(F.shiftleft(F.shiftleft(part("simhash", a), 11).bitwiseOR(part("simhash", b)), 11).bitwiseOR(part("simhash", c)), 5).bitwiseOR(F.lit(k).cast("long")) for k, (a, b, c) in enumerate(triples)]
-    tables = rows.select(*within, "id", "simhash", F.explode(F.array(*keys)).alias("block"))
-    other = tables.select(*within, "block", F.col("id").alias("id2"), F.col("simhash").alias("simhash2"))
-    same = [part("simhash", k) == part("simhash2", k) for k in range(6)]
-    first = F.lit(-1)
-    for k, (a, b, c) in reversed(list(enumerate(triples))):
-        first = F.when(same[a] & same[b] & same[c], k).otherwise(first)
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    part = lambda c, k: F.shiftrightunsigned(c, cuts[k]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1)
+    choices = list(combinations(range(blocks), blocks - most))
+
+    def key(n: int, choice: tuple[int, ...]) -> Column:
+        out = part("simhash", choice[0])
+        for k in choice[1:]:
+            out = F.shiftleft(out, cuts[k + 1] - cuts[k]).bitwiseOR(part("simhash", k))
+        return F.shiftleft(out, 5).bitwiseOR(F.lit(n).cast("long"))
+
+    tables = rows.select(*within, "id", "simhash", F.explode(F.array(*[key(n, c) for n, c in enumerate(choices)])).alias("block"))
+    other = tables.select(*within, F.col("id").alias("id2"), F.col("simhash").alias("simhash2"), "block")  # in the same order, so that one shuffle serves both
+    equal = sum((F.when(part("simhash", k) == part("simhash2", k), 1 << k).otherwise(0) for k in range(blocks)), F.lit(0))
+    first = [next((n for n, c in enumerate(choices) if all(mask >> k & 1 for k in c)), -1) for mask in range(1 << blocks)]
     pairs = tables.join(other.hint("merge"), [*within, "block"]).where("id < id2").where(hamming(F.col("simhash"), F.col("simhash2")) <= most)
-    return pairs.where(F.col("block").bitwiseAND(31) == first).drop("block")
+    return pairs.where(F.col("block").bitwiseAND(31) == F.get(F.lit(first), equal)).drop("block")
 
 
 def near_duplicates(hashes: DataFrame, most: int = 3, id_col: str = "doc_id") -> DataFrame:

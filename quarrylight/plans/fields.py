@@ -122,6 +122,7 @@ def _(d, la):
     return fields.gap_fill(rows, answers, "doc_id", ["lang"])
 
 
-@query("f25_gap_queue", "documents", "SELECT doc_id, 'lang' AS field, coalesce(text, '')[1:6000] AS text_sample FROM documents WHERE coalesce(lang, '') = ''")
+@query("f25_gap_queue", "documents", "SELECT doc_id, unnest(list_filter([CASE WHEN coalesce(source, '') = '' THEN 'source' END, CASE WHEN NOT contains(text, '@') THEN 'contact' END], lambda x: x IS NOT NULL)) AS field, text[1:6000] AS text_sample FROM documents WHERE text IS NOT NULL")
 def _(d):
-    return fields.gap_queue(d.withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", ["lang"], "text")
+    rows = d.where("text IS NOT NULL").withColumn("contact", F.when(F.col("text").contains("@"), "known").otherwise("未提取到"))
+    return fields.gap_queue(rows, "doc_id", ["source", "contact"], "text")
