@@ -1,12 +1,16 @@
-"""Bigram language model scores from a log-frequency Bloom filter.
+"""Trigram language model scores from a log-frequency Bloom filter.
 
-Tokens are words with A-Z lower-cased, then one end token a text. Counts of words and of word pairs over all training texts go
-into a Bloom filter: a count c is quantised to level 1 + floor(log2 c) and every level up to it is inserted, so a count is read
-by probing levels 1, 2, ... until one misses. The filter is partitioned: a key's first bits name its segment, each segment
-is built where its keys were summed, and the bits grow with the tokens, at least four for each. Up to MAX_BITS the filter is
-broadcast. A larger one stays a table of segments: documents are dealt to blocks, a block sends its distinct keys to the
-segments and gets their levels back, so that a task holds some segments or a block. Both ways give the same scores. Probabilities are smoothed: p(w|v) = (c(v,w) + MU p(w)) / (c(v) + MU), with p(w) from the
-probed count of w.
+Tokens are words with A-Z lower-cased, then one end token a text. Counts of words and of word pairs over all training texts, and
+of triples that are seen LEAST times at least, go into a Bloom filter: a count c is quantised to level 1 + floor(log2 c) and every
+level up to it is inserted, so a count is read by probing levels 1, 2, ... until one misses. The filter is partitioned: a key's
+first bits name its segment, and a task sums and builds the segments of a bucket from the packed counts of all blocks of
+texts. The bits grow with the tokens, at least four for each. Up to MAX_BITS the filter is broadcast. A larger one stays a
+table of segments: documents are dealt to blocks, a block sends its distinct keys to the segments and gets their levels back,
+so that a task holds some segments or a block. Both ways give the same scores.
+
+Probabilities are smoothed by those of the shorter context: p(w|v) = (c(v,w) + MU p(w)) / (c(v) + MU) and
+p(w|u,v) = (c(u,v,w) + MU_3 p(w|v)) / (c(u,v) + MU_3), with p(w) from the probed count of w. A triple is only asked for where both of its
+pairs are seen LEAST times, as it couldn't be in the filter otherwise.
 
 The base score needs exact counts: those of the most frequent words come from a table of at most TABLE_ROWS rows, all
 others from a join.
@@ -34,11 +38,14 @@ from quarrylight.llm.words import Words, mix, signed, words
 TABLE_ROWS = 1 << 18
 BLOCK = 4_000_000  # tokens that are counted together in a task
 SEGMENT_BITS = 12
+KEY_BYTES = 6  # of a key's hash that the filter knows
 MAX_BITS = 1 << 29  # of a filter that is broadcast
 SEGMENT_SIZE = 17  # a power of two; there are more segments where they would be larger
 BUCKETS = 10  # a power of two; as many groups of segments at most that keys are sent to, until a group has as many segments
 BLOCK_CHARS = 8_000_000  # of the texts that ask for their keys together
-MU = 500.0
+MU, MU_3 = 500.0, 50.0
+LEAST = 2  # times that a triple is seen
+BUCKET_KEYS = 1 << 18  # of counted keys that are summed together, about
 END, START = np.uint64(0xE17D), np.uint64(0x57A7)
 _STEP = 0x9E3779B97F4A7C15
 
@@ -59,6 +66,18 @@ def _pair(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(mix(before + np.uint64(1)) + token)
 
 
+def _triple(pair: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Keys of the triples that end with the tokens; pair: the keys of the two before."""
+    return mix(mix(pair + np.uint64(0x3C6E)) + token)
+
+
+def _inner(offsets: np.ndarray) -> np.ndarray:
+    """Places of tokens that aren't the first of their text."""
+    inner = np.ones(int(offsets[-1]), bool)
+    inner[offsets[:-1]] = False
+    return np.flatnonzero(inner)
+
+
 def _single(token: np.ndarray) -> np.ndarray:
     return mix(token ^ np.uint64(0x51A61E))
 
@@ -67,30 +86,87 @@ def _segment_bits(bits: int) -> int:
     return max(SEGMENT_BITS, bits.bit_length() - 1 - SEGMENT_SIZE)
 
 
-def _counts(docs: DataFrame, pairs: bool, segment_bits: int = SEGMENT_BITS) -> DataFrame:
-    """Counted blocks of tasks: (h, c) of tokens; or (segment, h, c) of the filter's keys, pairs and tokens."""
+def _counts(docs: DataFrame) -> DataFrame:
+    """(h, c): tokens, counted by blocks of tasks."""
 
     def flush(held: list) -> pa.RecordBatch:
         h, c = np.unique(np.concatenate(held), return_counts=True)
-        cols = [pa.array(signed(h)), pa.array(c.astype(np.int64))]
-        if pairs:
-            return pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - segment_bits)).astype(np.int32)), *cols], names=["segment", "h", "c"])
-        return pa.RecordBatch.from_arrays(cols, names=["h", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for w in words(batch.column(0)):
-                token, before, _ = _tokens(w)
-                held += [_pair(before, token), _single(token)] if pairs else [token]
-                size += len(token)
+                held.append(_tokens(w)[0])
+                size += len(held[-1])
                 if size >= BLOCK:
                     yield flush(held)
                     held, size = [], 0
         if held:
             yield flush(held)
 
-    return docs.select("text").mapInArrow(released(run), ("segment int, " if pairs else "") + "h long, c long")
+    return docs.select("text").mapInArrow(released(run), "h long, c long")
+
+
+_PACKED = "bucket int, least int, keys binary, counts binary"
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray, least: int, bucket_bits: int) -> pa.RecordBatch:
+    """A row for each bucket of sorted keys: their first KEY_BYTES bytes, and their counts; least: what a key's sum has to reach."""
+    bucket, first = np.unique(keys >> np.uint64(64 - bucket_bits), return_index=True)
+    ends = [*first[1:].tolist(), len(keys)][: len(first)]
+    raw = keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+    cut = [(raw[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for a, b in zip(first.tolist(), ends, strict=True)]
+    arrays = [pa.array(bucket.astype(np.int32)), pa.array(np.full(len(bucket), least, np.int32)), pa.array([x for x, _ in cut], pa.binary()), pa.array([y for _, y in cut], pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "least", "keys", "counts"])
+
+
+def _cut(h: np.ndarray) -> np.ndarray:
+    """Keys as the filter knows them, by their first KEY_BYTES bytes."""
+    return h & np.uint64((1 << 64) - (1 << (64 - 8 * KEY_BYTES)))
+
+
+def _blocks(docs: DataFrame, counts: DataFrame, bucket_bits: int) -> DataFrame:
+    """Packed counts of the filter's keys: pairs and triples by blocks of texts, and single tokens from their table."""
+
+    def flush(pairs: list, triples: list) -> Iterator[pa.RecordBatch]:
+        for held, least in ((pairs, 1), (triples, LEAST)):
+            h, c = np.unique(_cut(np.concatenate(held)), return_counts=True)
+            yield _packed(h, c, least, bucket_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, triples, size = [], [], 0
+        for batch in batches:
+            for w in words(batch.column(0)):
+                token, before, off = _tokens(w)
+                pair, at = _pair(before, token), _inner(off)
+                pairs.append(pair)
+                triples.append(_triple(pair[at - 1], token[at]))
+                size += len(token)
+                if size >= BLOCK:
+                    yield from flush(pairs, triples)
+                    pairs, triples, size = [], [], 0
+        if pairs:
+            yield from flush(pairs, triples)
+
+    def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        h, c = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+        h = _cut(_single(h.astype(np.int64).view(np.uint64)))
+        order = np.argsort(h)
+        return _packed(h[order], np.minimum(c[order], (1 << 32) - 1), 1, bucket_bits)
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= BLOCK // 8:
+                yield one(held)
+                held, size = [], 0
+        if held:
+            yield one(held)
+
+    return docs.select("text").mapInArrow(released(run), _PACKED).unionByName(counts.select("h", "c").mapInArrow(released(single), _PACKED))
 
 
 def _places(h: np.ndarray, level: int, mask: np.uint64) -> list[np.ndarray]:
@@ -99,35 +175,39 @@ def _places(h: np.ndarray, level: int, mask: np.uint64) -> list[np.ndarray]:
     return [(x & mask).astype(np.int64) for x in (v, v >> np.uint64(20), v >> np.uint64(40), mix(v))]
 
 
-def segments(keys: DataFrame, bits: int) -> DataFrame:
-    """(segment, bits) of the filter, from (segment, h, c) of counted blocks; segments without keys are left out."""
+def segments(docs: DataFrame, counts: DataFrame, tokens: int, bits: int) -> DataFrame:
+    """(segment, bits) of the filter; segments without keys are left out."""
     segment_bits = _segment_bits(bits)
-    size = bits >> segment_bits
+    bucket_bits = min(segment_bits, max(8, (2 * max(1, tokens) // BUCKET_KEYS).bit_length()))
+    size, inner = bits >> segment_bits, segment_bits - bucket_bits
     mask = np.uint64(size - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, bitmap = np.full(1 << segment_bits, -1), np.zeros((0, size), bool)
-        for batch in batches:
-            segment, h, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            new = np.unique(segment[at[segment] < 0])
-            at[new] = len(bitmap) + np.arange(len(new))
-            if len(new):
-                bitmap = np.concatenate([bitmap, np.zeros((len(new), size), bool)])
-            h, level = h.astype(np.int64).view(np.uint64), 1 + np.floor(np.log2(c)).astype(np.int64)
-            for k in range(1, int(level.max(initial=0)) + 1):
-                has = level >= k
-                for place in _places(h[has], k, mask):
-                    bitmap[at[segment[has]], place] = True
-        own = np.flatnonzero(at >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([np.packbits(bitmap[at[s]], bitorder="little").tobytes() for s in own], pa.binary())], names=["segment", "bits"])
-
-    summed = keys.repartition("segment").groupBy("segment", "h").agg(F.sum("c").alias("c"))
-    return summed.mapInArrow(released(run), "segment int, bits binary")
-
-
-def build_filter(keys: DataFrame, bits: int) -> np.ndarray:
+        for bucket, got in _groups(batches):
+            bitmap = np.zeros((1 << inner, size), bool)
+            for least in (1, LEAST):
+                own = got.filter(pc.equal(got.column("least"), least))
+                raw = np.frombuffer(b"".join(own.column("keys").to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+                h = np.zeros((len(raw), 8), np.uint8)
+                h[:, :KEY_BYTES] = raw
+                h, back = np.unique(h.reshape(-1).view(">u8").astype(np.uint64), return_inverse=True)
+                c = np.bincount(back, np.frombuffer(b"".join(own.column("counts").to_pylist()), "<u4"), len(h))
+                h, c = h[c >= least], c[c >= least]
+                level, row = 1 + np.floor(np.log2(c)).astype(np.int64), ((h >> np.uint64(64 - segment_bits)) & np.uint64((1 << inner) - 1)).astype(np.int64)
+                for k in range(1, int(level.max(initial=0)) + 1):
+                    has = level >= k
+                    for place in _places(h[has], k, mask):
+                        bitmap[row[has], place] = True
+            parts = [np.packbits(x, bitorder="little").tobytes() for x in bitmap]
+            yield pa.RecordBatch.from_arrays([pa.array(((bucket << inner) + np.arange(1 << inner)).astype(np.int32)), pa.array(parts, pa.binary())], names=["segment", "bits"])
+
+    packed = _blocks(docs, counts, bucket_bits).repartition("bucket").sortWithinPartitions("bucket")
+    return packed.mapInArrow(released(run), "segment int, bits binary")
+
+
+def build_filter(table: DataFrame, bits: int) -> np.ndarray:
     """The filter's bytes."""
-    size, got = bits >> _segment_bits(bits), segments(keys, bits).toArrow()
+    size, got = bits >> _segment_bits(bits), table.toArrow()
     out = np.zeros(bits >> 3, np.uint8)
     for segment, part in zip(got.column("segment").to_pylist(), got.column("bits").to_pylist(), strict=True):
         out[segment * (size >> 3) : (segment + 1) * (size >> 3)] = np.frombuffer(part, np.uint8)
@@ -172,24 +252,33 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"table": None}  # of no use in a task
 
-    def log_probabilities(self, token: np.ndarray, before: np.ndarray, asked: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    def log_probabilities(self, token: np.ndarray, before: np.ndarray, offsets: np.ndarray, asked: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """asked: sorted keys and their levels, where the filter is a table."""
         count_of = (lambda h: probe(self.bitmap, h)) if asked is None else (lambda h: _middle(asked[1][np.searchsorted(asked[0], h)]))
         own, back = np.unique(token, return_inverse=True)
-        count = count_of(_single(own))
+        count = count_of(_cut(_single(own)))
         p = (count + 1) / (self.tokens + self.types + 1)
         known = np.concatenate([own, [START]])
         order = np.argsort(known)
         at = order[np.minimum(np.searchsorted(known, before, sorter=order), len(known) - 1)]  # what stands before is a token of the text or its start
         c_before = np.concatenate([count, [float(self.texts)]])[at]
-        pairs, pair_back = np.unique(_pair(before, token), return_inverse=True)
+        whole = _pair(before, token)
+        pairs, pair_back = np.unique(_cut(whole), return_inverse=True)
         c_pair = np.minimum(count_of(pairs)[pair_back], c_before)
-        return np.log10(np.minimum(1.0, (c_pair + MU * p[back]) / (c_before + MU)))
+        p = (c_pair + MU * p[back]) / (c_before + MU)
+        at = _inner(offsets)
+        c_last, c_triple = c_pair[at - 1], np.zeros(len(at))
+        ask = np.flatnonzero((c_last >= LEAST) & (c_pair[at] >= LEAST))
+        if len(ask):
+            triples, triple_back = np.unique(_cut(_triple(whole[at[ask] - 1], token[at[ask]])), return_inverse=True)
+            c_triple[ask] = np.minimum(count_of(triples)[triple_back], np.minimum(c_last[ask], c_pair[at[ask]]))
+        p[at] = (c_triple + MU_3 * p[at]) / (c_last + MU_3)
+        return np.log10(np.minimum(1.0, p))
 
 
 def train(docs: DataFrame, max_bits: int = MAX_BITS) -> tuple[Model, DataFrame]:
     """The model of all rows of ``text``, and the exact counts (h, c) of all tokens as a table."""
-    counts = save(_counts(docs, False).groupBy("h").agg(F.sum("c").alias("c")))
+    counts = save(_counts(docs).groupBy("h").agg(F.sum("c").alias("c")))
     level = F.floor(F.log2("c") * 8).cast("int")
     by_level = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.sum("c").alias("c")).collect(), key=lambda r: -r["level"])
     tokens, types = sum(r["c"] for r in by_level), sum(r["rows"] for r in by_level)
@@ -204,8 +293,8 @@ def train(docs: DataFrame, max_bits: int = MAX_BITS) -> tuple[Model, DataFrame]:
     end = dict(zip(keys.tolist(), c.tolist(), strict=True)).get(int(END))
     texts = end if end is not None else docs.count()
     bits = max(1 << 22, 1 << (4 * max(1, tokens) - 1).bit_length())
-    own = _counts(docs, True, _segment_bits(bits))
-    bitmap, table = (build_filter(own, bits), None) if bits <= max_bits else (None, save(segments(own, bits)))
+    own = segments(docs, counts, tokens, bits)
+    bitmap, table = (build_filter(own, bits), None) if bits <= max_bits else (None, save(own))
     return Model(bitmap, tokens, types, texts, keys[order], c[order], bits, table), counts
 
 
@@ -218,7 +307,7 @@ def _scored(m: Model, w: Words, serial: pa.Array, ids: pa.Array, asked: tuple[np
     exact = np.where(hit, m.counts[at], 0) if len(m.keys) else np.zeros(len(token))
     base = np.bincount(row, np.log10(exact + 1.0), rows)
     known = np.bincount(row[hit], minlength=rows)
-    total = np.bincount(row, m.log_probabilities(token, before, asked), rows)
+    total = np.bincount(row, m.log_probabilities(token, before, off, asked), rows)
     rest = np.flatnonzero(~hit)  # in row order
     rest = rest[np.lexsort((token[rest], row[rest]))]
     new = np.ones(len(rest), bool)
@@ -258,8 +347,9 @@ def _asked(plain: DataFrame, model: Model, shared, schema: str) -> DataFrame:
     def keys_of(texts: pa.ChunkedArray) -> np.ndarray:
         held = []
         for w in words(texts):
-            token, before, _ = _tokens(w)
-            held.append(np.unique(np.concatenate([_pair(before, token), _single(token)])))
+            token, before, off = _tokens(w)
+            pair, at = _pair(before, token), _inner(off)
+            held.append(np.unique(_cut(np.concatenate([pair, _triple(pair[at - 1], token[at]), _single(token)]))))
         return np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

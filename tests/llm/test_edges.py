@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarrylight.llm import chat_format, components, decontaminate, language_id, ngram_join, topk_search, url_filter
+from quarrylight.llm import chat_format, components, decontaminate, language_id, ngram_join, ngram_lm, topk_search, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -188,3 +188,52 @@ def test_leaks_of_paraphrases(spark):
     texts = [" ".join(norm(" ".join(w))) for _, w in items]
     for r in decontaminate.find_leaks(hosts, bench, carry=["doc_id"]).collect():
         assert not r["leaks"] or any(t in " ".join(norm(" ".join(clean[r["doc_id"]]))) for t in texts)
+
+
+def test_scores_equal_exact_counts(spark):
+    """The smoothed probabilities of exact counts, quantised as the filter does; a false hit of the filter is rare at this size."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(9001, None), (9002, ""), (9003, "one"), (9004, "a b"), (9004, "a b a b a b")], "doc_id long, text string"))
+    rows = [(r["doc_id"], [*re.findall(r"[^\x20\x09-\x0D]+", (r["text"] or "").translate({k: k + 32 for k in range(65, 91)})), None]) for r in docs.collect()]
+    one, two, three = {}, {}, {}
+    for _, t in rows:
+        t = ["", *t]  # no word is empty: the start
+        for k in range(1, len(t)):
+            one[t[k]] = one.get(t[k], 0) + 1
+            two[t[k - 1], t[k]] = two.get((t[k - 1], t[k]), 0) + 1
+            if k > 1:
+                three[tuple(t[k - 2 : k + 1])] = three.get(tuple(t[k - 2 : k + 1]), 0) + 1
+
+    def quantised(c):
+        low = 2.0 ** math.floor(math.log2(c)) if c else 0
+        return math.sqrt(low * (2 * low - 1)) if c else 0.0
+
+    total, types = sum(one.values()), len(one)
+    want = []
+    for i, t in rows:
+        t, score, last = ["", *t], 0.0, 0.0
+        for k in range(1, len(t)):
+            before = quantised(one[t[k - 1]]) if k > 1 else float(len(rows))
+            p = (quantised(one[t[k]]) + 1) / (total + types + 1)
+            pair = min(quantised(two[t[k - 1], t[k]]), before)
+            p = (pair + ngram_lm.MU * p) / (before + ngram_lm.MU)
+            if k > 1:
+                c = three[tuple(t[k - 2 : k + 1])]
+                triple = min(quantised(c), last, pair) if c >= ngram_lm.LEAST else 0.0
+                p = (triple + ngram_lm.MU_3 * p) / (last + ngram_lm.MU_3)
+            score, last = score + math.log10(min(1.0, p)), pair
+        want.append((i, len(t) - 1, score))
+    got = sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in ngram_lm.score(docs, *ngram_lm.train(docs)).collect())
+    apart = [abs(a[2] - b[2]) for a, b in zip(got, sorted(want), strict=True)]
+    assert [a[:2] for a in got] == [b[:2] for b in sorted(want)]
+    assert sum(x < 1e-6 for x in apart) >= 0.8 * len(want) and sum(apart) <= 0.001 * -sum(w[2] for w in want)
+
+
+def test_texts_seen_twice_score_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("length(text) > 300")
+    seen = docs.groupBy("text").count().where("count = 1").join(docs, "text").orderBy("doc_id").select("doc_id", "text")
+    twice = seen.limit(60)
+    model, counts = ngram_lm.train(seen.unionByName(twice))
+    per = {r["doc_id"]: r["score"] / r["n_tokens"] for r in ngram_lm.score(seen, model, counts).collect()}
+    copied = {r["doc_id"] for r in twice.collect()}
+    cut = np.quantile([v for k, v in per.items() if k not in copied], 0.9)
+    assert np.mean([per[k] > cut for k in copied]) >= 0.8
