@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quarrylight.llm.frames import released
 from quarrylight.llm.words import row_slices
 
-BATCH_LEAVES = 64
+BATCH_LEAVES, BATCH_PIECES = 64, 8_000
 CACHE_PIECES = 200_000
 _NONE = np.int32(1 << 30)
 
@@ -78,8 +78,8 @@ class BPE:
             else:
                 out[i] = self.encode_long(p)
         for leaves, rows in groups.items():
-            for k in range(0, len(rows), 20_000):
-                part = rows[k : k + 20_000]
+            for k in range(0, len(rows), BATCH_PIECES):
+                part = rows[k : k + BATCH_PIECES]
                 for i, ids in zip(part, self._trees([pieces[i] for i in part], leaves), strict=True):
                     out[i] = ids
         return out

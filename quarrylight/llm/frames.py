@@ -7,12 +7,20 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
+BATCH_BYTES = 8 << 20
+_SIZE = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator]) -> Callable[[Iterator[pa.RecordBatch]], Iterator]:
-    """``run``, after which the Python worker gives back what it has freed: workers are reused, and idle ones would keep it."""
+    """``run``, after which the Python worker gives back what it has freed: workers are reused, and idle ones would keep it.
+
+    A session that has Spark's default size of Arrow batches, 64 MB, gets one of BATCH_BYTES: executor and worker each hold some.
+    """
+    if (session := SparkSession.getActiveSession()) is not None and session.conf.get(_SIZE, "").removesuffix("b") == str(64 << 20):
+        session.conf.set(_SIZE, str(BATCH_BYTES))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator:
         try:

@@ -32,7 +32,7 @@ from quarrylight.llm.frames import released
 from quarrylight.llm.words import mix, ngrams, signed, words
 
 TABLE_ROWS = 1 << 18  # rows at most in each of the two frequency tables that are broadcast
-BLOCK = 2_000_000  # words that are counted together in a task
+BLOCK = 1_000_000  # words that are counted together in a task
 FREQUENT_IN_BLOCK = 3
 MARK_BITS, MARK_PARTS = (1 << 23, 1 << 27), 16  # of the filter that picks documents to verify: at least and at most
 PIVOTS = 6  # of a bucket in each round
@@ -44,9 +44,9 @@ def _frequencies(docs: DataFrame, n: int) -> DataFrame:
     """(kind, h, c): counts of words (0), and of n-grams that a block of a task has much more often than their words explain (1)."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate([w.hash for w in held])
-        ends = np.cumsum([0] + [len(w.hash) for w in held])
-        bounds = np.concatenate([[0], *[w.bounds[1:] + e for w, e in zip(held, ends, strict=False)]])
+        h = np.concatenate([x for x, _ in held])
+        ends = np.cumsum([0] + [len(x) for x, _ in held])
+        bounds = np.concatenate([[0], *[b[1:] + e for (_, b), e in zip(held, ends, strict=False)]])
         own, back, count = np.unique(h, return_inverse=True, return_counts=True)
         grams, off = ngrams(h, bounds, n)
         alone = _window_sums(np.log2(count)[back] - np.log2(max(1, len(h))), bounds, n, off) + np.log2(max(1, len(h)))
@@ -59,8 +59,8 @@ def _frequencies(docs: DataFrame, n: int) -> DataFrame:
         held: list = []
         for batch in batches:
             for w in words(batch.column(0)):
-                held.append(w)
-                if sum(len(x.hash) for x in held) >= BLOCK:
+                held.append((w.hash, w.bounds))
+                if sum(len(x) for x, _ in held) >= BLOCK:
                     yield from flush(held)
                     held = []
         if held:
