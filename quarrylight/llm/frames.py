@@ -19,7 +19,7 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator]) -> Callable[[I
 
     A session that has Spark's default size of Arrow batches, 64 MB, gets one of BATCH_BYTES: executor and worker each hold some.
     """
-    if (session := SparkSession.getActiveSession()) is not None and session.conf.get(_SIZE, "").removesuffix("b") == str(64 << 20):
+    if (session := SparkSession.getActiveSession()) is not None and session.conf.get(_SIZE).removesuffix("b") == str(64 << 20):
         session.conf.set(_SIZE, str(BATCH_BYTES))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator:
