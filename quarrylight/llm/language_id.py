@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.frames import extend, inputs_of
+from quarrylight.llm.frames import extend, inputs_of, released
 from quarrylight.llm.words import row_slices, text_buffers
 
 SLOTS = 1 << 16
@@ -64,7 +64,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], names=["lang", "slot", "c"])
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
-    got = rows.mapInArrow(run, "lang string, slot int, c long").groupBy("lang", "slot").agg(F.sum("c").alias("c")).toArrow()
+    got = rows.mapInArrow(released(run), "lang string, slot int, c long").groupBy("lang", "slot").agg(F.sum("c").alias("c")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     counts = np.full((SLOTS, max(1, len(langs))), 0.5)
     place = {x: k for k, x in enumerate(langs)}
