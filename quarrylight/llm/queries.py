@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import byte_bpe, chat_format, decontaminate, html_extract, language_id, ngram_join, ngram_lm, secret_scan, topk_search, url_filter
+from quarrylight.llm import byte_bpe, chat_format, conversation_trie, decontaminate, hash_search, html_extract, language_id, ngram_join, ngram_lm, run_detect, secret_scan, topk_search, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, carry=["doc_id"]).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "langs")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    texts = docs.select("doc_id", run_detect.with_period(F.col("text"), F.col("doc_id")).alias("text"))
+    return run_detect.digests(run_detect.find_runs(texts, carry=["doc_id"]))
+
+
+def op12_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_search.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(conversation_trie.rebuilt(conversation_trie.encode(_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_topk": op2_exact_topk,
@@ -76,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_multi_index_hashing": op12_multi_index_hashing,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -103,4 +120,22 @@ ORACLES: dict[str, str] = {
                coalesce(CAST(sum(length(text)) FILTER (role = 'assistant') AS BIGINT), 0) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(upto) FILTER (role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
         FROM c GROUP BY conv_id""",
+    # crc32 by its table of 256 entries, as DuckDB has no such function
+    "op13_conversation_trie": """
+        WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+        u AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+              FROM conversations WHERE conv_id IS NOT NULL),
+        d AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM u),
+        c AS (SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))), lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1]))) % 9 AS h FROM d, t),
+        b AS (SELECT c.conv_id, 0 AS part, k, r, x FROM c JOIN u ON u.conv_id = c.conv_id - c.conv_id % 5 AND k <= h
+              UNION ALL SELECT c.conv_id, 1, k, r, x FROM c JOIN u ON u.conv_id = c.conv_id AND k > h),
+        s AS (SELECT conv_id, list(md5(length(r) || ':' || r || x) ORDER BY part, k) AS e, list(strlen(x) ORDER BY part, k) AS z FROM b GROUP BY conv_id
+              UNION ALL SELECT conv_id, [], [] FROM c WHERE conv_id NOT IN (SELECT conv_id FROM b)),
+        m AS (SELECT conv_id, d, list_slice(e, 1, d) AS p, len(e) AS n, coalesce(z[d], 0) AS z FROM (SELECT *, unnest(range(0, len(e) + 1)) AS d FROM s)),
+        n AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE any_value(z) END AS z, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM m GROUP BY d, p),
+        k AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+        l AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (p)),
+        a AS (SELECT list_slice(p, 1, i) AS p, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * z) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM l) GROUP BY ALL)
+        SELECT l.conv_id, l.d AS depth, o.conv_id AS parent_conv_id, l.n_convs, l.n_children, n_leaves, saved_tokens, l.ends_sha256
+        FROM l JOIN a USING (p) LEFT JOIN n o ON l.d > 0 AND o.p = list_slice(l.p, 1, l.d - 1)""",
 }
