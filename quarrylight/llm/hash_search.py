@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def _matrix(col: pa.Array, width: int) -> np.ndarray:
     """Vectors as rows of doubles, padded with zeros."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    size = pa.compute.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
     out = np.zeros((len(col), width))
     out[np.repeat(np.arange(len(col)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = col.flatten().to_numpy(zero_copy_only=False)
     return out
