@@ -8,10 +8,6 @@ from quarrylight.operators import crawl, web
 from quarrylight.plans.queries import DOMAIN, query
 
 
-def _(d):
-    return crawl.assemble(d, "source", "lang", ["en", "de"], "source", "text", "doc_id")
-
-
 @query("c6_official_site_score", "pages", f"""SELECT page_id, round_even(greatest(0::DOUBLE, least(1::DOUBLE, CASE WHEN contains(t, 'The') THEN .25 WHEN contains(t, 'e') THEN .2 ELSE 0 END::DOUBLE + CASE WHEN contains(b, 'The') THEN least(.3::DOUBLE, len(regexp_extract_all(b, 'The')) / length(b) * 1000 * .03::DOUBLE) WHEN contains(b, 'e') THEN .15::DOUBLE ELSE 0 END
     + least(.15::DOUBLE, .03::DOUBLE * (contains(b, 'nav')::INT + contains(b, 'footer')::INT)) + CASE WHEN contains({DOMAIN}, 'example') THEN .15 ELSE 0 END::DOUBLE - CASE WHEN contains(t, '&') THEN .15 ELSE 0 END::DOUBLE)), 4) AS score FROM (SELECT page_id, url, coalesce(html, '') AS b, regexp_extract(coalesce(html, ''), '<title>([^<]*)', 1) AS t FROM pages)""")
 def _(p):
@@ -29,31 +25,8 @@ def _(p):
     return p.select("p_partkey", crawl.template_of(F.col("p_name"), {"red widget": "exact", "widget": "part"}).alias("template"))
 
 
-def _(p):
-    rows = p.where("p_retailprice > 910").select(F.array("p_type").alias("data_types"), F.col("p_name").alias("name"), F.col("p_size").alias("priority"), F.col("p_partkey").alias("seq"))
-    return crawl.best_by_type(rows, "data_types", "name", "priority", "seq")
-
-
-def _(p):
-    return crawl.result_links(p, "page_id", "html", [r"""href=["'](https?://[^"']+)["']"""]).select("page_id", "link")
-
-
 @query("p16_candidate_sites", "pages", f"""WITH u AS (SELECT page_id, url, {DOMAIN} AS site, contains({DOMAIN}, 'blog') OR contains({DOMAIN}, 'net') AS own, nullif(regexp_extract(coalesce(html, ''), 'lang="([a-z]+)"', 1), '') AS lang FROM pages)
     SELECT lang, page_id, own FROM u WHERE lang IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang, own ORDER BY page_id) <= CASE WHEN own THEN 5 ELSE 3 END""")
 def _(p):
     rows = p.withColumn("lang", F.nullif(F.regexp_extract(F.coalesce("html", F.lit("")), 'lang="([a-z]+)"', 1), F.lit(""))).where("lang IS NOT NULL")
     return crawl.candidates(rows, "lang", web.domain(F.col("url")), ["blog", "net", "x"], "page_id").select("lang", "page_id", "own")
-
-
-def _(c):
-    return c.where("coalesce(trim(text), '') <> ''").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text").cast("long")).cast("decimal(38,0)").alias("n"))
-
-
-def _(li):
-    rows = li.select(F.concat(F.lit("S"), "l_suppkey").alias("subject"), F.concat(F.lit("P"), "l_partkey").alias("object"), F.col("l_returnflag").alias("rel_type"), F.nullif(F.col("l_linestatus"), F.lit("F")).alias("project"), "l_orderkey")
-    return crawl.sheet(rows, ["subject", "object", "rel_type", "project"], ["l_orderkey"])
-
-
-def _(li):
-    rows = li.select(F.col("l_returnflag").alias("record_type"), F.when(F.col("l_returnflag") == "A", F.concat(F.lit("S"), "l_suppkey")).when(F.col("l_returnflag") == "R", F.concat(F.lit("P"), "l_partkey")).alias("counterparty"), F.col("l_discount").alias("confidence"))
-    return crawl.sheet(rows, ["record_type", "counterparty"], ["confidence"]).orderBy("record_type", F.desc("confidence"))

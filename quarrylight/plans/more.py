@@ -32,10 +32,6 @@ def _(p):
     return p.select("page_id", sites.crawl_friendly(F.col("html"), F.col("page_id") % 10, ["form"], ["cookie"]).alias("score"))
 
 
-def _(p):
-    return p.agg(F.count_distinct(web.domain(F.col("url"))).alias("discovered"), F.count("*").alias("evaluated"))
-
-
 @query("d19_source_ids", "part", """WITH s AS (SELECT p_partkey, lower(regexp_replace(p_type, '[^A-Za-z0-9]', '', 'g'))[1:30] AS slug FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) - 1 AS n FROM s)
     SELECT p_partkey, CASE WHEN n = 0 THEN slug ELSE slug || '_' || n END AS source_id FROM n""")
 def _(p):
@@ -77,11 +73,6 @@ def _(li):
     return tags.record_ids(rows, "l_orderkey", "all", F.lit("REL"), "seq").drop("all", "seq")
 
 
-def _(li):
-    rows = li.select("l_suppkey", "l_linestatus", "l_orderkey", "l_linenumber", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
-    return tags.dedup_edges(rows, ["l_suppkey", "l_linestatus"], "l_quantity", "seq").drop("l_quantity", "seq")
-
-
 @query("q3_list_sorted", "customer", "SELECT c_custkey AS name, c_acctbal AS confidence FROM customer")
 def _(c):
     return serving.list_sorted(c.select(F.col("c_custkey").alias("name"), F.col("c_acctbal").alias("confidence")), "confidence", True, "name")
@@ -118,11 +109,6 @@ def _(li):
     return li.select("l_orderkey", "l_linenumber", score.alias("confidence"))
 
 
-def _(o):
-    own = o.join(F.broadcast(o.agg(F.min("o_custkey").alias("o_custkey"))), "o_custkey")  # one row
-    return own.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(1).select("o_orderkey", "o_custkey")
-
-
 @query("q7_query_facts", "lineitem", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_suppkey = 1 AND l_returnflag = 'A' ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10 OFFSET 10")
 def _(li):
     rows = records.facts(li, F.col("l_suppkey") == 1, F.col("l_returnflag") == "A", [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 2, 10)

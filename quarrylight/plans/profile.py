@@ -83,23 +83,6 @@ def _(p):
     return tags.gap_merge(rows, answers, "p_partkey").select("p_partkey", "tag", "confidence")
 
 
-def _(p):
-    items = T.flat_products([F.col("p_name")], F.array("p_type"), ["red", "small"])
-    return p.select("p_partkey", _j(items, "products", "、"), _j(T.high_end(items, ["ring", "bolt"], F.col("p_brand"), ["7", "9"]), "high_end", "、"))
-
-
-def _(p):
-    return p.select("p_partkey", _j(T.flat_processes(F.col("p_name"), [("turning", ["ring", "bolt"]), ("pressing", ["widget"])], F.array("p_type")), "processes", "、"))
-
-
-def _(p):
-    return p.select("p_partkey", T.describe([("行业", T.downstream(tags.keyword_tags(F.col("p_name"), _NAMES), {"rings": "motion", "widgets": "home"}))]).alias("description"))
-
-
-def _(c):
-    return c.select("c_custkey", T.supply_roles([(F.col("c_mktsegment") == "MACHINERY", "maker"), (F.col("c_acctbal") >= 5000, "large"), (F.col("c_acctbal") < 0, "debtor")], "buyer").alias("role"))
-
-
 @query("e1_segment_by_source", "documents", """WITH s AS (SELECT doc_id, string_split_regex(text, '[A-Z][a-z]{5,}') AS b, [''] || regexp_extract_all(text, '([A-Z][a-z]{5,})', 1) AS t FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(t) AS tag, trim(unnest(b)) AS body, generate_subscripts(b, 1) - 1 AS pos FROM s) SELECT * FROM u WHERE body <> ''""")
 def _(d):
     return records.segments(d, "doc_id", "text", "([A-Z][a-z]{5,})")

@@ -44,18 +44,6 @@ LINES = """s AS (SELECT doc_id, pos - 1 AS pos, trim(x) AS sentence FROM (SELECT
 # Sources, urls and html
 
 
-def _(c):
-    return c.select(F.trim("c_name").alias("name")).where("name <> '' AND NOT startswith(name, '#')").distinct()
-
-
-def _(s):
-    return s.where((F.col("s_acctbal") > 0) & (F.col("s_name") != "")).select("s_name").distinct()
-
-
-def _(p):
-    return p.where("html IS NOT NULL AND html <> ''").select("page_id", "url", F.length("html").cast("long").alias("n"))
-
-
 @query("s7_upsert", "orders", "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders")
 def _(o):
     rows = o.select("o_orderkey", "o_custkey", "o_totalprice")
@@ -137,10 +125,6 @@ def _(p):
     return p.select("page_id", web.page_title(F.col("html")).alias("title"))
 
 
-def _(p):
-    return web.page_links(p, []).select("page_id", "link")
-
-
 @query("p11_build_search_urls", "nation", """SELECT n_name AS name, CAST(e.i AS INTEGER) AS engine, CAST(p.p AS INTEGER) AS page, replace(replace(e.t, '{q}', replace(n_name, ' ', '%20')), '{page}', CAST(p.p AS VARCHAR)) AS url
     FROM nation, (VALUES (0, 'https://a.example/?q={q}&p={page}'), (1, 'https://b.example/s/{q}/{page}')) e(i, t), (VALUES (1), (2)) p(p)""")
 def _(n):
@@ -163,10 +147,6 @@ def _(p):
     return p.select("page_id", X.any_hit(F.col("url"), [".html", "/en/"]).alias("detail"))
 
 
-def _(p):
-    return web.deep_targets(web.page_links(p, []), ["/the", "/an"]).select("page_id", "link", "priority")
-
-
 # Source evaluation
 _PROBE = "WITH p AS (SELECT user_id AS domain, least(value * 1000, 15000) AS ms, event_type <> 'error' AS ok FROM events), s AS (SELECT domain, avg(ms) AS avg_ms, avg(CAST(ok AS INT)) AS success_rate, 1 - avg(CAST(ms > 5000 AS INT)) AS stability FROM p GROUP BY domain) "
 
@@ -177,10 +157,6 @@ def _(e):
     return s.select("domain", F.round("avg_ms", 4).alias("avg_ms"), F.round("success_rate", 6).alias("success_rate"), F.round("stability", 6).alias("stability"), F.round("response", 4).alias("response"))
 
 
-def _(p):
-    return p.groupBy(web.domain(F.col("url")).alias("domain")).agg(F.min_by("url", "page_id").alias("url"), F.min("page_id").alias("seq"))
-
-
 @query("d3_best_sample", "pages", f"SELECT {DOMAIN} AS domain, arg_max(page_id, {{'n': length(html), 's': -page_id}}) AS page_id FROM pages WHERE length(html) > 0 GROUP BY 1")
 def _(p):
     return p.where("length(html) > 0").groupBy(web.domain(F.col("url")).alias("domain")).agg(F.max_by("page_id", F.struct(F.length("html"), -F.col("page_id"))).alias("page_id"))
@@ -262,35 +238,19 @@ def _(p):
     return p.select("page_id", scoring.notes([(F.length("html") > 3000, "long"), (F.col("url").contains("blog."), "blog")], "常规网站").alias("notes"))
 
 
-def _(p):
-    return p.groupBy(web.domain(F.col("url")).alias("domain")).agg(F.count("*").alias("n"))
-
-
 @query("d18_priority_band", "pages", f"SELECT page_id, CAST(CASE WHEN {_OVERALL} >= 85 THEN 1 WHEN {_OVERALL} >= 70 THEN 2 WHEN {_OVERALL} >= 55 THEN 3 ELSE 4 END AS INTEGER) AS band, CASE WHEN {_OVERALL} >= 85 THEN 'A' WHEN {_OVERALL} >= 70 THEN 'B' WHEN {_OVERALL} >= 55 THEN 'C' WHEN {_OVERALL} >= 40 THEN 'D' ELSE 'E' END AS grade FROM pages")
 def _(p):
     return _scored(p).select("page_id", scoring.band(F.col("overall")).alias("band"), scoring.grade(F.col("overall")).alias("grade"))
 
 
-def _(p):
-    return p.select("page_id").join(p.where("page_id % 3 = 0").select("page_id").hint("merge"), "page_id", "left_anti")
-
-
 # Text
 
 
-def _(p):
-    return p.select("page_id", text.scrub(F.col("html")).alias("text"))
-
-
 @query("e6_split_sentences", "documents", f"WITH {LINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, sentence FROM s")
 def _(d):
     return text.sentences(d, r"[.;\n]")
 
 
-def _(d):
-    return text.noise_lines(text.sentences(d, r"[.;\n]"), EN)
-
-
 _KEY = "regexp_replace(sentence, '\\s+', '', 'g')"
 
 
@@ -299,10 +259,6 @@ def _(d):
     return text.exact_lines(text.sentences(d, r"[.;\n]"))
 
 
-def _(d):
-    return text.drop_repeats(text.sentences(d, r"[.;\n]"))
-
-
 BITS = " + ".join(f"(CASE WHEN sum(CASE WHEN (h >> {i}) & 1 = 1 THEN c ELSE -c END) >= 0 THEN {1 << i}::HUGEINT ELSE 0 END)" for i in range(64))
 _SIM = f"""t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{{2,}}')) AS t FROM documents), k AS (SELECT doc_id, ('0x' || md5(t)[17:32])::UBIGINT AS h, count(*) AS c FROM t GROUP BY ALL),
     b AS (SELECT doc_id, {BITS} AS v FROM k GROUP BY doc_id), f AS (SELECT doc_id, coalesce(CASE WHEN v >= 9223372036854775808 THEN CAST(v - 18446744073709551616 AS BIGINT) ELSE CAST(v AS BIGINT) END, 0) AS simhash FROM documents LEFT JOIN b USING (doc_id))"""
@@ -382,10 +338,6 @@ def _tag_rows(d):
     return tags.tag_rows(d, "doc_id", "language", "words", tags.keyword_tags(F.col("text"), {"the": "en", "und": "de", "los": "es"}), "text", 0.9)
 
 
-def _(d):
-    return tags.tag_summary(_tag_rows(d), "doc_id")
-
-
 # Relations and records
 
 
@@ -400,10 +352,6 @@ def _(li):
     return tags.type_counts(li.select("l_returnflag", "l_suppkey"), "l_returnflag", "l_suppkey")
 
 
-def _(o):
-    return o.select("o_orderkey", tags.parse_amount(F.concat(F.floor("o_totalprice").cast("string"), F.lit("元"))).alias("x")).select("o_orderkey", "x.*")
-
-
 @query("j7_parse_date", "orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS bid_date FROM orders")
 def _(o):
     return o.select("o_orderkey", tags.parse_date(F.date_format("o_orderdate", "yyyy年M月d日")).alias("bid_date"))
@@ -414,10 +362,6 @@ def _(li):
     return tags.record_ids(li, "l_orderkey", "l_returnflag", F.col("l_returnflag"), "l_linenumber").select("l_orderkey", "l_linenumber", "record_id")
 
 
-def _(li):
-    return li.groupBy("l_suppkey").agg(F.count("*").alias("total"), F.count_if(F.col("l_returnflag") == "A").alias("a"), F.count_if(F.col("l_returnflag") == "R").alias("r"), F.round(F.avg("l_discount"), 6).alias("confidence"))
-
-
 # Serving
 
 
@@ -448,10 +392,6 @@ def _(o):
     return serving.batch_history(_profiles(o), 7)
 
 
-def _(li):
-    return li.groupBy("l_returnflag").agg(F.count("*").alias("n"))
-
-
 @query("q10_batch_no", "orders", _BATCH)
 def _(o):
     return _profiles(o)
@@ -472,14 +412,3 @@ def _(o):
 def _(e):
     level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "warning")
     return serving.log_summary(e.select("user_id", "event_id", "event_type", F.col("event_id").cast("string").alias("m")), "user_id", level, "m", "event_id")
-
-
-def _(li):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber"))
-    return li.select("l_suppkey", "l_orderkey", "l_linenumber").withColumn("n", n).where("n <= 2").drop("n")
-
-
-def _(e):
-    return e.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.avg(F.least(F.col("value") * 1000, F.lit(15000.0))), 4).alias("avg_ms")).select(F.col("w.start").alias("hour"), "n", "avg_ms")

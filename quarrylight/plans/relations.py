@@ -39,21 +39,6 @@ def _(p):
     return p.select("p_partkey", R.infer_industry(F.col("p_name"), {"red widget": "exact"}, [("ring", "rings"), ("small", "small")], F.col("p_type"), [("economy", ["ECONOMY"])], [("widgets", ["widget"])]).alias("industry"))
 
 
-def _(li):
-    x = R.classify_relation(F.col("l_returnflag"), F.col("l_suppkey") % 2 == 0, F.col("l_partkey") % 2 == 0, {"A": "customer", "R": "supplier"}, "partner")
-    return li.select("l_orderkey", "l_linenumber", x.alias("x")).select("l_orderkey", "l_linenumber", "x.*")
-
-
-def _(d):
-    rows = _sentences(d, "[0-9]").withColumn("at", F.struct("doc_id", "pos"))
-    return R.mentions(rows, "at", "sentence", [_NAME], [], 30).select("at.doc_id", "at.pos", "name", "context")
-
-
-def _(d):
-    rows = _sentences(d, "[0-9]").withColumn("name", R.counterparty(F.col("sentence"), _NAME, F.lit("?"))).where("name <> ''")
-    return rows.groupBy("doc_id").agg(F.min_by("name", "pos").alias("name"))
-
-
 @query("i8_downstream_relations", "lineitem", "WITH a AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag <> 'A') SELECT *, .85::DOUBLE AS confidence FROM a UNION ALL SELECT *, .75::DOUBLE FROM (FROM b EXCEPT FROM a)")
 def _(li):
     return R.downstream_edges(li.where("l_returnflag = 'A'"), li.where("l_returnflag <> 'A'"), "l_suppkey", "l_partkey")
@@ -69,13 +54,6 @@ def _(d):
     return _sentences(d)
 
 
-def _(o):
-    money = F.when(F.col("o_totalprice") >= 10000, F.concat(F.floor("o_totalprice").cast("string"), F.lit("万元"))).otherwise("")
-    rows = _orders(o).withColumn("sentence", F.concat("sentence", F.lit("; "), money, F.lit(" on "), F.date_format("o_orderdate", "yyyy-M-d")))
-    out = R.bidding_records(rows, "own", "(?:Buyer|Firm)[0-9]+", ["project: (Job[0-9]+)"], [("won", ["wins"])], "wins", ("winner", "buyer"))
-    return out.select("o_orderkey", "counterparty", "project_name", "amount", "bid_date", "bid_type", "role")
-
-
 @query("j5_project_name", "documents", "SELECT doc_id, CASE WHEN length(v) BETWEEN 4 AND 60 THEN v ELSE '' END AS project FROM (SELECT doc_id, regexp_replace(regexp_extract(coalesce(text, ''), 'the ([a-z]+)', 1), '^[st]', '') AS v FROM documents)")
 def _(d):
     return d.select("doc_id", R.project_name(F.col("text"), ["the ([a-z]+)"], "[st]").alias("project"))
@@ -86,25 +64,6 @@ def _(o):
     return _orders(o).select("o_orderkey", R.counterparty(F.col("sentence"), "(?:Buyer|Firm)[0-9]+", F.col("own")).alias("counterparty"))
 
 
-def _(d):
-    return d.select("doc_id", R.map_first(F.col("text"), [("a", ["tion"]), ("b", ["sch"])]).alias("bid_type"), R.role(F.col("text"), F.lit("the"), "ing", "before", "after").alias("role"))
-
-
-def _(d):
-    return d.select("doc_id", R.region(F.col("text"), ["sch", "tion", "los"]).alias("region"))
-
-
-def _(d):
-    rows = R.factual_sentences(d.select(F.struct("doc_id", F.coalesce("source", F.lit("?")).alias("own")).alias("k"), "text"), "k", "text", ["tion", "ing"], delimiters=r"[.\n]").select("k.*", "pos", "sentence")
-    return R.company_records(rows, "own", _NAME, "customer", ["ring", "ment"], [("joint", ["and"])]).select("doc_id", "pos", "counterparty", "products", "subtype")
-
-
-def _(o):
-    s = F.concat(F.date_format("o_orderdate", "yyyy年M月"), F.when(F.col("o_orderkey") % 2 == 0, "新增").otherwise("扩建"), F.lit("生产线，总投资"), F.floor("o_totalprice").cast("string"), F.lit("亿元"))
-    rows = R.investment_records(o.select("o_orderkey", s.alias("sentence")), [("new", ["新增"])], ["生产线"])
-    return rows.select("o_orderkey", "amount", "amount_unit", "bid_date", "subtype")
-
-
 @query("j22_fact_row_mapping", "lineitem", "SELECT l_orderkey || '-' || l_linenumber AS record_id, CASE l_returnflag WHEN 'A' THEN 'bidding' ELSE 'customer' END AS record_type, CASE l_returnflag WHEN 'A' THEN l_linestatus ELSE l_suppkey::VARCHAR END AS counterparty, CASE l_returnflag WHEN 'A' THEN l_partkey::VARCHAR END AS project_name FROM lineitem")
 def _(li):
     rows = li.withColumns({"record_id": F.concat_ws("-", "l_orderkey", "l_linenumber"), "record_type": F.when(F.col("l_returnflag") == "A", "bidding").otherwise("customer")})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 import tempfile
 import uuid
@@ -106,6 +107,33 @@ def scratch(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, so that what follows doesn't do the work again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Deletes files or folders that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes saved tables."""
+    for df in tables:
+        delete(df.sparkSession, *{posixpath.dirname(f) for f in df.inputFiles()})
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def save_as(df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
     """Writes a table under a name that is checked, and reads it."""
     df.write.mode(mode).saveAsTable(checked_name(name))
