@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import domain
 from quarrylight.functions.exprs import any_hit, in_both, words_array
+from quarrylight.operators.ordering import best, ranked
 from quarrylight.operators.relations import EDGE
 from quarrylight.operators.web import attributes, cited, is_blacklisted, linked
 from quarrylight.operators.web import domain as domain_of
@@ -107,8 +108,7 @@ def result_links(pages: DataFrame, key: str, html: str, engine: str, domains: li
 def candidates(pages: DataFrame, key: str, domain: Column, tokens: list[str], seq: str, first: int = 5, others: int = 3) -> DataFrame:
     """For each key its first pages on a domain with one of the tokens of two characters or more, and a few others."""
     own = pages.withColumn("own", any_hit(domain, [t for t in tokens if len(t) >= 2]))
-    w = Window.partitionBy(key, "own").orderBy(seq)
-    return own.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.when(F.col("own"), first).otherwise(others)).drop("place")
+    return best(own.where("own"), [key], [F.asc(seq)], first).unionByName(best(own.where("NOT own"), [key], [F.asc(seq)], others))
 
 
 OVERVIEW = "enterprise_name short_name industry main core high_end core_process special scenes downstream roles tiers customers compliance manufacturing keywords confidence data_source".split()
@@ -159,12 +159,8 @@ def data_dictionary(df: DataFrame, sheet: str, descriptions: dict[str, str]) ->
 
 
 def config_rows(sources: DataFrame, columns: list[str], score: str, seq: str) -> DataFrame:
-    """(place, source): each source as one JSON text, by falling score; the file of a configuration holds one a line.
-
-    Sources are ranked in one place, as rank_sites does; they are what was selected, some hundreds.
-    """
-    place = F.row_number().over(Window.orderBy(F.desc(score), seq))
-    return sources.select(place.alias("place"), F.to_json(F.struct(*columns)).alias("source"))
+    """(place, source): each source as one JSON text, by falling score; the file of a configuration holds one a line."""
+    return ranked(sources, [F.desc(score), F.asc(seq)], "place").select(F.col("place").cast("int").alias("place"), F.to_json(F.struct(*columns)).alias("source"))
 
 
 def write_config(rows: DataFrame, path: str) -> None:

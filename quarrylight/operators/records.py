@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.operators.text import close_pairs, simhash
+from quarrylight.sources.io import dropped, saved
 
 
 def weighted(segment: Column, high: Column) -> Column:
@@ -45,17 +46,36 @@ def segments(df: DataFrame, key: str, text: str, marker: str) -> DataFrame:
     return rows.select(key, F.col("pos").cast("long").alias("pos"), "x.tag", F.trim("x.body").alias("body")).where("body <> ''")
 
 
-def near_lines(lines: DataFrame, key: str, most: int = 3) -> DataFrame:
-    """(key, pos, sentence) of the lines kept in order: each that isn't within so many bits of one kept before in its document.
+def passed_over(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id): of pairs id < id2, the rows that are left out where rows are taken in order, each that isn't paired with one taken before.
 
-    Of equal fingerprints the first line stays. Pairs of near ones meet in the tables of ``close_pairs``, by
-    document; only lines that have an earlier near one are gathered, to be decided in order, and all others stay.
+    In a round, rows without an undecided earlier partner are taken, and their later partners left out. As many rounds as the
+    longest chain of pairs has links that matter; no row's partners are gathered.
+    """
+    edges = saved(pairs.select(*keys, "id", "id2"))
+    out = saved(edges.select(*keys, F.col("id2").alias("id")).where("false"))
+    while not edges.isEmpty():
+        later = edges.select(*keys, F.col("id2").alias("id"))
+        taken = edges.select(*keys, "id").distinct().join(later.hint("merge"), [*keys, "id"], "left_anti")
+        gone = saved(edges.join(taken.hint("merge"), [*keys, "id"], "left_semi").select(*keys, F.col("id2").alias("id")).distinct())
+        before, all_ = edges, out
+        left = edges.join(gone.hint("merge"), [*keys, "id"], "left_anti").join(gone.select(*keys, F.col("id").alias("id2")).hint("merge"), [*keys, "id2"], "left_anti")
+        edges, out = saved(left.select(*keys, "id", "id2")), saved(out.unionByName(gone))
+        dropped(before, all_, gone)
+    return out
+
+
+def keep_apart(marked: DataFrame, key: str, most: int = 3) -> DataFrame:
+    """The rows of (key, pos, simhash, ...) kept in order: each that isn't within so many bits of one kept before in its document.
+
+    Of equal fingerprints the first row stays. Pairs of near ones meet in the tables of ``close_pairs``, by document.
     """
-    marked = lines.withColumn("simhash", simhash(F.col("sentence"), r"[A-Za-z]{2,}|[一-龥]{2,}"))
-    firsts = marked.groupBy(key, "simhash").agg(F.min(F.struct("pos", "sentence")).alias("x")).select(key, "simhash", "x.pos", "x.sentence")
-    pairs = close_pairs(firsts.select(key, F.col("pos").alias("id"), "simhash"), most, [key], most + 1)
-    later = pairs.groupBy(key, F.col("id2").alias("pos")).agg(F.collect_set("id").alias("near"))
-    queue = later.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "near"))).alias("queue"))
-    dropped = F.aggregate("queue", F.array().cast("array<bigint>"), lambda acc, x: F.when(F.size(F.array_except(x["near"], acc)) > 0, F.concat(acc, F.array(x["pos"]))).otherwise(acc))
-    gone = queue.select(key, F.explode(dropped).alias("pos"))
-    return firsts.join(gone.hint("merge"), [key, "pos"], "left_anti").select(key, "pos", "sentence")
+    firsts = saved(marked.groupBy(key, "simhash").agg(F.min(F.struct("pos", *[c for c in marked.columns if c not in (key, "simhash", "pos")])).alias("x")).select(key, "simhash", "x.*"))
+    gone = passed_over(close_pairs(firsts.select(key, F.col("pos").alias("id"), "simhash"), most, [key], most + 1), [key])
+    return firsts.join(gone.select(key, F.col("id").alias("pos")).hint("merge"), [key, "pos"], "left_anti")
+
+
+def near_lines(lines: DataFrame, key: str, most: int = 3) -> DataFrame:
+    """(key, pos, sentence) of the lines kept in order: each that isn't within so many bits of one kept before in its document."""
+    marked = lines.select(key, "pos", "sentence", simhash(F.col("sentence"), r"[A-Za-z]{2,}|[一-龥]{2,}").alias("simhash"))
+    return keep_apart(marked, key, most).select(key, "pos", "sentence")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.exprs import any_hit, hits, map_first
+from quarrylight.operators.ordering import ranked
 
 
 def probe_stats(probes: DataFrame) -> DataFrame:
@@ -56,12 +57,13 @@ def authority(domain: Column, text: Column, official: list[str], known: list[str
 
 
 def rank(df: DataFrame, score: str, tie: str) -> DataFrame:
-    """Ranks from 1 by falling score, ties in order of discovery; a global order needs the scored rows in one place."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), tie)))
+    """Ranks from 1 by falling score, ties in order of discovery."""
+    return ranked(df, [F.desc(score), F.asc(tie)])
 
 
 def top(df: DataFrame, score: str, tie: str, k: int = 20) -> DataFrame:
-    return rank(df.orderBy(F.desc(score), tie).limit(k), score, tie)
+    """The k best with their ranks: what is ranked in one place are k rows."""
+    return df.orderBy(F.desc(score), tie).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), tie)))
 
 
 def band(score: Column) -> Column:

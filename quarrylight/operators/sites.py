@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions.exprs import any_hit, words_array
+from quarrylight.operators.ordering import numbered
 
 
 def crawl_score(items: DataFrame, key: str, category: str, text: str) -> DataFrame:
@@ -44,8 +45,8 @@ def source_ids(df: DataFrame, title: str, seq: str, most: int = 30) -> DataFrame
     """Ids of letters and digits, ``source`` if none is left; repeated ones get _1, _2 in order of seq."""
     slug = F.substring(F.lower(F.regexp_replace(F.coalesce(F.col(title), F.lit("")), "[^A-Za-z0-9一-龥]", "")), 1, most)
     own = df.withColumn("slug", F.when(slug == "", "source").otherwise(slug))
-    n = F.row_number().over(Window.partitionBy("slug").orderBy(seq)) - 1
-    return own.withColumn("n", n).withColumn("source_id", F.when(F.col("n") == 0, F.col("slug")).otherwise(F.concat_ws("_", "slug", F.col("n").cast("string")))).drop("slug", "n")
+    rows = numbered(own, ["slug"], [F.asc(seq)])
+    return rows.withColumn("source_id", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat_ws("_", "slug", (F.col("n") - 1).cast("string")))).drop("slug", "n")
 
 
 def type_keywords(types: Column, templates: dict[str, list[str]]) -> Column:

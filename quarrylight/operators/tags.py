@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import domain
 from quarrylight.functions.exprs import hits, is_missing
+from quarrylight.operators.ordering import numbered
 
 # Legal suffixes of company names, in order.
 SUFFIXES = ("股份有限公司", "有限公司", "有限责任公司", "公司")
@@ -85,8 +86,8 @@ def type_counts(edges: DataFrame, kind: str, name: str) -> DataFrame:
 
 def record_ids(records: DataFrame, key: str, kind: str, prefix: Column, seq: str) -> DataFrame:
     """PREFIX-001 and so on, counted by key and type."""
-    n = F.row_number().over(Window.partitionBy(key, kind).orderBy(seq))
-    return records.withColumn("record_id", F.format_string("%s-%03d", prefix, n))
+    rows = numbered(records.withColumn("_prefix", prefix), [key, kind], [F.asc(seq)], "_n")
+    return rows.withColumn("record_id", F.format_string("%s-%03d", "_prefix", "_n")).drop("_prefix", "_n")
 
 
 def parse_amount(text: Column, patterns: list[tuple[str, str, list[str]]] = domain.AMOUNTS, plain: str | None = domain.PLAIN_AMOUNT) -> Column:

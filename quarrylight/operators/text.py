@@ -52,8 +52,7 @@ def noise_lines(lines: DataFrame, words: list[str] = domain.NAV_WORDS, blocks: l
 def exact_lines(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The first of the lines of a document that are equal but for white space, if longer than 4 without it."""
     key = F.regexp_replace("sentence", r"\s+", "")
-    w = Window.partitionBy(id_col, "key").orderBy("pos")
-    return lines.withColumn("key", key).where(F.length("key") > 4).withColumn("n", F.row_number().over(w)).where("n = 1").drop("key", "n")
+    return lines.where(F.length(key) > 4).groupBy(id_col, key.alias("key")).agg(F.min_by(F.struct(*lines.columns), "pos").alias("first")).select("first.*")
 
 
 def drop_repeats(lines: DataFrame, id_col: str = "doc_id", least: int = 20, size: Column | None = None, least_size: int = 300) -> DataFrame:
@@ -134,5 +133,5 @@ def near_duplicates(hashes: DataFrame, most: int = 3, id_col: str = "doc_id") ->
 
 def preview_first(items: DataFrame, key: str, seq: str, text: str = "text", size: int = 80) -> DataFrame:
     """The first item of those whose first characters are equal, among items longer than that."""
-    w = Window.partitionBy(key, "preview").orderBy(seq)
-    return items.where(F.length(text) > size).withColumn("preview", F.substring(text, 1, size)).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "preview")
+    first = F.min_by(F.struct(*items.columns), seq).alias("first")
+    return items.where(F.length(text) > size).groupBy(key, F.substring(text, 1, size).alias("preview")).agg(first).select("first.*")
