@@ -70,7 +70,7 @@ def log_summary(log: DataFrame, key: str, level: Column, message: str, seq: str)
     return top.select(key, lead.alias("level"), F.array_join(F.transform(F.filter("x", lambda r: r["level"] == lead), lambda r: r["m"]), "; ").alias("messages"))
 
 
-def _latest(rows: DataFrame, keys: list[str], order: Column | None) -> DataFrame:
+def latest(rows: DataFrame, keys: list[str], order: Column | None) -> DataFrame:
     """One row of each key: the one of the greatest order, or the greatest of all columns."""
     row = F.struct(*rows.columns)
     return rows.groupBy(*keys).agg(F.max_by(row, F.struct(order, row) if order is not None else row).alias("row")).select("row.*")
@@ -78,7 +78,7 @@ def _latest(rows: DataFrame, keys: list[str], order: Column | None) -> DataFrame
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], keep: list[str] = (), order: Column | None = None) -> DataFrame:
     """Updates replace rows of equal keys, except the columns to keep; others are added. Of repeated updates the latest by ``order`` counts."""
-    t, u = target.alias("t"), _latest(updates, keys, order).alias("u")
+    t, u = target.alias("t"), latest(updates, keys, order).alias("u")
     on = [F.col(f"t.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys]
     has = F.col("u._new").isNotNull()
     j = t.withColumn("_old", F.lit(True)).alias("t").join(u.withColumn("_new", F.lit(True)).alias("u").hint("merge"), on, "full")
@@ -88,7 +88,7 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], keep: list[st
 
 def append_unique(target: DataFrame, new: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
     """New rows whose key isn't there yet, the latest of each key."""
-    return target.unionByName(_latest(new, keys, order).join(target.select(*keys).hint("merge"), keys, "left_anti"))
+    return target.unionByName(latest(new, keys, order).join(target.select(*keys).hint("merge"), keys, "left_anti"))
 
 
 def ttl_lookup(requests: DataFrame, cache: DataFrame, now: Column, seconds: int) -> DataFrame:
@@ -99,6 +99,11 @@ def ttl_lookup(requests: DataFrame, cache: DataFrame, now: Column, seconds: int)
     return j.select("url", F.when(F.col("fetched_at").isNull(), "miss").when(age > seconds, "expired").otherwise("hit").alias("state"))
 
 
+def ttl_clean(cache: DataFrame, now: Column, seconds: int) -> DataFrame:
+    """The cache without expired rows: those fetched more than the time to live ago, and those without a time."""
+    return cache.where(F.unix_timestamp(now) - F.unix_timestamp("fetched_at") <= seconds)
+
+
 def ttl_stats(states: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("state") == s)
     return states.agg(n("hit").alias("hits"), n("miss").alias("misses"), n("expired").alias("expired"), F.bround(n("hit") / F.greatest(F.lit(1), n("hit") + n("miss")), 2).alias("hit_rate"))

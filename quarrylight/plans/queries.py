@@ -78,6 +78,13 @@ def _(e):
     return serving.ttl_stats(_ttl(e))
 
 
+@query("s12_ttl_cleanup", "events", "WITH c AS (SELECT event_id, user_id || ':' || event_type AS url, ts FROM events), n AS (SELECT max(ts) AS now FROM c) SELECT event_id, url FROM c, n WHERE floor(epoch(now)) - floor(epoch(ts)) <= 86400")
+def _(e):
+    cache = e.select("event_id", F.concat_ws(":", "user_id", "event_type").alias("url"), F.col("ts").alias("fetched_at"))
+    now = e.agg(F.max("ts").alias("now"))
+    return serving.ttl_clean(cache.join(F.broadcast(now), F.lit(True)), F.col("now"), 86400).select("event_id", "url")
+
+
 @query("p1_extract_domain", "pages", f"SELECT page_id, {DOMAIN} AS domain FROM pages")
 def _(p):
     return p.select("page_id", web.domain(F.col("url")).alias("domain"))

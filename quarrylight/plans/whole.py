@@ -13,6 +13,7 @@ from quarrylight.operators import relations as R
 from quarrylight.plans.queries import DOMAIN, LINES, ORACLES, QUERIES, SQUEEZE, TEXT, query
 from quarrylight.sources import io
 from quarrylight.streaming import jobs
+from quarrylight.streaming.state import BucketTable
 
 
 
@@ -510,38 +511,71 @@ def _(li):
     return scoring.distribution(li, F.col("l_returnflag"))
 
 
-# Streams
+# Streams: what comes in is written to a folder part by part, and the stream run after each
 
 
-def _stream(spark, sf_dir, table):
-    """A table as a stream of files. The path is a pattern, as a stream's plain path has to be a folder and tables may be one file."""
-    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{table}.parquet").schema).parquet(f"{sf_dir}/[{table[0]}]{table[1:]}.parquet")
+def _runs(spark, parts, start):
+    """Runs a stream after each part of its input has come; ``start`` gets the stream and a folder and gives the running query."""
+    path = io.scratch(spark)
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        start(spark.readStream.schema(part.schema).parquet(f"{path}/in"), path).awaitTermination()
+    return path
 
 
 @on_session("t1_stream_ingest_pages", f"""SELECT page_id, url, {DOMAIN} AS domain, coalesce(nullif({SQUEEZE.format("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '(?s)<[^>]+>', '', 'g')")}, ''), nullif({SQUEEZE.format("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '(?s)<[^>]+>', '', 'g')")}, ''), '') AS title, trim(regexp_replace(regexp_replace({TEXT}, '&[A-Za-z]+;', ' ', 'g'), '[ \\t]+', ' ', 'g')) AS text, regexp_extract(trim(regexp_replace(regexp_replace({TEXT}, '&[A-Za-z]+;', ' ', 'g'), '[ \\t]+', ' ', 'g')), '([A-Za-z0-9._]+@[A-Za-z0-9.-]+)', 1) AS contact
     FROM pages WHERE html <> '' AND regexp_matches(url, '^(?i)https?://') AND NOT contains({DOMAIN}, 'ads-track')""")
 def _(spark, sf_dir):
-    """Pages as a stream of files: each goes through the page operators into a table of profiles."""
-    pages, path = _stream(spark, sf_dir, "pages"), io.scratch(spark)
-    q = jobs.ingest(jobs.profile_pages(pages, ["ads-track"]), f"{path}/checkpoint", jobs.merge_into(f"{path}/table", ["page_id"]))
-    q.awaitTermination()
-    return jobs.merged(spark, f"{path}/table", q)
+    """Pages as a stream of files: each goes through the page operators into a table of profiles. Some come first with an older text, and the last run finds nothing new."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    old = pages.where("page_id % 3 = 0").withColumn("html", F.lit("<title>old</title><p>old</p>"))
+    schema = jobs.profile_pages(pages, ["ads-track"]).schema
 
+    def start(source, path):
+        return jobs.ingest(jobs.profile_pages(source, ["ads-track"]), f"{path}/checkpoint", BucketTable(spark, f"{path}/table", schema, ["page_id"]).merge)
 
-@on_session("t2_stream_url_dedup", "SELECT DISTINCT user_id || ':' || event_type AS url FROM events")
+    path = _runs(spark, [old, pages, pages.where("false")], start)
+    return BucketTable(spark, f"{path}/table", schema, ["page_id"]).read()
+
+
+_CACHED = "WITH RECURSIVE f AS (SELECT user_id || ':' || event_type AS url, ts FROM events), k(url, ts) AS (SELECT url, min(ts) FROM f GROUP BY url UNION ALL SELECT k.url, min(f.ts) FROM k JOIN f ON f.url = k.url AND f.ts > k.ts + INTERVAL 7 DAY GROUP BY k.url)"
+
+
+@on_session("t2_stream_url_dedup", f"{_CACHED} SELECT url, count(*) AS kept FROM k GROUP BY url")
+def _(spark, sf_dir):
+    """Fetches, made of events, in four parts by time: how many of a url find nothing in the cache that is less than seven days old."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat_ws(":", "user_id", "event_type").alias("url"), F.col("ts").cast("timestamp").alias("fetched_at"))
+    part = F.least(F.floor(F.datediff("fetched_at", F.lit("2024-01-01")) / 8), F.lit(3))
+
+    def start(source, path):
+        return jobs.fetches_in_time(source, 7 * 86400).writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/table", "parquet", "append")
+
+    path = _runs(spark, [events.where(part == n) for n in range(4)], start)
+    return spark.read.parquet(f"{path}/table").where("state <> 'hit'").groupBy("url").agg(F.count("*").alias("kept"))
+
+
+# a fortieth of the rows comes two parts later
+_PARTS = """WITH p AS (SELECT ts, least(value * 1000, 15000) AS ms, date_trunc('hour', ts) AS hour, least(3, CAST(floor(event_id * 4 / (SELECT count(*) FROM events)) AS INT) + CASE WHEN event_id % 40 = 7 THEN 2 ELSE 0 END) AS part FROM events),
+    m AS (SELECT n, (SELECT max(ts) FROM p WHERE part < n) - INTERVAL 1 HOUR AS mark FROM range(5) t(n)), r AS (SELECT p.*, coalesce(hour + INTERVAL 1 HOUR <= mark, false) AS late FROM p JOIN m ON n = part) """
+_LAST = "date_trunc('second', (SELECT mark FROM m WHERE n = 4))"
+
+
+def _closed(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    total = events.agg(F.count("*").alias("total"))
+    part = F.least(F.lit(3), F.floor(F.col("event_id") * 4 / F.col("total")) + F.when(F.col("event_id") % 40 == 7, 2).otherwise(0))
+    rows = events.join(F.broadcast(total), F.lit(True)).select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") * 1000).alias("ms"), part.alias("part"))  # one row
+    path = _runs(spark, [rows.where(F.col("part") == n).drop("part") for n in range(4)], lambda source, path: jobs.ingest(source, f"{path}/checkpoint", jobs.ClosedHours(spark, f"{path}/hours").merge))
+    return jobs.ClosedHours(spark, f"{path}/hours")
+
+
+@on_session("t3_probe_stats_hourly", f"{_PARTS} SELECT hour, count(*) AS n, round(avg(ms), 4) AS avg_ms FROM r WHERE NOT late GROUP BY hour HAVING hour + INTERVAL 1 HOUR <= {_LAST}")
 def _(spark, sf_dir):
-    """Fetches, made of events, as one file of a stream: of those of a url within the time to live one stays, here a year's."""
-    events, path = _stream(spark, sf_dir, "events"), io.scratch(spark)
-    fetches = events.select(F.concat_ws(":", "user_id", "event_type").alias("url"), F.col("ts").cast("timestamp").alias("fetched_at"))
-    jobs.first_fetches(fetches, "366 days").select("url").writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/table", "parquet", "append").awaitTermination()
-    return spark.read.parquet(f"{path}/table")
+    """Probes, made of events, in four parts, some of them late: the hours that are closed by the end, once each."""
+    return _closed(spark, sf_dir).closed().select(F.col("hour").cast("timestamp_ntz").alias("hour"), "n", F.round("avg_ms", 4).alias("avg_ms"))
 
 
-@on_session("t3_probe_stats_hourly", "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, round(avg(least(value * 1000, 15000)), 4) AS avg_ms FROM events GROUP BY 1")
+@on_session("t3_probe_late_rows", f"{_PARTS} SELECT hour, count(*) AS n FROM r WHERE late GROUP BY hour")
 def _(spark, sf_dir):
-    """Probes, made of events, as a stream; hours are updated until the end."""
-    events, path = _stream(spark, sf_dir, "events"), io.scratch(spark)
-    stats = jobs.probe_stats_hourly(events.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") * 1000).alias("ms")))
-    q = stats.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(jobs.merge_into(f"{path}/table", ["hour"], F.col("n"))).start()
-    q.awaitTermination()
-    return jobs.merged(spark, f"{path}/table", q).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "n", F.round("avg_ms", 4).alias("avg_ms"))
+    """The rows of the same probes that came after their hour was closed, by hour."""
+    return _closed(spark, sf_dir).late().select(F.col("hour").cast("timestamp_ntz").alias("hour"), "n")

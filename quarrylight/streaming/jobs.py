@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarrylight.operators import serving, text, web
-from quarrylight.sources.io import fetched
+from quarrylight.operators import text, web
+from quarrylight.sources.io import delete, dropped, fetched, listed, saved
 
 
 def probe_stats_hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -19,9 +22,84 @@ def probe_stats_hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return agg.select(F.col("w.start").alias("hour"), "n", "avg_ms")
 
 
-def first_fetches(pages: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """The first fetch of each url within the time to live."""
-    return pages.withWatermark("fetched_at", ttl).dropDuplicatesWithinWatermark(["url"])
+class ClosedHours:
+    """Tumbling hours of (ts, ms) in append mode with what came too late beside them.
+
+    A batch's watermark is the latest time of the batches before it less the delay. Rows of an hour that ended by then are late
+    and only counted, by hour; the others join the sums of the open hours. Hours that end by the next watermark are
+    closed: appended, once. The open hours' sums, one row each, are written anew each batch beside their predecessor, and every
+    batch writes its own folders, so one that is run again gives the same.
+    """
+
+    OPEN, CLOSED, LATE = "hour timestamp, n long, sum_ms double, latest timestamp", "hour timestamp, n long, avg_ms double", "hour timestamp, n long"
+
+    def __init__(self, spark: SparkSession, path: str, seconds: int = 3600) -> None:
+        self.spark, self.path, self.seconds = spark, path, seconds
+
+    def _opened(self, before: int) -> DataFrame:
+        done = [n for n in self._numbers("open") if n < before]
+        return self.spark.read.schema(self.OPEN).parquet(f"{self.path}/open/batch={done[-1]}") if done else self.spark.createDataFrame([], self.OPEN)
+
+    def _numbers(self, kind: str) -> list[int]:
+        names = [n for n in listed(self.spark, f"{self.path}/{kind}") if n.startswith("batch=")]
+        return sorted(int(n[6:]) for n in names if "_SUCCESS" in listed(self.spark, f"{self.path}/{kind}/{n}"))
+
+    def merge(self, batch: DataFrame, number: int) -> None:
+        opened = self._opened(number)
+        latest = opened.agg(F.max("latest")).first()[0]
+        hours = batch.where("ts IS NOT NULL").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.sum(F.least("ms", F.lit(15000.0))).alias("sum_ms"), F.max("ts").alias("latest"))
+        ended = lambda mark: F.unix_timestamp("hour") + 3600 <= F.unix_timestamp(F.lit(mark)) - self.seconds if mark else F.lit(False)
+        hours = saved(hours.withColumn("late", ended(latest)))
+        hours.where("late").select("hour", "n").write.mode("overwrite").parquet(f"{self.path}/late/batch={number}")
+        now = max(filter(None, [latest, hours.agg(F.max("latest")).first()[0]]), default=None)
+        sums = opened.unionByName(hours.where("NOT late").drop("late")).groupBy("hour").agg(F.sum("n").alias("n"), F.sum("sum_ms").alias("sum_ms"), F.max("latest").alias("latest")).where("hour IS NOT NULL")
+        sums = saved(sums.withColumn("closed", ended(now)))
+        sums.where("closed").select("hour", "n", (F.col("sum_ms") / F.col("n")).alias("avg_ms")).write.mode("overwrite").parquet(f"{self.path}/closed/batch={number}")
+        mark = self.spark.createDataFrame([(None, 0, 0.0, now)], self.OPEN)  # keeps the watermark where no hour is open
+        sums.where("NOT closed").drop("closed").unionByName(mark).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/open/batch={number}")
+        dropped(hours, sums)
+        delete(self.spark, *[f"{self.path}/open/batch={n}" for n in self._numbers("open") if n < number - 1])
+
+    def _all(self, kind: str, schema: str) -> DataFrame:
+        paths = [f"{self.path}/{kind}/batch={n}" for n in self._numbers(kind)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def closed(self) -> DataFrame:
+        """(hour, n, avg_ms) of the closed hours."""
+        return self._all("closed", self.CLOSED)
+
+    def late(self) -> DataFrame:
+        """(hour, n): how many rows came after their hour was closed."""
+        return self._all("late", self.LATE).groupBy("hour").agg(F.sum("n").alias("n"))
+
+
+def fetches_in_time(pages: DataFrame, seconds: int, delay: str = "0 seconds") -> DataFrame:
+    """(url, fetched_at, state) of each fetch of a stream of (url, fetched_at): miss, hit or expired.
+
+    A url's state is the time of its last kept fetch. A fetch up to the time to live after it is a hit and changes nothing; a later
+    one finds it expired and is kept, as is the first, a miss. Fetches of one batch count in order of time, one from
+    before the kept fetch as a hit. The state goes when the watermark has passed its time to live, so a url that returns after that is a miss again
+    (it needs fetching just the same).
+    """
+    kept = "url string, fetched_at timestamp, state string"
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        times = np.sort(np.concatenate([f["fetched_at"].to_numpy("datetime64[us]") for f in frames]))
+        names = []
+        for t in times.astype(np.int64).tolist():
+            fresh = last is not None and t - last <= seconds * 1_000_000
+            names.append("hit" if fresh else "miss" if last is None else "expired")
+            last = last if fresh else t
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"url": [key[0]] * len(times), "fetched_at": times, "state": names})
+
+    rows = pages.select("url", "fetched_at").where("url IS NOT NULL AND fetched_at IS NOT NULL").withWatermark("fetched_at", delay)
+    return rows.groupBy("url").applyInPandasWithState(run, kept, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def profile_pages(pages: DataFrame, blacklist: list[str], email: str = r"([A-Za-z0-9._]+@[A-Za-z0-9.-]+)") -> DataFrame:
@@ -34,19 +112,3 @@ def profile_pages(pages: DataFrame, blacklist: list[str], email: str = r"([A-Za-
 def ingest(source: DataFrame, checkpoint: str, merge: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Runs what is new through ``merge``, batch by batch with its number, and stops."""
     return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
-
-
-def merge_into(path: str, keys: list[str], order: Column | None = None) -> Callable[[DataFrame, int], None]:
-    """A merge that upserts a batch into a table of versions: batch n is written beside its predecessor, so that a batch that is run again gives the same."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        rows = serving.upsert(spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}"), batch, keys, order=order) if number else serving.upsert(batch.where("false"), batch, keys, order=order)
-        rows.write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return merge
-
-
-def merged(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    """The table's version after the query's last batch."""
-    return spark.read.parquet(f"{path}/v{query.lastProgress['batchId']}")

@@ -170,21 +170,3 @@ def test_tables_under_a_name_and_configuration(spark, tmp_path):
     crawl.write_config(crawl.config_rows(df, ["id", "name"], "id", "name"), str(tmp_path / "c"))
     assert [json.loads(r["value"])["name"] for r in spark.read.text(str(tmp_path / "c")).collect()] == ["b", "a"]
     spark.sql("DROP TABLE facts_of_test")
-
-
-def test_stream_of_pages_is_merged_batch_by_batch(spark, tmp_path):
-    page = lambda i, t: (i, "https://a.org/x", f"<title>{t}</title><p>text {t} a@b.org</p>")
-    for rows in ([page(1, "one"), page(2, "two"), (3, "ftp://no", "<p>x</p>"), (4, "https://a.org", None)], [page(2, "new"), page(5, "five")]):
-        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        source = spark.readStream.schema("page_id long, url string, html string").parquet(str(tmp_path / "in"))
-        q = jobs.ingest(jobs.profile_pages(source, ["z.org"]), str(tmp_path / "cp"), jobs.merge_into(str(tmp_path / "t"), ["page_id"]))
-        q.awaitTermination(120)
-    got = jobs.merged(spark, str(tmp_path / "t"), q).orderBy("page_id").collect()
-    assert [(r["page_id"], r["title"], r["contact"]) for r in got] == [(1, "one", "a@b.org"), (2, "new", "a@b.org"), (5, "five", "a@b.org")]
-
-
-def test_stream_drops_repeated_fetches(spark, tmp_path):
-    spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:10:00"), ("b", "2024-01-01 00:00:00")], "url string, t string").select("url", F.col("t").cast("timestamp").alias("fetched_at")).coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema("url string, fetched_at timestamp").parquet(str(tmp_path / "in"))
-    jobs.first_fetches(source).writeStream.format("memory").queryName("fetches").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
-    assert sorted(r["url"] for r in spark.table("fetches").collect()) == ["a", "b"]
