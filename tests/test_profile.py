@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import exprs
 from quarrylight.operators import records, serving, tags, text, web
-from quarrylight.plans import crawl, fields, more, network, profile, relations, whole  # noqa: F401
+from quarrylight.plans import crawl, discovery, fields, more, network, profile, relations, whole  # noqa: F401
 from quarrylight.plans.queries import ORACLES, QUERIES
 from quarrylight.sources import io
 from quarrylight.streaming import jobs
