@@ -13,16 +13,25 @@ from quarrylight.operators.web import attributes, cited, is_blacklisted, linked
 from quarrylight.operators.web import domain as domain_of
 
 
-def assemble(items: DataFrame, key: str, category: str, categories: list[str], source: str, text: str, seq: str, most: int = 5, size: int = 5000) -> DataFrame:
-    """One row a key with a column a category: its first items, each under a line that names its source; '' without items.
+def blocks(items: DataFrame, key: str, category: str, categories: list[str], source: str, text: str, seq: str, size: int = 5000) -> DataFrame:
+    """(key, category, seq, block): each page's first ``size`` characters under a line that names its source, as rows of its own, however many a key has.
 
-    A category takes ``most`` pages of ``size`` characters, so a hot key gathers no more than that. Null keys go.
+    Null keys, other categories and null texts go.
     """
-    w = Window.partitionBy(key, category).orderBy(seq)
-    first = items.where(F.col(text).isNotNull() & F.col(key).isNotNull() & F.col(category).isin(*categories)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
-    page = F.concat(F.lit("【来源: "), F.substring(source, 1, 80), F.lit("】\n"), F.substring(text, 1, size))
-    own = lambda c: F.sort_array(F.collect_list(F.when(F.col(category) == c, F.struct("place", page.alias("page")))))
-    return first.groupBy(key).agg(*[F.array_join(F.transform(own(c), lambda x: x["page"]), "\n\n").alias(c) for c in categories])
+    block = F.concat(F.lit("【来源: "), F.substring(F.coalesce(source, F.lit("")), 1, 80), F.lit("】\n"), F.substring(text, 1, size), F.lit("\n\n"))
+    return items.where(F.col(text).isNotNull() & F.col(key).isNotNull() & F.col(category).isin(*categories)).select(F.col(key).alias("key"), F.col(category).alias("category"), F.col(seq).alias("seq"), block.alias("block"))
+
+
+def assemble(items: DataFrame, key: str, category: str, categories: list[str], source: str, text: str, seq: str, size: int = 5000) -> DataFrame:
+    """One row a key with a column a category, all its blocks in order, '' without any, and all_content, the ones that aren't blank joined by a blank line.
+
+    A record holds all pages of its key, so they are gathered in its row; ``blocks`` has them as rows.
+    """
+    rows = blocks(items, key, category, categories, source, text, seq, size)
+    own = lambda c: F.sort_array(F.collect_list(F.when(F.col("category") == c, F.struct("seq", "block"))))
+    joined = rows.groupBy(F.col("key").alias(key)).agg(*[F.array_join(F.transform(own(c), lambda x: x["block"]), "").alias(c) for c in categories])
+    bare = lambda c: F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    return joined.withColumn("all_content", F.concat_ws("\n\n", *[bare(c) for c in categories]))
 
 
 def official_score(title: Column, body: Column, domain: Column, full: str, short: str, structure: list[str], token: str, negative: list[str]) -> Column:

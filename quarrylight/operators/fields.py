@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions import domain as D
-from quarrylight.functions.exprs import any_hit, in_both, is_missing, map_all, map_first, ordered_extract, words_array
+from quarrylight.functions.exprs import any_hit, bands, in_both, is_missing, map_all, map_first, ordered_extract, words_array
 
 DATE = r"((?:19|20)[0-9]{2})[年/-]([0-9]{1,2})(?:[月/-]([0-9]{1,2}))?"
 
@@ -45,14 +45,35 @@ def establish_time(text: Column, words: list[str] = D.FOUNDED, years: tuple[int,
     return F.struct(value.alias("value"), sure.isNull().alias("uncertain"))
 
 
-def addresses(text: Column, patterns: list[str] = D.ADDRESSES, actual_words: list[str] = D.ACTUAL_ADDRESS, least: int = 6) -> Column:
-    """struct(register, actual): by patterns in order, the first addresses without and with one of the words in the 20 characters before the match."""
+def addresses(text: Column, patterns: list[str] = D.ADDRESSES, actual_words: list[str] = D.ACTUAL_ADDRESS, least: int = 6, fallbacks: list[tuple[str, int]] = D.ADDRESS_FALLBACKS) -> Column:
+    """struct(register, actual): by patterns in order, the first addresses without and with one of the words in the 20 characters before the match.
+
+    Where none is registered, that of the first fallback pattern whose match is longer than it asks.
+    """
     t = _text(text)
     pairs = lambda p: F.arrays_zip(F.regexp_extract_all(t, F.lit(p), F.lit(0)).alias("whole"), F.regexp_extract_all(t, F.lit(p), F.lit(1)).alias("address"))
     found = F.filter(F.flatten(F.array(*[pairs(p) for p in patterns])), lambda x: F.length(x["address"]) >= least)
     is_actual = lambda x: any_hit(_before(t, x["whole"], 20), actual_words)
     first = lambda x: F.coalesce(F.get(x, F.lit(0))["address"], F.lit(""))
-    return F.struct(first(F.filter(found, lambda a: ~is_actual(a))).alias("register"), first(F.filter(found, is_actual)).alias("actual"))
+    other = lambda p: F.trim(F.regexp_extract(t, p, 1))
+    register = F.coalesce(F.nullif(first(F.filter(found, lambda a: ~is_actual(a))), F.lit("")), *[F.when(F.length(F.regexp_extract(t, p, 1)) > n, other(p)) for p, n in fallbacks], F.lit(""))
+    return F.struct(register.alias("register"), first(F.filter(found, is_actual)).alias("actual"))
+
+
+def main_business(text: Column, scope: Column, rules: list[tuple[str, list[str]]] = D.SEGMENTS) -> Column:
+    """All segments with a word in the text, joined; without any, those with a word in the scope or in both together."""
+    own = map_all(text, rules)
+    return F.array_join(F.when(F.size(own) > 0, own).otherwise(map_all(F.concat_ws(" ", _text(scope), _text(text)), rules)), "、")
+
+
+def employee_scale(text: Column, patterns: list[str] = D.STAFF, cuts: list[tuple[float, str]] = D.STAFF_BANDS, last: str = D.STAFF_LAST) -> Column:
+    """The band of the first pattern's number, or of the middle of its range; '' without one."""
+    t, found = _text(text), []
+    for p in patterns:
+        n = lambda i, p=p: F.regexp_extract(t, p, i).try_cast("long")
+        found.append(F.floor((n(1) + n(2)) / 2) if p.count("(") - p.count("(?") > 1 else n(1))
+    middle = F.coalesce(*found)
+    return F.when(middle.isNull(), "").otherwise(bands(middle, cuts, last))
 
 
 def legal_person(text: Column, patterns: list[str] = D.LEGAL_PERSON, rejected: list[str] = D.NO_PERSON) -> Column:
@@ -104,6 +125,19 @@ def patent_count(text: Column, patterns: list[str] = D.PATENTS, word: str = "发
     return F.struct(most(total).alias("total"), most(inv).alias("invention"))
 
 
+def patent_text(text: Column, patterns: list[str] = D.PATENTS, word: str = "发明", topics: list[str] = D.PATENT_TOPICS, about: str = "专利") -> Column:
+    """N项（发明专利M项（含…相关）: the parts that there are, with up to three topics that the text names beside patents; '' without a number.
+
+    Only inventions make the total where there is no other; the one closing bracket is as the format has it.
+    """
+    t, n = _text(text), patent_count(text, patterns, word)
+    total = F.when(n["total"] > 0, n["total"]).otherwise(n["invention"])
+    named = F.slice(F.filter(words_array(topics), lambda w: F.contains(t, F.lit(about)) & F.contains(t, w)), 1, 3)
+    more = F.concat_ws("（", F.when(n["invention"] > 0, F.concat(F.lit("发明专利"), n["invention"].cast("string"), F.lit("项"))), F.when(F.size(named) > 0, F.concat(F.lit("含"), F.array_join(named, "、"), F.lit("相关"))))
+    first = F.concat(total.cast("string"), F.lit("项"))
+    return F.when(total == 0, "").when(more == "", first).otherwise(F.concat(first, F.lit("（"), more, F.lit("）")))
+
+
 def bidding_project(text: Column, patterns: list[str], bid_words: list[str], money: str, own: Column, wider: list[str], delimiters: str) -> Column:
     """A pattern's group, else the first sentence with a bid word and money or the own name, else with a wider word and money."""
     parts = F.transform(F.split(_text(text), delimiters), lambda s: F.trim(s))
@@ -122,8 +156,10 @@ def partners(text: Column, pattern: str, own: Column, known: list[str], stop: li
     return F.slice(F.transform(placed, lambda x: x["name"]), 1, most)
 
 
-def industry_class(text: Column, rules: list[tuple[str, list[str]]], default: str) -> Column:
-    return F.coalesce(F.nullif(F.array_join(F.slice(map_all(text, rules), 1, 3), "/"), F.lit("")), F.lit(default))
+def industry_class(text: Column, rules: list[tuple[str, list[str]]] = D.SEGMENTS, default: str = "", scope: Column | None = None, scopes: list[tuple[str, list[str]]] = D.SCOPE_INDUSTRIES) -> Column:
+    """The first three segments with a word in the text; without any, the first industry with a word in the scope; else the default."""
+    segments = F.nullif(F.array_join(F.slice(map_all(text, rules), 1, 3), "/"), F.lit(""))
+    return F.coalesce(segments, *([F.nullif(map_first(scope, scopes), F.lit(""))] if scope is not None else []), F.lit(default))
 
 
 def source_labels(urls: Column, rules: list[tuple[str, list[str]]], default: str) -> Column:
@@ -145,6 +181,18 @@ def clean_status(text: Column, core: list[Column]) -> Column:
     return F.when(_text(text) == "", "failed").when(full, "success").otherwise("partial")
 
 
+def clean_note(text: Column, core: list[Column], uncertain: Column) -> Column:
+    """What the status says in words: how many of the core fields are filled, and how many fields are uncertain."""
+    n, more = sum((F.when(is_missing(c), 0).otherwise(1) for c in core), F.lit(0)), F.concat(uncertain.cast("string"), F.lit(" 个字段不确定"))
+    some = F.when(n >= 2, F.concat(F.lit("部分字段提取成功，"), more)).when(n >= 1, F.concat(F.lit("核心字段提取不充分，仅"), n.cast("string"), F.lit("个字段有值，"), more)).otherwise("核心字段提取不足，但已尽力提取可用信息")
+    return F.when(_text(text) == "", "输入数据为空或格式错误").when(n >= len(core), "所有核心字段提取完整").otherwise(some)
+
+
+def diagnostics(found: dict[str, Column]) -> Column:
+    """A map from a missed field to its struct of diagnostics; fields with null diagnostics aren't in it."""
+    return F.map_filter(F.create_map(*[x for k, v in found.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+
+
 def uncertain_fields(columns: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(is_missing(F.col(c)), F.lit(c)) for c in columns]))
 

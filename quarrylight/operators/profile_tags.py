@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrylight.functions import domain
-from quarrylight.functions.exprs import any_hit, is_missing, words_array
+from quarrylight.functions.exprs import any_hit, is_missing, map_first, words_array
 from quarrylight.operators.tags import keyword_tags, normalize_terms
 
 
@@ -74,6 +74,37 @@ def amount_tags(capital_wan: Column, cuts: list[tuple[float, str]], last: str, e
     return F.slice(F.array_compact(F.array(F.when(capital_wan.isNotNull(), label), *[F.when(c, F.lit(x)) for c, x in extra])), 1, most)
 
 
+def _number(text: Column, pattern: str) -> Column:
+    return F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 1).try_cast("double")
+
+
+def _invested(investment: Column) -> Column:
+    """By the first amount in 亿."""
+    n = _number(investment, r"(\d+(?:\.\d+)?)\s*亿")
+    return F.when(n >= 5, "重资产投资").when(n >= 1, "产能升级能力")
+
+
+def production_tags(staff: Column, investment: Column, lines: dict[str, str] = domain.LINES, most: int = 8) -> Column:
+    """The class of the first number of staff, or of a word; how many lines are built; the amount; the processes. Missing fields give none."""
+    n, size = _number(F.replace(staff, F.lit(","), F.lit("")), r"(\d+)"), F.lit("小型生产企业")
+    for cut, label in reversed(domain.STAFF_CLASSES):
+        size = F.when(n >= cut, label).otherwise(size)
+    size = F.when(~is_missing(staff), F.when(n.isNotNull(), size).otherwise(F.nullif(map_first(staff, domain.STAFF_CLASS_WORDS), F.lit(""))))
+    built = F.when(any_hit(investment, ["生产线", "产线"]), F.when(_number(investment, r"(\d+)\s*条") >= 3, "多条产线").otherwise("产线扩建"))
+    words = [F.when(any_hit(investment, [w]), F.lit(label)) for w, label in lines.items()]
+    found = F.array_compact(F.array(size, *[F.when(~is_missing(investment), c) for c in (built, _invested(investment), *words)]))
+    return F.slice(F.array_distinct(found), 1, most)
+
+
+def financial_tags(capital: Column, investment: Column, most: int = 6) -> Column:
+    """The class of the capital in 万, an amount in 亿 counting ten thousand times, and the investment. Missing fields give none."""
+    large, small = _number(capital, r"(\d+(?:\.\d+)?)\s*亿"), _number(capital, r"(\d+(?:\.\d+)?)\s*万")
+    n, label = F.coalesce(large * 10000, small, F.lit(0.0)), F.lit("中小规模注册资本")
+    for cut, name in reversed(domain.CAPITAL_CLASSES):
+        label = F.when(n >= cut, name).otherwise(label)
+    return F.slice(F.array_compact(F.array(F.when(~is_missing(capital), label), F.when(~is_missing(investment), _invested(investment)))), 1, most)
+
+
 def _joined(c: Column, n: int) -> Column:
     return F.array_join(F.slice(c, 1, n), "、")
 

@@ -31,6 +31,12 @@ def facts(df: DataFrame, key: Column, kind: Column | None, order: list[Column],
     return own.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def facts_page(df: DataFrame, key: Column, kind: Column | None, order: list[Column], number: int, size: int) -> DataFrame:
+    """A page of ``facts`` with the number of all rows that match, as total."""
+    total = df.where(key if kind is None else key & kind).agg(F.count("*").alias("total"))
+    return facts(df, key, kind, order, number, size).join(F.broadcast(total), F.lit(True))  # one row
+
+
 def digest(rows: DataFrame, key: str, tag: str, seq: str, most: int = 5) -> DataFrame:
     """(key, first, n): the first tags of each key, joined, and how many rows it has; only ``most`` are gathered."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(seq, tag))

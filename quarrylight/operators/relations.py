@@ -130,10 +130,24 @@ def counterparty(text: Column, pattern: str, own: Column, least: int = 4) -> Col
     return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
 
 
-def downstream_edges(tags: DataFrame, seen: DataFrame, key: str, tag: str) -> DataFrame:
-    """(key, tag, confidence): an edge for each tag of a company (0.85) and for each industry only seen in mentions (0.75)."""
-    own, other = tags.select(key, tag).distinct(), seen.select(key, tag).distinct()
-    return own.withColumn("confidence", F.lit(0.85)).unionByName(other.join(own.hint("merge"), [key, tag], "left_anti").withColumn("confidence", F.lit(0.75)))
+def downstream_edges(flat: DataFrame, mentions: DataFrame, industries: dict[str, str] = domain.CONTEXT_SCENES, own_industry: str = domain.OWN_INDUSTRY) -> DataFrame:
+    """Edges from companies to the industries they supply, in the columns of ``EDGE``.
+
+    From (own, downstream, scenes), one for each downstream tag (0.85), with the scenes of that industry and the mentions from it as
+    evidence; from (own, seq, name, industry), one for each other industry but the own (0.75), with the first mention.
+    Null and unclear industries go. The names behind an edge are gathered in it.
+    """
+    table = F.create_map(*[F.lit(x) for kv in industries.items() for x in kv])
+    seen = mentions.where(~is_missing(F.col("industry")) & F.col("own").isNotNull()).groupBy("own", "industry").agg(F.sort_array(F.collect_list(F.struct("seq", "name"))).alias("seen"))
+    tags = flat.select("own", F.explode("downstream").alias("industry"), "scenes").where(~is_missing(F.col("industry")) & F.col("own").isNotNull())
+    scene = F.transform(F.filter(F.coalesce("scenes", F.array().cast("array<string>")), lambda s: F.coalesce(table[s] == F.col("industry"), F.lit(False))), lambda s: F.concat(F.lit("应用场景:"), s))
+    named = F.coalesce(F.transform("seen", lambda x: F.concat(F.lit("关联企业:"), x["name"])), F.array().cast("array<string>"))
+    proof = F.array_join(F.concat(scene, named), "；")
+    sure = tags.join(seen.hint("merge"), ["own", "industry"], "left").select("own", "industry", F.when(proof == "", "应用场景/业务范围推断").otherwise(proof).alias("evidence"), F.lit(0.85).alias("confidence"), F.lit("标签推断").alias("data_source"))
+    others = seen.where(F.col("industry") != own_industry).join(tags.select("own", "industry").hint("merge"), ["own", "industry"], "left_anti")
+    guessed = others.select("own", "industry", F.concat(F.lit("关联企业:"), F.get("seen", F.lit(0))["name"], F.lit("推断")).alias("evidence"), F.lit(0.75).alias("confidence"), F.lit("原始文本推断").alias("data_source"))
+    described = F.concat("own", F.lit("产品应用于"), "industry")
+    return sure.unionByName(guessed).select(F.col("own").alias("subject"), F.col("industry").alias("object"), F.lit("下游行业").alias("rel_type"), described.alias("description"), F.lit("").alias("project"), F.lit("").alias("amount"), "industry", "evidence", "confidence", "data_source")
 
 
 def fact_rows(records: DataFrame, columns: dict[str, dict[str, str]]) -> DataFrame:

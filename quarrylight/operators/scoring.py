@@ -38,10 +38,11 @@ def structuring(html: Column) -> Column:
 
 
 def freshness(text: Column, year: int) -> Column:
-    """By the latest year up to the given one; the year is a parameter, so results don't depend on the day."""
-    years = F.transform(F.regexp_extract_all(text, F.lit(r"(20[0-9]{2})"), F.lit(1)), lambda x: x.cast("int"))
-    top = F.array_max(F.filter(years, lambda y: (y >= 2023) & (y <= year)))
-    return F.when(F.length(text) == 0, 0.0).when(top >= year - 1, 1.0).when(top >= year - 2, 0.7).when(top.isNotNull(), 0.4).otherwise(0.3)
+    """By the latest year of 2023 to 2039 up to the given one, else by a later date; the year is a parameter, so results don't depend on the day."""
+    years = F.transform(F.regexp_extract_all(text, F.lit("20(?:2[3-9]|3[0-9])"), F.lit(0)), lambda x: x.cast("int"))
+    top = F.array_max(F.filter(years, lambda y: y <= year))
+    dated = F.when(text.rlike("202[3-9]-[0-9]{2}"), 0.8).otherwise(0.3)
+    return F.when(F.length(text) == 0, 0.0).when(top >= year - 1, 1.0).when(top >= year - 2, 0.7).when(top.isNotNull(), 0.4).otherwise(dated)
 
 
 def page_quality(html: Column, text: Column, errors: list[str]) -> Column:
@@ -66,6 +67,32 @@ def top(df: DataFrame, score: str, tie: str, k: int = 20) -> DataFrame:
     return df.orderBy(F.desc(score), tie).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), tie)))
 
 
+# Weights of the features in each score, and of the scores.
+DATA_WEIGHTS = {"relation": 0.30, "info": 0.20, "industry": 0.25, "structure": 0.15, "fresh": 0.10}
+SITE_WEIGHTS = {"page": 0.4, "friendly": 0.3, "authority": 0.3}
+OVERALL_WEIGHTS = {"response": 0.30, "data": 0.40, "site": 0.30}
+
+
+def weighted(parts: dict[str, Column], weights: dict[str, float], scale: float = 1.0) -> Column:
+    return sum((parts[k] * scale * w for k, w in weights.items()), F.lit(0.0))
+
+
+def site_scores(response: Column, features: dict[str, Column], data: dict[str, float] = DATA_WEIGHTS, site: dict[str, float] = SITE_WEIGHTS, overall: dict[str, float] = OVERALL_WEIGHTS, digits: int = 2) -> Column:
+    """struct(data, site, overall), 0 to 100, of features from 0 to 1 and a response from 0 to 100."""
+    d, s = weighted(features, data, 100), weighted(features, site, 100)
+    all_ = weighted({"response": response, "data": d, "site": s}, overall)
+    return F.struct(F.bround(d, digits).alias("data"), F.bround(s, digits).alias("site"), F.bround(all_, digits).alias("overall"))
+
+
+def best_sample(probes: DataFrame, domain: Column, size: Column, seq: str, sample: str) -> DataFrame:
+    """(domain, sample): the longest of each domain's, the first of those alike; empty ones don't count."""
+    return probes.where(size > 0).groupBy(domain.alias("domain")).agg(F.max_by(sample, F.struct(size, -F.col(seq))).alias(sample))
+
+
+def enabled(score: Column, least: float = 40) -> Column:
+    return score >= least
+
+
 def band(score: Column) -> Column:
     return F.when(score >= 85, 1).when(score >= 70, 2).when(score >= 55, 3).otherwise(4)
 

@@ -54,9 +54,10 @@ def token_estimate(docs: DataFrame, stage: Column, text: Column) -> DataFrame:
     return docs.select(stage.alias("stage"), n.alias("n")).rollup("stage").agg(F.sum("n").alias("tokens"), F.count("*").alias("n_rows"))
 
 
-def run_summary(results: DataFrame, status: Column, done: str) -> DataFrame:
+def run_summary(results: DataFrame, status: Column, done: str, tokens: Column | None = None) -> DataFrame:
+    """One row: companies, completed and failed ones, their share, and the tokens used, if there are any counts."""
     ok = F.count_if(status == done)
-    return results.agg(F.count("*").alias("total"), ok.alias("completed"), (F.count("*") - ok).alias("failed"), F.bround(ok / F.count("*"), 4).alias("share"))
+    return results.agg(F.count("*").alias("total"), ok.alias("completed"), (F.count("*") - ok).alias("failed"), F.bround(ok / F.count("*"), 4).alias("share"), *([F.coalesce(F.sum(tokens), F.lit(0)).cast("long").alias("total_tokens")] if tokens is not None else []))
 
 
 def log_summary(log: DataFrame, key: str, level: Column, message: str, seq: str) -> DataFrame:

@@ -20,11 +20,17 @@ def crawl_score(items: DataFrame, key: str, category: str, text: str) -> DataFra
 
 
 def relevance(text: Column, full: str, short: str, words: list[str], stop: str = "。") -> Column:
-    """Mentions of both names, and pairs of a sentence with a name and a word in it; between 0.1 and 1."""
-    n = lambda w: F.regexp_count(text, F.lit(w))
+    """Mentions of both names, and pairs of a sentence with a name and a word in it; between 0.1 and 1, 0 without a text."""
+    n = lambda w: F.regexp_count(text, F.lit(w)) if len(w) > 1 else F.lit(0)
     named = F.filter(F.split(text, stop), lambda s: s.contains(full) | s.contains(short))
     pairs = F.aggregate(named, F.lit(0), lambda acc, s: acc + sum((s.contains(w).cast("int") for w in words), F.lit(0)))
-    return F.bround(F.greatest(F.lit(0.1), F.least(F.lit(1.0), n(full) * 0.05 + n(short) * 0.03 + pairs * 0.1)), 4)
+    score = F.bround(F.greatest(F.lit(0.1), F.least(F.lit(1.0), n(full) * 0.05 + n(short) * 0.03 + pairs * 0.1)), 2)
+    return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(score)
+
+
+def discounted(confidence: Column, relevance: Column, least: float = 0.3, factor: float = 0.6) -> Column:
+    """The confidence, cut where the text has little to do with the company."""
+    return F.when(relevance < least, confidence * factor).otherwise(confidence)
 
 
 def first_confirmed(pages: DataFrame, key: Column, order: str, text: str, names: list[str], least: int = 100) -> DataFrame:
@@ -56,11 +62,12 @@ def type_keywords(types: Column, templates: dict[str, list[str]]) -> Column:
     return F.array_distinct(F.flatten(F.array_compact(out)))
 
 
-def merge_config(new: DataFrame, old: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """What the old configuration holds in the columns is kept."""
-    o = old.select(key, *[F.col(c).alias(f"old_{c}") for c in cols]).dropDuplicates([key])
+def merge_config(new: DataFrame, old: DataFrame, key: str, cols: list[str], if_empty: list[str] = ()) -> DataFrame:
+    """What the old configuration holds in the columns is kept; in the array columns ``if_empty`` only where the new one has nothing."""
+    o = old.select(key, *[F.col(c).alias(f"old_{c}") for c in [*cols, *if_empty]]).dropDuplicates([key])
     j = new.join(o.hint("merge"), key, "left")
-    return j.select(*[F.coalesce(f"old_{c}", c).alias(c) if c in cols else F.col(c) for c in new.columns])
+    filled = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.col(c)).otherwise(F.coalesce(f"old_{c}", c)).alias(c)
+    return j.select(*[F.coalesce(f"old_{c}", c).alias(c) if c in cols else filled(c) if c in if_empty else F.col(c) for c in new.columns])
 
 
 def carry_forward(old: DataFrame, done: DataFrame, key: str, at: str, now: Column, days: int = 7) -> DataFrame:

@@ -20,8 +20,16 @@ def short_name(name: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     return out
 
 
-def normalize_terms(c: Column, terms: list[tuple[str, str]]) -> Column:
-    """Replacements one after the other; a later one sees what an earlier one made."""
+def normalize_terms(c: Column, terms: list[tuple[str, str]], longest_first: bool = False) -> Column:
+    """Replacements one after the other; a later one sees what an earlier one made.
+
+    With ``longest_first``, one pass that takes the longest term at each place and leaves what it has made alone.
+    """
+    if longest_first:
+        by_size = sorted(dict(reversed(terms)).items(), key=lambda kv: -len(kv[0]))  # of equal terms the first counts
+        table = F.create_map(*[F.lit(x) for kv in by_size for x in kv])
+        pieces = F.regexp_extract_all(c, F.lit("(?s)" + "|".join(["\\Q" + k + "\\E" for k, _ in by_size] + ["."])), F.lit(0))
+        return F.array_join(F.transform(pieces, lambda x: F.coalesce(table[x], x)), "")
     for old, new in terms:
         c = F.replace(c, F.lit(old), F.lit(new))
     return c

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrylight.functions import domain as D
 from quarrylight.functions import exprs as X
 from quarrylight.operators import fields, web
 from quarrylight.plans.queries import DOMAIN, query
@@ -23,10 +24,13 @@ def _(o):
     return o.select("o_orderkey", fields.establish_time(text, ["founded"], (1996, 1999)).alias("x")).select("o_orderkey", "x.*")
 
 
-@query("f4_addresses", "supplier", "SELECT s_suppkey, s_name || ' Street' AS register, CASE WHEN s_suppkey % 2 = 0 THEN s_name || ' Road' ELSE '' END AS actual FROM supplier")
+@query("f4_addresses", "supplier", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 3 THEN 'Lane of ' || s_name WHEN 1 THEN CASE WHEN length(s_name) > 18 THEN s_name ELSE '' END ELSE s_name || ' Street' END AS register, CASE WHEN s_suppkey % 2 = 0 THEN s_name || ' Road' ELSE '' END AS actual FROM supplier")
 def _(s):
-    text = F.concat(F.lit("Seat "), "s_name", F.lit(" Street"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("; and the office for work is in "), "s_name", F.lit(" Road"))).otherwise(""))
-    return s.select("s_suppkey", fields.addresses(text, ["([A-Z][a-z]+#[0-9]+ (?:Street|Road))"], ["work"]).alias("x")).select("s_suppkey", "x.*")
+    """An address, also one of an office, or only one that a fallback finds: a bidder's, or a name that is long enough."""
+    k = F.col("s_suppkey") % 4
+    text = F.when(k == 3, F.concat(F.lit("bidder at Lane of "), "s_name")).when(k == 1, F.concat(F.lit("only "), "s_name")).otherwise(F.concat(F.lit("Seat "), "s_name", F.lit(" Street"), F.when(k % 2 == 0, F.concat(F.lit("; and the office for work is in "), "s_name", F.lit(" Road"))).otherwise("")))
+    found = fields.addresses(text, ["([A-Z][a-z]+#[0-9]+ (?:Street|Road))"], ["work"], fallbacks=[("bidder.*?at (Lane of [A-Za-z]+#[0-9]+)", 5), ("([A-Z][a-z]+#[0-9]+)", 18)])
+    return s.select("s_suppkey", found.alias("x")).select("s_suppkey", "x.*")
 
 
 @query("f5_legal_person", "supplier", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END AS value, CASE WHEN s_suppkey % 2 = 0 THEN 'regex' ELSE 'miss' END AS method FROM supplier")
@@ -62,10 +66,12 @@ def _(d):
     return d.select("doc_id", fields.qualification_flag(F.col("text"), ["the"], ["nothe"]).alias("flag"), fields.qualification_flag(F.col("text"), ["the"], ["of the"], True).alias("strict"))
 
 
-@query("f15_patent_count", "part", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE p_size END::BIGINT AS total, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE 0 END::BIGINT AS invention FROM part")
+@query("f15_patent_count", "part", """WITH n AS (SELECT p_partkey, p_size, p_partkey % 2 = 0 AS inv, list_filter([CASE WHEN contains(p_name, 'ring') THEN 'ring' END, CASE WHEN contains(p_name, 'red') THEN 'red' END], lambda x: x IS NOT NULL) AS t FROM part)
+    SELECT p_partkey, CASE WHEN inv THEN 0 ELSE p_size END::BIGINT AS total, CASE WHEN inv THEN p_size ELSE 0 END::BIGINT AS invention, CASE WHEN p_size = 0 THEN '' ELSE p_size || '项' || CASE WHEN inv OR len(t) > 0 THEN '（' || concat_ws('（', CASE WHEN inv THEN '发明专利' || p_size || '项' END, CASE WHEN len(t) > 0 THEN '含' || array_to_string(t, '、') || '相关' END) || '）' ELSE '' END END AS shown FROM n""")
 def _(p):
-    text = F.concat(F.when(F.col("p_partkey") % 2 == 0, "invention ").otherwise("design "), F.lit("patents "), F.col("p_size").cast("string"))
-    return p.select("p_partkey", fields.patent_count(text, ["patents ([0-9]+)", "([0-9]+) patents"], "invent").alias("x")).select("p_partkey", "x.*")
+    text = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " invention ").otherwise(" design "), F.lit("patents "), F.col("p_size").cast("string"))
+    patterns = ["patents ([0-9]+)", "([0-9]+) patents"]
+    return p.select("p_partkey", fields.patent_count(text, patterns, "invent").alias("x"), fields.patent_text(text, patterns, "invent", ["ring", "red"], "patents").alias("shown")).select("p_partkey", "x.*", "shown")
 
 
 @query("f17_bidding_projects", "documents", """WITH s AS (SELECT doc_id, source, [trim(x) FOR x IN string_split_regex(coalesce(text, ''), '[.\\n]')] AS s FROM documents)
@@ -88,9 +94,12 @@ def _(d):
     return rows.where(F.size("p") > 0).select("doc_id", F.array_join("p", ",").alias("partners"))
 
 
-@query("f20_industry_class", "part", "SELECT p_partkey, coalesce(nullif(array_to_string(list_filter([CASE WHEN contains(p_name, 'ring') THEN 'rings' END, CASE WHEN contains(p_name, 'widget') THEN 'widgets' END, CASE WHEN contains(p_name, 'e') THEN 'e' END, CASE WHEN contains(p_name, 'r') THEN 'r' END], lambda x: x IS NOT NULL)[1:3], '/'), ''), 'parts') AS industry FROM part")
+@query("f20_industry_class", "part", "SELECT p_partkey, coalesce(nullif(array_to_string(list_filter([CASE WHEN contains(p_name, 'ring') THEN 'rings' END, CASE WHEN contains(p_name, 'widget') THEN 'widgets' END, CASE WHEN contains(p_name, 'widget') AND contains(p_name, 'e') THEN 'e' END], lambda x: x IS NOT NULL)[1:3], '/'), ''), CASE WHEN contains(p_type, 'ECO') THEN 'cheap' WHEN contains(p_type, 'STEEL') THEN 'steel' END, 'parts') AS industry, '制造业-通用设备制造业-轴承制造' AS category FROM part")
 def _(p):
-    return p.select("p_partkey", fields.industry_class(F.col("p_name"), [("rings", ["ring"]), ("widgets", ["widget"]), ("e", ["e"]), ("r", ["r"])], "parts").alias("industry"))
+    """Segments of the name, else an industry by the type as scope, else the default; and the constant category."""
+    rules = [("rings", ["ring"]), ("widgets", ["widget"]), ("e", ["e widget", "ed widget", "widget"])]
+    found = fields.industry_class(F.col("p_name"), rules, "parts", F.col("p_type"), [("cheap", ["ECO"]), ("steel", ["STEEL"])])
+    return p.select("p_partkey", found.alias("industry"), F.lit(D.INDUSTRY_CATEGORY).alias("category"))
 
 
 @query("f21_data_source_labels", "pages", f"""WITH l AS (SELECT DISTINCT {DOMAIN} AS domain, CASE WHEN contains(url, 'blog.') THEN 'blog' WHEN contains(url, '/en') THEN 'english' ELSE 'site' END AS label FROM pages) SELECT domain, string_agg(label, '、' ORDER BY label) AS labels FROM l GROUP BY 1""")
@@ -105,14 +114,19 @@ def _(d):
     return d.select("doc_id", fields.clean_confidence([F.col("text"), F.col("lang")], [(F.col("source"), 0.03)]).alias("confidence"))
 
 
-@query("f23_clean_status", "documents", "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'failed' WHEN coalesce(lang, '') <> '' AND coalesce(source, '') <> '' THEN 'success' ELSE 'partial' END AS status FROM documents")
+@query("f23_clean_status", "documents", """WITH n AS (SELECT doc_id, coalesce(text, '') = '' AS bare, (coalesce(lang, '') <> '')::INT + (coalesce(source, '') <> '')::INT + (doc_id % 3 > 0)::INT AS n, doc_id % 5 AS u FROM documents)
+    SELECT doc_id, CASE WHEN bare THEN 'failed' WHEN n = 3 THEN 'success' ELSE 'partial' END AS status, CASE WHEN bare THEN '输入数据为空或格式错误' WHEN n = 3 THEN '所有核心字段提取完整' WHEN n = 2 THEN '部分字段提取成功，' || u || ' 个字段不确定' WHEN n = 1 THEN '核心字段提取不充分，仅1个字段有值，' || u || ' 个字段不确定' ELSE '核心字段提取不足，但已尽力提取可用信息' END AS note FROM n""")
 def _(d):
-    return d.select("doc_id", fields.clean_status(F.col("text"), [F.col("lang"), F.col("source")]).alias("status"))
+    core = [F.col("lang"), F.col("source"), F.when(F.col("doc_id") % 3 > 0, "x")]
+    return d.select("doc_id", fields.clean_status(F.col("text"), core).alias("status"), fields.clean_note(F.col("text"), core, F.col("doc_id") % 5).alias("note"))
 
 
-@query("f24_uncertain_fields", "documents", "SELECT doc_id, array_to_string(list_filter([CASE WHEN coalesce(text, '') = '' THEN 'text' END, CASE WHEN coalesce(lang, '') = '' THEN 'lang' END, CASE WHEN coalesce(source, '') = '' THEN 'source' END], lambda x: x IS NOT NULL), ',') AS missing FROM documents")
+@query("f24_uncertain_fields", "documents", "SELECT doc_id, array_to_string(list_filter([CASE WHEN coalesce(text, '') = '' THEN 'text' END, CASE WHEN coalesce(lang, '') = '' THEN 'lang' END, CASE WHEN coalesce(source, '') = '' THEN 'source' END], lambda x: x IS NOT NULL), ',') AS missing, CASE WHEN regexp_matches(coalesce(text, ''), '[0-9]+ EUR') THEN 0 ELSE 1 END AS n, CASE WHEN regexp_matches(coalesce(text, ''), '[0-9]+ EUR') THEN '' ELSE coalesce(text, '')[1:200] END AS sample FROM documents")
 def _(d):
-    return d.select("doc_id", F.array_join(fields.uncertain_fields(["text", "lang", "source"]), ",").alias("missing"))
+    """Missing fields, and the diagnostics of a capital that isn't found: how many fields have some, and the sample of the text."""
+    capital = fields.registered_capital(F.col("text"), [("([0-9]+) EUR", "EUR")])["diagnostics"]
+    rows = d.withColumn("m", fields.diagnostics({"registered_capital": capital}))
+    return rows.select("doc_id", F.array_join(fields.uncertain_fields(["text", "lang", "source"]), ",").alias("missing"), F.size("m").alias("n"), F.coalesce(F.col("m")["registered_capital"]["text_sample"], F.lit("")).alias("sample"))
 
 
 @query("f25_gap_fill_merge", "documents,labels", "SELECT doc_id, coalesce(nullif(lang, ''), q, '') AS lang FROM documents LEFT JOIN (SELECT doc_id, min('q' || quality) AS q FROM labels GROUP BY 1) USING (doc_id)")

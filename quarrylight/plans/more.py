@@ -15,10 +15,14 @@ def _(d):
     return sites.crawl_score(d.where("source IS NOT NULL"), "source", "lang", "text")
 
 
-@query("c4_content_relevance", "documents", """SELECT doc_id, round_even(greatest(.1::DOUBLE, least(1::DOUBLE, len(regexp_extract_all(text, 'the')) * .05::DOUBLE + len(regexp_extract_all(text, 'ing')) * .03::DOUBLE
-    + list_sum([contains(s, 'with')::INT + contains(s, 'tion')::INT FOR s IN string_split(text, '.') IF contains(s, 'the') OR contains(s, 'ing')] || [0]) * .1::DOUBLE)), 4) AS relevance FROM documents""")
+_RELEVANCE = """CASE WHEN coalesce(text, '') = '' THEN 0 ELSE round_even(greatest(.1::DOUBLE, least(1::DOUBLE, len(regexp_extract_all(text, 'the')) * .05::DOUBLE + len(regexp_extract_all(text, 'ing')) * .03::DOUBLE
+    + list_sum([contains(s, 'with')::INT + contains(s, 'tion')::INT FOR s IN string_split(text, '.') IF contains(s, 'the') OR contains(s, 'ing')] || [0]) * .1::DOUBLE)), 2) END"""
+
+
+@query("c4_content_relevance", "documents", f"WITH r AS (SELECT doc_id, {_RELEVANCE} AS relevance FROM documents) SELECT *, CASE WHEN relevance < .3 THEN .95::DOUBLE * .6::DOUBLE ELSE .95::DOUBLE END AS confidence FROM r")
 def _(d):
-    return d.select("doc_id", sites.relevance(F.col("text"), "the", "ing", ["with", "tion"], r"\.").alias("relevance"))
+    found = d.select("doc_id", sites.relevance(F.col("text"), "the", "ing", ["with", "tion"], r"\.").alias("relevance"))
+    return found.withColumn("confidence", sites.discounted(F.lit(0.95), F.col("relevance")))
 
 
 @query("c7_first_confirmed_site", "pages", f"SELECT {DOMAIN} AS key, min(page_id) AS page_id FROM pages WHERE length(html) > 100 AND contains(html, 'the') GROUP BY 1")
@@ -44,10 +48,12 @@ def _(p):
     return p.select("p_partkey", F.array_join(sites.type_keywords(types, {"steel": ["a", "b"], "small": ["b", "c"]}), ",").alias("keywords"))
 
 
-@query("d23_config_merge", "part", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'kept' ELSE p_type END AS template FROM part")
+@query("d23_config_merge", "part", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'kept' ELSE p_type END AS template, CASE WHEN p_size % 2 = 0 THEN p_name WHEN p_partkey % 3 = 0 THEN 'old' ELSE '' END AS keywords FROM part")
 def _(p):
-    old = p.where("p_partkey % 3 = 0").select("p_partkey", F.lit("kept").alias("template"))
-    return sites.merge_config(p.select("p_partkey", F.col("p_type").alias("template")), old, "p_partkey", ["template"])
+    """Templates of the old configuration stay, its keywords only where the new one has none."""
+    old = p.where("p_partkey % 3 = 0").select("p_partkey", F.lit("kept").alias("template"), F.array(F.lit("old")).alias("keywords"))
+    new = p.select("p_partkey", F.col("p_type").alias("template"), F.when(F.col("p_size") % 2 == 0, F.array("p_name")).otherwise(F.array().cast("array<string>")).alias("keywords"))
+    return sites.merge_config(new, old, "p_partkey", ["template"], ["keywords"]).withColumn("keywords", F.array_join("keywords", ","))
 
 
 @query("d25_incremental_merge", "events", "SELECT event_id FROM events WHERE event_id % 4 <> 0 AND floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(ts)) <= 604800")
@@ -109,10 +115,11 @@ def _(li):
     return li.select("l_orderkey", "l_linenumber", score.alias("confidence"))
 
 
-@query("q7_query_facts", "lineitem", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_suppkey = 1 AND l_returnflag = 'A' ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10 OFFSET 10")
+@query("q7_query_facts", "lineitem", "SELECT l_orderkey, l_linenumber, l_extendedprice, count(*) OVER () AS total FROM lineitem WHERE l_suppkey = 1 AND l_returnflag = 'A' ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10 OFFSET 10")
 def _(li):
-    rows = records.facts(li, F.col("l_suppkey") == 1, F.col("l_returnflag") == "A", [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 2, 10)
-    return rows.select("l_orderkey", "l_linenumber", "l_extendedprice")
+    """A page is the feature: ten rows, with the number of all."""
+    rows = records.facts_page(li, F.col("l_suppkey") == 1, F.col("l_returnflag") == "A", [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 2, 10)
+    return rows.select("l_orderkey", "l_linenumber", "l_extendedprice", "total")
 
 
 @query("q15_result_digest", "lineitem", "WITH r AS (SELECT l_suppkey, l_returnflag, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_returnflag) AS k FROM lineitem) SELECT l_suppkey, count(*) AS n, string_agg(l_returnflag, ',' ORDER BY k) FILTER (k <= 5) AS first FROM r GROUP BY 1")

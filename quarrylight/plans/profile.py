@@ -61,9 +61,16 @@ def _(p):
     return p.select("p_partkey", _j(T.inferred_tags(F.col("p_name"), _NAMES, [(F.col("p_type") == "ECONOMY", "high-tech"), (n >= 50, "strong"), ((n >= 20) & (n < 50), "fair")], 8, first=True), "tags"))
 
 
-@query("g13_production_tags", "part", "SELECT p_partkey, array_to_string([x FOR x IN [CASE WHEN p_size >= 40 THEN 'giant' WHEN p_size >= 20 THEN 'large' WHEN p_size >= 10 THEN 'middle' ELSE 'small' END, CASE WHEN p_retailprice >= 1000 THEN 'dear' END] IF x IS NOT NULL], ',') AS tags FROM part")
+_WORK = "CASE p_partkey % 4 WHEN 0 THEN [CASE WHEN p_size % 6 >= 3 THEN '多条产线' ELSE '产线扩建' END, CASE WHEN p_size / 8 >= 5 THEN '重资产投资' WHEN p_size / 8 >= 1 THEN '产能升级能力' END] WHEN 1 THEN ['产线扩建', '磨削产线'] ELSE [] END"
+
+
+@query("g13_production_tags", "part", f"SELECT p_partkey, array_to_string([x FOR x IN [CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_size * 40 >= 1000 THEN '大型生产企业' WHEN p_size * 40 >= 500 THEN '中大型生产企业' WHEN p_size * 40 >= 100 THEN '中型生产企业' ELSE '小型生产企业' END WHEN 1 THEN '中型生产企业' END] || {_WORK} IF x IS NOT NULL], ',') AS tags FROM part")
 def _(p):
-    return p.select("p_partkey", _j(T.amount_tags(F.col("p_size"), [(10, "middle"), (20, "large"), (40, "giant")], "small", [(F.col("p_retailprice") >= 1000, "dear")], 8), "tags"))
+    """Staff and investments as text, made of each part's size."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    staff = F.when(k % 3 == 0, F.concat(F.format_number(n * 40, 0), F.lit("-99999人"))).when(k % 3 == 1, "中型企业").otherwise("未提取到")
+    plans = F.when(k % 4 == 0, F.concat(F.lit("投资"), (n / 8).cast("string"), F.lit("亿元建设"), (n % 6).cast("string"), F.lit(" 条生产线"))).when(k % 4 == 1, "磨削产线改造").otherwise("")
+    return p.select("p_partkey", F.array_join(T.production_tags(staff, plans), ",").alias("tags"))
 
 
 @query("g14_cert_ability_tags", "documents", "SELECT doc_id, array_to_string(list_filter([CASE WHEN source IN ('src1', 'src2') THEN 'special' END, CASE WHEN contains(lower(text), 'mit license') THEN 'mit' END], lambda x: x IS NOT NULL), ',') AS tags FROM documents")
@@ -71,9 +78,14 @@ def _(d):
     return d.select("doc_id", _j(T.inferred_tags(F.col("text"), {"MIT License": "mit"}, [(F.col("source").isin("src1", "src2"), "special")], 8, first=True), "tags"))
 
 
-@query("g15_financial_tags", "customer", "SELECT c_custkey, array_to_string([x FOR x IN [CASE WHEN c_acctbal >= 8000 THEN 'strong' WHEN c_acctbal >= 4000 THEN 'fair' WHEN c_acctbal >= 1000 THEN 'some' ELSE 'little' END, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'machines' END] IF x IS NOT NULL], ',') AS tags FROM customer")
+@query("g15_financial_tags", "customer", """SELECT c_custkey, array_to_string([x FOR x IN [CASE c_custkey % 3 WHEN 2 THEN NULL ELSE CASE WHEN n >= 10000 THEN '高注册资本（≥1亿）' WHEN n >= 5000 THEN '高注册资本（≥5000万）' WHEN n >= 1000 THEN '中等注册资本' ELSE '中小规模注册资本' END END, CASE WHEN c_custkey % 5 = 0 THEN '重资产投资' WHEN c_custkey % 5 = 1 THEN '产能升级能力' END] IF x IS NOT NULL], ',') AS tags
+    FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN abs(CAST(floor(c_acctbal) AS BIGINT)) ELSE abs(CAST(floor(c_acctbal) AS BIGINT)) % 30 / 10 * 10000 END AS n FROM customer)""")
 def _(c):
-    return c.select("c_custkey", _j(T.amount_tags(F.col("c_acctbal"), [(1000, "some"), (4000, "fair"), (8000, "strong")], "little", [(F.col("c_mktsegment") == "MACHINERY", "machines")]), "tags"))
+    """Capital in 万 or 亿 and investments as text, made of each balance."""
+    k, n = F.col("c_custkey"), F.abs(F.floor("c_acctbal").cast("long"))
+    capital = F.when(k % 3 == 0, F.concat(n.cast("string"), F.lit(" 万元人民币"))).when(k % 3 == 1, F.concat((n % 30 / 10).cast("string"), F.lit("亿元"))).otherwise("未明确")
+    plans = F.when(k % 5 == 0, "总投资5.5亿元").when(k % 5 == 1, "投资 1 亿").when(k % 5 == 2, "投资0.9亿").otherwise("")
+    return c.select("c_custkey", F.array_join(T.financial_tags(capital, plans), ",").alias("tags"))
 
 
 @query("g17_tag_gap_merge", "part", "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'rings' WHEN p_partkey % 2 = 0 THEN 'answer' ELSE 'name-未明确' END AS tag, CASE WHEN contains(p_name, 'ring') THEN round_even(least(.9::DOUBLE + least(length(p_name) / 100, .05::DOUBLE), .99::DOUBLE), 2) WHEN p_partkey % 2 = 0 THEN .95 ELSE 0 END::DOUBLE AS confidence FROM part")

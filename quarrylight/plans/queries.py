@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import exprs as X
-from quarrylight.operators import scoring, serving, tags, text, web
+from quarrylight.functions.domain import BLOCK_TAGS
+from quarrylight.operators import fields, scoring, serving, sites, tags, text, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,14 +115,14 @@ def _(p):
 
 
 _BLOCKS = " || ".join(
-    f"[x FOR x IN [{SQUEEZE.format(chr(114) + 'egexp_replace(y, ' + chr(39) + '(?s)<[^>]+>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} FOR y IN regexp_extract_all({BARE}, '(?is)<{t}[^>]*>(.*?)</{t}>', 1)] IF length(x) > {n} AND NOT regexp_matches(x, '^[\\d\\s.,;:%/()-]*$')]"
-    for t, n in (("p", 15), ("h1", 5), ("li", 10))
+    f"[x FOR x IN [regexp_replace(regexp_replace(y, '(?s)<[^>]+>', '', 'g'), '^\\s+|\\s+$', '', 'g') FOR y IN regexp_extract_all({BARE}, '(?is)<{t}[^>]*>(.*?)</{t}>', 1)] IF length(x) > {n} AND NOT regexp_matches(x, '^[\\d\\s.,;:!?+/()-]+$')]"
+    for t, n in BLOCK_TAGS
 )
 
 
-@query("p6_html_to_text_blocks", "pages", f"SELECT page_id, array_to_string({_BLOCKS}, ' ') AS text FROM pages")
+@query("p6_html_to_text_blocks", "pages", f"SELECT page_id, {SQUEEZE.format("array_to_string(" + _BLOCKS + ", ' ')")} AS text FROM pages")
 def _(p):
-    return p.select("page_id", web.html_blocks(F.col("html"), [("p", 15), ("h1", 5), ("li", 10)]).alias("text"))
+    return p.select("page_id", web.html_blocks(F.col("html")).alias("text"))
 
 
 _PICK = lambda t: "nullif(" + SQUEEZE.format(f"regexp_replace(regexp_extract(html, '(?is)<{t}[^>]*>(.*?)</{t}>', 1), '(?s)<[^>]+>', '', 'g')") + ", '')"
@@ -138,9 +139,10 @@ def _(n):
     return web.search_urls(n.select(F.col("n_name").alias("name")), ["https://a.example/?q={q}&p={page}", "https://b.example/s/{q}/{page}"])
 
 
-@query("p12_expand_keywords", "supplier", "SELECT s_suppkey, replace(t, '{name}', s_name) AS keyword FROM supplier, (VALUES ('{name} bid'), ('{name} patent')) x(t)")
+@query("p12_expand_keywords", "supplier", "SELECT s_suppkey, t AS data_type, CAST(i AS INTEGER) AS place, replace(replace(w, '{name}', s_name), '{short}', s_name[1:8]) AS keyword FROM supplier, (VALUES ('bids', 0, '{name} bid'), ('bids', 1, '{short} bid of {name}'), ('patents', 0, '{name} patent')) x(t, i, w)")
 def _(s):
-    return s.select("s_suppkey", F.explode(X.words_array(["{name} bid", "{name} patent"])).alias("t"), "s_name").select("s_suppkey", F.replace("t", F.lit("{name}"), F.col("s_name")).alias("keyword"))
+    names = s.select("s_suppkey", F.col("s_name").alias("name"), F.substring("s_name", 1, 8).alias("short"))
+    return web.expand_keywords(names, {"bids": ["{name} bid", "{short} bid of {name}"], "patents": ["{name} patent"]}).drop("name", "short")
 
 
 @query("p13_classify_url", "pages", f"""SELECT page_id, CASE WHEN {DOMAIN} = 'tionsh.example.net' THEN 'hub' WHEN {DOMAIN} <> '' AND (contains({DOMAIN}, 'tionsh.example.net') OR contains('tionsh.example.net', {DOMAIN})) THEN 'hub'
@@ -166,7 +168,7 @@ def _(e):
 
 @query("d3_best_sample", "pages", f"SELECT {DOMAIN} AS domain, arg_max(page_id, {{'n': length(html), 's': -page_id}}) AS page_id FROM pages WHERE length(html) > 0 GROUP BY 1")
 def _(p):
-    return p.where("length(html) > 0").groupBy(web.domain(F.col("url")).alias("domain")).agg(F.max_by("page_id", F.struct(F.length("html"), -F.col("page_id"))).alias("page_id"))
+    return scoring.best_sample(p, web.domain(F.col("url")), F.length("html"), "page_id", "page_id")
 
 
 @query("d4_industry_relevance", "documents", f"SELECT doc_id, round_even(least(1, ({HITS('text', EN)} + {HITS('text', OTHER)} * .5) / 8), 2) AS score FROM documents")
@@ -193,12 +195,15 @@ def _(p):
     return p.select("page_id", scoring.structuring(F.col("html")).alias("score"))
 
 
-_YEARS = "list_max(list_filter([CAST(y AS INT) FOR y IN regexp_extract_all(text, '(20[0-9]{2})', 1)], lambda y: y BETWEEN 2023 AND 2026))"
+_YEARS = "list_max([CAST(y AS INT) FOR y IN regexp_extract_all(text, '20(?:2[3-9]|3[0-9])') IF CAST(y AS INT) <= 2026])"
 
 
-@query("d8_freshness", "documents", f"SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 WHEN {_YEARS} >= 2025 THEN 1 WHEN {_YEARS} >= 2024 THEN .7 WHEN {_YEARS} IS NOT NULL THEN .4 ELSE .3 END AS DOUBLE) AS score FROM documents")
+@query("d8_freshness", "documents", f"SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 WHEN {_YEARS} >= 2025 THEN 1 WHEN {_YEARS} >= 2024 THEN .7 WHEN {_YEARS} IS NOT NULL THEN .4 WHEN regexp_matches(text, '202[3-9]-[0-9][0-9]') THEN .8 ELSE .3 END AS DOUBLE) AS score FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN text || ' bis 2028-05' ELSE text || ' am 202' || doc_id % 9 || '-11' END AS text FROM documents)")
 def _(d):
-    return d.select("doc_id", scoring.freshness(F.col("text"), 2026).alias("score"))
+    """Texts, two thirds of them with a date at the end, some in years to come."""
+    k = F.col("doc_id")
+    text_ = F.when(k % 3 == 0, F.col("text")).when(k % 3 == 1, F.concat("text", F.lit(" bis 2028-05"))).otherwise(F.concat("text", F.lit(" am 202"), (k % 9).cast("string"), F.lit("-11")))
+    return d.select("doc_id", scoring.freshness(text_, 2026).alias("score"))
 
 
 _QUALITY = f"round_even(least(1, greatest(0, .5 + CASE WHEN length(html) > 50000 THEN .2 WHEN length(html) > 20000 THEN .1 ELSE 0 END - CASE WHEN contains(lower(html[1:500]), 'error') THEN .3 ELSE 0 END + CASE WHEN length({TEXT}) > 3000 THEN .2 WHEN length({TEXT}) > 1000 THEN .1 ELSE 0 END)), 2)"
@@ -230,6 +235,26 @@ def _(p):
     return _scored(p)
 
 
+_SITE = f"""WITH f AS (SELECT page_id, greatest(0, 100 - length(html) / 100) AS response, round_even(least(1, {HITS('html', EN)} / 12 + CASE WHEN {HITS('html', ['the', 'with'])} = 2 THEN .1 ELSE 0 END), 2) AS relation, round_even(least(1, {HITS('html', EN)} / 10), 2) AS info, round_even(least(1, ({HITS('html', EN)} + .5 * {HITS('html', OTHER)}) / 8), 2) AS industry,
+    {_STRUCT} AS structure, CASE WHEN {_YEARS.replace('text', 'html')} >= 2025 THEN 1 WHEN {_YEARS.replace('text', 'html')} >= 2024 THEN .7 WHEN {_YEARS.replace('text', 'html')} IS NOT NULL THEN .4 WHEN regexp_matches(html, '202[3-9]-[0-9][0-9]') THEN .8 ELSE .3 END AS fresh, {_QUALITY} AS page,
+    round_even(least(1, greatest(0, .5 - CASE WHEN contains(lower(html[1:3000]), 'form') THEN .4 ELSE 0 END - CASE WHEN contains(lower(html[1:3000]), 'cookie') THEN .3 ELSE 0 END - CASE WHEN page_id % 10 > 8 THEN .2 WHEN page_id % 10 > 5 THEN .1 ELSE 0 END + CASE WHEN length(html) > 500 THEN .2 ELSE 0 END)), 2) AS friendly, {_AUTH} AS authority FROM pages WHERE html <> ''),
+    d AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in 'response relation info industry structure fresh page friendly authority'.split())}, page_id FROM f),
+    s AS (SELECT page_id, response, relation * 30 + info * 20 + industry * 25 + structure * 15 + fresh * 10 AS data, page * 40 + friendly * 30 + authority * 30 AS site FROM d) SELECT page_id, round(data, 6) AS data, round(site, 6) AS site, round(response * .3::DOUBLE + data * .4::DOUBLE + site * .3::DOUBLE, 6) AS overall FROM s"""
+
+
+@query("d12_site_scores", "pages", _SITE)
+def _(p):
+    """All features of every page, weighted in two levels; a page's size stands for its response. To six places, which no score ends within."""
+    html, ok = F.col("html"), p.where("html <> ''")
+    features = {
+        "relation": scoring.relation_richness(html, EN, [("the", "with")]), "info": scoring.kw_score(html, EN, [], 10), "industry": scoring.kw_score(html, EN, OTHER, 8), "structure": scoring.structuring(html), "fresh": scoring.freshness(html, 2026),
+        "page": scoring.page_quality(html, web.html_text(html), ["error"]), "friendly": sites.crawl_friendly(html, F.col("page_id") % 10, ["form"], ["cookie"]), "authority": scoring.authority(web.domain(F.col("url")), html, ["example.org"], ["blog."], ["the"]),
+    }
+    rows = ok.select("page_id", F.greatest(F.lit(0.0), 100 - F.length("html") / 100).alias("response"), *[c.alias(k) for k, c in features.items()])
+    x = scoring.site_scores(F.col("response"), {k: F.col(k) for k in features}, digits=6)
+    return rows.select("page_id", x.alias("x")).select("page_id", "x.*")
+
+
 @query("d15_top20_sites", "pages", f"SELECT page_id, {DOMAIN} AS domain, CAST({_OVERALL} AS DOUBLE) AS overall, CAST(row_number() OVER (ORDER BY {_OVERALL} DESC, page_id) AS INTEGER) AS rank FROM pages QUALIFY rank <= 20")
 def _(p):
     return scoring.top(_scored(p), "overall", "page_id")
@@ -245,9 +270,9 @@ def _(p):
     return p.select("page_id", scoring.notes([(F.length("html") > 3000, "long"), (F.col("url").contains("blog."), "blog")], "常规网站").alias("notes"))
 
 
-@query("d18_priority_band", "pages", f"SELECT page_id, CAST(CASE WHEN {_OVERALL} >= 85 THEN 1 WHEN {_OVERALL} >= 70 THEN 2 WHEN {_OVERALL} >= 55 THEN 3 ELSE 4 END AS INTEGER) AS band, CASE WHEN {_OVERALL} >= 85 THEN 'A' WHEN {_OVERALL} >= 70 THEN 'B' WHEN {_OVERALL} >= 55 THEN 'C' WHEN {_OVERALL} >= 40 THEN 'D' ELSE 'E' END AS grade FROM pages")
+@query("d18_priority_band", "pages", f"SELECT page_id, CAST(CASE WHEN {_OVERALL} >= 85 THEN 1 WHEN {_OVERALL} >= 70 THEN 2 WHEN {_OVERALL} >= 55 THEN 3 ELSE 4 END AS INTEGER) AS band, CASE WHEN {_OVERALL} >= 85 THEN 'A' WHEN {_OVERALL} >= 70 THEN 'B' WHEN {_OVERALL} >= 55 THEN 'C' WHEN {_OVERALL} >= 40 THEN 'D' ELSE 'E' END AS grade, {_OVERALL} >= 40 AS enabled FROM pages")
 def _(p):
-    return _scored(p).select("page_id", scoring.band(F.col("overall")).alias("band"), scoring.grade(F.col("overall")).alias("grade"))
+    return _scored(p).select("page_id", scoring.band(F.col("overall")).alias("band"), scoring.grade(F.col("overall")).alias("grade"), scoring.enabled(F.col("overall")).alias("enabled"))
 
 
 # Text
@@ -313,19 +338,28 @@ def _(o):
     return o.select("o_orderkey", X.map_first(F.col("o_orderstatus"), [("open", ["O"]), ("done", ["F"])], "other").alias("status"))
 
 
-@query("f13_employee_scale", "part", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS band FROM part")
+@query("f13_employee_scale", "part", """WITH n AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN (p_size + p_size * 40) // 2 WHEN 1 THEN p_size * 100 WHEN 2 THEN p_size * 7 END AS n FROM part)
+    SELECT p_partkey, CASE WHEN n IS NULL THEN '' WHEN n < 50 THEN '50人以下' WHEN n < 150 THEN '50-150人' WHEN n < 500 THEN '150-500人' WHEN n < 1000 THEN '500-1000人' WHEN n < 5000 THEN '1000-5000人' ELSE '5000人以上' END AS band FROM n""")
 def _(p):
-    return p.select("p_partkey", X.bands(F.col("p_size"), [(10, "small"), (30, "middle")], "large").alias("band"))
+    """A range, a number of staff, a lower bound or none in a sentence made of each part's size."""
+    k, n = F.col("p_partkey") % 4, lambda x: (F.col("p_size") * x).cast("string")
+    said = F.when(k == 0, F.concat(F.lit("规模"), n(1), F.lit(" - "), n(40), F.lit("人"))).when(k == 1, F.concat(F.lit("员工："), n(100), F.lit("人"))).when(k == 2, F.concat(n(7), F.lit("人以上"))).otherwise("人员不详")
+    return p.select("p_partkey", fields.employee_scale(said).alias("band"))
+
+
+_SEGMENTS = "array_to_string(list_filter([CASE WHEN contains({0}, 'tion') THEN 'a' END, CASE WHEN contains({0}, 'sch') THEN 'b' END], lambda x: x IS NOT NULL), '、')"
 
 
-@query("f10_main_business", "documents", "SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(text, 'tion') THEN 'a' END, CASE WHEN contains(text, 'sch') THEN 'b' END], lambda x: x IS NOT NULL), '、') AS business FROM documents")
+@query("f10_main_business", "documents", f"SELECT doc_id, coalesce(nullif({_SEGMENTS.format('text')}, ''), {_SEGMENTS.format('source')}, '') AS business FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') || 'tion' AS source FROM documents)")
 def _(d):
-    return d.select("doc_id", F.array_join(X.map_all(F.col("text"), [("a", ["tion"]), ("b", ["sch"])]), "、").alias("business"))
+    return d.select("doc_id", fields.main_business(F.col("text"), F.concat(F.coalesce("source", F.lit("")), F.lit("tion")), [("a", ["tion"]), ("b", ["sch"])]).alias("business"))
 
 
-@query("g1_normalize_terms", "part", "SELECT p_partkey, replace(replace(p_name, 'a', 'bb'), 'b', 'c') AS name FROM part")
+@query("g1_normalize_terms", "part", "SELECT p_partkey, replace(replace(p_name, 'a', 'bb'), 'b', 'c') AS name, replace(replace(replace(replace(p_name, 'ring', chr(1)), 'widget', chr(2)), 'r', 'widget'), chr(1), 'r') AS once FROM (SELECT p_partkey, replace(p_name, 'widget', 'ring') AS p_name FROM part)")
 def _(p):
-    return p.select("p_partkey", tags.normalize_terms(F.col("p_name"), [("a", "bb"), ("b", "c")]).alias("name"))
+    """One after the other, and in one pass, which leaves what it has made alone."""
+    name = F.replace("p_name", F.lit("widget"), F.lit("ring"))
+    return p.select("p_partkey", tags.normalize_terms(name, [("a", "bb"), ("b", "c")]).alias("name"), tags.normalize_terms(name, [("r", "widget"), ("ring", "r")], longest_first=True).alias("once"))
 
 
 _TAGS = "list_distinct_keep([x FOR x IN [CASE WHEN contains(lower(text), 'the') THEN 'en' END, CASE WHEN contains(lower(text), 'und') THEN 'de' END, CASE WHEN contains(lower(text), 'los') THEN 'es' END] IF x IS NOT NULL])".replace("list_distinct_keep", "")
@@ -409,9 +443,9 @@ def _(d):
     return serving.token_estimate(d, F.col("source"), F.col("text"))
 
 
-@query("q14_batch_run_summary", "orders", "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS completed, count(*) FILTER (o_orderstatus <> 'F') AS failed, round_even(count(*) FILTER (o_orderstatus = 'F') / count(*), 4) AS share FROM orders")
+@query("q14_batch_run_summary", "orders", "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS completed, count(*) FILTER (o_orderstatus <> 'F') AS failed, round_even(count(*) FILTER (o_orderstatus = 'F') / count(*), 4) AS share, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS total_tokens FROM orders")
 def _(o):
-    return serving.run_summary(o, F.col("o_orderstatus"), "F")
+    return serving.run_summary(o, F.col("o_orderstatus"), "F", F.floor("o_totalprice"))
 
 
 @query("q16_run_log_summary", "events", """WITH r AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warning' END AS level FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, level ORDER BY event_id) AS k FROM r WHERE level IS NOT NULL),

@@ -39,9 +39,21 @@ def _(p):
     return p.select("p_partkey", R.infer_industry(F.col("p_name"), {"red widget": "exact"}, [("ring", "rings"), ("small", "small")], F.col("p_type"), [("economy", ["ECONOMY"])], [("widgets", ["widget"])]).alias("industry"))
 
 
-@query("i8_downstream_relations", "lineitem", "WITH a AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag <> 'A') SELECT *, .85::DOUBLE AS confidence FROM a UNION ALL SELECT *, .75::DOUBLE FROM (FROM b EXCEPT FROM a)")
+_LINES = "SELECT DISTINCT 'S' || l_suppkey AS own, l_partkey AS k FROM lineitem"
+
+
+@query("i8_downstream_relations", "lineitem", f"""WITH a AS ({_LINES} WHERE l_returnflag = 'A' AND l_linenumber = 1), t AS (SELECT DISTINCT own, 'I' || k % 7 AS industry FROM a), c AS (SELECT DISTINCT own, k % 14 AS c FROM a), n AS (SELECT own, k, 'I' || k % 9 AS industry FROM ({_LINES} WHERE l_returnflag = 'R' AND l_linenumber = 2)),
+    sure AS (SELECT own, industry, (SELECT list('应用场景:C' || c ORDER BY c) FROM c WHERE c.own = t.own AND 'I' || c % 7 = t.industry) AS s, (SELECT list('关联企业:P' || k ORDER BY k) FROM n WHERE n.own = t.own AND n.industry = t.industry) AS m FROM t),
+    e AS (SELECT own, industry, array_to_string(coalesce(s, []) || coalesce(m, []), '；') AS evidence, .85::DOUBLE AS confidence, '标签推断' AS data_source FROM sure
+        UNION ALL SELECT own, industry, '关联企业:P' || min(k) || '推断', .75::DOUBLE, '原始文本推断' FROM n WHERE industry <> 'I8' AND (own, industry) NOT IN (SELECT (own, industry) FROM t) GROUP BY own, industry)
+    SELECT own AS subject, industry AS object, '下游行业' AS rel_type, own || '产品应用于' || industry AS description, '' AS project, '' AS amount, industry, CASE WHEN evidence = '' THEN '应用场景/业务范围推断' ELSE evidence END AS evidence, confidence, data_source FROM e""")
 def _(li):
-    return R.downstream_edges(li.where("l_returnflag = 'A'"), li.where("l_returnflag <> 'A'"), "l_suppkey", "l_partkey")
+    """Suppliers' parts as scenes and as mentions of industries."""
+    own, k = F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("own"), F.col("l_partkey")
+    name = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    flat = li.where("l_returnflag = 'A' AND l_linenumber = 1").groupBy(own).agg(F.collect_set(name("I", k % 7)).alias("downstream"), F.transform(F.sort_array(F.collect_set(k % 14)), lambda c: name("C", c)).alias("scenes"))
+    seen = li.where("l_returnflag = 'R' AND l_linenumber = 2").select(own, k.alias("seq"), name("P", k).alias("name"), name("I", k % 9).alias("industry")).distinct()
+    return R.downstream_edges(flat, seen, {f"C{c}": f"I{c % 7}" for c in range(14)}, "I8")
 
 
 @query("j1_route_segments", "documents", "SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN 'bidding' ELSE 'website' END AS parser FROM documents WHERE lang IN ('en', 'de', 'fr') AND length(text) > 20")

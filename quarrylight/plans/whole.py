@@ -5,6 +5,8 @@ Their sentences and pages are made by Spark from the tables' columns where the t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarrylight.functions.exprs import map_first, words_array
@@ -156,6 +158,15 @@ def _(p):
     return crawl.config_rows(rows, ["id", "name", "data_types", "enabled"], "p_retailprice", "id")
 
 
+@query("s11_table_param", "supplier", "SELECT s_suppkey, s_name FROM supplier")
+def _(s):
+    """Under a table name that is given and checked, read back; the table goes again."""
+    name = f"facts_{uuid.uuid4().hex}"
+    kept = io.saved(io.save_as(s.select("s_suppkey", "s_name"), name))
+    s.sparkSession.sql(f"DROP TABLE {name}")
+    return kept
+
+
 # Links, discovery and configuration
 
 _ROOT = "regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1)"
@@ -201,12 +212,21 @@ def _(li):
     return crawl.enough(rows.where("l_quantity > 45"), "l_suppkey", "l_linenumber", ["l_orderkey", "l_partkey"], rows.where("l_quantity < 2")).select("l_suppkey", "l_linenumber", "l_orderkey")
 
 
-@query("c2_categorize_concat", "documents", """WITH k AS (SELECT source, lang, doc_id, '【来源: ' || source || '】' || chr(10) || text[1:5000] AS x FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IN ('en', 'de', 'fr', 'es') QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) <= 5)
-    SELECT source, coalesce(string_agg(x, chr(10) || chr(10) ORDER BY doc_id) FILTER (lang = 'en'), '') AS en, coalesce(string_agg(x, chr(10) || chr(10) ORDER BY doc_id) FILTER (lang = 'de'), '') AS de, coalesce(string_agg(x, chr(10) || chr(10) ORDER BY doc_id) FILTER (lang = 'fr'), '') AS fr, coalesce(string_agg(x, chr(10) || chr(10) ORDER BY doc_id) FILTER (lang = 'es'), '') AS es FROM k GROUP BY 1""")
+_PAGES = "SELECT source, lang, doc_id, '【来源: ' || source[1:80] || '】' || chr(10) || text[1:5000] || chr(10) || chr(10) AS x FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IN ('en', 'de', 'fr', 'es')"
+_BARE = "nullif(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), '')"
+
+
+@query("c2_categorize_concat", "documents", f"""WITH k AS (SELECT source, {', '.join(f"coalesce(string_agg(x, '' ORDER BY doc_id) FILTER (lang = '{c}'), '') AS {c}" for c in ('en', 'de', 'fr', 'es'))} FROM ({_PAGES}) GROUP BY 1)
+    SELECT *, concat_ws(chr(10) || chr(10), {', '.join(_BARE.format(c) for c in ('en', 'de', 'fr', 'es'))}) AS all_content FROM k""")
 def _(d):
     return crawl.assemble(d, "source", "lang", ["en", "de", "fr", "es"], "source", "text", "doc_id")
 
 
+@query("c2_page_blocks", "documents", f"SELECT source AS key, lang AS category, doc_id AS seq, x AS block FROM ({_PAGES})")
+def _(d):
+    return crawl.blocks(d, "source", "lang", ["en", "de", "fr", "es"], "source", "text", "doc_id")
+
+
 @query("d1_discover_sites", "pages", f"""WITH p AS (SELECT page_id, url, {DOMAIN} AS domain, page_id % 10 <> 0 AS hit FROM pages), f AS (SELECT domain, arg_min(url, hit::INT * 1000000000 + page_id) AS url, min(hit::INT * 1000000000 + page_id) AS seq FROM p WHERE domain <> '' GROUP BY 1),
     s AS (SELECT domain, url, 'seed' AS source FROM f WHERE seq < 1000000000), h AS (SELECT domain, url, 'search' AS source FROM f WHERE seq >= 1000000000 QUALIFY row_number() OVER (ORDER BY seq) <= greatest(0, 24 - (SELECT count(*) FROM s))) FROM s UNION ALL FROM h""")
 def _(p):

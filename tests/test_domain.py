@@ -5,9 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.operators import crawl, facts, fields, profile_tags, relations, text, web
+from quarrylight.operators import crawl, facts, fields, profile_tags, relations, scoring, sites, tags, text, web
 from quarrylight.sources import io
-from quarrylight.streaming import jobs
 
 OWN = "洛阳LYC轴承有限公司"
 
@@ -170,3 +169,90 @@ def test_tables_under_a_name_and_configuration(spark, tmp_path):
     crawl.write_config(crawl.config_rows(df, ["id", "name"], "id", "name"), str(tmp_path / "c"))
     assert [json.loads(r["value"])["name"] for r in spark.read.text(str(tmp_path / "c")).collect()] == ["b", "a"]
     spark.sql("DROP TABLE facts_of_test")
+
+
+@pytest.mark.parametrize(("value", "want"), [("中标供应商：某公司，地址：洛阳市涧西区建设路1号", "洛阳市涧西区建设路1号"), ("在深圳市南山区科技园路新城12号办公", "深圳市南山区科技园路新城12号"), ("深圳市南山区", ""), ("没有", ""), (None, "")])
+def test_address_fallbacks(spark, value, want):
+    got = one(spark, value, lambda c: fields.addresses(c, patterns=[r"(no such [a-z]+)"]))
+    assert got["register"].startswith(want) if want else got["register"] == ""
+
+
+@pytest.mark.parametrize(("value", "want"), [("员工：120人", "50-150人"), ("规模100-499人", "150-500人"), ("规模100至5000 人", "1000-5000人"), ("现有职工约30人", "50人以下"), ("10000人以上", "5000人以上"), ("人员 49 人", "50人以下"), ("员工若干", ""), (None, "")])
+def test_employee_scale(spark, value, want):
+    assert one(spark, value, fields.employee_scale) == want
+
+
+@pytest.mark.parametrize(("value", "want"), [("拥有120项专利", "120项"), ("轴承企业，拥有120项专利，密封与磨削、热处理领先", "120项（含轴承、密封、热处理相关）"), ("发明：授权30项专利", "30项（发明专利30项）"), ("没有", ""), (None, "")])
+def test_patent_text(spark, value, want):
+    assert one(spark, value, fields.patent_text) == want
+
+
+def test_business_and_industry_fall_back_on_the_scope(spark):
+    df = spark.createDataFrame([("生产深沟球轴承", ""), ("一般企业", "轴承钢销售；软件开发"), ("一般企业", "从事磨削"), (None, None)], "t string, s string")
+    t, s = F.col("t"), F.col("s")
+    got = df.select(fields.main_business(t, s).alias("b"), fields.industry_class(t, scope=s).alias("i")).collect()
+    assert [r["b"] for r in got] == ["滚动轴承制造", "轴承钢材料", "", ""]
+    assert [r["i"] for r in got] == ["滚动轴承制造", "信息技术服务", "轴承制造", ""]
+
+
+@pytest.mark.parametrize(("staff", "plans", "want"), [("1,200人", "投资6.5亿元建设3条生产线，含锻造与装配", ["大型生产企业", "多条产线", "重资产投资", "锻造产线", "装配产线"]), ("500-1000人", "1亿元", ["中大型生产企业", "产能升级能力"]), ("大型", "产线扩建", ["大型生产企业", "产线扩建"]), ("99人", "未明确", ["小型生产企业"]), ("若干", "", []), (None, None, [])])
+def test_production_tags(spark, staff, plans, want):
+    df = spark.createDataFrame([(staff, plans)], "a string, b string")
+    assert df.select(profile_tags.production_tags(F.col("a"), F.col("b")).alias("x")).first()["x"] == want
+
+
+@pytest.mark.parametrize(("capital", "plans", "want"), [("1.5亿元人民币", "5亿", ["高注册资本（≥1亿）", "重资产投资"]), ("5000万元人民币", "1.0 亿元", ["高注册资本（≥5000万）", "产能升级能力"]), ("1000万", "", ["中等注册资本"]), ("壹佰万", "0.9亿", ["中小规模注册资本"]), ("未明确", None, [])])
+def test_financial_tags(spark, capital, plans, want):
+    df = spark.createDataFrame([(capital, plans)], "a string, b string")
+    assert df.select(profile_tags.financial_tags(F.col("a"), F.col("b")).alias("x")).first()["x"] == want
+
+
+def test_clean_notes_and_diagnostics(spark):
+    core = lambda n: [F.lit("x") if i < n else F.lit("") for i in range(4)]
+    note = lambda n, t="t": spark.range(1).select(fields.clean_note(F.lit(t), core(n), F.lit(7)).alias("x")).first()["x"]
+    assert [note(n) for n in (4, 3, 1, 0)] == ["所有核心字段提取完整", "部分字段提取成功，7 个字段不确定", "核心字段提取不充分，仅1个字段有值，7 个字段不确定", "核心字段提取不足，但已尽力提取可用信息"]
+    assert note(4, "") == "输入数据为空或格式错误"
+    got = one(spark, "没有资本", lambda c: fields.diagnostics({"registered_capital": fields.registered_capital(c)["diagnostics"], "other": F.lit(None).cast("struct<reason:string,text_sample:string,tried_patterns:array<string>>")}))
+    assert list(got) == ["registered_capital"] and got["registered_capital"]["text_sample"] == "没有资本"
+
+
+def test_terms_replaced_in_one_pass(spark):
+    terms = [("导轨", "直线导轨"), ("直线导轨", "直线导轨"), ("a.b", "x"), ("a", "b")]
+    assert one(spark, "直线导轨与导轨 a.b axb\n", lambda c: tags.normalize_terms(c, terms, longest_first=True)) == "直线导轨与直线导轨 x bxb\n"
+    assert one(spark, "直线导轨", lambda c: tags.normalize_terms(c, terms)) == "直线直线导轨"
+
+
+@pytest.mark.parametrize(("value", "want"), [("2019 2025", 1.0), ("2024年", 0.7), ("2023", 0.4), ("2028-05", 0.8), ("2031", 0.3), ("2019", 0.3), ("", 0.0)])
+def test_freshness(spark, value, want):
+    assert one(spark, value, lambda c: scoring.freshness(c, 2026)) == want
+
+
+def test_relevance_and_confidence(spark):
+    text_ = "洛阳轴承有限公司生产轴承和滚子。其他。洛阳轴承的密封件"
+    got = one(spark, text_, lambda c: sites.relevance(c, "洛阳轴承有限公司", "洛阳轴承", ["轴承", "滚子", "密封"]))
+    assert got == pytest.approx(min(1, 0.05 + 2 * 0.03 + 4 * 0.1))
+    assert [one(spark, t, lambda c: sites.relevance(c, "ab", "b", ["x"])) for t in ("", None, "b b b", "ab")] == [0.0, 0.0, 0.1, 0.1]
+    assert one(spark, "x", lambda c: F.struct(sites.discounted(F.lit(0.9), F.lit(0.29)).alias("a"), sites.discounted(F.lit(0.9), F.lit(0.3)).alias("b"))) == (pytest.approx(0.54), 0.9)
+
+
+def test_all_pages_of_a_record(spark):
+    rows = [("k", "a", f"u{i}" + "x" * 100, f" text {i} " * 700, i) for i in range(9)] + [("k", "b", None, "  ", 1), (None, "a", "u", "t", 1), ("k", "z", "u", "t", 1), ("k", "a", "u", None, 99)]
+    df = spark.createDataFrame(rows, "key string, cat string, url string, text string, seq int")
+    got = crawl.assemble(df, "key", "cat", ["b", "a", "c"], "url", "text", "seq").collect()
+    want = "".join(f"【来源: {u[:80]}】\n{t[:5000]}\n\n" for _, c, u, t, _ in rows if c == "a" and t and _ is not None and u != "u")
+    assert len(got) == 1 and got[0]["a"] == want and got[0]["b"] == "【来源: 】\n  \n\n" and got[0]["c"] == ""
+    assert got[0]["all_content"] == "【来源: 】\n\n" + want.strip()
+
+
+def test_downstream_edges(spark):
+    flat = spark.createDataFrame([("甲", ["汽车工业", "未明确", "电梯行业"], ["汽车", "汽车电子", "风电"])], "own string, downstream array<string>, scenes array<string>")
+    seen = spark.createDataFrame([("甲", 2, "乙", "汽车工业"), ("甲", 1, "丙", "汽车工业"), ("甲", 3, "丁", "风力发电行业"), ("甲", 4, "戊", "风力发电行业"), ("甲", 5, "己", "轴承制造行业"), ("甲", 6, "庚", ""), (None, 1, "x", "y")], "own string, seq int, name string, industry string")
+    got = {r["object"]: (r["evidence"], r["confidence"], r["data_source"]) for r in relations.downstream_edges(flat, seen).collect()}
+    assert got == {"汽车工业": ("应用场景:汽车；应用场景:汽车电子；关联企业:丙；关联企业:乙", 0.85, "标签推断"), "电梯行业": ("应用场景/业务范围推断", 0.85, "标签推断"), "风力发电行业": ("关联企业:丁推断", 0.75, "原始文本推断")}
+
+
+def test_crawl_reader(spark, tmp_path):
+    record = {"enterprise_name": "甲", "raw_content": {"official_website": " a ", "business_info": "", "bidding_info": "b"}, "confidence": 0.5}
+    (tmp_path / "r.json").write_text(json.dumps(record, ensure_ascii=False, indent=1))
+    (tmp_path / "s.json").write_text(json.dumps({"enterprise_name": "乙", "raw_content": {"all_content": "  "}}))
+    assert [(r["enterprise_name"], r["text"]) for r in io.read_crawl(spark, str(tmp_path)).collect()] == [("甲", "a\nb")]
