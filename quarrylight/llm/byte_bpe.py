@@ -216,7 +216,7 @@ def _decoder(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, bpe: BPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,7 +228,7 @@ def encode(docs: DataFrame, bpe: BPE, id_col: str = "doc_id", text_col: str = "t
 def decode(encoded: DataFrame, bpe: BPE, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, decoded binary): the bytes of every id, in order."""
     shared = encoded.sparkSession.sparkContext.broadcast(bpe)
-    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
     return rows.mapInArrow(released(_decoder(shared)), "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 

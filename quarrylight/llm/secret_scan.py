@@ -5,7 +5,7 @@ of a character class that mix letters and digits or both cases: a window slides
 one out, and windows whose entropy reaches the class's threshold are joined, over classes too. A threshold is what some 99.5 % of
 random windows over the class's alphabet reach. Spans of the classes with both cases need a fifth of their letters in each, as
 random strings have and names hardly. Letters of one case only are no candidate: entropy doesn't tell them from words. A candidate that an allow-list pattern
-matches whole, or whose span lies in one of another kind, is suppressed; the fixed kinds are never suppressed.
+matches whole, or of both cases that reads as words with few numbers, or whose span lies in one of another kind, is suppressed; the fixed kinds are never suppressed.
 
 Defined results: a null or empty text has no spans; null ids and repeated rows are kept as they are; spans are in code
 points of the whole text, end exclusive. Only the id and text columns are read, besides carried ones.
@@ -36,7 +36,12 @@ CLASSES = {
 BOTH_CASES, CASE_SHARE = ("mixed", "base64"), 0.2
 _WORD = r"(?:[A-Z]?[a-z]+|[A-Z]+)"
 # Candidates that are no secrets: identifiers of version 4, words joined by dashes or underscores or each with a capital, one character repeated.
-ALLOW = (r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", rf"{_WORD}(?:[-_/]{_WORD})*[-_/]?\d{{0,4}}", r"(?:[A-Z]?[a-z]{2,})+\d{0,4}", r"(.)\1+")
+ALLOW = (r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", rf"{_WORD}(?:[-_/]{_WORD})*[-_/]?\d{{0,4}}", r"[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*\d{0,4}", r"(.)\1+")
+# Names, paths and titles of both cases: most letters in words with a vowel, in these short words or in these abbreviations; numbers short, few but at the end of a path's parts.
+_SHORT = frozenset("a an as at by do for go id if in io is it me my no of on or so to up us we css dns ftp gif html http https jpg js pdf php png sql ssh tcp xml".split())
+_VOWEL = re.compile("[aeiouyAEIOUY]")
+_TOKEN = re.compile(r"([A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+)|([0-9]+)([-_/]|$)?|[^A-Za-z0-9]+")
+WORD_SHARE, WORD_SIZE, NUMBER_SHARE, NUMBER_SIZE = 0.65, 3, 0.5, 4
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -71,6 +76,23 @@ def _even(span: str) -> bool:
     return min(upper, lower) >= CASE_SHARE * (upper + lower)
 
 
+def _named(run: str) -> bool:
+    """Whether the run reads as words and a few numbers; one pass, however long it is."""
+    words = letters = good = spare = numbers = 0
+    parted = run.count("-") + run.count("_") + run.count("/") >= 2
+    for m in _TOKEN.finditer(run):
+        if w := m[1]:
+            words, letters = words + 1, letters + len(w)
+            short = w.lower() in _SHORT
+            spare += short * (WORD_SIZE - len(w))
+            good += len(w) * (short or len(w) >= 3 and _VOWEL.search(w) is not None)
+        elif m[2]:
+            if len(m[2]) > NUMBER_SIZE:
+                return False
+            numbers += not (parted and m[3] is not None)
+    return good >= WORD_SHARE * letters > 0 and letters + max(0, spare) >= WORD_SIZE * words and numbers <= max(1, NUMBER_SHARE * words)
+
+
 class Scanner:
     def __init__(self, classes: dict[str, tuple[str, int, float]], allow: tuple[str, ...]):
         self.classes = [(re.compile(p), w, h, k in BOTH_CASES) for k, (p, w, h) in classes.items()]
@@ -88,7 +110,7 @@ class Scanner:
         for find, window, least, both in self.classes:
             for m in find.finditer(text):
                 run = m[0]
-                if run.islower() and run.isalpha() or run.isupper() and run.isalpha() or run.isdigit() or not any(c.isalpha() for c in run) or any(a.fullmatch(run) for a in self.allow):
+                if run.islower() and run.isalpha() or run.isupper() and run.isalpha() or run.isdigit() or not any(c.isalpha() for c in run) or any(a.fullmatch(run) for a in self.allow) or both and _named(run):
                     continue
                 for a, b in entropy_spans(run, window, least):
                     if both and not _even(run[a:b]):
