@@ -4,8 +4,9 @@ A document's set holds the hashes of its distinct word n-grams. Sets are ordered
 is seen where it is frequent, else by the product of its words' frequencies, then by hash. Any total order gives the same
 links; the two frequency tables behind it have a fixed number of rows, and every n-gram outside them still has its place.
 Two sets can link only if their prefixes share an n-gram, so documents meet in the buckets of their prefix n-grams, and
-each pair that passes the filters is verified once, on whole sets. Beside the length and positional filters stand two
-bounds of the symmetric difference: parities of hashes, inside the join, and the suffix filter before verification.
+each pair that passes the filters is verified once, on whole sets. Beside the length and positional filters stand three
+bounds of the symmetric difference: parities of hashes, inside the join; counts of hashes by part, of the documents of its pairs; and the
+suffix filter before verification.
 
 Equal sets count as one class. Large groups of near copies are not turned into all their pairs: some rounds first verify
 every member of a bucket against some pivots of it and contract what links; after that only pairs of still different
@@ -20,7 +21,7 @@ columns are read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ FREQUENT_IN_BLOCK = 3
 MARK_BITS, MARK_PARTS = (1 << 23, 1 << 27), 16  # of the filter that picks documents to verify: at least and at most
 PIVOTS = 6  # of a bucket in each round
 PARITIES, FOLDED = 1024, 256  # of a document, and as its postings carry them
+COUNTS = 1024  # parts of a set that are counted before whole sets are compared
 _MEMBER = ["doc", "size", "pos", *(f"s{i}" for i in range(FOLDED // 64))]
 
 
@@ -161,8 +163,13 @@ def _places(ids: pa.Array, bits: int) -> list[np.ndarray]:
     return [(x & np.uint64(bits - 1)).astype(np.int64) for x in (h, h >> np.uint64(20), mix(h))]
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """(doc, grams binary) of the documents of the pairs, and a few more: the whole set, sorted by hash.
+def _counts(own: np.ndarray) -> bytes:
+    """How many members of a set fall in each of COUNTS parts, up to 255: the sum of differences is at most the symmetric difference."""
+    return np.minimum(np.bincount((own & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8).tobytes()
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, n: int, form: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> DataFrame:
+    """(doc, size, grams binary) of the documents of the pairs, and a few more: the whole set, sorted by hash, or what is made of it.
 
     The scan passes only documents that the filter may hold, so neither texts nor all sets are shuffled.
     """
@@ -177,10 +184,10 @@ def _sets(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
             batch = batch.filter(pa.array((low & mid & high & 1).astype(bool)))
             for w in words(batch.column(1)):
                 grams, off = ngrams(w.hash, w.bounds, n)
-                rows = [np.unique(grams[a:b]).tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.last - w.first), pa.array(rows, pa.binary())], names=["doc", "grams"])
+                own = [np.unique(grams[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.last - w.first), pa.array([len(x) for x in own], pa.int64()), pa.array([form(x) for x in own], pa.binary())], names=["doc", "size", "grams"])
 
-    return docs.select("doc", "text").where("doc IS NOT NULL").mapInArrow(released(run), "doc long, grams binary")
+    return docs.select("doc", "text").where("doc IS NOT NULL").mapInArrow(released(run), "doc long, size long, grams binary")
 
 
 def _apart(x: np.ndarray, y: np.ndarray, most: int, depth: int = 2) -> int:
@@ -195,6 +202,21 @@ def _apart(x: np.ndarray, y: np.ndarray, most: int, depth: int = 2) -> int:
     return low + _apart(x[k + hit :], y[mid + 1 :], most - low, depth - 1) + (not hit)
 
 
+def _near(pairs: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose counts by part differ by no more than similar sets may: long sets that differ needn't be brought together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COUNTS).astype(np.int16) for k in (2, 3))
+            total = batch.column(4).to_numpy()
+            keep = np.abs(x - y).sum(1) <= total - 2 * -(-num * total // (num + den))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    side = lambda k: counts.select(F.col("doc").alias(k), F.col("grams").alias(f"counts_{k}"), F.col("size").alias(f"size_{k}"))
+    both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
+    return both.select("a", "b", "counts_a", "counts_b", (F.col("size_a") + F.col("size_b")).alias("total")).mapInArrow(released(run), "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
 
@@ -280,8 +302,9 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, round
             used.append(m)
             other = m.select("gram", *[F.col(c).alias(f"{c}2") for c in [*_MEMBER, "comp", "parity"]]).where("doc2 IS NOT NULL")
         pairs = save(_candidates(m, other, num, den, k == rounds))
-        found = save(_verified(pairs, _sets(docs, pairs, n), num, den))
-        discard(pairs, *used)
+        near = save(_near(pairs, _sets(docs, pairs, n, _counts), num, den))
+        found = save(_verified(near, _sets(docs, near, n), num, den))
+        discard(pairs, near, *used)
         edges = found if edges is None else edges.unionByName(found)
     discard(posts)
     labels = components(edges).select(F.col("node").alias("doc"), "component")
