@@ -6,7 +6,8 @@ level up to it is inserted, so a count is read by probing levels 1, 2, ... until
 first bits name its segment, and a task sums and builds the segments of a bucket from the packed counts of all blocks of
 texts. The bits grow with the tokens, at least four for each. Up to MAX_BITS the filter is broadcast. A larger one stays a
 table of segments: documents are dealt to blocks, a block sends its distinct keys to the segments and gets their levels back,
-so that a task holds some segments or a block. Both ways give the same scores.
+so that a task holds some segments or a block. Both ways give the same scores. The filter knows keys by the first KEY_BYTES bytes of their
+hashes: keys that share these share a count, so one of n distinct keys is mistaken with n in 2^48, less often than by the filter's bits.
 
 Probabilities are smoothed by those of the shorter context: p(w|v) = (c(v,w) + MU p(w)) / (c(v) + MU) and
 p(w|u,v) = (c(u,v,w) + MU_3 p(w|v)) / (c(u,v) + MU_3), with p(w) from the probed count of w. A triple is only asked for where both of its
@@ -121,6 +122,14 @@ def _packed(keys: np.ndarray, counts: np.ndarray, least: int, bucket_bits: int)
     return pa.RecordBatch.from_arrays(arrays, names=["bucket", "least", "keys", "counts"])
 
 
+def _split(keys: np.ndarray, counts: np.ndarray, most: int = (1 << 32) - 1) -> tuple[np.ndarray, np.ndarray]:
+    """Counts that four bytes hold: a larger one becomes several of the same key, which are summed again."""
+    n = np.maximum(1, -(-counts // most))
+    out = np.full(int(n.sum()), most, np.int64)
+    out[np.cumsum(n) - 1] = counts - (n - 1) * most
+    return np.repeat(keys, n), out
+
+
 def _cut(h: np.ndarray) -> np.ndarray:
     """Keys as the filter knows them, by their first KEY_BYTES bytes."""
     return h & np.uint64((1 << 64) - (1 << (64 - 8 * KEY_BYTES)))
@@ -153,7 +162,7 @@ def _blocks(docs: DataFrame, counts: DataFrame, bucket_bits: int) -> DataFrame:
         h, c = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
         h = _cut(_single(h.astype(np.int64).view(np.uint64)))
         order = np.argsort(h)
-        return _packed(h[order], np.minimum(c[order], (1 << 32) - 1), 1, bucket_bits)
+        return _packed(*_split(h[order], c[order]), 1, bucket_bits)
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

@@ -237,3 +237,15 @@ def test_texts_seen_twice_score_apart(spark):
     copied = {r["doc_id"] for r in twice.collect()}
     cut = np.quantile([v for k, v in per.items() if k not in copied], 0.9)
     assert np.mean([per[k] > cut for k in copied]) >= 0.8
+
+
+def test_counts_past_four_bytes(spark):
+    """Counts past 2^32 keep their size in the filter."""
+    h, c = ngram_lm._split(np.array([3, 5, 9], np.uint64), np.array([7, 20, 10]), most=10)
+    assert h.tolist() == [3, 5, 5, 9] and c.tolist() == [7, 10, 10, 10]
+    want = {11: 1, 12: (1 << 32) - 1, 13: 1 << 33, 14: 5 * 10**12}
+    counts = spark.createDataFrame(list(want.items()), "h long, c long").repartition(1)
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    bitmap = ngram_lm.build_filter(ngram_lm.segments(docs, counts, 10, 1 << 22), 1 << 22)
+    got = ngram_lm.probe(bitmap, ngram_lm._cut(ngram_lm._single(np.array(list(want), np.uint64))))
+    assert all(w / 2 < g < 2 * w or g == w for g, w in zip(got.tolist(), want.values(), strict=True))
