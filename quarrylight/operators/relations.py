@@ -20,10 +20,10 @@ def around(text: Column, part: Column, n: int) -> Column:
 
 
 def mentions(df: DataFrame, key: str, text: str, patterns: list[str], known: list[str], reach: int = 50, snippet: int = 100) -> DataFrame:
-    """(key, name, context, snippet): distinct names by patterns in order and known ones, with the text around the first place."""
+    """(key, seq, name, context, snippet): distinct names by patterns in order and known ones, with the text around the first place."""
     found = F.array_union(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in patterns])), F.filter(words_array(known), lambda w: F.contains(F.col(text), w)))
-    rows = df.where(F.col(text).isNotNull()).select(key, text, F.explode(found).alias("name"))
-    return rows.select(key, "name", around(F.col(text), F.col("name"), reach).alias("context")).withColumn("snippet", F.substring("context", 1, snippet))
+    rows = df.where(F.col(text).isNotNull()).select(key, text, F.posexplode(found).alias("seq", "name"))
+    return rows.select(key, "seq", "name", around(F.col(text), F.col("name"), reach).alias("context")).withColumn("snippet", F.substring("context", 1, snippet))
 
 
 def valid_mention(name: Column, own: Column, stop: list[str], nouns: list[str]) -> Column:
