@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions import domain as D
-from quarrylight.functions.exprs import is_missing
+from quarrylight.functions.exprs import in_both, is_missing
 from quarrylight.operators import relations as R
 from quarrylight.operators.tags import dedup_edges
+from quarrylight.sources.io import saved
 
 
 @dataclass
@@ -39,7 +40,15 @@ class Words:
         return R.valid_mention(name, own, self.stop, self.nouns)
 
     def industry(self, name: Column, context: Column) -> Column:
-        return R.infer_industry(name, dict(self.industries), self.industries, context, [(v, [k]) for k, v in self.scenes.items()], [])
+        """By the exact name, by containment either way in order, by a scene in the context; else ''. The words are literals, so the plan's size doesn't grow with them."""
+
+        def first(words: list[tuple[str, str]], fits) -> Column:
+            table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in words])
+            return F.get(F.filter(table, lambda x: fits(x["k"])), F.lit(0))["v"]
+
+        found = [first(list(dict(self.industries).items()), lambda k: k == name), first(self.industries, lambda k: in_both(name, k))] if self.industries else []
+        found += [first(list(self.scenes.items()), lambda k: F.contains(context, k))] if self.scenes else []
+        return F.coalesce(*found, F.lit(""))
 
 
 def classified_mentions(companies: DataFrame, words: Words) -> DataFrame:
@@ -55,7 +64,7 @@ def classified_mentions(companies: DataFrame, words: Words) -> DataFrame:
 def company_edges(companies: DataFrame, words: Words | None = None) -> DataFrame:
     """The most confident edge of each subject, object and type; of those alike, the one of the first step."""
     words = words or Words()
-    named = classified_mentions(companies, words)
+    named = saved(classified_mentions(companies, words))
     steps = [
         R.context_edges(named, F.coalesce("own_makes", F.lit(False)), R.is_maker(F.col("name"))),
         R.bidding_edges(companies, "own", "bids", "text", words.names, words.bids, words.company, words.valid, words.industry),
