@@ -264,26 +264,6 @@ def test_boilerplate_of_a_large_host_and_copies(spark):
     assert got == {**{i: own(i) for i in range(600)}, **{1000 + i: own(7) for i in range(5)}}
 
 
-def test_repeated_runs_equal_brute_force():
-    rng = random.Random(4)
-    stream, page = [], []
-    common = [7, 8, 9, 7, 8, 9, 1, 2, 3, 4]
-    for p in range(6):
-        own = [rng.randrange(5) for _ in range(rng.randrange(40))] + common * (p % 2) + [rng.randrange(50) for _ in range(9)]
-        stream += own
-        page += [p] * len(own)
-    where = {}
-    for i in range(len(stream) - 5):
-        if page[i] == page[i + 5]:
-            where.setdefault(tuple(stream[i : i + 6]), []).append(i)
-    want = [False] * len(stream)
-    for at in where.values():
-        if len({page[i] for i in at}) >= 3:
-            for i in at:
-                want[i : i + 6] = [True] * 6
-    assert html_extract.repeated(np.array(stream), np.array(page), 6, 3).tolist() == want
-
-
 def test_pages_of_the_tables(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
