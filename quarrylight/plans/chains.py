@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylight.operators.chain import Words, company_edges
+from quarrylight.operators.profile import profiles
 from quarrylight.plans.queries import query
 
 _GATHER = "list_filter([trim(x) FOR x IN string_split_regex(text, '[。；\\n]') IF length(trim(x)) >= 15 AND {}], lambda x, i: true)"
@@ -43,3 +44,36 @@ def _(d):
     )
     kinds = [("客户", ["tion"]), ("供应商", ["b.r"]), ("招投标", ["sch"])]
     return company_edges(rows, Words(["[A-Z][a-z]{4,}"], [], ["There"], ["ing"], kinds, "合作", [], {"und": "de", "les": "fr"}, ["tion", "sch"], "[0-9]{2,}", ["und"], "[0-9]{2,}", "x"))
+
+
+_PAGES = """s AS (SELECT s_suppkey AS k, 'S' || s_suppkey || '有限公司' AS name FROM supplier),
+    p AS (SELECT name, 'business_info' AS category, '成立于' || (2000 + k % 20) || '年' || (1 + k % 9) || '月。注册资本' || (k % 500 + 1) || '万元。' AS text FROM s WHERE k % 4 <> 0
+        UNION ALL SELECT name, 'official_website', '经营范围：深沟球轴承制造销售。法定代表人：王小明，员工' || (k % 700 + 1) || '人。' FROM s WHERE k % 2 = 1
+        UNION ALL SELECT name, 'bidding_info', '中标轴承采购项目，中标金额：' || (k % 900 + 100) || '万元人民币，深沟球轴承。' FROM s WHERE k % 3 = 0 AND k % 4 <> 0)"""
+_STAFF = "CASE WHEN n < 50 THEN '50人以下' WHEN n < 150 THEN '50-150人' WHEN n < 500 THEN '150-500人' ELSE '500-1000人' END"
+
+
+@query("profile_plan", "supplier", f"""WITH {_PAGES}, c AS (SELECT name, count(*) AS filled, sum(length(text)) AS size FROM p GROUP BY name), x AS (SELECT *, k % 2 = 1 AS site, k % 4 <> 0 AS info, k % 3 = 0 AND k % 4 <> 0 AS bid, k % 700 + 1 AS n FROM s)
+    SELECT name AS enterprise_name, CASE WHEN info THEN 'success' ELSE 'failed' END AS status, coalesce(filled, 0) AS filled, CASE WHEN info THEN 'partial' ELSE 'failed' END AS crawl_status, CASE WHEN site THEN 'success' WHEN info THEN 'partial' ELSE 'failed' END AS clean_status,
+        round_even(least(.95::DOUBLE, .2::DOUBLE + .18::DOUBLE * coalesce(filled, 0) + least(2 * coalesce(size, 0) / 15000, .15::DOUBLE)), 2) AS crawl_confidence,
+        CASE WHEN info THEN (2000 + k % 20) || '-0' || (1 + k % 9) ELSE '' END AS establish_time, CASE WHEN info THEN (k % 500 + 1) || '万元人民币' ELSE '' END AS registered_capital, CASE WHEN site THEN '深沟球轴承制造销售' ELSE '' END AS business_scope,
+        CASE WHEN site OR bid THEN '深沟球轴承' ELSE '' END AS core_products, CASE WHEN site THEN {_STAFF} ELSE '' END AS employee_scale, CASE WHEN info THEN CASE WHEN site THEN '企业官网、' ELSE '' END || '工商查询平台' || CASE WHEN bid THEN '、招投标平台' ELSE '' END ELSE '' END AS data_source,
+        bid::BIGINT AS n_records, CASE WHEN bid THEN 'BID-001' ELSE '' END AS record_id, CASE WHEN bid THEN (k % 900 + 100) || '' ELSE '' END AS amount, CASE WHEN bid THEN '中国政府采购网' ELSE '' END AS source_platform
+    FROM x LEFT JOIN c USING (name)""")
+def _(s):
+    """Suppliers as companies with up to three pages; one row a company of what the plan's tables say of it."""
+    k, name = F.col("s_suppkey"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit("有限公司"))
+    n = lambda c: c.cast("string")
+    texts = [
+        (k % 4 != 0, "business_info", "tianyancha", F.concat(F.lit("成立于"), n(2000 + k % 20), F.lit("年"), n(1 + k % 9), F.lit("月。注册资本"), n(k % 500 + 1), F.lit("万元。"))),
+        (k % 2 == 1, "official_website", "https://s.example.org", F.concat(F.lit("经营范围：深沟球轴承制造销售。法定代表人：王小明，员工"), n(k % 700 + 1), F.lit("人。"))),
+        ((k % 3 == 0) & (k % 4 != 0), "bidding_info", "http://www.ccgp.gov.cn/1", F.concat(F.lit("中标轴承采购项目，中标金额："), n(k % 900 + 100), F.lit("万元人民币，深沟球轴承。"))),
+    ]
+    made = F.array(*[F.when(c, F.struct(F.lit(category).alias("category"), F.lit(source).alias("source"), text.alias("text"))) for c, category, source, text in texts])
+    pages = s.select(name.alias("name"), k.alias("seq"), F.inline(F.filter(made, lambda x: x.isNotNull())))
+    p, key = profiles(s.select(name.alias("name")), pages), "enterprise_name"
+    of = p.fields.select(key, "establish_time", "registered_capital", "business_scope", "core_products", "employee_scale")
+    out = p.runs.select(key, "status", "filled", "crawl_status", "clean_status", "n_records").join(p.records.select(key, "crawl_confidence").hint("merge"), key)
+    for more in (of, p.overview.select(key, "data_source"), p.facts.select(key, "record_id", "amount", "source_platform")):
+        out = out.join(more.hint("merge"), key, "left")
+    return out.na.fill("")
