@@ -165,13 +165,14 @@ def record_key() -> Column:
 
 
 def dedup_records(records: DataFrame) -> DataFrame:
-    """Of the records of a company, type and key, the most complete one, the first of those alike; ``at`` is the place of the key's first one."""
+    """Of the records of a company, type and key, the most complete one, the first of those alike, the least by its columns in order of those
+    at one place; ``at`` is the place of the key's first one."""
     order = F.lit(len(_KINDS))
     for kind, k in _KINDS.items():
         order = F.when(F.col("record_type") == kind, k).otherwise(order)
     at = F.struct("seg", order.alias("kind"), "pos", "counterparty")
     row = F.struct(*[c for c in records.columns])
-    best = records.groupBy("enterprise_name", "record_type", record_key().alias("key")).agg(F.min_by(row, F.struct(-completeness(), at)).alias("row"), F.min(at).alias("at"))
+    best = records.groupBy("enterprise_name", "record_type", record_key().alias("key")).agg(F.min_by(row, F.struct(-completeness(), at, row)).alias("row"), F.min(at).alias("at"))
     return best.select("row.*", "at")
 
 

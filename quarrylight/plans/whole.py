@@ -107,14 +107,15 @@ def _typed_records(li):
     return li.select(*[(given[c] if c in given else plain[c] if c in plain else F.lit("")).alias(c) for c in facts.COLUMNS])
 
 
+# rows of one place: by the columns in order; the platform of the greater bonus is the lesser name
 _RECORDS = """r AS (SELECT 'E' || (l_suppkey % 10) AS enterprise_name, l_orderkey AS seg, l_linenumber AS pos, CASE l_returnflag WHEN 'A' THEN 'bidding' WHEN 'R' THEN 'customer' ELSE 'investment' END AS record_type, 'S' || (l_suppkey % 50) AS counterparty,
     CASE WHEN l_partkey % 3 > 0 THEN 'P' || (l_partkey % 40) ELSE '' END AS project_name, CASE WHEN l_discount > .05 THEN CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) ELSE '' END AS amount, CASE WHEN l_linestatus = 'F' THEN strftime(l_shipdate, '%Y-%m-%d') ELSE '' END AS bid_date,
     CASE WHEN l_quantity > 30 THEN '轴承' ELSE '' END AS products, CASE WHEN l_tax > .04 THEN 'text' ELSE '' END AS evidence_text, CASE WHEN l_quantity < 10 THEN .15 ELSE .05 END::DOUBLE AS bonus FROM lineitem),
-    k AS (SELECT *, CASE record_type WHEN 'bidding' THEN counterparty || '/' || project_name WHEN 'customer' THEN counterparty ELSE project_name END AS key,
+    k AS (SELECT *, CASE record_type WHEN 'bidding' THEN counterparty || chr(1) || project_name WHEN 'customer' THEN counterparty ELSE project_name END AS key,
         CASE record_type WHEN 'bidding' THEN (project_name <> '')::INT + 1 + (amount <> '')::INT + (bid_date <> '')::INT + (products <> '')::INT WHEN 'customer' THEN 1 + (products <> '')::INT + (evidence_text <> '')::INT ELSE (project_name <> '')::INT + (amount <> '')::INT + (bid_date <> '')::INT END AS filled FROM r),
-    d AS (SELECT *, min(seg * 100 + pos) OVER g AS place, round_even(least(.98::DOUBLE, .6::DOUBLE + bonus + CASE record_type WHEN 'bidding' THEN CASE WHEN amount <> '' THEN .05 ELSE 0 END::DOUBLE + .05::DOUBLE + CASE WHEN project_name <> '' THEN .03 ELSE 0 END::DOUBLE + CASE WHEN bid_date <> '' THEN .03 ELSE 0 END::DOUBLE + CASE WHEN products <> '' THEN .02 ELSE 0 END::DOUBLE
+    d AS (SELECT *, min({'seg': seg, 'pos': pos, 'counterparty': counterparty}) OVER g AS place, round_even(least(.98::DOUBLE, .6::DOUBLE + bonus + CASE record_type WHEN 'bidding' THEN CASE WHEN amount <> '' THEN .05 ELSE 0 END::DOUBLE + .05::DOUBLE + CASE WHEN project_name <> '' THEN .03 ELSE 0 END::DOUBLE + CASE WHEN bid_date <> '' THEN .03 ELSE 0 END::DOUBLE + CASE WHEN products <> '' THEN .02 ELSE 0 END::DOUBLE
         WHEN 'customer' THEN .08::DOUBLE + CASE WHEN products <> '' THEN .05 ELSE 0 END::DOUBLE + CASE WHEN evidence_text <> '' THEN .05 ELSE 0 END::DOUBLE ELSE CASE WHEN amount <> '' THEN .08 ELSE 0 END::DOUBLE + CASE WHEN project_name <> '' THEN .05 ELSE 0 END::DOUBLE + CASE WHEN bid_date <> '' THEN .03 ELSE 0 END::DOUBLE END), 2) AS confidence
-        FROM k WINDOW g AS (PARTITION BY enterprise_name, record_type, key) QUALIFY row_number() OVER (PARTITION BY enterprise_name, record_type, key ORDER BY filled DESC, seg, pos, counterparty) = 1),
+        FROM k WINDOW g AS (PARTITION BY enterprise_name, record_type, key) QUALIFY row_number() OVER (PARTITION BY enterprise_name, record_type, key ORDER BY filled DESC, seg, pos, counterparty, project_name, bid_date, amount, products, evidence_text, bonus DESC) = 1),
     n AS (SELECT *, CASE record_type WHEN 'bidding' THEN 'BID-' WHEN 'customer' THEN 'CUS-' ELSE 'INV-' END || printf('%03d', row_number() OVER (PARTITION BY enterprise_name, record_type ORDER BY place, key)) AS record_id FROM d)"""
 
 
