@@ -18,7 +18,7 @@ def both(spark, tmp_path, name, table, sql):
     return sorted(got, key=str), sorted(con.execute(entry.oracle_sql()[name]).fetchall(), key=str)
 
 
-@pytest.mark.parametrize("name", ["j18_dedup_records"])
+@pytest.mark.parametrize("name", ["j18_dedup_records", "s9c_fact_details"])
 def test_records_of_one_place(spark, tmp_path, name):
     """Many rows of one order and line number: which is taken and how they are numbered is fixed by their columns."""
     got, want = both(spark, tmp_path, name, "lineitem", ITEMS)
