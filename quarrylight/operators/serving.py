@@ -44,8 +44,12 @@ def batch_no(ts: Column) -> Column:
 
 
 def overall_confidence(rows: DataFrame, key: str = "name") -> DataFrame:
-    """Mean of all confidences over 0; 0 if there is none."""
-    return rows.groupBy(key).agg(F.bround(F.coalesce(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), F.lit(0.0)), 2).alias("confidence"))
+    """Mean of all confidences over 0, to two places, halves to even; 0 if there is none.
+
+    Confidences count to six places and as integers, so that neither the order of rows nor binary fractions move a half.
+    """
+    c = F.when(F.col("confidence") > 0, F.round(F.col("confidence") * 1_000_000).cast("long"))
+    return rows.groupBy(key).agg((F.bround(F.coalesce(F.try_divide(F.sum(c), F.count(c) * 10_000), F.lit(0.0)), 0) / 100).alias("confidence"))
 
 
 def token_estimate(docs: DataFrame, stage: Column, text: Column) -> DataFrame:

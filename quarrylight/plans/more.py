@@ -84,7 +84,7 @@ def _(c):
     return serving.list_sorted(c.select(F.col("c_custkey").alias("name"), F.col("c_acctbal").alias("confidence")), "confidence", True, "name")
 
 
-@query("q12_overall_confidence", "lineitem", "SELECT l_orderkey AS name, round_even(coalesce(avg(CASE WHEN l_discount > 0 THEN l_discount END), 0), 2) AS confidence FROM lineitem GROUP BY 1")
+@query("q12_overall_confidence", "lineitem", "SELECT name, round_even(coalesce(sum(c) / (count(c) * 10000), 0), 0) / 100 AS confidence FROM (SELECT l_orderkey AS name, CASE WHEN l_discount > 0 THEN CAST(round(l_discount * 1000000) AS BIGINT) END AS c FROM lineitem) GROUP BY 1")
 def _(li):
     return serving.overall_confidence(li.select(F.col("l_orderkey").alias("name"), F.col("l_discount").alias("confidence")))
 

@@ -5,7 +5,6 @@ import pytest
 
 import __spark_entry__ as entry
 
-ITEM = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"
 CELL = "".join(f"<td>{x}</td>" for x in ["12,345.67 100%", "12+34!?56789", "１２３４５６７８", "x\x0by\x0b\x0bz abcdef", "\u00a0\u3000word one two\u2003", "\u00a012345678", "<b>1234</b>567 (8)"])
 PAGES = f"SELECT 1 AS page_id, 'https://a.org/' AS url, '{CELL}' AS html UNION ALL SELECT 2, 'https://b.org/', NULL"
 ITEMS = "SELECT 7 AS l_orderkey, k * 7 % 60 AS l_partkey, k * 11 % 100 AS l_suppkey, CAST(1 + k // 150 AS INT) AS l_linenumber, CAST(k % 50 AS DOUBLE) AS l_quantity, CAST(1000 + k * 37 % 91 AS DOUBLE) AS l_extendedprice, k % 11 / 100 AS l_discount, k % 9 / 100 AS l_tax, ['A', 'N', 'R'][1 + k % 3] AS l_returnflag, ['F', 'O'][1 + k % 2] AS l_linestatus, DATE '1995-01-01' + CAST(k % 5 AS INT) AS l_shipdate FROM range(300) t(k)"
@@ -32,3 +31,12 @@ def test_records_of_one_place(spark, tmp_path, name):
 def test_blocks_of_digits_and_odd_white_space(spark, tmp_path):
     got, want = both(spark, tmp_path, "p6_html_to_text_blocks", "pages", PAGES)
     assert got == want == [(1, "12,345.67 100% x y z abcdef word one two"), (2, "")]
+
+
+def test_mean_of_confidences_at_halves(spark, tmp_path):
+    """Means that end in a half of the last place, in both orders of the rows; none; and none over 0."""
+    rows = [(1, [0.04, 0.05]), (2, [0.05, 0.06]), (3, [0.1, 0.03, 0.005]), (4, [0.07, 0.02, 0.045]), (5, [0.14, 0.15, 0.0]), (6, [0.01, 0.1, 0.09, 0.06, 0.04, 0.03]), (7, [0.0]), (8, [None]), (9, [0.335, 0.335])]
+    for turn in (1, -1):
+        items = " UNION ALL ".join(f"SELECT {k} AS l_orderkey, CAST({'NULL' if x is None else x} AS DOUBLE) AS l_discount" for k, xs in rows for x in xs[::turn])
+        got, want = both(spark, tmp_path, "q12_overall_confidence", "lineitem", items)
+        assert got == want == [(1, 0.04), (2, 0.06), (3, 0.04), (4, 0.04), (5, 0.14), (6, 0.06), (7, 0.0), (8, 0.0), (9, 0.34)]
