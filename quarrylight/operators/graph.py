@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from quarrylight.sources.io import dropped, saved
 
 SPLIT = 1_000
+ENTRIES = 1_000_000  # neighbours that a task of the last level holds
 
 
 class Graph:
-    """(a, b, part) of the edges, saved, and (a, parts) of the hubs."""
+    """The edges as ``lists`` of (a, part, n, nexts), each of some SPLIT neighbours at most, saved; (a, b, part) of them; (a, parts) of the hubs."""
 
     def __init__(self, edges: DataFrame, src: str = "subject", dst: str = "object", kind: str | None = None, kinds: list[str] | None = None, directed: bool = False, split: int = SPLIT) -> None:
         self.directed = directed
@@ -27,34 +28,56 @@ class Graph:
         parts = F.ceil(F.col("n") / split).cast("int").alias("parts")
         self.hubs = saved(plain.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > split).select("a", parts))
         part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
-        self.edges = saved(plain.join(self.hubs.hint("merge"), "a", "left").select("a", "b", part))
+        dealt = plain.join(self.hubs.hint("merge"), "a", "left").select("a", "b", part)
+        self.lists = saved(dealt.groupBy("a", "part").agg(F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list("b")).alias("nexts")))
+        self.edges = self.lists.select("a", F.explode("nexts").alias("b"), "part")
+        self.plain = self.hubs.isEmpty()
         dropped(plain)
 
+    def around(self, frontier: DataFrame, node: str) -> DataFrame:
+        """The frontier's rows with each list (n, nexts) of their node's neighbours."""
+        if self.plain:  # no node has more than one list
+            spread = frontier.withColumn("part", F.lit(0))
+        else:
+            held = self.hubs.select(F.col("a").alias(node), "parts")
+            parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+            spread = frontier.join(held.hint("merge"), node, "left").select(*frontier.columns, parts)
+        return spread.join(self.lists.withColumnRenamed("a", node).hint("merge"), [node, "part"]).drop("part")
+
     def step(self, frontier: DataFrame, node: str) -> DataFrame:
         """The frontier's rows with each neighbour of their node as ``next``."""
-        held = self.hubs.select(F.col("a").alias(node), "parts")
-        parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
-        spread = frontier.join(held.hint("merge"), node, "left").select(*frontier.columns, parts)
-        return spread.join(self.edges.select(F.col("a").alias(node), F.col("b").alias("next"), "part").hint("merge"), [node, "part"]).drop("part")
+        return self.around(frontier, node).select(*frontier.columns, F.explode("nexts").alias("next"))
 
 
 def neighbours(graph: Graph, starts: DataFrame, hops: int, start: str = "start") -> DataFrame:
     """(start, node, distance): every node within 1 to ``hops`` edges of a start, once, by its least distance.
 
-    A level is what the frontier's edges reach less what was reached before. Null starts go; one without edges has no rows.
+    A level is what the frontier's edges reach less what was reached before. The last one, mostly the largest, isn't saved: whole lists of
+    neighbours meet the levels before by start, and by slices of the nodes where a start has very many, in as many
+    partitions as hold ENTRIES each. Null starts go; one without edges has no rows.
     """
     seen = saved(starts.select(F.col(start).alias("start")).where("start IS NOT NULL").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("distance")))
     frontier, levels = seen, [seen]
-    for d in range(1, hops + 1):
+    for d in range(1, hops):
         reached = graph.step(frontier.select("start", "node"), "node").select("start", F.col("next").alias("node")).distinct()
         for level in levels if graph.directed else levels[-2:]:  # where edges go both ways, a neighbour is at most one level nearer
             reached = reached.join(level.select("start", "node").hint("merge"), ["start", "node"], "left_anti")
         frontier = saved(reached.withColumn("distance", F.lit(d)))
         levels.append(frontier)
-    out = levels[1]
-    for level in levels[2:]:
-        out = out.unionByName(level)
-    return out
+    last = graph.around(frontier.select("start", "node"), "node")
+    size = last.groupBy("start").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    slices, tasks = 1 + size["most"] // ENTRIES, 1 + size["all"] // ENTRIES
+    of = lambda x: F.pmod(F.xxhash64(x), F.lit(slices)).cast("int")
+    if slices == 1:
+        far = last.select("start", F.lit(0).alias("slice"), F.lit(hops).alias("distance"), "nexts")
+    else:
+        cut = lambda k: F.filter("nexts", lambda x: of(x) == k)
+        far = last.select("start", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "nexts").select("start", "slice", F.lit(hops).alias("distance"), cut(F.col("slice")).alias("nexts"))
+    for level in levels:
+        far = far.unionByName(level.select("start", of("node").alias("slice"), "distance", F.array("node").alias("nexts")))
+    met = far.repartition(max(tasks, int(graph.lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "start", "slice")
+    out = met.select("start", "slice", "distance", F.explode("nexts").alias("node")).groupBy("start", "slice", "node").agg(F.min("distance").alias("distance"))
+    return out.where("distance > 0").select("start", "node", "distance")
 
 
 def _grown(graph: Graph, frontier: DataFrame, levels: list[DataFrame], live: DataFrame, path: Column) -> DataFrame:

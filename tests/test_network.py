@@ -119,3 +119,17 @@ def test_lines_of_a_million(spark):
     lines = spark.range(1_000_000, numPartitions=8).select(F.lit(1).alias("doc"), F.col("id").alias("pos"), F.xxhash64(F.shiftright("id", 1)).bitwiseXOR(F.col("id") % 2).alias("simhash"))
     got = records.keep_apart(lines, "doc")
     assert got.agg(F.count("*"), F.sum(F.col("pos") % 2)).first() == (500_000, 0)
+
+
+@pytest.mark.parametrize("entries", [graph.ENTRIES, 40])
+def test_last_level_is_shuffled_as_lists(spark, monkeypatch, entries):
+    """In slices as well as whole, with and without hubs; no row of a single neighbour is shuffled at the end."""
+    monkeypatch.setattr(graph, "ENTRIES", entries)
+    rng = random.Random(9)
+    pairs = [(f"a{rng.randrange(40)}", f"b{rng.randrange(300)}") for _ in range(900)]
+    adj, starts = adjacency(pairs, False), spark.createDataFrame([("a1",), ("b7",)], "start string")
+    for split in (7, graph.SPLIT):
+        near = graph.neighbours(graph.Graph(edge_rows(spark, pairs), split=split), starts, 3)
+        assert sorted(map(tuple, near.collect())) == sorted((s, n, d) for s in ("a1", "b7") for n, d in reach(adj, s).items() if 0 < d <= 3)
+        plan = near._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Aggregate") < plan.index("Generate explode(nexts") < plan.index("RepartitionByExpression [start") and "Aggregate" not in plan[plan.index("RepartitionByExpression [start"):]
