@@ -92,27 +92,33 @@ def _grown(graph: Graph, frontier: DataFrame, levels: list[DataFrame], live: Dat
 def shortest_paths(graph: Graph, back: Graph, pairs: DataFrame, src: str = "src", dst: str = "dst", hops: int = 6) -> DataFrame:
     """(src, dst, length, path) of each distinct pair: of its shortest paths the first by the names along it; nulls without one within ``hops``.
 
-    Searches from both ends, the smaller frontier first, keep the way to each node; a path is found where they meet, and its pair is
-    done. Any shortest path of a + b edges has a node a from the one end and b from the other, so only the last levels
-    are matched. ``back`` is the graph with its edges turned, the same one if they go both ways.
+    Searches from both ends, the one with fewer neighbours ahead first, keep the way to each node; a path is found where they meet, and its
+    pair is done. Any shortest path of a + b edges has a node a from the one end and b from the other, so only the last levels
+    are matched. What the last step reaches is matched without its ways, and not saved. ``back`` is the graph with its edges turned, the same one if they go both ways.
     """
-    asked = saved(pairs.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct().withColumn("pair", F.struct("src", "dst")))
+    asked = saved(pairs.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct().withColumn("pair", F.monotonically_increasing_id()))
     side = lambda c: saved(asked.where("src <> dst").select("pair", F.col(c).alias("node"), F.array(c).alias("path")))
+    ahead = lambda g, frontier: g.around(frontier.select("node"), "node").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     forth, to = [side("src")], [side("dst")]
     found = saved(asked.where("src = dst").select("pair", F.array("src").alias("path")))
     live = asked.where("src <> dst").select("pair")
-    sizes = [forth[0].count(), to[0].count()]
-    for _ in range(hops):
+    sizes = [ahead(graph, forth[0]), ahead(back, to[0])]
+    for k in range(1, hops + 1):
         if not min(sizes):
             break
-        if sizes[0] <= sizes[1]:
-            forth.append(_grown(graph, forth[-1], forth, live, F.concat("path", F.array("next"))))
-            sizes[0] = forth[-1].count()
+        first = sizes[0] <= sizes[1]
+        g, levels, other = (graph, forth, to[-1]) if first else (back, to, forth[-1])
+        if k == hops:  # no live pair has a shorter path, so every meeting is on one of its shortest
+            near = g.step(levels[-1].select("pair", "node").join(live.hint("merge"), "pair", "left_semi"), "node")
+            ends = other.select("pair", F.col("node").alias("next"), F.col("path").alias("rest"))
+            meet = near.join(ends.hint("merge"), ["pair", "next"]).join(levels[-1].hint("merge"), ["pair", "node"])
+            path = F.concat("path", "rest") if first else F.concat("rest", "path")
         else:
-            to.append(_grown(back, to[-1], to, live, F.concat(F.array("next"), "path")))
-            sizes[1] = to[-1].count()
-        rest = to[-1].select("pair", "node", F.slice("path", 2, 1 << 30).alias("rest"))
-        met = forth[-1].join(rest.hint("merge"), ["pair", "node"]).groupBy("pair").agg(F.min(F.concat("path", "rest")).alias("path"))
+            levels.append(_grown(g, levels[-1], levels, live, F.concat("path", F.array("next")) if first else F.concat(F.array("next"), "path")))
+            sizes[0 if first else 1] = ahead(g, levels[-1])
+            rest = to[-1].select("pair", "node", F.slice("path", 2, 1 << 30).alias("rest"))
+            meet, path = forth[-1].join(rest.hint("merge"), ["pair", "node"]), F.concat("path", "rest")
+        met = meet.groupBy("pair").agg(F.min(path).alias("path"))
         before = found
         found = saved(before.unionByName(met.join(before.select("pair").hint("merge"), "pair", "left_anti")))
         live = asked.where("src <> dst").select("pair").join(found.select("pair").hint("merge"), "pair", "left_anti")

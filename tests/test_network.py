@@ -133,3 +133,18 @@ def test_last_level_is_shuffled_as_lists(spark, monkeypatch, entries):
         assert sorted(map(tuple, near.collect())) == sorted((s, n, d) for s in ("a1", "b7") for n, d in reach(adj, s).items() if 0 < d <= 3)
         plan = near._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("Aggregate") < plan.index("Generate explode(nexts") < plan.index("RepartitionByExpression [start") and "Aggregate" not in plan[plan.index("RepartitionByExpression [start"):]
+
+
+def test_last_step_of_paths_is_not_saved(spark, monkeypatch):
+    """Two trees without a path between them: of the levels up to six edges the largest is met, but not kept."""
+    rows = []
+    monkeypatch.setattr(graph, "saved", lambda df: rows.append((df.columns, n := io.saved(df))) or n)
+    edges = [(f"{t}{i // 9}", f"{t}{i}") for t in "xy" for i in range(1, 9 + 81 + 729 + 1)]
+    g = graph.Graph(edge_rows(spark, edges))
+    assert graph.shortest_paths(g, g, spark.createDataFrame([("x0", "y0"), ("x0", "x700")], "src string, dst string")).select("dst", "length").sort("dst").collect() == [("x700", len(way(700))), ("y0", None)]
+    assert sum(n.count() for c, n in rows if c == ["pair", "node", "path"]) < 1_000
+
+
+def way(i):
+    """The nodes above i in a tree of nines."""
+    return [i, *way(i // 9)] if i else []
