@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import domain
 from quarrylight.functions.exprs import strip
 
 
-KNOWN_TOKENS = 500_000  # whose hashes a task remembers
+KNOWN_TOKENS = 32_768  # whose votes a task remembers, 64 bytes each
+CHUNK = 16_384  # tokens that are summed at once
 
 
 def scrub(text: Column, markers: list[str] = domain.MARKERS) -> Column:
@@ -66,27 +69,69 @@ def drop_repeats(lines: DataFrame, id_col: str = "doc_id", least: int = 20, size
     return own.where(kept | (size <= least_size) if size is not None else kept).drop("key", "n")
 
 
+class Fingerprints:
+    """The tokens' votes, +1 or -1 for each md5 bit, of the KNOWN_TOKENS that came last, and sums of them for many texts at once."""
+
+    def __init__(self, token: str) -> None:
+        self.find, self.place, self.votes = re.compile(token).findall, {}, np.empty((KNOWN_TOKENS, 64), np.int8)
+
+    def learn(self, new: list[str]) -> None:
+        bits = np.frombuffer(b"".join([hashlib.md5(t.encode()).digest()[8:] for t in new]), np.uint8).reshape(-1, 8)
+        n = len(self.place)
+        self.votes[n : n + len(new)] = 2 * np.unpackbits(bits, axis=1).view(np.int8) - 1
+        self.place.update(zip(new, range(n, n + len(new))))
+
+    def of(self, texts: pd.Series) -> np.ndarray:
+        sums, some = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), bool)
+        flat, starts, rows = [], [], []
+
+        def add() -> None:
+            if flat:
+                sums[rows] += np.add.reduceat(self.votes[flat], starts, axis=0, dtype=np.int64)
+                flat.clear(), starts.clear(), rows.clear()
+
+        for k, x in enumerate(texts):
+            tokens = self.find(x) if x else []
+            for i in range(0, len(tokens), CHUNK):
+                part = tokens[i : i + CHUNK]
+                new = [t for t in set(part) if t not in self.place]
+                if len(self.place) + len(new) > KNOWN_TOKENS:
+                    add()
+                    self.place.clear()
+                    new = list(set(part))
+                if new:
+                    self.learn(new)
+                some[k] = True
+                starts.append(len(flat)), rows.append(k)
+                flat.extend(map(self.place.__getitem__, part))
+                if len(flat) >= CHUNK:
+                    add()
+        add()
+        return np.where(some, np.packbits(sums >= 0, axis=1).view(">i8")[:, 0], 0).astype(np.int64)
+
+
 def simhash(text: Column, token: str = r"[A-Za-z]{2,}") -> Column:
-    """Bit i is set if the votes of the tokens' md5 bits are not negative; 0 without tokens. Texts are worked where they are read."""
+    """Bit i is set if the votes of the tokens' md5 bits are not negative; 0 without tokens. Texts are worked where they are read.
+
+    A session that has Spark's default size of Arrow batches, 64 MB, gets one of 8 MB, and workers, which are reused, give back
+    what they have freed, so that they don't grow with the table.
+    """
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (session := SparkSession.getActiveSession()) is not None and session.conf.get(size).removesuffix("b") == str(64 << 20):
+        session.conf.set(size, str(8 << 20))
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find, known = re.compile(token), {}
-        for batch in batches:
-            out = np.zeros(len(batch), np.int64)
-            for k, x in enumerate(batch):
-                count = Counter(find.findall(x)) if x else None
-                if not count:
-                    continue
-                new = [t for t in count if t not in known]
-                if len(known) > KNOWN_TOKENS:
-                    known.clear()
-                    new = list(count)
-                known.update((t, hashlib.md5(t.encode()).digest()[8:]) for t in new)
-                bits = np.unpackbits(np.frombuffer(b"".join([known[t] for t in count]), np.uint8).reshape(-1, 8), axis=1)
-                n = np.fromiter(count.values(), np.int64, len(count))
-                out[k] = np.packbits(2 * (n @ bits) >= n.sum()).view(">i8")[0]
-            yield pd.Series(out)
+        known = Fingerprints(token)
+        try:
+            for batch in batches:
+                yield pd.Series(known.of(batch))
+        finally:
+            del known
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                trim(0)
 
     return run(text)
 

@@ -1,6 +1,7 @@
 import datetime
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -143,3 +144,27 @@ def test_near_lines_agree_with_a_loop(spark):
             kept[d].append(h[d, p])
             want.add((d, p))
     assert want == {(r["doc_id"], r["pos"]) for r in records.near_lines(lines, "doc_id").collect()}
+
+
+def test_fingerprints_in_bounded_memory(monkeypatch):
+    """Texts of many batches against counts; what is remembered doesn't grow with the tokens seen."""
+    import hashlib
+    import random
+    from collections import Counter
+
+    import pandas as pd
+
+    monkeypatch.setattr(text, "KNOWN_TOKENS", 64)
+    monkeypatch.setattr(text, "CHUNK", 16)
+    rng = random.Random(3)
+    texts = [None, "", "a 1 2", "aa aa bb"] + [" ".join("".join(rng.choices("abc", k=rng.randrange(1, 9))) for _ in range(rng.choice([1, 3, 40, 200]))) for _ in range(200)]
+
+    def plain(x):
+        count = Counter(re.findall("[A-Za-z]{2,}", x or ""))
+        sums = [sum(c if int.from_bytes(hashlib.md5(t.encode()).digest()[8:]) >> i & 1 else -c for t, c in count.items()) for i in range(64)]
+        v = sum(1 << i for i in range(64) if count and sums[i] >= 0)
+        return v - (1 << 64) if v >> 63 else v
+
+    known = text.Fingerprints("[A-Za-z]{2,}")
+    got = [v for i in range(0, len(texts), 50) for v in known.of(pd.Series(texts[i : i + 50], dtype=object)).tolist()]
+    assert got == [plain(x) for x in texts] and len(known.place) <= 64 and known.votes.nbytes <= 64 * 64
