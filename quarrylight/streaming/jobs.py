@@ -14,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quarrylight.operators import text, web
 from quarrylight.sources.io import delete, dropped, fetched, listed, saved
 
+BUCKETS = 256  # of urls whose times are kept in one state
+
 
 def probe_stats_hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """(hour, n, avg_ms) from (ts, ms) by tumbling hour; rows later than the watermark are left out."""
@@ -73,33 +75,44 @@ class ClosedHours:
         return self._all("late", self.LATE).groupBy("hour").agg(F.sum("n").alias("n"))
 
 
-def fetches_in_time(pages: DataFrame, seconds: int, delay: str = "0 seconds") -> DataFrame:
+def fetches_in_time(pages: DataFrame, seconds: int, delay: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """(url, fetched_at, state) of each fetch of a stream of (url, fetched_at): miss, hit or expired.
 
     A url's state is the time of its last kept fetch. A fetch up to the time to live after it is a hit and changes nothing; a later
     one finds it expired and is kept, as is the first, a miss. Fetches of one batch count in order of time, one from
     before the kept fetch as a hit. The state goes when the watermark has passed its time to live, so a url that returns after that is a miss again
-    (it needs fetching just the same).
+    (it needs fetching just the same). The urls of a hash bucket share a state and a call of Python, whose cost a url of few fetches can't bear;
+    a stream keeps its number of buckets.
     """
     kept = "url string, fetched_at timestamp, state string"
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        mark = state.getCurrentWatermarkMs()
+        held = dict(zip(*state.get)) if state.exists else {}
+        rows = None if state.hasTimedOut else pd.concat(list(frames), ignore_index=True).sort_values(["url", "fetched_at"], kind="stable", ignore_index=True)
+        seen, names = set(), []
+        if rows is not None:
+            times = rows["fetched_at"].to_numpy("datetime64[us]").astype(np.int64).tolist()
+            for u, t in zip(rows["url"], times):
+                last = held.get(u)
+                fresh = last is not None and t - last <= seconds * 1_000_000
+                names.append("hit" if fresh else "miss" if last is None else "expired")
+                if not fresh:
+                    held[u] = t
+                seen.add(u)
+        ends = {u: t // 1000 + seconds * 1000 + 1 for u, t in held.items()}
+        held = {u: t for u, t in held.items() if u in seen or ends[u] >= mark}
+        if held:
+            state.update((list(held), list(held.values())))
+            state.setTimeoutTimestamp(max(min(ends[u] for u in held), mark + 1))
+        elif state.exists:
             state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        times = np.sort(np.concatenate([f["fetched_at"].to_numpy("datetime64[us]") for f in frames]))
-        names = []
-        for t in times.astype(np.int64).tolist():
-            fresh = last is not None and t - last <= seconds * 1_000_000
-            names.append("hit" if fresh else "miss" if last is None else "expired")
-            last = last if fresh else t
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"url": [key[0]] * len(times), "fetched_at": times, "state": names})
+        if rows is not None:
+            yield pd.DataFrame({"url": rows["url"], "fetched_at": rows["fetched_at"], "state": names})
 
     rows = pages.select("url", "fetched_at").where("url IS NOT NULL AND fetched_at IS NOT NULL").withWatermark("fetched_at", delay)
-    return rows.groupBy("url").applyInPandasWithState(run, kept, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    bucket = F.pmod(F.xxhash64("url"), F.lit(buckets))
+    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(run, kept, "urls array<string>, lasts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def profile_pages(pages: DataFrame, blacklist: list[str], email: str = r"([A-Za-z0-9._]+@[A-Za-z0-9.-]+)") -> DataFrame:

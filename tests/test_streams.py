@@ -117,3 +117,16 @@ def test_closed_hours_and_late_rows(spark, tmp_path):
     # 0:20 comes when the mark is 1:00, so its hour has ended; 2:15 comes a day late
     assert got == [(0, 1, 1.0), (1, 2, 4.0), (2, 2, 7501.0)]
     assert sorted((r["hour"].hour, r["n"]) for r in hours.late().collect()) == [(0, 2), (2, 1)]
+
+
+def test_urls_of_a_bucket_share_a_state(spark, tmp_path):
+    """1,000 urls are one row of state in each of four buckets; each of them has its own time to live."""
+    urls = [f"u{i}" for i in range(1_000)]
+    for rows in ([(u, 0) for u in urls], [(u, 30 if i % 2 else 90) for i, u in enumerate(urls)]):
+        spark.createDataFrame(minutes(*rows), "url string, fetched_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema("url string, fetched_at timestamp").parquet(str(tmp_path / "in"))
+        q = jobs.fetches_in_time(source, 3600, buckets=4).writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"), "parquet", "append")
+        q.awaitTermination(120)
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 4
+    got = {r["state"]: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("state").count().collect()}
+    assert got == {"miss": 1_000, "hit": 500, "expired": 500}
