@@ -139,7 +139,8 @@ def relation_sheet(edges: DataFrame) -> DataFrame:
 
 
 def detail_sheet(records: DataFrame, names: dict[str, str] = domain.TYPE_NAMES) -> DataFrame:
-    """The columns of ``DETAILS``, types by name, the relation in place of a missing role, by type and falling confidence."""
+    """The columns of ``DETAILS``, types by name, the relation in place of a missing role, by type and falling confidence; those alike by id, then by
+    company, as ids repeat among companies: no two rows are left open."""
     text = lambda c: F.coalesce(c, F.lit(""))
     label = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("record_type")), F.col("record_type"))
     kind = F.col("record_type")
@@ -148,7 +149,7 @@ def detail_sheet(records: DataFrame, names: dict[str, str] = domain.TYPE_NAMES)
         "record_type": label, "relation": label, "role": F.coalesce(F.nullif(F.col("role"), F.lit("")), text("relationship_nature")), "product_detail": detail,
         "evidence_type": F.coalesce(F.nullif(F.col("evidence_type"), F.lit("")), F.lit("原始文本")), "confidence": F.col("confidence"),
     }
-    return records.orderBy("record_type", F.desc("confidence"), "record_id").select(*[columns.get(c, text(c)).alias(c) for c in DETAILS])
+    return records.orderBy("record_type", F.desc("confidence"), "record_id", "enterprise_name").select(*[columns.get(c, text(c)).alias(c) for c in DETAILS])
 
 
 def detail_summary(records: DataFrame, names: dict[str, str] = domain.TYPE_NAMES) -> DataFrame:

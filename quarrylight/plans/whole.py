@@ -136,7 +136,7 @@ def _(li, c):
 
 
 @query("s9c_fact_details", "lineitem", f"""WITH {_RECORDS} SELECT CASE record_type WHEN 'bidding' THEN '招投标' WHEN 'customer' THEN '客户关系' ELSE '投资项目' END AS record_type, record_id, counterparty, project_name, CASE record_type WHEN 'bidding' THEN '招投标' WHEN 'customer' THEN '客户关系' ELSE '投资项目' END AS relation, CASE record_type WHEN 'customer' THEN '供应商' ELSE '' END AS role, products,
-    CASE record_type WHEN 'bidding' THEN enterprise_name ELSE '' END AS product_detail, amount, '' AS amount_unit, bid_date, '' AS region, '' AS counterparty_industry, '原始文本' AS evidence_type, CASE WHEN bonus > .1 THEN '中国政府采购网' ELSE '企业官网' END AS source_platform, confidence FROM n""")
+    CASE record_type WHEN 'bidding' THEN enterprise_name ELSE '' END AS product_detail, amount, '' AS amount_unit, bid_date, '' AS region, '' AS counterparty_industry, '原始文本' AS evidence_type, CASE WHEN bonus > .1 THEN '中国政府采购网' ELSE '企业官网' END AS source_platform, confidence FROM n ORDER BY n.record_type, n.confidence DESC, n.record_id, n.enterprise_name""")
 def _(li):
     rows = _numbered(li).withColumns({"relationship_nature": F.when(F.col("record_type") == "customer", "供应商"), "product_detail": F.col("enterprise_name"), "spec": F.lit(None).cast("string")})
     return crawl.detail_sheet(rows)

@@ -28,6 +28,25 @@ def test_records_of_one_place(spark, tmp_path, name):
     assert both(spark, tmp_path / "turned", name, "lineitem", ITEMS + " ORDER BY k DESC")[0] == want
 
 
+def test_order_of_fact_details(spark, tmp_path):
+    """Ids repeat among companies: the sheet has the order of its SQL, however rows lie and are dealt."""
+    name, partitions = "s9c_fact_details", spark.conf.get("spark.sql.shuffle.partitions")
+    con = duckdb.connect()
+    try:
+        for k, (turn, n, adaptive) in enumerate([("", 4, "true"), (" ORDER BY k DESC", 4, "true"), (" ORDER BY k * 7 % 300", 37, "false")]):
+            (tmp_path / str(k)).mkdir()
+            con.execute(f"COPY ({ITEMS}{turn}) TO '{tmp_path}/{k}/lineitem.parquet'")
+            con.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{tmp_path}/{k}/lineitem.parquet'")
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            got = [tuple(r) for r in entry.queries()[name](spark, f"{tmp_path}/{k}").collect()]
+            assert len({(r[0], r[15], r[1]) for r in got}) < len(got)
+            assert got == con.execute(entry.oracle_sql()[name]).fetchall()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_blocks_of_digits_and_odd_white_space(spark, tmp_path):
     got, want = both(spark, tmp_path, "p6_html_to_text_blocks", "pages", PAGES)
     assert got == want == [(1, "12,345.67 100% x y z abcdef word one two"), (2, "")]
